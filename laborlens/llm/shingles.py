@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 
 FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -57,7 +58,7 @@ def texts(batch: pa.RecordBatch, name: str) -> list[bytes | None]:
 def small_batches(batches: Iterator[pa.RecordBatch], name: str, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about ``most`` bytes of text, so that working memory doesn't follow row counts."""
     for batch in batches:
-        lengths = np.nan_to_num(pa.compute.binary_length(batch.column(name)).to_numpy(zero_copy_only=False).astype(float))
+        lengths = np.nan_to_num(pc.binary_length(batch.column(name)).to_numpy(zero_copy_only=False).astype(float))
         part = (np.cumsum(lengths) // most).astype(int)
         edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(part)]
         for a, b in zip(edges[:-1], edges[1:], strict=True):
