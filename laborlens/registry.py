@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from laborlens import catalog_demand
+
 Query = Callable[[SparkSession, str], DataFrame]
+CATALOGS = [catalog_demand]
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return {name: q for c in CATALOGS for name, q in c.queries().items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: q for c in CATALOGS for name, q in c.oracle_sql().items()}
