@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from laborlens import catalog_demand
+from laborlens import catalog_demand, catalog_people
 
 Query = Callable[[SparkSession, str], DataFrame]
-CATALOGS = [catalog_demand]
+CATALOGS = [catalog_demand, catalog_people]
 
 
 def queries() -> dict[str, Query]:
