@@ -10,6 +10,7 @@ from __future__ import annotations
 from datetime import timedelta
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from laborlens.functions.numbers import clamp, first_of_month, growth_pct, percent, top
@@ -189,13 +190,14 @@ def family_movers(star: Star, families: DataFrame, p: Params = Params()) -> Data
 def boards(movers: DataFrame, p: Params = Params()) -> DataFrame:
     """Rising and declining boards, overall and for sectors of enough movers. ``movers``: label, sector, growth.
 
-    Every mover is on two scopes, so both come from one pass.
+    Every mover is on one or two scopes, so all boards come from one pass.
     """
-    sized = movers.groupBy("sector").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= p.sector_min).select("sector")
-    scoped = movers.withColumn("scope", F.lit("overall")).unionByName(movers.join(sized, "sector", "left_semi").withColumn("scope", F.col("sector")))
-    rising = top(scoped.filter("growth > 0"), p.top_n, [F.desc("growth"), F.asc("label")], ["scope"]).withColumn("kind", F.lit("rising_role"))
-    falling = top(scoped.filter("growth < 0"), p.top_n, [F.asc("growth"), F.asc("label")], ["scope"]).withColumn("kind", F.lit("declining_role"))
-    return rising.unionByName(falling).select("kind", "scope", "rank", "label", "sector", "growth")
+    many = F.count(F.lit(1)).over(W.partitionBy("sector")) >= p.sector_min
+    scopes = F.array_compact(F.array(F.lit("overall"), F.when(F.col("many"), F.col("sector"))))
+    scoped = movers.withColumn("many", many).filter("growth <> 0").withColumn("scope", F.explode(scopes))
+    kind = F.when(F.col("growth") > 0, "rising_role").otherwise("declining_role")
+    ranked = top(scoped.withColumn("kind", kind), p.top_n, [F.desc(F.abs("growth")), F.asc("label")], ["scope", "kind"])
+    return ranked.select("kind", "scope", "rank", "label", "sector", "growth")
 
 
 def in_demand_roles(star: Star, p: Params = Params(), first: int = 80) -> DataFrame:
@@ -218,11 +220,16 @@ def skill_months(star: Star, p: Params = Params()) -> DataFrame:
     return monthly(star, p).join(star.job_skills.select("job_id", "skill_id"), F.col("id") == F.col("job_id")).groupBy("skill_id", "month", "partial").agg(F.count(F.lit(1)).alias("count"))
 
 
-def concentration(star: Star, p: Params = Params()) -> DataFrame:
-    """By skill and month, distinct employers and the largest one's share of the postings."""
+def _by_employer(star: Star, p: Params) -> DataFrame:
+    """By skill and month, postings, distinct employers and the largest one's share."""
     rows = monthly(star, p).join(star.job_skills.select("job_id", "skill_id"), F.col("id") == F.col("job_id"))
     own = rows.groupBy("skill_id", "month", "company_id").agg(F.count(F.lit(1)).alias("n"))
-    return own.groupBy("skill_id", "month").agg(F.count(F.lit(1)).alias("companies"), (F.max("n") / F.sum("n")).alias("top_share"))
+    return own.groupBy("skill_id", "month").agg(F.sum("n").alias("count"), F.count(F.lit(1)).alias("companies"), (F.max("n") / F.sum("n")).alias("top_share"))
+
+
+def concentration(star: Star, p: Params = Params()) -> DataFrame:
+    """By skill and month, distinct employers and the largest one's share of the postings."""
+    return _by_employer(star, p).drop("count")
 
 
 def skill_movers(star: Star, p: Params = Params()) -> DataFrame:
@@ -233,23 +240,23 @@ def skill_movers(star: Star, p: Params = Params()) -> DataFrame:
     months = calendar(star, p)
     totals = months.join(monthly(star, p).groupBy("month").agg(F.count(F.lit(1)).alias("total")), "month", "left").withColumn("total", F.coalesce("total", F.lit(0)))
     base = ends(totals, [], "total").filter("full_months >= 2 and first_total > 0 and last_total > 0").select("first_total", "last_total")
-    grid = known.join(F.broadcast(months)).join(skill_months(star, p).drop("partial"), ["skill_id", "month"], "left").withColumn("count", F.coalesce("count", F.lit(0)))
-    at = ends(grid, ["skill_id", "label"], "count").filter(F.col("first_count") >= p.skill_min_base).join(base)
-    share = lambda w: F.col(f"{w}_count") / F.col(f"{w}_total") * 100
-    moved = at.withColumn("from_share", share("first")).withColumn("to_share", share("last")).filter(F.abs(F.col("to_share") - F.col("from_share")) >= p.skill_min_share_delta)
-    wide = concentration(star, p).filter((F.col("companies") >= p.skill_min_companies) & (F.col("top_share") <= p.skill_max_concentration))
+    # A skill that passes has postings in both months, so no month needs filling with zero.
     last = p.months - 2
-    broad = wide.filter(F.col("month") == 0).select("skill_id").join(wide.filter(F.col("month") == last).select("skill_id", "companies"), "skill_id")
-    return moved.join(broad, "skill_id").select(
+    at = lambda c, month: F.max(F.when(F.col("month") == month, F.col(c)))
+    sides = [at(c, m).alias(f"{w}_{c}") for c in ("count", "companies", "top_share") for w, m in (("first", 0), ("last", last))]
+    pairs = _by_employer(star, p).filter(F.col("month").isin(0, last)).groupBy("skill_id").agg(*sides).join(known, "skill_id").join(base)
+    share = lambda w: F.col(f"{w}_count") / F.col(f"{w}_total") * 100
+    wide = lambda w: (F.col(f"{w}_companies") >= p.skill_min_companies) & (F.col(f"{w}_top_share") <= p.skill_max_concentration)
+    moved = pairs.filter((F.col("first_count") >= p.skill_min_base) & wide("first") & wide("last")).withColumn("from_share", share("first")).withColumn("to_share", share("last"))
+    moved = moved.filter(F.abs(F.col("to_share") - F.col("from_share")) >= p.skill_min_share_delta)
+    return moved.select(
         "skill_id", "label", growth_pct(F.col("to_share"), F.col("from_share")).alias("growth"), F.col("first_count").alias("from_count"), F.col("last_count").alias("to_count"),
-        F.round("from_share", 2).alias("from_share"), F.round("to_share", 2).alias("to_share"), "companies",
+        F.round("from_share", 2).alias("from_share"), F.round("to_share", 2).alias("to_share"), F.col("last_companies").alias("companies"),
     )
 
 
 def skill_boards(movers: DataFrame, p: Params = Params()) -> DataFrame:
     """Rising and falling skills. ``movers`` as from ``skill_movers``."""
-    rising = movers.filter("growth > 0").orderBy(F.desc("growth"), "skill_id").limit(p.top_n).withColumn("kind", F.lit("rising_skill"))
-    falling = movers.filter("growth < 0").orderBy("growth", "skill_id").limit(p.top_n).withColumn("kind", F.lit("falling_skill"))
-    sign = F.when(F.col("kind") == "rising_skill", -F.col("growth")).otherwise(F.col("growth"))
-    both = rising.unionByName(falling).withColumn("order", sign)
-    return top(both, p.top_n, [F.asc("order"), F.asc("skill_id")], ["kind"]).select("kind", "rank", "skill_id", "label", "growth")
+    kind = F.when(F.col("growth") > 0, "rising_skill").otherwise("falling_skill")
+    ranked = top(movers.filter("growth <> 0").withColumn("kind", kind), p.top_n, [F.desc(F.abs("growth")), F.asc("skill_id")], ["kind"])
+    return ranked.select("kind", "rank", "skill_id", "label", "growth")
