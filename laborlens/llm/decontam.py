@@ -1,14 +1,14 @@
 """Benchmark decontamination as a prefix-filtered set join.
 
-A window is ``window`` consecutive words of a benchmark item (a shorter item is one window). An occurrence must hold
-all of a window's shingles, so for exact containment a prefix of one shingle is necessary: the window's rarest, by
-counts over the whole corpus. Documents meet windows only at these shingles; the shingle's offset then fixes where the
-window must start (positional bound), the window must fit between the document's ends (length bound), and its words
-are compared one by one where it would stand.
+A window is ``window`` consecutive words of a benchmark item (a shorter item is one window), and holds a set of
+shingles at fixed offsets. One scan finds the places in the documents where a shingle of any window stands; words are
+compared there, not only hashes. An occurrence must hold all of a window's shingles, so for exact containment a prefix
+of one shingle is necessary: the window's rarest, by counts over the whole corpus. Documents and windows meet only at
+these; the offset then fixes where the window must start (positional bound), the window must fit between the
+document's ends (length bound), and all of its other shingles must stand at their places.
 
-The position of a shingle is looked up while the document's words are still at hand: where the windows fit a stated
-size, Spark hash-joins the exploded positions with them and only confirmed occurrences leave the scan. Beyond that
-size the positions are shuffled by shingle and the survivors meet their documents again for the comparison.
+The shingles of the windows are hash-joined map-side if they fit a stated size, so that only their places leave the
+scan; beyond that size positions are shuffled by shingle.
 
 Defined results: null or empty texts have no words and are clean; items without words never occur; repeated items and
 rows count once; rows that share an id but not a text are judged each by its own text; an empty benchmark leaves all
@@ -24,9 +24,11 @@ from pyspark.sql import functions as F
 from laborlens.llm.common import ascii_lower, cut
 
 BENCH_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: The same words before A-Z are lower-cased.
+RAW_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Words in a shingle; windows of fewer words have shingles of that many.
 SHINGLE = 3
-#: Windows whose words take fewer bytes than this are joined map-side.
+#: Shingles of windows that take fewer bytes than this are joined map-side.
 MAP_SIDE_BYTES = 32 << 20
 
 
@@ -34,10 +36,9 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(ascii_lower(text), F.lit(BENCH_WORD), F.lit(0))
 
 
-def _shingle(array: Column, at: Column, k: int) -> Column:
-    """Hash of ``k`` words from the 0-based position ``at``; null past the end."""
-    parts = [F.get(array, at + i) for i in range(k)]
-    return F.when(parts[-1].isNotNull(), F.xxhash64(*parts))
+def _shingle(array: Column, at: Column, k: int) -> list[Column]:
+    """The ``k`` words from the 0-based position ``at``; nulls past the end."""
+    return [F.get(array, at + i) for i in range(k)]
 
 
 def windows(benchmark: DataFrame, window: int) -> DataFrame:
@@ -48,43 +49,43 @@ def windows(benchmark: DataFrame, window: int) -> DataFrame:
     return each.withColumn("wid", F.sha2(F.array_join("w", " "), 256)).withColumn("k", F.least(F.size("w"), F.lit(SHINGLE)))
 
 
-def _positions(docs: DataFrame) -> DataFrame:
-    """(key, dw, pos): a row for each word of each document, the document's words beside it."""
-    return docs.select("key", words(F.col("text")).alias("dw")).select("key", "dw", F.posexplode("dw").alias("pos", "word"))
-
-
-def _prefixes(docs: DataFrame, wins: DataFrame, k: int) -> DataFrame:
-    """(wid, w, h, offset): each window of shingle length ``k`` at its rarest shingle."""
-    tokens = wins.filter(F.col("k") == k).select("wid", "w").distinct()
-    tokens = tokens.select("wid", "w", F.explode(F.sequence(F.lit(0), F.size("w") - k)).alias("offset"))
-    tokens = cut(tokens.withColumn("h", _shingle(F.col("w"), F.col("offset"), k)))
-    seen = _positions(docs).select(_shingle(F.col("dw"), F.col("pos"), k).alias("h"))
-    counts = seen.join(tokens.select("h").distinct(), "h").groupBy("h").agg(F.count(F.lit(1)).alias("n"))
-    rarity = F.struct(F.coalesce("n", F.lit(0)).alias("n"), "h", "offset")
-    return tokens.join(counts, "h", "left").groupBy("wid").agg(F.min(rarity).alias("r"), F.first("w").alias("w")).filter("r.n > 0").select("wid", "w", "r.h", "r.offset")
+def places(docs: DataFrame, shingles: DataFrame, k: int, map_side_bytes: int) -> DataFrame:
+    """(key, n, pos, token) wherever one of ``shingles`` (token, w0 ...) of ``k`` words stands in ``docs`` (key, text)."""
+    each = docs.select("key", words(F.col("text")).alias("dw")).select("key", "dw", F.posexplode("dw").alias("pos", "word"))
+    parts = _shingle(F.col("dw"), F.col("pos"), k)
+    each = each.select("key", F.size("dw").alias("n"), "pos", F.xxhash64(*parts).alias("h"), *(c.alias(f"d{i}") for i, c in enumerate(parts)))
+    asked = cut(shingles.withColumn("h", F.xxhash64(*(f"w{i}" for i in range(k)))))
+    size = asked.agg(F.sum(sum((F.octet_length(f"w{i}") for i in range(k)), F.lit(64)))).first()[0] or 0
+    same = [F.col(f"d{i}") == F.col(f"w{i}") for i in range(k)]
+    met = each.join(F.broadcast(asked) if size <= map_side_bytes else asked, "h")
+    for c in same:
+        met = met.filter(c)
+    return met.select("key", "n", "pos", "token")
 
 
 def occurrences(docs: DataFrame, wins: DataFrame, map_side_bytes: int = MAP_SIDE_BYTES) -> DataFrame:
     """(key, start, stop, wid) of every window in ``docs`` (key, text)."""
-    found = []
+    found = None
     for k in sorted(r.k for r in wins.select("k").distinct().collect()):  # 1 to SHINGLE
-        prefixes = cut(_prefixes(docs, wins, k))
-        size = prefixes.select(F.sum(F.octet_length(F.array_join("w", " ")) + 128)).first()[0] or 0
+        own = wins.filter(F.col("k") == k).select("wid", "w").distinct()
+        parts = own.select("wid", F.size("w").alias("len"), (F.size("w") - k + 1).alias("m"), F.explode(F.sequence(F.lit(0), F.size("w") - k)).alias("offset"), "w")
+        parts = parts.select("wid", "len", "m", "offset", *(c.alias(f"w{i}") for i, c in enumerate(_shingle(F.col("w"), F.col("offset"), k))))
+        text = [f"w{i}" for i in range(k)]
+        tokens = cut(parts.select(*text).distinct().withColumn("token", F.monotonically_increasing_id()))
+        parts = cut(parts.join(tokens, text).select("wid", "len", "m", "offset", "token"))
+        at = cut(places(docs, tokens, k, map_side_bytes))
+        rarity = at.groupBy("token").agg(F.count(F.lit(1)).alias("seen"))
+        prefix = parts.join(rarity, "token", "left").groupBy("wid", "len", "m").agg(F.min(F.struct(F.coalesce("seen", F.lit(0)).alias("seen"), "token", "offset")).alias("p"))
+        prefix = prefix.filter("p.seen > 0").select("wid", "len", "m", "p.token", "p.offset")
         start = F.col("pos") - F.col("offset")
-        bounds = (start >= 0) & (start + F.size("w") <= F.col("n"))
-        same = F.slice("dw", start + 1, F.size("w")) == F.col("w")
-        at = _positions(docs).withColumn("h", _shingle(F.col("dw"), F.col("pos"), k))
-        if size <= map_side_bytes:
-            hits = at.withColumn("n", F.size("dw")).join(F.broadcast(prefixes), "h").filter(bounds & same)
-        else:
-            near = at.select("key", "pos", F.size("dw").alias("n"), "h").filter("h is not null").join(prefixes, "h").filter(bounds)
-            near = near.select(F.col("key").alias("k2"), "pos", "offset", "w", "wid")
-            hits = near.join(docs.select("key", words(F.col("text")).alias("dw")), F.col("k2") == F.col("key")).filter(same)
-        found.append(hits.select("key", start.alias("start"), (start + F.size("w")).alias("stop"), "wid"))
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
-    return out
+        near = at.join(prefix, "token").select("key", start.alias("start"), "n", "wid", "len", "m").filter("start >= 0 and start + len <= n").distinct()
+        others = near.join(parts.select("wid", "offset", F.col("token").alias("part")), "wid").withColumn("place", F.col("start") + F.col("offset"))
+        there = at.select(F.col("key").alias("k2"), F.col("pos").alias("place"), F.col("token").alias("part"))
+        met = others.join(there, (F.col("key") == F.col("k2")) & (others["place"] == there["place"]) & (others["part"] == there["part"]))
+        whole = met.groupBy("key", "start", "wid", "len", "m").agg(F.bit_or(F.expr("shiftleft(1L, offset)")).alias("bits"))
+        whole = whole.filter(F.bit_count("bits") == F.col("m")).select("key", "start", (F.col("start") + F.col("len")).alias("stop"), "wid")
+        found = whole if found is None else found.unionByName(whole)
+    return found
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, map_side_bytes: int = MAP_SIDE_BYTES) -> DataFrame:
@@ -93,13 +94,15 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, map_s
     A word is hit inside any occurrence of a window; ``items`` are those with occurring windows, as sorted strings.
     Contaminated: at least one word in twenty is hit.
     """
+    if window - SHINGLE + 1 > 64:
+        raise ValueError("a window has 64 shingles at most")
     keyed = docs.select("doc_id", F.struct("doc_id", F.xxhash64("text").alias("t")).alias("key"), "text")
     wins = cut(windows(benchmark, window))
-    sizes = keyed.select("doc_id", "key", F.coalesce(F.regexp_count(ascii_lower(F.col("text")), F.lit(BENCH_WORD)), F.lit(0)).cast("long").alias("n_words"))
+    sizes = keyed.select("doc_id", "key", F.coalesce(F.regexp_count("text", F.lit(RAW_WORD)), F.lit(0)).cast("long").alias("n_words"))
     if wins.isEmpty():
         hit = sizes.select("key").limit(0).withColumns({"n_hit": F.lit(0).cast("long"), "items": F.array().cast("array<string>")})
     else:
-        occ = cut(occurrences(keyed.select("key", "text").filter("text is not null"), wins, map_side_bytes).distinct())
+        occ = cut(occurrences(keyed.select("key", "text").filter("text is not null"), wins, map_side_bytes))
         spans = occ.groupBy("key", "start").agg(F.max("stop").alias("stop"))
         before = F.max("stop").over(W.partitionBy("key").orderBy("start").rowsBetween(W.unboundedPreceding, -1))
         fresh = F.greatest(F.col("stop") - F.greatest("start", F.coalesce(before, F.lit(0))), F.lit(0))
