@@ -132,9 +132,13 @@ CONTEXTS = [
 NAMED = r"([A-Za-z0-9][A-Za-z0-9+#.\-/ ]{1,50}?)(?=\s*[,;()\n]|$|\band\b|\bor\b)"
 
 
+def _tagged(tag: str):
+    return lambda m: F.struct(m.alias("raw"), F.lit(tag).alias("method"))
+
+
 def mine_candidates(docs: DataFrame) -> DataFrame:
     """(id, name, method) of what ``docs`` (id, text) name as a skill, cleaned."""
-    each = F.flatten(F.array(*(F.transform(F.regexp_extract_all("text", F.lit("(?i)" + lead + NAMED), F.lit(1)), lambda m, tag=tag: F.struct(m.alias("raw"), F.lit(tag).alias("method"))) for tag, lead in CONTEXTS)))
+    each = F.flatten(F.array(*(F.transform(F.regexp_extract_all("text", F.lit("(?i)" + lead + NAMED), F.lit(1)), _tagged(tag)) for tag, lead in CONTEXTS)))
     raw = docs.select("id", F.explode(each).alias("c")).select("id", "c.raw", "c.method")
     name = F.regexp_replace(F.trim("raw"), r"(?i)^(?:(?:the|a|an|any|our|various|modern|strong|other|one or more|at least one)\s+)+", "")
     name = F.btrim(F.regexp_replace(name, r"(?i)(?:\s+(?:etc|preferred|required|tools?|technologies|is a plus))+\.?$", ""), F.lit(" .-/"))
@@ -298,7 +302,7 @@ def countries(raw: DataFrame, aliases: DataFrame, cities: DataFrame) -> DataFram
     rest = each.join(first.select("location").distinct(), "location", "left_anti")
     words = rest.select("location", F.explode(F.split("t", r"[^\p{L}\p{N}.]+")).alias("key"))
     all_ = first.unionByName(by(words, a, 4)).groupBy("location").agg(F.min(F.struct("p", "len", "country")).alias("b"))
-    how = F.element_at(F.array(*(F.lit(x) for x in ("remote", "alias", "part", "city", "word"))), F.col("b.p") + 1)
+    how = F.when(F.col("b").isNotNull(), F.get(F.array(*(F.lit(x) for x in ("remote", "alias", "part", "city", "word"))), F.col("b.p")))
     return each.join(all_, "location", "left").select("location", F.col("b.country").alias("country"), how.alias("how"))
 
 
