@@ -15,7 +15,7 @@ def _minimum(pairs: DataFrame) -> DataFrame:
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = _minimum(both).withColumn("m", F.least("m", "u"))
-    return both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    return both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
@@ -25,19 +25,27 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
+#: Rows of a partition of edges between rounds.
+ROWS = 200_000
+
+
+def _kept(edges: DataFrame, rows: int) -> DataFrame:
+    """``edges`` in about as few files as ``rows`` of them need."""
+    return cut(edges.coalesce(max(1, rows // ROWS)))
+
+
 def connected(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of ``edges`` (u, v), root the smallest node it reaches.
 
-    Each round hangs neighbours under their smallest neighbour; the edges end as stars. Self-loops and nulls are
-    ignored, and an edge may come twice or both ways round.
+    Each round hangs neighbours under their smallest neighbour, until all edges are stars: no node is both an end and
+    a centre, and an end has one centre. Self-loops and nulls are ignored, and an edge may come twice or both ways round.
     """
-    now = cut(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct())
-    mark = None
+    now = cut(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v"))
+    rows = now.count()
     while True:
-        now = cut(_small_star(_large_star(now)))
-        seen = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if seen == mark:
+        now = _kept(_small_star(_large_star(now)), rows)
+        centres = now.join(now.select(F.col("v").alias("u")), "u", "left_semi")
+        if centres.isEmpty() and now.groupBy("u").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty():
             break
-        mark = seen
     leaves = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return leaves.unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

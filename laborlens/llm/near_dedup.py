@@ -93,19 +93,23 @@ def sketches(docs: DataFrame, k: int) -> DataFrame:
 
 
 def _members(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """``wanted`` (rep, s1, s2, ...) with their sets as bytes, from the documents' whole texts."""
+    """``wanted`` (rep, s1, s2, root, blocks, block) with their sets as bytes, from the documents' whole texts.
+
+    A set comes as often as rows share both id and text.
+    """
+    kept = ["rep", "root", "blocks", "block"]
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordHashes()
         for batch in small_batches(batches, "text"):
             sets = _sets(batch, cache, k)
-            s1, s2 = zip(*map(_digest, sets), strict=True)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["doc_id", "d1", "d2", "set"])
+            asked = zip(batch.column("s1").to_pylist(), batch.column("s2").to_pylist(), strict=True)
+            at = pa.array([i for i, (s, d) in enumerate(zip(sets, asked, strict=True)) if _digest(s) == d], pa.int64())
+            columns = [batch.column(c).take(at) for c in kept]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array([sets[i].tobytes() for i in at.to_pylist()], pa.binary())], [*kept, "set"])
 
-    schema = T.StructType([docs.schema["doc_id"]]).add("d1", "long").add("d2", "long").add("set", "binary")
-    chosen = docs.select("doc_id", "text").join(wanted.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-    found = chosen.mapInArrow(of, schema).dropDuplicates(["doc_id", "d1", "d2"])
-    return found.join(wanted, (F.col("doc_id") == F.col("rep")) & (F.col("d1") == F.col("s1")) & (F.col("d2") == F.col("s2"))).drop("doc_id", "d1", "d2", "s1", "s2")
+    met = docs.select("doc_id", "text").join(wanted, F.col("doc_id") == F.col("rep")).select(*kept, "s1", "s2", "text")
+    return met.mapInArrow(of, T.StructType([met.schema[c] for c in kept]).add("set", "binary"))
 
 
 def local_links(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
@@ -155,12 +159,11 @@ def _links(rows: DataFrame, percent: int) -> DataFrame:
             unique = dict(zip(reps, sets, strict=True))
             ids = list(unique)
             found = local_links([np.frombuffer(s, U) for s in unique.values()], percent) if len(ids) > 1 else []
-            kind = pa_type
             return pa.RecordBatch.from_arrays([pa.array([ids[x] for x, _ in found], kind), pa.array([ids[y] for _, y in found], kind)], ["u", "v"])
 
-        key, reps, sets, pa_type = None, [], [], None
+        key, reps, sets, kind = None, [], [], None
         for batch in batches:
-            pa_type = batch.schema.field("rep").type
+            kind = batch.schema.field("rep").type
             for *k, r, s in zip(*(batch.column(c).to_pylist() for c in ("root", "i", "j", "rep", "set")), strict=True):
                 if k != key and reps:
                     yield joined(reps, sets)
