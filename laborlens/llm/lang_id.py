@@ -24,6 +24,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -177,12 +178,17 @@ class Labeller:
         return out
 
 
+def _shared(docs: DataFrame, model: Model) -> Broadcast:
+    """The parts of a model, of a size that BUCKETS and the number of languages fix."""
+    return docs.sparkSession.sparkContext.broadcast((model.langs, model.scores, model.scripts))
+
+
 def identify(docs: DataFrame, model: Model, penalty: float = PENALTY) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, lang_pred, score, spans of words (start, stop, lang)."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = _shared(docs, model)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        labeller = Labeller(shared.value, penalty)
+        labeller = Labeller(Model(*shared.value), penalty)
         for batch in small_batches(batches, "text"):
             lang, score, spans = zip(*labeller(batch.column("text").to_pylist()), strict=True)
             kind = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("lang", pa.string())]))
@@ -195,11 +201,11 @@ def identify(docs: DataFrame, model: Model, penalty: float = PENALTY) -> DataFra
 
 def keep_identified(docs: DataFrame, model: Model, least: float = 0.5, penalty: float = PENALTY) -> DataFrame:
     """``docs`` without those whose language can't be told: no letters, or under ``least`` of them in one language."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = _shared(docs, model)
 
     @F.pandas_udf("boolean")
     def told(text: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        labeller = Labeller(shared.value, penalty)
+        labeller = Labeller(Model(*shared.value), penalty)
         for part in text:
             verdict = []
             for batch in small_batches(iter([pa.RecordBatch.from_arrays([pa.array(part, pa.string())], ["text"])]), "text"):
