@@ -20,7 +20,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
@@ -38,7 +37,7 @@ SYMBOLS = b"#*$%&|<>"
 RUN = 8
 STATISTICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
 #: Coordinates of the vector and the least standard deviation of each.
-LEAST = {"x0": 0.1, "x1": 0.5, "x2": 0.75, "x3": 0.75}
+LEAST = {"x0": 0.1, "x1": 0.4, "x2": 1.0, "x3": 1.0}
 D = len(LEAST)
 MIN_ROWS, SHARE, STEPS, LEVEL = 100, 0.75, 3, 0.9999
 
@@ -151,8 +150,13 @@ def _estimate(rows: DataFrame) -> DataFrame:
 
 
 def chi2_quantile(p: float, k: int) -> float:
-    """Wilson and Hilferty's approximation."""
-    return k * (1 - 2 / (9 * k) + NormalDist().inv_cdf(p) * math.sqrt(2 / (9 * k))) ** 3
+    """For an even ``k``, whose law is e^(-x/2) times a sum of k/2 powers; by bisection."""
+    low, high = 0.0, 1e3
+    for _ in range(100):
+        x = (low + high) / 4
+        above = math.exp(-x) * sum(x**i / math.factorial(i) for i in range(k // 2))
+        low, high = (low, 2 * x) if above < 1 - p else (2 * x, high)
+    return low
 
 
 def robust_distances(rows: DataFrame, steps: int = STEPS) -> DataFrame:
