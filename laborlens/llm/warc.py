@@ -88,7 +88,8 @@ def write_files(pages: DataFrame, path: str, pages_per_file: int = 1000) -> None
     """``pages`` as WARC files below ``path``, a folder a file, records in order of offset."""
     text = pages.select(F.floor(F.col("page_id") / pages_per_file).alias("file"), "page_id", record_text(F.col("url"), F.col("html")).alias("value"))
     text = text.withColumn("digest", F.sha2("value", 256)).repartition("file").sortWithinPartitions("file", "page_id", "digest")
-    text.select("file", "value").write.partitionBy("file").option("lineSep", "").text(path)
+    # The writer ends each record with the line feed that is its last character.
+    text.select("file", F.regexp_replace("value", r"\n\z", "").alias("value")).write.partitionBy("file").option("lineSep", "\n").text(path)
 
 
 HEAD = re.compile(rb"WARC/1\.[01]\r\n((?:[^\r\n]+\r\n)+)\r\n")
