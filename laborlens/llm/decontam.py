@@ -88,15 +88,24 @@ def occurrences(docs: DataFrame, wins: DataFrame, map_side_bytes: int = MAP_SIDE
     return found
 
 
+def _key(docs: DataFrame) -> Column:
+    """A row's id and a hash of its text."""
+    return F.struct(docs["doc_id"], F.xxhash64(docs["text"]).alias("t"))
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, map_side_bytes: int = MAP_SIDE_BYTES) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, n_words, n_hit, n_items, items, contaminated.
 
     A word is hit inside any occurrence of a window; ``items`` are those with occurring windows, as sorted strings.
     Contaminated: at least one word in twenty is hit.
     """
+    return _judged(docs, benchmark, window, map_side_bytes).drop("key")
+
+
+def _judged(docs: DataFrame, benchmark: DataFrame, window: int, map_side_bytes: int) -> DataFrame:
     if window - SHINGLE + 1 > 64:
         raise ValueError("a window has 64 shingles at most")
-    keyed = docs.select("doc_id", F.struct("doc_id", F.xxhash64("text").alias("t")).alias("key"), "text")
+    keyed = docs.select("doc_id", _key(docs).alias("key"), "text")
     wins = cut(windows(benchmark, window))
     sizes = keyed.select("doc_id", "key", F.coalesce(F.regexp_count("text", F.lit(RAW_WORD)), F.lit(0)).cast("long").alias("n_words"))
     if wins.isEmpty():
@@ -111,13 +120,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, map_s
         hit = covered.join(items, "key")
     hit = hit.withColumnRenamed("key", "k2")
     n_hit, items = F.coalesce("n_hit", F.lit(0)).cast("long"), F.coalesce("items", F.array().cast("array<string>"))
-    out = sizes.join(hit, F.col("key").eqNullSafe(F.col("k2")), "left").select("doc_id", "n_words", n_hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"), items.alias("items"))
+    out = sizes.join(hit, F.col("key").eqNullSafe(F.col("k2")), "left").select("key", "doc_id", "n_words", n_hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"), items.alias("items"))
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13) -> DataFrame:
     """``docs`` without its contaminated rows, all columns kept."""
-    key = F.struct("doc_id", F.xxhash64("text").alias("t"))
-    keyed = docs.select("doc_id", "text")
-    bad = contamination(keyed, benchmark, window).filter("contaminated").select(F.col("doc_id").alias("bad_id")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("bad_id")), "left_anti")
+    bad = _judged(docs, benchmark, window, MAP_SIDE_BYTES).filter("contaminated").select(F.col("key").alias("bad_key")).distinct()
+    return docs.join(bad, _key(docs).eqNullSafe(bad["bad_key"]), "left_anti")

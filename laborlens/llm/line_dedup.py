@@ -137,7 +137,7 @@ def maybe_repeated(state: State, keys: DataFrame) -> DataFrame:
 
 
 def clean(state: State, docs: DataFrame, refs: DataFrame | None = None) -> DataFrame:
-    """``docs`` with three columns more: n_lines, n_dropped, kept (the text without its repeated lines).
+    """``docs`` with three columns more, or anew: n_lines, n_dropped, kept (the text without its repeated lines).
 
     A key that ``min_docs`` documents of the state share keeps its lines only in the one with the largest id.
     ``refs``: the references of ``docs``, where they are at hand.
@@ -147,12 +147,14 @@ def clean(state: State, docs: DataFrame, refs: DataFrame | None = None) -> DataF
     repeated = _counts(state.refs.join(maybe, ["k1", "k2"], "left_semi")).filter(F.col("n") >= state.min_docs)
     drops = refs.join(repeated.select("k1", "k2", "keeper"), ["k1", "k2"]).filter(~F.col("doc_id").eqNullSafe(F.col("keeper")))
     drops = drops.groupBy(F.col("doc_id").alias("drop_id")).agg(F.collect_set(F.struct("k1", "k2")).alias("drop_keys"))
-    met = docs.join(drops, F.col("doc_id").eqNullSafe(F.col("drop_id")), "left")
-    all_ = lines(F.col("text"))
+    whole = docs.select(F.struct("*").alias("row"))  # so that no column's name can clash with ours
+    met = whole.join(drops, F.col("row.doc_id").eqNullSafe(F.col("drop_id")), "left")
+    all_ = lines(F.col("row.text"))
     stays = F.when(F.col("drop_keys").isNull(), all_).otherwise(F.filter(all_, lambda line: ~F.array_contains("drop_keys", _hashed(line_key(line)))))
-    met = met.withColumn("kept_lines", stays).withColumn("n_lines", F.size(all_).cast("long"))
-    out = met.withColumn("n_dropped", F.col("n_lines") - F.size("kept_lines")).withColumn("kept", F.array_join("kept_lines", "\n"))
-    return out.drop("drop_id", "drop_keys", "kept_lines")
+    out = met.select("row", F.size(all_).cast("long").alias("n_lines"), stays.alias("stays"))
+    added = [F.col("n_lines"), (F.col("n_lines") - F.size("stays")).alias("n_dropped"), F.array_join("stays", "\n").alias("kept")]
+    own = [F.col("row").getField(c).alias(c) for c in docs.columns if c not in ("n_lines", "n_dropped", "kept")]
+    return out.select(*own, *added)
 
 
 def dedup_lines(docs: DataFrame, min_docs: int = 3, min_chars: int = 20) -> DataFrame:

@@ -216,6 +216,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, block:
 
 
 def drop_near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` with one document of each component, all columns kept."""
-    gone = near_duplicates(docs, shingle, percent).filter("not kept").select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("gone_id"), "left_anti")
+    """``docs`` with one document of each component, all columns kept. Of rows that share an id, one stays."""
+    found = cut(near_duplicates(docs, shingle, percent).filter("doc_id is not null").select("doc_id", "kept"))
+    gone = found.filter("not kept").select(F.col("doc_id").alias("gone_id")).distinct()
+    left = docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")
+    again = found.filter("kept").groupBy(F.col("doc_id").alias("again_id")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("again_id")
+    if again.isEmpty():
+        return left
+    once = left.join(again, left["doc_id"] == again["again_id"], "left_anti")
+    return once.unionByName(left.join(again, left["doc_id"] == again["again_id"], "left_semi").dropDuplicates(["doc_id"]))

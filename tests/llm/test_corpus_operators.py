@@ -150,7 +150,7 @@ def dedup_by_hand(rows: list[tuple]) -> dict:
 
 
 def test_lines_like_brute_force(docs, rows, none):
-    got = line_dedup.dedup_lines(docs.drop("n_lines")).collect()
+    got = line_dedup.dedup_lines(docs.withColumns({"drop_id": F.lit(1), "row": F.lit(2), "stays": F.lit(3)})).collect()
     want = dedup_by_hand(rows)
     assert len(got) == len(rows)
     assert {r.doc_id: (r.n_lines, r.n_dropped, r.kept) for r in got} == want
@@ -305,15 +305,17 @@ def test_contamination_like_brute_force(spark, map_side):
     a, b = sentence(40), sentence(20)
     items = [(1, a), (2, b), (10, a), (3, "two words"), (4, ""), (5, None), (6, "lone"), (1, a), (7, "! ,")]
     texts = [f"{sentence(50)} {a} {sentence(10)}", f"x {b.upper()}, {b}", " ".join(a.split()[5:18]), " ".join(a.split()[5:17]), "Two, WORDS and lone", None, "", "lone", sentence(3000) + " lone", sentence(600)]
-    table = spark.createDataFrame([*enumerate(texts), (0, texts[0]), (0, "other text, same id lone")], "doc_id long, text string").withColumns({"key": F.lit(1), "wid": F.lit(2), "item": F.lit("x")})
+    odd = [(0, texts[0]), (0, "other text, same id lone"), (None, texts[0]), (None, "clean text without an id")]
+    table = spark.createDataFrame([*enumerate(texts), *odd], "doc_id long, text string").withColumns({"key": F.lit(1), "wid": F.lit(2), "item": F.lit("x")})
     bench = spark.createDataFrame(items, "item_id long, text string").withColumn("w", F.lit("clash"))
     got = decontam.contamination(table, bench, 13, map_side).collect()
-    want = [contamination_by_hand(t, items, 13) for t in [*texts, texts[0], "other text, same id lone"]]
+    want = [contamination_by_hand(t, items, 13) for t in [*texts, *(t for _, t in odd)]]
     assert sorted((r.n_words, r.n_hit, r["items"], r.contaminated) for r in got) == sorted(want)
     assert decontam.contamination(table, bench.limit(0)).filter("contaminated or n_hit > 0").count() == 0
     assert decontam.contamination(table.limit(0), bench).count() == 0
+    table = table.withColumn("bad_id", F.lit(1))
     kept = decontam.decontaminate(table, bench)
-    assert kept.columns == table.columns and {r.doc_id for r in kept.collect()} == {3, 5, 6, 8, 9}
+    assert kept.columns == table.columns and {r.doc_id for r in kept.collect()} == {3, 5, 6, 8, 9, None}
 
 
 # Near duplicates
@@ -355,6 +357,14 @@ def test_near_duplicates_of_nothing(spark, none):
     assert {(r.doc_id, r.component_id, r.kept) for r in got} == {(None, None, True), (1, 1, True), (2, 2, True), (3, 3, True)}
 
 
+def test_one_document_of_a_group_stays(spark):
+    long = sentence(50)
+    rows = [(1, long), (2, long), (2, long), (3, sentence(50)), (3, "other text, same id"), (None, long), (4, None)]
+    table = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"gone_id": F.lit(1), "again_id": F.lit(1), "kept": F.lit(1)})
+    left = near_dedup.drop_near_duplicates(table)
+    assert left.columns == table.columns and sorted(str(r.doc_id) for r in left.collect()) == ["1", "3", "4", "None"]
+
+
 def test_sketches_fill_and_estimate():
     r = np.random.default_rng(5)
     a = r.integers(0, 2**63, 900).astype(np.uint64)
