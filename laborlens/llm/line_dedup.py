@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from laborlens.llm.common import WHITESPACE, ascii_lower, written
 from laborlens.llm.cuckoo import Cuckoo
 
-KEYS_PER_SHARD = 200_000
+KEYS_PER_SHARD = 20_000
 FILTERS = "shard int, keys long, table binary"
 
 
@@ -82,7 +82,7 @@ def _filters(repeated: DataFrame, state: State) -> DataFrame:
 
 def build(docs: DataFrame, min_docs: int = 3, min_chars: int = 20) -> State:
     refs = written(references(docs, min_chars), "line-refs")
-    shards = max(4, -(-refs.count() // KEYS_PER_SHARD))
+    shards = max(64, -(-refs.count() // KEYS_PER_SHARD))
     state = State(refs, refs, int(shards), min_docs, min_chars)
     return replace(state, filters=written(_filters(_counts(refs).filter(F.col("n") >= min_docs), state), "line-filters"))
 
