@@ -1,9 +1,15 @@
-"""Licence scans: sparse TF-IDF cosine of lines to licence templates, then inheritance down the directory tree.
-
-A line is compared with a template by the cosine of their TF-IDF vectors, document frequencies counted over all files.
-By the Cauchy-Schwarz inequality a line reaches the threshold only if it holds one of the template's leading words:
-those that must go before the rest of the template, in order of falling weight, weighs less than the threshold. Only
-lines with such a word are scored, and no other can pass. The best line makes a file's own licence. Directories take
+"""Licence scans: sparse TF-IDF cosine of passages to licence templates, then inheritance down the directory tree.
+
+Passages are lines, windows of up to ``WINDOW`` neighbouring lines, and whole files; templates are one-line statements,
+the notices that stand at the head of files, and licence texts (``license_texts/``; those of the Creative Commons BY
+licences are not among them). Document frequencies are counted over all files. In ``scan`` no token weighs more, for a
+template, than the median token of that template: a token that few files or none hold would else outweigh all others as
+the corpus grows, and statements without it would be lost.
+
+By the Cauchy-Schwarz inequality a passage reaches the threshold only if it holds some of the template's leading words:
+the rarest, down to where the rest of the template weighs less than the threshold; how many it takes follows from their
+weights. Windows begin and end with lines that hold a leading word of some template, and only passages with enough of a
+template's leading words are scored; no other can pass. The best passage makes a file's own licence. Directories take
 the licence that most of their licensed files state (ties by name), and a file without one takes that of its nearest
 ancestor directory.
 
@@ -14,10 +20,18 @@ between templates go to the first by name. Other columns may have any name.
 
 from __future__ import annotations
 
+import math
+import operator
+import re
+from collections import Counter
+from functools import reduce
+from pathlib import Path
+from statistics import median
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from laborlens.llm.common import ascii_lower, cut
+from laborlens.llm.common import LOWER, UPPER, ascii_lower, cut
 
 TOKEN = r"[a-z0-9][a-z0-9.+-]*[a-z0-9]|[a-z0-9]"
 #: Statements by which files name their licence.
@@ -35,54 +49,111 @@ TEMPLATES = {
     "Proprietary": "Copyright. All rights reserved.",
 }
 
+#: Notices at the head of files, and shorter forms of statements.
+NOTICES = [
+    ("Apache-2.0", """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at
+        http://www.apache.org/licenses/LICENSE-2.0
+        Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."""),
+    ("Apache-2.0", "SPDX-License-Identifier: Apache-2.0"),
+    ("BSD-3-Clause", "SPDX-License-Identifier: BSD-3-Clause"),
+    ("CC-BY-4.0", "SPDX-License-Identifier: CC-BY-4.0"),
+    ("CC-BY-NC-4.0", "SPDX-License-Identifier: CC-BY-NC-4.0"),
+    ("CC0-1.0", "SPDX-License-Identifier: CC0-1.0"),
+    ("MIT", "SPDX-License-Identifier: MIT"),
+    ("MPL-2.0", "SPDX-License-Identifier: MPL-2.0"),
+    ("MPL-2.0", """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."""),
+    ("Proprietary", "All rights reserved."),
+    *((f"{gpl}-{n}.0", f"""This program is free software; you can redistribute it and/or modify it under the terms of the GNU {kind}General Public License as published by the Free Software Foundation; either version {n} of the License, or (at your option) any later version.
+        This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {kind}General Public License for more details.
+        You should have received a copy of the GNU {kind}General Public License along with this program; if not, see <https://www.gnu.org/licenses/>.""") for gpl, n, kind in (("GPL", 2, ""), ("GPL", 3, ""), ("LGPL", 3, "Lesser "))),
+]
+#: Lines of a window at most; longer passages are met as whole files.
+WINDOW = 40
+
+
+def known_texts() -> list[tuple[str, str]]:
+    """(license, text) of all statements, notices and licence texts."""
+    whole = [(p.stem, p.read_text(encoding="utf-8")) for p in (Path(__file__).parent / "license_texts").glob("*.txt")]
+    return sorted([*TEMPLATES.items(), *NOTICES, *whole])
+
 
 def tokens(line: Column) -> Column:
     return F.regexp_extract_all(ascii_lower(line), F.lit(TOKEN), F.lit(0))
 
 
-def _weights(docs: DataFrame, templates: DataFrame) -> tuple[DataFrame, Column]:
-    """(token, idf) of the templates' tokens, and the idf of a token that no document holds."""
-    vocabulary = sorted(r.t for r in templates.select(F.explode("tokens").alias("t")).distinct().collect())  # as large as the templates
-    held = F.array_intersect(tokens(F.col("text")), F.array(*map(F.lit, vocabulary)))
-    counts = docs.select(F.explode(held).alias("token")).groupBy("token").count()
-    n = docs.select(F.count(F.lit(1)).alias("n_docs"))
-    all_ = docs.sparkSession.createDataFrame([(v,) for v in vocabulary], "token string")
-    idf = F.log((F.col("n_docs") + 1) / (F.coalesce("count", F.lit(0)) + 1)) + 1
-    return all_.join(counts, "token", "left").join(n, F.lit(True)).select("token", idf.alias("idf"), (F.log(F.col("n_docs") + 1) + 1).alias("unseen"))
+def _holds(words: Column, wanted: list[str]) -> Column:
+    return F.exists(words, lambda t: t.isin(wanted))
+
+
+def _those(words: Column | str, wanted: list[str]) -> Column:
+    return F.filter(words, lambda t: t.isin(wanted))
+
+
+def _weights(docs: DataFrame, vocabulary: list[str]) -> tuple[dict[str, float], float]:
+    """The idf of each token of the templates, and that of a token that no document holds."""
+    held = F.array_distinct(_those(tokens(F.col("text")), vocabulary))
+    # As large as the templates.
+    counts = {r.token: r["count"] for r in docs.select(F.explode(held).alias("token")).groupBy("token").count().collect()}
+    n = docs.count()
+    return {t: math.log((n + 1) / (counts.get(t, 0) + 1)) + 1 for t in vocabulary}, math.log(n + 1) + 1
 
 
-def own_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES, least: float = 0.75) -> DataFrame:
-    """(key, license, score) for those of ``docs`` (key, text) that state a licence in some line."""
+def _leading(weight: dict[str, float], idf: dict[str, float], least: float) -> tuple[list[str], int]:
+    """Tokens without which no passage reaches ``least``, and how many of them it holds at least."""
+    total = sum(w * w for w in weight.values())
+    rest, leading = total, []
+    for t in sorted(weight, key=lambda t: (-idf[t], t)):
+        if rest < least * least * total * (1 - 1e-9):
+            break
+        leading.append(t)
+        rest -= weight[t] ** 2
+    n = 0
+    for w in sorted((weight[t] for t in leading), reverse=True):
+        if rest >= least * least * total * (1 - 1e-9):
+            break
+        rest += w * w
+        n += 1
+    return leading, max(n, 1)
+
+
+def own_licenses(docs: DataFrame, templates: dict[str, str] | list[tuple[str, str]] = TEMPLATES, least: float = 0.75, capped: bool = False) -> DataFrame:
+    """(key, license, score) for those of ``docs`` (key, text) that state a licence in some passage.
+
+    With ``capped``, no token weighs more for a template than the median of the template's tokens.
+    """
     spark = docs.sparkSession
-    known = spark.createDataFrame(sorted(templates.items()), "license string, text string").select("license", tokens(F.col("text")).alias("tokens"))
-    # Bounded by the templates: one row a token.
-    idf = {r.token: (r.idf, r.unseen) for r in _weights(docs, known).collect()}
-    rows = []
-    for name, words in ((r.license, r.tokens) for r in known.collect()):
-        weight = {t: words.count(t) * idf[t][0] for t in words}
-        norm = sum(w * w for w in weight.values()) ** 0.5
-        rest, leading = norm * norm, []
-        for t in sorted(weight, key=lambda t: (-weight[t], t)):
-            if rest**0.5 < least * norm:
-                break
-            leading.append(t)
-            rest -= weight[t] ** 2
-        rows.append((name, weight, norm, leading))
-    if not rows:
+    pairs = sorted(templates.items()) if isinstance(templates, dict) else templates
+    python_tokens = [(name, re.findall(TOKEN, text.translate(str.maketrans(UPPER, LOWER)))) for name, text in pairs]
+    known = [(name, words) for name, words in python_tokens if words]
+    if not known:
         return docs.select("key").limit(0).withColumns({"license": F.lit(None).cast("string"), "score": F.lit(None).cast("double")})
-    leads = sorted({t for r in rows for t in r[3]})
-    unseen = next(u for _, u in idf.values())
-    has = "|".join(t.replace(".", r"\.").replace("+", r"\+") for t in leads)
-    lines = docs.filter(ascii_lower(F.col("text")).rlike(has)).select("key", F.explode(F.split("text", "\n")).alias("line")).filter(ascii_lower(F.col("line")).rlike(has))
-    lines = lines.select("key", tokens(F.col("line")).alias("t")).filter(F.arrays_overlap("t", F.array(*map(F.lit, leads))))
-    table = F.create_map(*(x for t, (w, _) in sorted(idf.items()) for x in (F.lit(t), F.lit(w))))
-    lines = lines.withColumn("line", F.monotonically_increasing_id())
-    terms = lines.select("key", "line", F.explode("t").alias("token")).groupBy("key", "line", "token").agg(F.count(F.lit(1)).alias("tf"))
-    terms = terms.withColumn("w", F.col("tf") * F.coalesce(F.try_element_at(table, F.col("token")), F.lit(unseen)))
-    dots = [F.sum(F.col("w") * F.coalesce(F.try_element_at(F.create_map(*(x for t, w in sorted(weight.items()) for x in (F.lit(t), F.lit(w)))), F.col("token")), F.lit(0.0))) / norm for _, weight, norm, _ in rows]
-    scored = terms.groupBy("key", "line").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), *(d.alias(f"d{i}") for i, d in enumerate(dots)))
-    best = F.greatest(*(F.struct((F.round(F.col(f"d{i}") / F.col("norm"), 9)).alias("score"), F.lit(-i).alias("i")) for i in range(len(rows)))) if len(rows) > 1 else F.struct(F.round(F.col("d0") / F.col("norm"), 9).alias("score"), F.lit(0).alias("i"))
-    names = F.array(*(F.lit(r[0]) for r in rows))
+    vocabulary = sorted({t for _, words in known for t in words})
+    idf, unseen = _weights(docs, vocabulary)
+    caps = [median(idf[t] for t in set(words)) if capped else unseen for _, words in known]
+    weights = [{t: n * min(idf[t], cap) for t, n in Counter(words).items()} for (_, words), cap in zip(known, caps, strict=True)]
+    norms = [math.sqrt(sum(w * w for w in weight.values())) for weight in weights]
+    leading = [_leading(weight, idf, least) for weight in weights]
+    leads = sorted({t for words, _ in leading for t in words})
+
+    found = docs.select("key", "text").filter(_holds(tokens(F.col("text")), leads)).withColumn("lines", F.transform(F.split("text", "\n"), tokens))
+    led = F.filter(F.sequence(F.lit(0), F.size("lines") - 1), lambda i: _holds(F.get("lines", i), leads))
+    found = found.select("key", "lines", led.alias("led"))
+    spans = F.flatten(F.transform("led", lambda a: F.transform(F.filter("led", lambda b: (b >= a) & (b < a + WINDOW)), lambda b: F.struct(a.alias("a"), b.alias("b")))))
+    spans = F.array_union(spans, F.array(F.struct(F.lit(0).alias("a"), (F.size("lines") - 1).alias("b"))))
+    passages = found.select("key", F.explode(F.transform(spans, lambda s: F.flatten(F.slice("lines", s["a"] + 1, s["b"] - s["a"] + 1)))).alias("t"))
+    passages = passages.withColumn("held", F.array_distinct(_those("t", leads)))
+    enough = [F.size(_those("held", words)) >= n for words, n in leading]
+    passages = passages.filter(reduce(operator.or_, enough)).select("key", "t").withColumn("line", F.monotonically_increasing_id())
+    terms = passages.select("key", "line", F.explode("t").alias("token")).groupBy("key", "line", "token").agg(F.count(F.lit(1)).alias("tf"))
+    # Bounded by the templates: one row a token.
+    table = spark.createDataFrame([(t, [w.get(t, 0.0) for w in weights], [min(idf[t], c) for c in caps]) for t in vocabulary], "v string, w array<double>, c array<double>")
+    terms = terms.join(F.broadcast(table), F.col("token") == F.col("v"), "left")
+    own = [F.col("tf") * F.coalesce(F.get("c", F.lit(i)), F.lit(float(c))) for i, c in enumerate(caps)]
+    sums = [e for i, o in enumerate(own) for e in (F.sum(o * F.get("w", F.lit(i))).alias(f"d{i}"), F.sum(o * o).alias(f"n{i}"))]
+    scored = terms.groupBy("key", "line").agg(*sums)
+    score = [F.round(F.coalesce(F.col(f"d{i}"), F.lit(0.0)) / F.sqrt(f"n{i}") / norms[i], 9) for i in range(len(known))]
+    best = F.array_max(F.array(*(F.struct(x.alias("score"), F.lit(-i).alias("i")) for i, x in enumerate(score))))
+    names = F.array(*(F.lit(name) for name, _ in known))
     found = scored.select("key", best.alias("best")).filter(F.col("best.score") >= least).groupBy("key").agg(F.max("best").alias("best"))
     return found.select("key", F.element_at(names, 1 - F.col("best.i")).alias("license"), F.col("best.score").alias("score"))
 
@@ -91,13 +162,14 @@ def directory(path: Column) -> Column:
     return F.regexp_extract(F.coalesce(path, F.lit("")), r"^(.*)/[^/]*$", 1)
 
 
-def scan(files: DataFrame, templates: dict[str, str] = TEMPLATES, least: float = 0.75) -> DataFrame:
+def scan(files: DataFrame, templates: dict[str, str] | list[tuple[str, str]] | None = None, least: float = 0.75) -> DataFrame:
     """Per row of ``files`` (key, path, text): key, path, own license and score, license, license_dir.
 
     ``license`` is the file's own, or that of the nearest directory at or above it; ``license_dir`` is that directory,
-    null where the licence is the file's own or there is none.
+    null where the licence is the file's own or there is none. Without ``templates``, all known texts are looked for.
     """
-    own = cut(own_licenses(files.select("key", "text"), templates, least)).select(F.col("key").alias("own_key"), F.col("license").alias("own_license"), "score")
+    templates = known_texts() if templates is None else templates
+    own = cut(own_licenses(files.select("key", "text"), templates, least, capped=True)).select(F.col("key").alias("own_key"), F.col("license").alias("own_license"), "score")
     placed = files.select("key", "path", directory(F.col("path")).alias("dir"))
     met = placed.join(own, F.col("key") == F.col("own_key"), "left").drop("own_key")
     stated = placed.join(own, F.col("key") == F.col("own_key")).groupBy("dir", "own_license").count()

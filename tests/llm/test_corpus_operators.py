@@ -236,6 +236,26 @@ def test_license_scores_are_cosines(spark):
             assert i not in got
 
 
+def test_statements_outlast_a_growing_corpus(spark):
+    """A template's word that few files or none hold doesn't push true statements under the threshold."""
+    for n in (400, 20_000):
+        plain = spark.range(n).select("id", F.lit("all the words of a plain file").alias("text"))
+        stated = spark.range(n, n + n // 100).select("id", F.lit("some words\nAll rights reserved.").alias("text"))
+        table = plain.unionByName(stated).select(F.col("id").alias("key"), F.lit("a/b").alias("path"), "text")
+        for templates in (None, {"Proprietary": "Copyright. All rights reserved."}):
+            assert licenses.scan(table, templates).filter("own_license = 'Proprietary'").count() == n // 100
+
+
+def test_notices_and_licence_texts(spark):
+    texts = dict((p, t) for p, t in licenses.known_texts() if t.count("\n") > 5)
+    notice = "\n".join(f"# {' '.join(w)}" for w in (lambda t: [t[i : i + 9] for i in range(0, len(t), 9)])(licenses.NOTICES[0][1].split()))
+    code = "\n".join(sentence(6) for _ in range(150))
+    files = [(i, f"d{i}/LICENSE", t, p) for i, (p, t) in enumerate(sorted(texts.items()))]
+    files += [(50, "x/a.py", f"#!/bin/sh\n{notice}\n{code}", "Apache-2.0"), (51, "x/b.py", f"{code}\n{texts['MIT']}\n{code}", "MIT"), (52, "y/c.py", code, None)]
+    got = {r.key: r.own_license for r in licenses.scan(spark.createDataFrame(files, "key long, path string, text string, want string")).collect()}
+    assert got == {f[0]: f[3] for f in files} and len(texts) >= 8
+
+
 # Chat
 
 
