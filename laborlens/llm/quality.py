@@ -1,6 +1,8 @@
 """Quality rules: fixed rules, and robust outliers among the texts of a language and source.
 
-Five statistics of a text, as counts; four ratios of them, log-transformed, are the vector that is judged. Each group
+Five statistics of a text, as counts; four ratios of them, log-transformed, are the vector that is judged. Repeated
+lines count as -log(1 - share): a share is bounded, and so would be its distance, below the quantile.
+Repeated words count as a share, which rejects no text alone: from 30 % on the fixed rules do. Each group
 of language and source gets a minimum-covariance-determinant estimate of centre and scatter over all of its rows:
 from medians and deviations, concentration steps take the half with the least distances (h = 75 %) and estimate anew,
 which never raises the determinant. Distances are scaled so that their median is that of the chi-squared law. A text
@@ -80,7 +82,8 @@ def text_statistics(docs: DataFrame) -> DataFrame:
 
 def _vector() -> dict[str, Column]:
     rate = lambda a, b: F.log1p(100.0 * F.col(a) / F.greatest(F.col(b), F.lit(1)))
-    return {"x0": F.log((F.col("word_chars") + 1) / (F.col("n_words") + 1)), "x1": rate("n_symbols", "word_chars"), "x2": rate("n_dup_lines", "n_lines"), "x3": rate("n_repeat_words", "n_words")}
+    free = lambda a, b: F.log1p(-100.0 * F.log(1 - F.col(a) / F.greatest(F.col(b), F.lit(1))))
+    return {"x0": F.log((F.col("word_chars") + 1) / (F.col("n_words") + 1)), "x1": rate("n_symbols", "word_chars"), "x2": free("n_dup_lines", "n_lines"), "x3": rate("n_repeat_words", "n_words")}
 
 
 def _grouped(rows: DataFrame, min_rows: int) -> DataFrame:

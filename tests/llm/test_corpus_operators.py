@@ -438,6 +438,22 @@ def test_outliers_of_a_group_go(spark):
     assert got[2000].kept and got[2000].d2 is None
 
 
+def test_each_coordinate_rejects_alone(spark):
+    """Words in repeated runs (x3) fail the fixed rules first."""
+    r = random.Random(4)
+    words = lambda n: r.choices(WORDS, k=n)
+    clean = [" ".join(words(80)) for _ in range(300)]
+    odd = {
+        "x0": " ".join(w * 6 for w in words(80)),
+        "x1": " ".join(w + "#$" for w in words(80)),
+        "x2": "\n".join([" ".join(words(12)) for _ in range(2)] + [m for m in sorted(set(WORDS))[:12] for _ in range(6)]),
+    }
+    rows = [(i, t, "en", "s") for i, t in enumerate([*clean, *odd.values()])]
+    got = {r.doc_id: r for r in quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert all(got[i].kept for i in range(len(clean)))
+    assert [(x, got[len(clean) + i].base_failed, got[len(clean) + i].kept) for i, x in enumerate(odd)] == [(x, False, False) for x in odd]
+
+
 def test_estimate_is_the_covariance_of_its_rows(spark):
     x = np.random.default_rng(3).normal(size=(500, 4))
     rows = spark.createDataFrame([("g", *map(float, r)) for r in x], "group string, x0 double, x1 double, x2 double, x3 double")
