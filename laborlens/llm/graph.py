@@ -5,23 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from laborlens.llm.common import cut
+from laborlens.llm.common import cut, lookup
 
 
 def _minimum(pairs: DataFrame) -> DataFrame:
-    return pairs.groupBy("u").agg(F.min("v").alias("m"))
+    return pairs.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, rows: int) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = _minimum(both).withColumn("m", F.least("m", "u"))
-    return both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return lookup(both, least, ["u"], 2 * rows).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, rows: int) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     least = _minimum(down)
-    moved = down.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    moved = lookup(down, least, ["u"], rows).filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
@@ -38,13 +38,14 @@ def connected(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of ``edges`` (u, v), root the smallest node it reaches.
 
     Each round hangs neighbours under their smallest neighbour, until all edges are stars: no node is both an end and
-    a centre, and an end has one centre. Self-loops and nulls are ignored, and an edge may come twice or both ways round.
+    a centre, and an end has one centre. Self-loops and nulls are ignored, and an edge may come twice or both ways
+    round. A centre of any number of edges is spread over tasks.
     """
     now = cut(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v"))
     rows = now.count()
     while True:
-        now = _kept(_small_star(_large_star(now)), rows)
-        centres = now.join(now.select(F.col("v").alias("u")), "u", "left_semi")
+        now = _kept(_small_star(_large_star(now, rows), rows), rows)
+        centres = now.join(now.select(F.col("v").alias("u")).distinct(), "u", "left_semi")
         if centres.isEmpty() and now.groupBy("u").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty():
             break
     leaves = now.select(F.col("u").alias("node"), F.col("v").alias("root"))

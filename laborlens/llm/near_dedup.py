@@ -8,13 +8,18 @@ the 24 bands with probability 3e-6.
 
 Equal shingle sets are one class from the start (by a 128-bit digest), so copies cost nothing further. Each band's
 bucket ties its classes to its smallest one, which is linear in its size; the groups so tied are then joined exactly:
-in a task, all sets of a group, or of a block of a large one, meet through an inverted index. A large group first
-meets its first block; only classes outside its largest component then meet all other blocks. So a large group that
-hangs together is linear as well, and no link between different texts is left out.
+in a task, all sets of a group, or of a block of a large one, meet through an inverted index of their prefixes. A
+large group first meets its first block; only classes outside its largest component then meet all other blocks. So a
+large group that hangs together is linear in its number of blocks, and no link between different texts is left out.
+Within a block a set is compared with members of another component until one of them links the two.
+
+A class goes by its least row, an id with a hash of the text, so that rows that share an id but not a text are classes
+of their own.
 
 Defined results: texts without words, and null texts, are linked with nothing; a row without an id is left out of the
-comparison, has a null component and is kept; rows that share an id are one document, and are in one component;
-an empty table gives an empty result. Other columns may have any name.
+comparison, has a null component and is kept. For ``near_duplicates``, rows that share an id are one document, and are
+in one component; ``drop_near_duplicates`` judges each by its own text. An empty table gives an empty result. Other
+columns may have any name.
 """
 
 from __future__ import annotations
@@ -24,17 +29,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from laborlens.llm.common import cut, written
+from laborlens.llm.common import cut, lookup, written
 from laborlens.llm.graph import connected
 from laborlens.llm.shingles import FOLD, U, WordHashes, mix, shingle_set, small_batches, texts
 
 COORDINATES, ROWS = 96, 4
-#: Shingles of one block of a group, 8 bytes each.
-BLOCK = 1_000_000
+#: Shingles of one block of a group, 8 bytes each. Small sets weigh as much as LEAST shingles, so that the pairs of a
+#: block are bounded as well.
+BLOCK, LEAST = 1_000_000, 250
 EMPTY = U(0xFFFFFFFFFFFFFFFF)
 
 
@@ -71,8 +77,13 @@ def _sets(batch: pa.RecordBatch, cache: WordHashes, k: int) -> list[np.ndarray]:
     return [shingle_set(cache.of(t.translate(FOLD).split()) if t else np.empty(0, U), k) for t in texts(batch, "text")]
 
 
+def _row(docs: DataFrame) -> DataFrame:
+    """(doc_id, t, text): ``t`` tells apart texts that share an id."""
+    return docs.select("doc_id", F.xxhash64("text").alias("t"), "text")
+
+
 def sketches(docs: DataFrame, k: int) -> DataFrame:
-    """(doc_id, n_shingles, s1, s2, bands): the digest and bands are null for texts without words."""
+    """(doc_id, t, n_shingles, s1, s2, bands): the digest and bands are null for texts without words."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordHashes()
@@ -85,15 +96,15 @@ def sketches(docs: DataFrame, k: int) -> DataFrame:
                 for row, i in zip(b.tolist(), full, strict=True):
                     digests[i], keys[i] = _digest(sets[i]), row
             s1, s2 = zip(*digests, strict=True)
-            columns = [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "s1", "s2", "bands"])
+            columns = [batch.column("doc_id"), batch.column("t"), pa.array([len(s) for s in sets], pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "t", "n_shingles", "s1", "s2", "bands"])
 
-    schema = T.StructType([docs.schema["doc_id"]]).add("n_shingles", "long").add("s1", "long").add("s2", "long").add("bands", T.ArrayType(T.LongType()))
-    return docs.select("doc_id", "text").mapInArrow(of, schema)
+    schema = T.StructType([docs.schema["doc_id"]]).add("t", "long").add("n_shingles", "long").add("s1", "long").add("s2", "long").add("bands", T.ArrayType(T.LongType()))
+    return _row(docs).mapInArrow(of, schema)
 
 
 def _members(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """``wanted`` (rep, s1, s2, root, blocks, block) with their sets as bytes, from the documents' whole texts.
+    """``wanted`` (rep, root, blocks, block) with their sets as bytes, from the documents' whole texts.
 
     A set comes as often as rows share both id and text.
     """
@@ -103,79 +114,120 @@ def _members(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
         cache = WordHashes()
         for batch in small_batches(batches, "text"):
             sets = _sets(batch, cache, k)
-            asked = zip(batch.column("s1").to_pylist(), batch.column("s2").to_pylist(), strict=True)
-            at = pa.array([i for i, (s, d) in enumerate(zip(sets, asked, strict=True)) if _digest(s) == d], pa.int64())
-            columns = [batch.column(c).take(at) for c in kept]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array([sets[i].tobytes() for i in at.to_pylist()], pa.binary())], [*kept, "set"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array([s.tobytes() for s in sets], pa.binary())], [*kept, "set"])
 
-    met = docs.select("doc_id", "text").join(wanted, F.col("doc_id") == F.col("rep")).select(*kept, "s1", "s2", "text")
+    asked = wanted.select(F.col("rep.doc_id").alias("asked_id"), F.col("rep.t").alias("asked_t"), *kept)
+    met = _row(docs).join(asked, (F.col("doc_id") == F.col("asked_id")) & (F.col("t") == F.col("asked_t"))).select(*kept, "text")
     return met.mapInArrow(of, T.StructType([met.schema[c] for c in kept]).add("set", "binary"))
 
 
 def local_links(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     """Index pairs that link all sets which chains of similar pairs connect; similar: 100 * common >= percent * union.
 
-    Sets meet in their prefixes: with elements ordered by rarity, similar sets share one of their first
-    n - ceil(percent n / 100) + 1. Whoever only meets its own component is done; else its overlap with all others is
-    counted through the index of whole sets.
+    An element that one set alone holds is common to no pair, so sets of equal size and equal other elements compare
+    alike with all others; one of them is compared for all. Sets meet in their prefixes: with elements ordered by
+    rarity, similar sets share one of their first n - ceil(percent n / 100) + 1. Each prefix element lists the sets
+    that hold it by component. A set is compared with those of another component, latest first, in growing parts, until
+    one links them; then the rest needs no look.
     """
-    n = len(sets)
     sizes = np.array([len(s) for s in sets])
-    flat, owner = np.concatenate(sets), np.repeat(np.arange(n), sizes)
+    flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
     _, token, count = np.unique(flat, return_inverse=True, return_counts=True)
     rank = np.empty(len(count), np.int64)
     rank[np.argsort(count, kind="stable")] = np.arange(len(count))
     token = rank[token]
-    order = np.lexsort((token, owner))
-    token, start = token[order], np.concatenate([[0], np.cumsum(sizes)])
-    by = np.argsort(token, kind="stable")
-    holders, at = owner[by], np.concatenate([[0], np.cumsum(count[np.argsort(count, kind="stable")])])
+    token, start = token[np.lexsort((token, owner))], np.concatenate([[0], np.cumsum(sizes)])
+    alone = int((count == 1).sum())  # elements below this rank are held once
     prefix = sizes - -(-percent * sizes // 100) + 1
-    early = (np.arange(len(token)) - start[owner] < prefix[owner])[by]
-    root = np.arange(n)
+    alike: dict[tuple[int, bytes], list[int]] = {}
+    for x, size in enumerate(sizes.tolist()):
+        mine = token[start[x] : start[x + 1]]
+        alike.setdefault((size, mine[np.searchsorted(mine, alone) :].tobytes()), []).append(x)
+    parent = list(range(len(sets)))
+
+    def find(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    mark = np.zeros(len(count), bool)
+
+    def first_similar(x: int, near: list[int]) -> int | None:
+        near = np.array(near)
+        near = near[100 * np.minimum(sizes[near], sizes[x]) >= percent * np.maximum(sizes[near], sizes[x])]
+        at, step = 0, 4
+        while at < len(near):
+            some = near[at : at + step]
+            lengths = sizes[some]
+            ends = np.cumsum(lengths)
+            places = np.repeat(start[some] - (ends - lengths), lengths) + np.arange(ends[-1])
+            common = np.add.reduceat(mark[token[places]].astype(np.int64), ends - lengths)
+            good = np.flatnonzero(100 * common >= percent * (sizes[x] + lengths - common))
+            if len(good):
+                return int(some[good[0]])
+            at, step = at + step, min(4 * step, 1024)
+        return None
+
+    held: dict[int, dict[int, list[int]]] = {}
     links = []
-    for x in range(n):
+    for x in (same[0] for same in alike.values()):
         mine = token[start[x] : start[x + 1]]
-        head = mine[: prefix[x]]
-        near = np.unique(np.concatenate([holders[at[t] : at[t + 1]][early[at[t] : at[t + 1]]] for t in head.tolist()]))
-        near = near[near < x]
-        near = near[(root[near] != root[x]) & (100 * np.minimum(sizes[near], sizes[x]) >= percent * np.maximum(sizes[near], sizes[x]))]
-        if not len(near):
-            continue
-        common = np.bincount(np.concatenate([holders[at[t] : at[t + 1]] for t in mine.tolist()]), minlength=n)[near]
-        for y in near[100 * common >= percent * (sizes[x] + sizes[near] - common)].tolist():
-            if root[x] != root[y]:
+        head = [t for t in mine[: prefix[x]].tolist() if t >= alone]
+        near: dict[int, dict[int, None]] = {}
+        for t in head:
+            groups = held.setdefault(t, {})
+            for root in list(groups):
+                if (now := find(root)) != root:
+                    a, b = groups.pop(root), groups.get(now, [])
+                    groups[now] = b + a if len(b) >= len(a) else a + b
+            for root, members in groups.items():
+                near.setdefault(root, {}).update(dict.fromkeys(reversed(members[-64:])))
+        mark[mine] = True
+        for root, some in near.items():
+            y = first_similar(x, list(some))
+            if y is None:  # none of the latest: all others of the component that share a prefix element
+                rest = dict.fromkeys(m for t in head for m in held[t].get(root, [])[:-64] if m not in some)
+                y = first_similar(x, list(rest)) if rest else None
+            if y is not None and find(x) != find(y):
                 links.append((x, y))
-                root[root == root[x]] = root[y]
+                parent[find(x)] = find(y)
+        mark[mine] = False
+        for t in head:
+            held[t].setdefault(find(x), []).append(x)
+    linked = dict(links) | {y: x for x, y in links}
+    for (size, shared), (x, *others) in alike.items():
+        common = len(shared) // 8
+        to = x if 100 * common >= percent * (2 * size - common) else linked.get(x)
+        links += [(other, to) for other in others if to is not None]
     return links
 
 
 def _links(rows: DataFrame, percent: int) -> DataFrame:
     """(u, v) links within each task's sets; ``rows`` (root, i, j, rep, set)."""
-    rep = rows.schema["rep"].dataType
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def joined(reps: list, sets: list) -> pa.RecordBatch:
-            unique = dict(zip(reps, sets, strict=True))
-            ids = list(unique)
-            found = local_links([np.frombuffer(s, U) for s in unique.values()], percent) if len(ids) > 1 else []
-            return pa.RecordBatch.from_arrays([pa.array([ids[x] for x, _ in found], kind), pa.array([ids[y] for _, y in found], kind)], ["u", "v"])
+        def joined(reps: list, sets: list, kind: pa.DataType) -> pa.RecordBatch:
+            unique = list({(r["doc_id"], r["t"]): (r, s) for r, s in zip(reps, sets, strict=True)}.values())
+            found = local_links([np.frombuffer(s, U) for _, s in unique], percent) if len(unique) > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array([unique[x][0] for x, _ in found], kind), pa.array([unique[y][0] for _, y in found], kind)], ["u", "v"])
 
         key, reps, sets, kind = None, [], [], None
         for batch in batches:
             kind = batch.schema.field("rep").type
-            for *k, r, s in zip(*(batch.column(c).to_pylist() for c in ("root", "i", "j", "rep", "set")), strict=True):
+            for k, r, s in zip(zip(*(batch.column(c).to_pylist() for c in ("r_id", "r_t", "i", "j")), strict=True), batch.column("rep").to_pylist(), batch.column("set").to_pylist(), strict=True):
                 if k != key and reps:
-                    yield joined(reps, sets)
+                    yield joined(reps, sets, kind)
                     reps, sets = [], []
                 key = k
                 reps.append(r)
                 sets.append(s)
         if reps:
-            yield joined(reps, sets)
+            yield joined(reps, sets, kind)
 
-    dealt = rows.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j").select("root", "i", "j", "rep", "set")
-    return dealt.mapInArrow(of, T.StructType().add("u", rep).add("v", rep))
+    keys = ["r_id", "r_t", "i", "j"]
+    dealt = rows.select(F.col("root.doc_id").alias("r_id"), F.col("root.t").alias("r_t"), "i", "j", "rep", "set").repartition(*keys).sortWithinPartitions(*keys)
+    return dealt.mapInArrow(of, T.StructType().add("u", rows.schema["rep"].dataType).add("v", rows.schema["rep"].dataType))
 
 
 def _pairs_of_blocks(members: DataFrame) -> DataFrame:
@@ -184,44 +236,84 @@ def _pairs_of_blocks(members: DataFrame) -> DataFrame:
     return members.withColumn("i", F.lit(0)).withColumn("j", F.explode(F.when(F.col("block") == 0, all_).otherwise(F.array("block"))))
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, block: int = BLOCK) -> DataFrame:
-    """Per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id (smallest reachable doc_id), kept."""
-    rows = cut(sketches(docs, shingle))
-    classes = cut(rows.filter("s1 is not null and doc_id is not null").groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.min("n_shingles").alias("n"), F.min_by("bands", "doc_id").alias("bands")))
+def _weight(n: Column) -> Column:
+    return F.greatest(n, F.lit(LEAST))
+
+
+def _classes(rows: DataFrame) -> DataFrame:
+    """(s1, s2, rep, n, weight, bands) of distinct sets; ``n`` counts their rows."""
+    rep = F.min(F.struct("doc_id", "t"))
+    return rows.filter("s1 is not null and doc_id is not null").groupBy("s1", "s2").agg(rep.alias("rep"), F.count(F.lit(1)).alias("n"), F.min(_weight(F.col("n_shingles"))).alias("weight"), F.min_by("bands", F.struct("doc_id", "t")).alias("bands"))
+
+
+def _linked(docs: DataFrame, classes: DataFrame, shingle: int, percent: int, block: int) -> DataFrame:
+    """(u, v) links of similar ``classes``, as many as connect what chains of similar classes connect."""
+    total = classes.count()
     keys = classes.select("rep", F.explode("bands").alias("band"))
-    buckets = keys.groupBy("band").agg(F.min("rep").alias("leader"), F.max("rep").alias("last")).filter("leader <> last")
-    tied = connected(keys.join(buckets, "band").select(F.col("rep").alias("u"), F.col("leader").alias("v")))
-    groups = classes.select("rep", "s1", "s2", "n").join(tied.withColumnRenamed("node", "rep"), "rep")
-    blocks = groups.groupBy(F.col("root").alias("r")).agg(F.ceil(F.sum("n") / block).cast("int").alias("blocks"))
-    wanted = groups.join(blocks, F.col("root") == F.col("r")).select("rep", "s1", "s2", "root", "blocks", F.pmod(F.xxhash64("rep"), "blocks").cast("int").alias("block"))
+    buckets = keys.groupBy("band").agg(F.min("rep").alias("leader"), F.max("rep").alias("last"), F.count(F.lit(1)).alias("n")).filter("leader <> last").drop("last")
+    tied = connected(lookup(keys, buckets, ["band"], total * COORDINATES // ROWS).select(F.col("rep").alias("u"), F.col("leader").alias("v")))
+    groups = cut(classes.select("rep", "weight").join(tied.withColumnRenamed("node", "rep"), "rep"))
+    blocks = groups.groupBy("root").agg(F.ceil(F.sum("weight") / block).cast("int").alias("blocks"), F.count(F.lit(1)).alias("n"))
+    wanted = lookup(groups, blocks, ["root"], total).select("rep", "root", "blocks", F.pmod(F.xxhash64("rep"), "blocks").cast("int").alias("block"))
     members = written(_members(docs, wanted, shingle), "near-sets")
     links = cut(_links(_pairs_of_blocks(members), percent))
-    if not members.filter("blocks > 1").isEmpty():
-        large = members.filter("blocks > 1")
-        labels = large.select("rep", "root").distinct().join(connected(links).select(F.col("node").alias("rep"), F.col("root").alias("part")), "rep", "left").withColumn("part", F.coalesce("part", "rep"))
-        parts = labels.groupBy("root", "part").count()
-        main = parts.groupBy("root").agg(F.max_by("part", F.struct("count", "part")).alias("main"))
-        apart = cut(labels.join(main, "root").filter("part <> main").select("rep", F.lit(True).alias("apart")))
-        more = large.join(apart, "rep", "left").withColumn("apart", F.coalesce("apart", F.lit(False)))
-        n_apart = more.filter("apart").groupBy(F.col("root").alias("r")).agg(F.ceil(F.sum(F.octet_length("set")) / (8 * block)).cast("int").alias("rows"))
-        more = more.join(n_apart, F.col("root") == F.col("r"))
-        across = more.filter("apart").select("root", "rep", "set", F.pmod(F.xxhash64(F.lit(1), "rep"), "rows").cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"))
-        down = more.select("root", "rep", "set", F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("i"), F.col("block").alias("j"))
-        links = cut(links.unionByName(_links(across.unionByName(down), percent)))
-    found = connected(links).select(F.col("node").alias("rep"), F.col("root").alias("least"))
-    classes = classes.join(found, "rep", "left").select(F.col("s1").alias("c1"), F.col("s2").alias("c2"), F.coalesce("least", "rep").alias("least"))
-    out = rows.join(classes, (F.col("s1") == F.col("c1")) & (F.col("s2") == F.col("c2")) & F.col("doc_id").isNotNull(), "left")
-    component = F.coalesce("least", "doc_id")
-    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id"), (F.col("doc_id").isNull() | (component == F.col("doc_id"))).alias("kept"))
+    large = members.filter("blocks > 1")
+    if large.isEmpty():
+        return links
+    labels = cut(large.select("rep", "root").distinct().join(connected(links).select(F.col("node").alias("rep"), F.col("root").alias("part")), "rep", "left").withColumn("part", F.coalesce("part", "rep")))
+    parts = labels.groupBy("root", "part").agg(F.count(F.lit(1)).alias("k"))
+    main = parts.groupBy("root").agg(F.max_by("part", F.struct("k", "part")).alias("main"), F.sum("k").alias("n"))
+    apart = cut(lookup(labels, main, ["root"], total).filter("part <> main").select("rep", F.lit(True).alias("apart")))
+    more = large.join(apart, "rep", "left").withColumn("apart", F.coalesce("apart", F.lit(False)))
+    weight = F.sum(F.when(F.col("apart"), _weight(F.octet_length("set") / 8)))
+    n_apart = more.groupBy("root").agg(F.ceil(weight / block).cast("int").alias("rows"), F.count(F.lit(1)).alias("n")).filter("rows > 0")
+    more = lookup(more, n_apart, ["root"], total)
+    across = more.filter("apart").select("root", "rep", "set", F.pmod(F.xxhash64(F.lit(1), "rep"), "rows").cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"))
+    down = more.select("root", "rep", "set", F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("i"), F.col("block").alias("j"))
+    return cut(links.unionByName(_links(across.unionByName(down), percent)))
+
+
+def _shared_ids(rows: DataFrame, named: DataFrame) -> DataFrame:
+    """(u, v) that tie the classes of which rows share an id; ``named``: s1, s2, rep."""
+    of_ids = rows.filter("s1 is not null and doc_id is not null").groupBy("doc_id").agg(F.min(F.struct("s1", "s2")).alias("lo"), F.max(F.struct("s1", "s2")).alias("hi")).filter("lo <> hi").select("doc_id", "lo")
+    ties = rows.select("doc_id", "s1", "s2").join(of_ids, "doc_id").distinct()
+    ties = ties.join(named, ["s1", "s2"]).select("lo", F.col("rep").alias("u"))
+    return ties.join(named.select(F.struct("s1", "s2").alias("lo"), F.col("rep").alias("v")), "lo").select("u", "v")
+
+
+def _judged(docs: DataFrame, shingle: int, percent: int, block: int, by_id: bool) -> DataFrame:
+    """(doc_id, t, n_shingles, rep, root) of every row: its class and the least class reachable; null without a set."""
+    rows = cut(sketches(docs, shingle))
+    classes = cut(_classes(rows))
+    links = _linked(docs, classes, shingle, percent, block)
+    if by_id:
+        links = links.unionByName(_shared_ids(rows, classes.select("s1", "s2", "rep")))
+    found = connected(links).select(F.col("node").alias("rep"), "root")
+    classes = classes.select("s1", "s2", "rep", "n").join(found, "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+    no_id = rows.filter("doc_id is null").select("doc_id", "t", "n_shingles", F.lit(None).cast(classes.schema["rep"].dataType).alias("rep"), F.lit(None).cast(classes.schema["rep"].dataType).alias("root"))
+    return lookup(rows.filter("doc_id is not null").drop("bands"), cut(classes), ["s1", "s2"], rows.count(), "left").select(*no_id.columns).unionByName(no_id)
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, block: int = BLOCK) -> DataFrame:
+    """Per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id (smallest reachable doc_id), kept."""
+    component = F.coalesce("root.doc_id", "doc_id")
+    return _judged(docs, shingle, percent, block, by_id=True).select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id").isNull() | (component == F.col("doc_id"))).alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` with one document of each component, all columns kept. Of rows that share an id, one stays."""
-    found = cut(near_duplicates(docs, shingle, percent).filter("doc_id is not null").select("doc_id", "kept"))
-    gone = found.filter("not kept").select(F.col("doc_id").alias("gone_id")).distinct()
-    left = docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")
-    again = found.filter("kept").groupBy(F.col("doc_id").alias("again_id")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("again_id")
+    """``docs`` with one row of each component, all columns kept: that with the least id (and hash of the text).
+
+    Of rows that share both id and text one stays, the first by all columns as JSON.
+    """
+    own = F.struct("doc_id", "t")
+    found = cut(_judged(docs, shingle, percent, BLOCK, by_id=False).filter("doc_id is not null").select("doc_id", "t", (F.col("root").isNull() | (F.col("root") == own)).alias("stays")))
+    gone = found.filter("not stays").select(own.alias("gone_key")).distinct()
+    again = found.filter("stays").groupBy("doc_id", "t").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(own.alias("again_key"))
+    key = F.struct(docs["doc_id"], F.xxhash64(docs["text"]).alias("t"))
+    left = docs.join(gone, key == gone["gone_key"], "left_anti")
     if again.isEmpty():
         return left
-    once = left.join(again, left["doc_id"] == again["again_id"], "left_anti")
-    return once.unionByName(left.join(again, left["doc_id"] == again["again_id"], "left_semi").dropDuplicates(["doc_id"]))
+    once = left.join(again, key == again["again_key"], "left_anti")
+    repeats = left.join(again, key == again["again_key"], "left_semi").select(key.alias("k"), F.struct(*(docs[c] for c in docs.columns)).alias("row"))
+    one = repeats.groupBy("k").agg(F.min_by("row", F.to_json("row")).alias("row"))
+    return once.unionByName(one.select("row.*"))
