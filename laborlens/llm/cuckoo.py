@@ -72,9 +72,14 @@ class Cuckoo:
     def delete(self, k1: np.ndarray, k2: np.ndarray) -> None:
         """Takes out one copy of each key's fingerprint. Only keys that were inserted may be deleted."""
         fingerprint, bucket = self._places(k1, k2)
-        for f, b, o in zip(fingerprint.tolist(), bucket.tolist(), self._other(fingerprint, bucket).tolist(), strict=True):
-            for at in (b, o):
-                slots = np.flatnonzero(self.table[at] == f)
-                if len(slots):
-                    self.table[at, slots[0]] = 0
-                    break
+        left = np.arange(len(fingerprint))
+        for at in (bucket, self._other(fingerprint, bucket)):
+            todo, missed = left, [left[:0]]
+            while len(todo):  # of keys that look alike in a bucket, one a turn
+                _, first = np.unique(at[todo] * 65536 + fingerprint[todo], return_index=True)
+                now, todo = todo[first], np.delete(todo, first)
+                same = self.table[at[now]] == fingerprint[now][:, None]
+                found = same.any(1)
+                self.table[at[now[found]], same[found].argmax(1)] = 0
+                missed.append(now[~found])
+            left = np.concatenate(missed)

@@ -1,13 +1,13 @@
 """Reversible line deduplication: exact reference counts, and sharded cuckoo filters of the repeated keys.
 
-A line's key is the line stripped and A-Z lower-cased. The reference table holds each (key, document) once, so counts
-are exact and a document can be taken out again. The filters hold the keys that at least ``min_docs`` documents share;
-keys enter and leave as batches of documents are inserted or deleted. To clean documents, their distinct keys are
-looked up in the filter of their shard; only what a filter may hold is counted in the exact table, and only confirmed
-keys meet the documents again.
+A line's key is the line stripped and A-Z lower-cased. The reference table holds each (key, document) once, and the
+count table how many documents hold a key and the largest of them, so counts are exact and a document can be taken out
+again. The filters hold the keys that at least ``min_docs`` documents share; keys enter and leave as batches of
+documents are inserted or deleted. To clean documents, their distinct keys are looked up in the filter of their shard;
+only what a filter may hold meets the exact counts, and only confirmed keys meet the documents again.
 
 Keys travel as 128-bit hashes. Shards follow the number of keys, so that a task holds a bounded part of a filter; a
-frequent line is one key there, whatever the number of its documents.
+frequent line is one key there, whatever the number of its documents, and its references are spread over tasks.
 
 Defined results: a null or empty text is one empty line; rows that share an id are one document; a row without an id
 counts for no key, and loses all its repeated lines; in an empty table nothing is repeated. Columns other than doc_id
@@ -21,11 +21,14 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from laborlens.llm.common import WHITESPACE, ascii_lower, written
+from laborlens.llm.common import WHITESPACE, ascii_lower, cut, lookup, written
 from laborlens.llm.cuckoo import Cuckoo
+from laborlens.llm.shingles import FOLD
 
 KEYS_PER_SHARD = 20_000
 FILTERS = "shard int, keys long, table binary"
@@ -46,7 +49,7 @@ def _hashed(key: Column) -> Column:
 def references(docs: DataFrame, min_chars: int) -> DataFrame:
     """(k1, k2, doc_id): each key of at least ``min_chars`` code points, once a document."""
     keys = F.array_distinct(F.filter(F.transform(lines(F.col("text")), line_key), lambda k: F.char_length(k) >= min_chars))
-    return docs.select("doc_id", F.explode(keys).alias("key")).select("doc_id", _hashed(F.col("key")).alias("k")).select("k.k1", "k.k2", "doc_id").distinct()
+    return docs.filter("doc_id is not null").select("doc_id", F.explode(keys).alias("key")).select("doc_id", _hashed(F.col("key")).alias("k")).select("k.k1", "k.k2", "doc_id").distinct()
 
 
 def _counts(refs: DataFrame) -> DataFrame:
@@ -55,9 +58,10 @@ def _counts(refs: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class State:
-    """refs: the exact table. filters: a cuckoo filter a shard."""
+    """refs: who holds a key. counts: (k1, k2, n, keeper) of every key. filters: a cuckoo filter a shard."""
 
     refs: DataFrame
+    counts: DataFrame
     filters: DataFrame
     shards: int
     min_docs: int = 3
@@ -82,18 +86,19 @@ def _filters(repeated: DataFrame, state: State) -> DataFrame:
 
 def build(docs: DataFrame, min_docs: int = 3, min_chars: int = 20) -> State:
     refs = written(references(docs, min_chars), "line-refs")
-    shards = max(64, -(-refs.count() // KEYS_PER_SHARD))
-    state = State(refs, refs, int(shards), min_docs, min_chars)
-    return replace(state, filters=written(_filters(_counts(refs).filter(F.col("n") >= min_docs), state), "line-filters"))
+    counts = written(_counts(refs), "line-counts")
+    state = State(refs, counts, refs, int(max(64, -(-counts.count() // KEYS_PER_SHARD))), min_docs, min_chars)
+    return replace(state, filters=written(_filters(counts.filter(F.col("n") >= min_docs), state), "line-filters"))
 
 
-def _changed(state: State, before: DataFrame, after: DataFrame, refs: DataFrame, touched: DataFrame) -> State:
-    """The state with ``refs``, its filters updated for those of the ``touched`` keys that cross the threshold."""
+def _changed(state: State, counts: DataFrame, refs: DataFrame, touched: DataFrame) -> State:
+    """The state with ``refs`` and ``counts``, its filters updated for those of the ``touched`` keys that cross the
+    threshold."""
 
     def many(t: DataFrame, name: str) -> DataFrame:
-        return _counts(t.join(touched, ["k1", "k2"], "left_semi")).filter(F.col("n") >= state.min_docs).select("k1", "k2", F.lit(True).alias(name))
+        return t.filter(F.col("n") >= state.min_docs).join(touched, ["k1", "k2"], "left_semi").select("k1", "k2", F.lit(True).alias(name))
 
-    crossed = many(before, "was").join(many(after, "is_"), ["k1", "k2"], "full").filter("was is null or is_ is null")
+    crossed = many(state.counts, "was").join(many(counts, "is_"), ["k1", "k2"], "full").filter("was is null or is_ is null")
     crossed = crossed.select("k1", "k2", F.col("is_").isNotNull().alias("enters"), state.shard())
 
     def update(key: tuple, old: pd.DataFrame, keys: pd.DataFrame) -> pd.DataFrame:
@@ -105,23 +110,28 @@ def _changed(state: State, before: DataFrame, after: DataFrame, refs: DataFrame,
         return pd.DataFrame({"shard": [key[0]], "keys": [held + len(enters) - len(leaves)], "table": [None if full else f.dump()]})
 
     filters = written(state.filters.groupBy("shard").cogroup(crossed.groupBy("shard")).applyInPandas(update, FILTERS), "line-filters")
-    if not filters.filter("table is null").isEmpty():  # a shard overflowed: anew from the exact table
-        filters = written(_filters(_counts(refs).filter(F.col("n") >= state.min_docs), state), "line-filters")
-    return replace(state, refs=refs, filters=filters)
+    if not filters.filter("table is null").isEmpty():  # a shard overflowed: anew from the exact counts
+        filters = written(_filters(counts.filter(F.col("n") >= state.min_docs), state), "line-filters")
+    return replace(state, refs=refs, counts=counts, filters=filters)
 
 
 def insert(state: State, docs: DataFrame) -> State:
     """The state with ``docs`` counted as well; documents that it holds already change nothing."""
     new = written(references(docs, state.min_chars).join(state.refs, ["k1", "k2", "doc_id"], "left_anti"), "line-refs")
-    refs = state.refs.unionByName(new)
-    return _changed(state, state.refs, refs, refs, new.select("k1", "k2").distinct())
+    counts = state.counts.unionByName(_counts(new)).groupBy("k1", "k2").agg(F.sum("n").alias("n"), F.max("keeper").alias("keeper"))
+    return _changed(state, written(counts, "line-counts"), state.refs.unionByName(new), new.select("k1", "k2").distinct())
 
 
 def delete(state: State, ids: DataFrame) -> State:
     """The state as if the documents ``ids`` (doc_id) had never come."""
-    gone = written(state.refs.join(ids.select("doc_id").distinct(), "doc_id", "left_semi").select("k1", "k2", "doc_id"), "line-refs")
-    refs = written(state.refs.join(ids.select("doc_id").distinct(), "doc_id", "left_anti").select("k1", "k2", "doc_id"), "line-refs")
-    return _changed(state, state.refs, refs, refs, gone.select("k1", "k2").distinct())
+    ids = ids.select("doc_id").distinct()
+    gone = written(state.refs.join(ids, "doc_id", "left_semi").select("k1", "k2", "doc_id"), "line-refs")
+    refs = written(state.refs.join(ids, "doc_id", "left_anti").select("k1", "k2", "doc_id"), "line-refs")
+    touched = cut(gone.select("k1", "k2").distinct())
+    before = state.counts.join(touched, ["k1", "k2"], "left_semi").select("k1", "k2", "n")
+    again = _counts(lookup(refs, cut(before), ["k1", "k2"], state.refs.count()).select("k1", "k2", "doc_id"))
+    counts = written(state.counts.join(touched, ["k1", "k2"], "left_anti").unionByName(again), "line-counts")
+    return _changed(state, counts, refs, touched)
 
 
 def maybe_repeated(state: State, keys: DataFrame) -> DataFrame:
@@ -136,23 +146,64 @@ def maybe_repeated(state: State, keys: DataFrame) -> DataFrame:
     return state.filters.groupBy("shard").cogroup(keys.groupBy("shard")).applyInPandas(probe, "k1 long, k2 long")
 
 
-def clean(state: State, docs: DataFrame, refs: DataFrame | None = None) -> DataFrame:
+#: Lines times dropped keys of a document up to which each line is held against the list of keys; beyond, a set is built.
+SMALL = 1_000_000
+
+
+def _hash(data: bytes, seed: int) -> int:
+    return xxhash.xxh64_intdigest(data, seed)
+
+
+#: Spark's seed, and what it hashes the mark of the second key to.
+SEED = 42
+SECOND = _hash(b"second", SEED)
+
+
+@F.pandas_udf(T.StructType([T.StructField("kept", T.StringType()), T.StructField("n", T.LongType())]))
+def _without(text: pd.Series, k1: pd.Series, k2: pd.Series) -> pd.DataFrame:
+    """Long texts without the lines of their keys, and the number of lines left; null texts stay null."""
+    out = []
+    for t, a, b in zip(text, k1, k2, strict=True):
+        if t is None:
+            out.append((None, None))
+            continue
+        drop = set(zip(np.asarray(a, np.int64).view(np.uint64).tolist(), np.asarray(b, np.int64).view(np.uint64).tolist(), strict=True))
+        keys = (x.strip(WHITESPACE).encode().translate(FOLD) for x in t.split("\n"))
+        left = [x for x, k in zip(t.split("\n"), keys, strict=True) if (_hash(k, SEED), _hash(k, SECOND)) not in drop]
+        out.append(("\n".join(left), len(left)))
+    return pd.DataFrame(out, columns=["kept", "n"])
+
+
+def _drops(state: State, refs: DataFrame, counts: DataFrame, keeps: bool = True) -> DataFrame:
+    """(drop_id, drop_keys): the keys of which a document loses the lines. ``counts``: how many ``refs`` hold a key."""
+    maybe = maybe_repeated(state, counts.select("k1", "k2"))
+    repeated = state.counts.filter(F.col("n") >= state.min_docs).join(maybe, ["k1", "k2"], "left_semi").select("k1", "k2", "keeper")
+    repeated = cut(repeated.join(counts.select("k1", "k2", "n"), ["k1", "k2"]))
+    met = lookup(refs, repeated, ["k1", "k2"], repeated.agg(F.sum("n")).first()[0] or 0)
+    lost = met.filter(F.col("doc_id") != F.col("keeper")) if keeps else met
+    return lost.groupBy(F.col("doc_id").alias("drop_id")).agg(F.collect_set(F.struct("k1", "k2")).alias("drop_keys"))
+
+
+def clean(state: State, docs: DataFrame, refs: DataFrame | None = None, counts: DataFrame | None = None) -> DataFrame:
     """``docs`` with three columns more, or anew: n_lines, n_dropped, kept (the text without its repeated lines).
 
     A key that ``min_docs`` documents of the state share keeps its lines only in the one with the largest id.
-    ``refs``: the references of ``docs``, where they are at hand.
+    ``refs`` and ``counts``: those of ``docs``, where they are at hand.
     """
     refs = references(docs, state.min_chars) if refs is None else refs
-    maybe = maybe_repeated(state, refs.select("k1", "k2").distinct())
-    repeated = _counts(state.refs.join(maybe, ["k1", "k2"], "left_semi")).filter(F.col("n") >= state.min_docs)
-    drops = refs.join(repeated.select("k1", "k2", "keeper"), ["k1", "k2"]).filter(~F.col("doc_id").eqNullSafe(F.col("keeper")))
-    drops = drops.groupBy(F.col("doc_id").alias("drop_id")).agg(F.collect_set(F.struct("k1", "k2")).alias("drop_keys"))
+    counts = refs.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n")) if counts is None else counts
     whole = docs.select(F.struct("*").alias("row"))  # so that no column's name can clash with ours
-    met = whole.join(drops, F.col("row.doc_id").eqNullSafe(F.col("drop_id")), "left")
+    named = whole.filter("row.doc_id is not null").join(_drops(state, refs, counts), F.col("row.doc_id") == F.col("drop_id"), "left")
+    nameless = docs.filter("doc_id is null").select(F.coalesce(F.xxhash64("text"), F.lit(0)).alias("doc_id"), "text")
+    by_text = cut(references(nameless, state.min_chars))
+    by_text = _drops(state, by_text, by_text.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n")), keeps=False)
+    met = named.drop("drop_id").unionByName(whole.filter("row.doc_id is null").join(by_text, F.xxhash64("row.text") == F.col("drop_id"), "left").drop("drop_id"))
     all_ = lines(F.col("row.text"))
-    stays = F.when(F.col("drop_keys").isNull(), all_).otherwise(F.filter(all_, lambda line: ~F.array_contains("drop_keys", _hashed(line_key(line)))))
-    out = met.select("row", F.size(all_).cast("long").alias("n_lines"), stays.alias("stays"))
-    added = [F.col("n_lines"), (F.col("n_lines") - F.size("stays")).alias("n_dropped"), F.array_join("stays", "\n").alias("kept")]
+    large = F.coalesce(F.size(all_).cast("long") * F.size("drop_keys") > SMALL, F.lit(False))
+    stays = F.when(F.col("drop_keys").isNull() | large, all_).otherwise(F.filter(all_, lambda line: ~F.array_contains("drop_keys", _hashed(line_key(line)))))
+    alone = _without(F.when(large, F.col("row.text")), F.when(large, F.col("drop_keys.k1")), F.when(large, F.col("drop_keys.k2")))
+    out = met.select("row", F.size(all_).cast("long").alias("n_lines"), stays.alias("stays"), alone.alias("alone"))
+    added = [F.col("n_lines"), (F.col("n_lines") - F.coalesce("alone.n", F.size("stays"))).alias("n_dropped"), F.coalesce("alone.kept", F.array_join("stays", "\n")).alias("kept")]
     own = [F.col("row").getField(c).alias(c) for c in docs.columns if c not in ("n_lines", "n_dropped", "kept")]
     return out.select(*own, *added)
 
@@ -160,4 +211,4 @@ def clean(state: State, docs: DataFrame, refs: DataFrame | None = None) -> DataF
 def dedup_lines(docs: DataFrame, min_docs: int = 3, min_chars: int = 20) -> DataFrame:
     """``docs`` against themselves: see ``clean``."""
     state = build(docs, min_docs, min_chars)
-    return clean(state, docs, state.refs)
+    return clean(state, docs, state.refs, state.counts)
