@@ -5,21 +5,24 @@ in labelled texts. Only languages in which the word's script was seen compete fo
 text, paying ``PENALTY`` for each change of language, gives labelled spans; the language with most letters is the
 prediction, and its share of the letters the score.
 
-The model is fitted on at most about ``max_docs`` labelled documents, chosen by a hash of the id; every text is
-labelled whole. The model's size is fixed by BUCKETS and the number of languages, so it goes to the driver and from
-there to the tasks. All texts of a batch advance through Viterbi together, word by word.
+The model is fitted on about ``per_lang`` labelled documents of each language, chosen by a hash of the id, or on all of
+a language that has no more; every text is labelled whole. The model's size is fixed by BUCKETS and the number of
+languages, so it goes to the driver and from there to the tasks. All texts of a batch advance through Viterbi
+together, word by word; batches shrink as languages grow in number.
 
 Defined results: a null text, or one without letters, is ``und`` with score 0, as is everything if no labelled text
 was given; ties go to the first language by name; rows that repeat are labelled alike; an empty table gives an empty
-result. Only doc_id, text and, to learn, lang are read.
+result. A text is held in memory whole, with a byte a word and language. Only doc_id, text and, to learn, lang are read.
 """
 
 from __future__ import annotations
 
 import re
+import unicodedata
 from bisect import bisect
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import count, groupby
 
 import numpy as np
 import pandas as pd
@@ -33,8 +36,28 @@ from laborlens.llm.shingles import U, mix, small_batches
 
 BUCKETS = 1 << 15
 PENALTY = 8.0
-MAX_DOCS = 20_000
-WORD = re.compile(r"[^\W\d_]+")
+PER_LANG = 5_000
+
+
+def _marks() -> str:
+    """Combining marks as ranges of a character class: vowel signs and accents belong to the word they stand in."""
+    points = [c for c in range(0x20000) if unicodedata.category(chr(c)).startswith("M")]
+    runs = [list(g) for _, g in groupby(points, key=lambda c, n=count(): c - next(n))]
+    return "".join(f"{chr(r[0])}-{chr(r[-1])}" for r in runs)
+
+
+LETTERS = re.compile(r"[^\W\d_]+")
+WORD = re.compile(rf"[^\W\d_]+(?:[{_marks()}]+[^\W\d_]*)*")
+#: From the first mark on.
+HIGH = re.compile("[\u0300-\U0010ffff]")
+
+
+def words_of(text: str) -> list[str]:
+    """Runs of letters, lower-cased, with the marks that stand in them; most texts have none to look for."""
+    text = text.lower()
+    return (LETTERS if text.isascii() or not HIGH.search(text) else WORD).findall(text)
+
+
 #: First code points of script ranges, in order; what lies before a named range's end belongs to it.
 SCRIPTS = [
     (0x0000, "latin"), (0x0370, "greek"), (0x0400, "cyrillic"), (0x0530, "armenian"), (0x0590, "hebrew"), (0x0600, "arabic"), (0x0780, "other"), (0x0900, "devanagari"), (0x0980, "indic"),
@@ -71,18 +94,25 @@ class Model:
     scripts: np.ndarray
 
 
-def fit(labelled: DataFrame, max_docs: int = MAX_DOCS) -> Model:
+def sample(labelled: DataFrame, per_lang: int) -> DataFrame:
+    """About ``per_lang`` rows of each language of ``labelled`` (doc_id, lang, ...), by a hash of the id."""
+    sizes = {r.lang: r["count"] for r in labelled.groupBy("lang").count().collect()}  # a row a language
+    shares = {lang: per_lang / n for lang, n in sizes.items() if n > per_lang}
+    if not shares:
+        return labelled
+    share = F.coalesce(F.create_map(*(F.lit(x) for pair in shares.items() for x in pair))[F.col("lang")], F.lit(1.0))
+    return labelled.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 53)) < share * float(1 << 53))
+
+
+def fit(labelled: DataFrame, per_lang: int = PER_LANG) -> Model:
     """The model of ``labelled`` (doc_id, text, lang); null texts and languages teach nothing."""
-    labelled = labelled.select("doc_id", "text", "lang").filter("text is not null and lang is not null")
-    n = labelled.count()
-    if n > max_docs:
-        labelled = labelled.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * max_docs / n))
+    labelled = sample(labelled.select("doc_id", "text", "lang").filter("text is not null and lang is not null"), per_lang)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, "text"):
             by: dict[str, list[str]] = {}
             for text, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist(), strict=True):
-                by.setdefault(lang, []).extend(WORD.findall(text.lower()))
+                by.setdefault(lang, []).extend(words_of(text))
             for lang, words in by.items():
                 if words:
                     c = np.bincount(features(words)[0], minlength=BUCKETS)
@@ -91,7 +121,7 @@ def fit(labelled: DataFrame, max_docs: int = MAX_DOCS) -> Model:
                     at = np.flatnonzero(c)
                     yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), pa.array(at), pa.array(c[at])], ["lang", "at", "n"])
 
-    counts = labelled.mapInArrow(count, "lang string, at long, n long").groupBy("lang", "at").agg(F.sum("n").alias("n")).toPandas()
+    counts = labelled.mapInArrow(tally, "lang string, at long, n long").groupBy("lang", "at").agg(F.sum("n").alias("n")).toPandas()
     langs = sorted(counts.lang.unique())
     table = np.zeros((BUCKETS + len(NAMES), len(langs)))
     for i, lang in enumerate(langs):
@@ -108,7 +138,7 @@ def viterbi(scores: np.ndarray, lengths: np.ndarray, penalty: float) -> np.ndarr
     order = np.argsort(-lengths, kind="stable")
     start, lengths = (np.cumsum(lengths) - lengths)[order], lengths[order]
     live = np.searchsorted(-lengths, -np.arange(lengths[0]), "left")  # texts with more than t words
-    best = np.zeros(len(scores), np.uint8)
+    best = np.zeros(len(scores), np.int32)
     stays = np.ones(scores.shape, bool)
     value = scores[start].astype(np.float64)
     for t in range(1, lengths[0]):
@@ -119,8 +149,8 @@ def viterbi(scores: np.ndarray, lengths: np.ndarray, penalty: float) -> np.ndarr
         best[at], stays[at] = top, v >= other
         v = np.maximum(v, other) + scores[at]
         value[:m] = v - v.max(1, keepdims=True)
-    label = np.zeros(len(scores), np.uint8)
-    now = value.argmax(1).astype(np.uint8)
+    label = np.zeros(len(scores), np.int32)
+    now = value.argmax(1)
     for t in range(lengths[0] - 1, -1, -1):
         m = live[t]
         at = start[:m] + t
@@ -129,6 +159,11 @@ def viterbi(scores: np.ndarray, lengths: np.ndarray, penalty: float) -> np.ndarr
     return label
 
 
+def _batch_bytes(langs: int) -> int:
+    """Bytes of text a batch: 8 MiB up to 8 languages."""
+    return max(1 << 16, (64 << 20) // max(langs, 8))
+
+
 class Labeller:
     """Labels batches of texts; remembers the scores of words while they fit."""
 
@@ -159,7 +194,7 @@ class Labeller:
         out: list = [("und", 0.0, [])] * len(texts)
         if not self.model.langs:
             return out
-        words = [WORD.findall(t.lower()) if t else [] for t in texts]
+        words = [words_of(t) if t else [] for t in texts]
         for w in words:
             self.learn(w)
         full = [i for i, w in enumerate(words) if w]
@@ -189,7 +224,7 @@ def identify(docs: DataFrame, model: Model, penalty: float = PENALTY) -> DataFra
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labeller = Labeller(Model(*shared.value), penalty)
-        for batch in small_batches(batches, "text"):
+        for batch in small_batches(batches, "text", _batch_bytes(len(labeller.model.langs))):
             lang, score, spans = zip(*labeller(batch.column("text").to_pylist()), strict=True)
             kind = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("lang", pa.string())]))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(lang), pa.array(score, pa.float64()), pa.array(spans, kind)], ["doc_id", "lang_pred", "score", "spans"])
@@ -208,7 +243,7 @@ def keep_identified(docs: DataFrame, model: Model, least: float = 0.5, penalty:
         labeller = Labeller(Model(*shared.value), penalty)
         for part in text:
             verdict = []
-            for batch in small_batches(iter([pa.RecordBatch.from_arrays([pa.array(part, pa.string())], ["text"])]), "text"):
+            for batch in small_batches(iter([pa.RecordBatch.from_arrays([pa.array(part, pa.string())], ["text"])]), "text", _batch_bytes(len(labeller.model.langs))):
                 verdict += [lang != "und" and score >= least for lang, score, _ in labeller(batch.column("text").to_pylist())]
             yield pd.Series(verdict)
 
