@@ -7,6 +7,8 @@ import json
 import random
 import re
 import string
+import time
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -110,7 +112,7 @@ def test_mix_of_nothing(none, spark):
 # WARC
 
 
-def test_audit_finds_every_difference(spark, tmp_path):
+def test_audit_finds_every_difference(spark):
     pages = [(i, f"http://h{i}/", "x" * (i * 37 % 5000) + str(i)) for i in range(300)] + [(5000, None, None)]
     a = spark.createDataFrame(pages, "page_id long, url string, html string")
     changed = {3, 77, 250}
@@ -122,10 +124,41 @@ def test_audit_finds_every_difference(spark, tmp_path):
     assert [(r.page_id, r.status) for r in warc.audit(warc.records(a, 100), lost).collect()] == [(150, "missing")]
     assert [(r.page_id, r.status) for r in warc.audit(lost, warc.records(a, 100)).collect()] == [(150, "extra")]
     assert warc.audit(warc.records(a.limit(0)), warc.records(a.limit(0))).count() == 0
-    warc.write_files(a, str(tmp_path / "w"), 100)
-    back = {(r.url, r.html, r.length) for r in warc.read_files(spark, str(tmp_path / "w")).collect()}
-    lengths = {r.page_id: r.length for r in warc.records(a, 100).collect()}
-    assert back == {(u or "", h or "", lengths[i]) for i, u, h in pages}
+
+
+@pytest.mark.parametrize("compression", ["none", "gzip"])
+def test_files_come_back_as_records(spark, tmp_path, compression):
+    pages = [(i, f"http://h{i}/", "\r\n\r\n" * (i % 3) + "ü" * (i * 37 % 500) + str(i)) for i in range(250)] + [(5000, None, None), (None, "http://no-id/", "a"), (7, "http://again/", "b")]
+    a = spark.createDataFrame(pages, "page_id long, url string, html string")
+    warc.write_files(a, str(tmp_path / "w"), 100, compression)
+    read = warc.read_files(spark, str(tmp_path / "w"))
+    assert sorted((r.url, r.body.decode(), r.status) for r in read.collect()) == sorted((u or "", h or "", "ok") for _, u, h in pages)
+    assert warc.audit(warc.records(a, 100), warc.filed(read)).collect() == []
+    other = a.withColumn("html", F.when(F.col("page_id") == 77, F.translate("html", "7", "8")).otherwise(F.col("html")))
+    assert [(r.page_id, r.status) for r in warc.audit(warc.records(other, 100), warc.filed(read)).collect()] == [(77, "changed")]
+
+
+def test_bad_records_are_reported(spark, tmp_path):
+    good = lambda n: b"WARC/1.0\r\nWARC-Target-URI: u%d\r\nContent-Length: 2\r\n\r\nok\r\n\r\n" % n
+    raw = b"\xff\xfe\x00 not utf-8"
+    odd = b"WARC/1.1\r\nwarc-target-uri: raw\r\ncontent-length: %d\r\n\r\n%s\r\n\r\n" % (len(raw), raw)
+    parts = [good(1), good(2), b"a line that belongs to no record\r\n\r\n", good(3), b"WARC/1.0\r\nno length here\r\n\r\nx\r\n\r\n", b"WARC/1.0\r\nContent-Length: 99\r\n\r\nshort\r\n\r\n", odd, good(4)]
+    (tmp_path / "x.warc").write_bytes(b"".join(parts))
+    got = warc.read_files(spark, str(tmp_path)).orderBy("offset").collect()
+    assert [r.status for r in got] == ["ok", "wrong length", "ok", "no length", "wrong length", "ok", "ok"]
+    assert [r.url for r in got if r.status == "ok"] == ["u1", "u3", "raw", "u4"] and got[5].body == raw
+    assert all(r.digest == hashlib.sha256((tmp_path / "x.warc").read_bytes()[r.offset : r.offset + r.length]).hexdigest() for r in got)
+
+
+def test_audit_of_nulls_repeats_and_clashes(spark):
+    pages = [(None, f"u{i % 5}", f"page {i}") for i in range(40)] + [(None, None, None), (1, "a", "x"), (1, "a", "x"), (1, "b", "y"), (-3, "c", "z")]
+    a = spark.createDataFrame(pages, "page_id long, url string, html string").withColumns({"file": F.lit(1), "offset": F.lit(2), "digest": F.lit("d"), "node": F.lit(0)})
+    swap = lambda c: a.withColumn("html", F.when(c, F.translate("html", "pxz", "qyw")).otherwise(F.col("html")))
+    found = lambda b: sorted((str(r.page_id), r.status) for r in warc.audit(warc.records(a), warc.records(b)).collect())
+    assert found(a.repartition(3)) == []
+    assert found(swap(F.col("html") == "page 39")) == [("None", "changed")]
+    assert found(swap(F.col("page_id") == -3)) == [("-3", "changed")]
+    assert found(a.filter("html <> 'z' or html is null")) == [("-3", "missing")]
 
 
 # Line dedup
@@ -174,6 +207,18 @@ def test_line_dedup_is_reversible(spark, rows):
     assert state(back) == state(first) and held(back) == held(first)
 
 
+def test_long_documents_of_repeated_lines(spark):
+    """Where lines times keys are many, and where they are few, the same lines go; rows without an id lose all."""
+    shared = [f"line number {i} of the long shared text" for i in range(2500)]
+    rows = [(i, "\n".join([f"own first line of document {i}", *(x.upper() if i % 2 else f" {x}\t" for x in shared), "é" * 25])) for i in range(4)]
+    rows += [(10, "\n".join(shared[:40])), (None, "\n".join(["a line that nobody else has got", *shared[:3]])), (None, "\n".join(shared)), (None, None)]
+    got = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = dedup_by_hand([r for r in rows if r[0] is not None])
+    assert {r.doc_id: (r.n_lines, r.n_dropped, r.kept) for r in got if r.doc_id is not None} == want
+    assert sorted((r.n_lines, r.n_dropped, r.kept) for r in got if r.doc_id is None) == [(1, 0, ""), (4, 3, "a line that nobody else has got"), (2500, 2500, "")]
+    assert want[0][1] == 2501 and line_dedup.SMALL < 2500 * 2500
+
+
 def test_cuckoo_filter_holds_and_releases():
     r = np.random.default_rng(1)
     k1, k2 = (r.integers(-(2**63), 2**63 - 1, 20_000) for _ in range(2))
@@ -278,7 +323,46 @@ def test_layouts_become_turns(spark):
     assert turns[3] == [("user", "do\n\nthis"), ("assistant", "b")]
     assert turns[4] == [("system", "be good"), *plain]
     assert all(turns[k] is None for k in (7, 8, 9, 10))
-    assert len(chat_format.registry()) == len({*chat_format.registry()}) and got[3].fingerprint != got[4].fingerprint
+    assert got[3].fingerprint != got[4].fingerprint and got[1].fingerprint != got[2].fingerprint
+
+
+def test_no_record_is_lost(spark):
+    records = {
+        1: {"messages": [{"role": "user", "content": "a"}], "prompt": "of another layout"},
+        2: {"messages": []},
+        3: {"messages": [{"role": "user", "content": [{"type": "text", "text": "a"}, {"type": "image", "url": "x"}, "b"]}, {"role": "assistant", "content": None}]},
+        4: {"question": "q", "context": "c", "answer": "b"},
+        5: {"instruction": "do", "context": "this", "response": "b", "category": "qa"},
+        6: {"messages": [{"role": "user", "content": ""}], "system": ""},
+        7: {"text": "plain"},
+        8: {"text": "plain too"},
+        9: {"prompt": "no answer"},
+        10: {"messages": [{"text": "other fields"}]},
+    }
+    table = spark.createDataFrame([(k, json.dumps(v)) for k, v in records.items()] + [(11, "[]"), (12, None)], "conv_id long, record string").withColumn("layout", F.lit("clash"))
+    canonical = chat_format.canonical_turns(table)
+    got = {r.conv_id: r for r in canonical.collect()}
+    turns = {k: [tuple(t) for t in r.turns] for k, r in got.items() if r.turns is not None}
+    assert turns == {
+        1: [("user", "a")],
+        2: [],
+        3: [("user", 'a\n{"type": "image", "url": "x"}\nb'), ("assistant", "")],
+        4: [("user", "c\n\nq"), ("assistant", "b")],
+        5: [("user", "do\n\nthis"), ("assistant", "b")],
+        6: [("system", ""), ("user", "")],
+    }
+    unknown = {tuple(r.paths): r.n for r in chat_format.unknown_layouts(canonical).collect()}
+    assert unknown == {("text",): 2, ("prompt",): 1, ("messages[].text",): 1, (): 2}
+    formatted = {r.conv_id: r.formatted for r in chat_format.format_turns(canonical).collect()}
+    assert sorted(formatted) == [1, 2, 3, 4, 5, 6] and formatted[2] == ""
+
+
+def test_rows_take_several_layouts(spark):
+    rows = [(c, t, r, f"{c} {t}") for c in range(40) for t, r in enumerate(["user", "assistant", "user"][: 1 + c % 3])]
+    records = chat_format.records_of_rows(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    got = chat_format.canonical_turns(records).collect()
+    assert {r.layout for r in got} == {"messages", "turns", "prompt"}
+    assert {(r.conv_id, i, t.role, t.text) for r in got for i, t in enumerate(r.turns)} == set(rows)
 
 
 def test_template_round_trip():
@@ -382,7 +466,68 @@ def test_one_document_of_a_group_stays(spark):
     rows = [(1, long), (2, long), (2, long), (3, sentence(50)), (3, "other text, same id"), (None, long), (4, None)]
     table = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"gone_id": F.lit(1), "again_id": F.lit(1), "kept": F.lit(1)})
     left = near_dedup.drop_near_duplicates(table)
-    assert left.columns == table.columns and sorted(str(r.doc_id) for r in left.collect()) == ["1", "3", "4", "None"]
+    assert left.columns == table.columns and sorted(str(r.doc_id) for r in left.collect()) == ["1", "3", "3", "4", "None"]
+
+
+def test_texts_that_share_an_id(spark):
+    a, b = sentence(60), sentence(60)
+    near = " ".join([*a.split()[:-1], "changed"])
+    table = lambda rows: spark.createDataFrame(rows, "doc_id long, text string, n int")
+    rows = [(3, a, 0), (3, b, 0), (7, near, 0)]
+    for some in (rows, [*rows, (1, a, 0)], [(9, b, 0), *rows, (2, near, 0)]):
+        got = {r.doc_id: (r.component_id, r.kept) for r in near_dedup.near_duplicates(table(some)).collect()}
+        assert got == {i: (c, c == i) for i, (c, _) in components_by_hand(some, 5).items()}
+        texts = sorted({t for _, t, _ in some}, key=lambda t: t != near)
+        left = near_dedup.drop_near_duplicates(table(some)).collect()
+        assert sorted(r.text == b for r in left) == [False, True] and len(texts) == 3
+        assert min(i for i, t, _ in some if t != b) in {r.doc_id for r in left}
+    again = [(5, a, n) for n in (3, 1, 2)]
+    assert [(r.doc_id, r.n) for r in near_dedup.drop_near_duplicates(table(again)).collect()] == [(5, 1)]
+
+
+def test_local_links_like_brute_force():
+    r = np.random.default_rng(3)
+    for _ in range(60):
+        base = r.integers(0, 40, r.integers(3, 25)).astype(np.uint64)
+        sets = []
+        for _ in range(int(r.integers(2, 50))):
+            s, k = base.copy(), r.integers(0, 4)
+            s[r.integers(0, len(s), k)] = r.integers(0, 2000, k).astype(np.uint64)
+            sets.append(np.unique(s[: max(1, len(s) - r.integers(0, 3))]))
+        least = {i: i for i in range(len(sets))}
+        both = [set(s.tolist()) for s in sets]
+        true = [(i, j) for i in least for j in range(i) if 100 * len(both[i] & both[j]) >= 80 * len(both[i] | both[j])]
+        got = near_dedup.local_links(sets, 80)
+        assert {(max(p), min(p)) for p in got} <= set(true)
+
+        def roots(links: list) -> list:
+            root = dict(least)
+            for _ in root:
+                for a, b in links:
+                    root[a] = root[b] = min(root[a], root[b])
+            return list(root.values())
+
+        assert roots(got) == roots(true)
+
+
+def test_near_copies_in_one_task_take_linear_time():
+    r = np.random.default_rng(0)
+    base = r.integers(0, 2**62, 12).astype(np.uint64)
+    sets = [np.unique(np.where(np.arange(12) == i % 12, np.uint64(2**62 + i), base)) for i in range(20_000)]
+    began = time.time()
+    assert len(near_dedup.local_links(sets, 80)) == 20_000 - 12 and time.time() - began < 5
+
+
+def test_pairs_at_the_threshold_are_found(spark):
+    """Recall of the bands: pairs of similarity 0.80 to 0.85."""
+    rows, linked = [], {}
+    for i in range(150):
+        words, n = [f"w{i}x{j}" for j in range(100)], 96
+        other = words[: 100 - (14 + i % 10)]
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(other))]
+        linked[2 * i + 1] = 100 * (len(other) - 4) >= 80 * n
+    got = {r.doc_id: r.kept for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 5, 80).collect()}
+    assert {i for i, link in linked.items() if link} == {i for i in linked if not got[i]} and 0 < sum(linked.values()) < len(linked)
 
 
 def test_sketches_fill_and_estimate():
