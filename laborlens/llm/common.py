@@ -40,6 +40,12 @@ def new_table(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/laborlens/{name}-{uuid.uuid4().hex}"
 
 
+def drop_table(spark: SparkSession, path: str) -> None:
+    """Removes a table that ``new_table`` named."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet in the shared folder and read again: columnar and compressed, for wide rows."""
     path = new_table(df.sparkSession, name)

@@ -6,7 +6,7 @@ the mix is a filter on the hash: nothing is sorted, and a smaller budget always
 
 Defined results: a null text has size 0; a null source is a source of its own and comes last; rows that repeat an id
 share its hash and are taken or left together; an empty table gives an empty mix; columns that are not used, whatever
-their names, pass through ``mixed`` untouched. A source of size 0 has target 0. Documents of equal hash form one
+their names, pass through ``mixed`` untouched, within its struct. A source of size 0 has target 0. Documents of equal hash form one
 group, which is taken if that brings the source nearer to its target.
 """
 
@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from laborlens.llm.common import cut, word_count
+from laborlens.llm.common import cut, lookup, word_count
 
 #: Bits of the hash and how many of them each level of the histogram looks at.
 BITS, STEP = 24, 8
@@ -30,7 +30,7 @@ def id_hash(c: Column) -> Column:
 
 
 def targets(sizes: DataFrame, weights: Sequence[float], share: float, most: float) -> DataFrame:
-    """Targets by source of ``sizes`` (source, source_size): ``share`` of all words, by weight, below a ceiling.
+    """Targets by source of ``sizes`` (source, source_size, n): ``share`` of all words, by weight, below a ceiling.
 
     Sources in code point order, null last, take the weights in turn. A target stops at ``most`` times its source's
     size and the excess goes to the others by weight. That is a common level: with sources in order of ceiling over
@@ -51,7 +51,7 @@ def targets(sizes: DataFrame, weights: Sequence[float], share: float, most: floa
     return (
         ranked.withColumn("nth_level", F.row_number().over(order))
         .withColumn("common", common)
-        .select("source", "source_size", F.when(F.col("stops"), F.col("ceiling")).otherwise(F.col("common") * F.col("weight")).alias("target"))
+        .select("source", "source_size", "n", F.when(F.col("stops"), F.col("ceiling")).otherwise(F.col("common") * F.col("weight")).alias("target"))
     )
 
 
@@ -85,20 +85,48 @@ def thresholds(docs: DataFrame, goals: DataFrame) -> DataFrame:
     return bounds.select(F.col("b_source").alias("source"), (F.col("low") + nearer.cast("long")).alias("cut_at"))
 
 
-def mix(docs: DataFrame, size: Column | None = None, weights: Sequence[float] = (5, 2, 1), share: float = 1.0, most: float = 3.0) -> DataFrame:
-    """How often each row of ``docs`` (doc_id, source, text) goes into the mix.
+#: Sources up to which their goals, a few numbers each, are broadcast; beyond, frequent sources alone are.
+MAP_SIDE_SOURCES = 100_000
+
+
+def _sized(size: Column | None) -> list[Column]:
+    return [(word_count(F.col("text")) if size is None else size).cast("long").alias("size"), id_hash(F.col("doc_id")).alias("h")]
 
-    Returns doc_id, size, source_size, target, taken (words, repeats counted). A target over its source's size takes
-    whole passes over the source, and the hash threshold decides on the last, partial one.
+
+def _times(rows: DataFrame, docs: DataFrame, weights: Sequence[float], share: float, most: float) -> DataFrame:
+    """``docs`` (source, size, h, ...) with source_size, target and times, as ``rows`` (source, size, h) decide.
+
+    A target over its source's size takes whole passes over the source, and the hash threshold decides on the last,
+    partial one.
     """
-    size = word_count(F.col("text")) if size is None else size
-    rows = cut(docs.select("doc_id", "source", size.cast("long").alias("size"), id_hash(F.col("doc_id")).alias("h")))
-    goals = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most)
+    goals = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n")), weights, share, most)
     goals = goals.withColumn("passes", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0))
     goals = cut(goals.withColumn("budget", F.col("target") - F.col("passes") * F.col("source_size")))
     at = thresholds(rows, goals).withColumnRenamed("source", "t_source")
-    goals = cut(goals.join(at, F.col("source").eqNullSafe(F.col("t_source")), "left").drop("t_source").withColumnRenamed("source", "g_source"))
-    takes = F.col("passes") + F.when(F.col("h") < F.col("cut_at"), 1).otherwise(0)
-    return rows.join(goals, F.col("source").eqNullSafe(F.col("g_source"))).select(
-        "doc_id", "size", "source_size", "target", (F.col("size") * takes).cast("long").alias("taken")
-    )
+    goals = goals.join(at, F.col("source").eqNullSafe(F.col("t_source")), "left")
+    # A source and whether it is null: keys that meet as they are.
+    key = [F.coalesce("source", F.lit("")).alias("key"), F.col("source").isNull().alias("none")]
+    goals = cut(goals.select(*key, "source_size", "target", "passes", "cut_at", "n"))
+    keyed = docs.select("*", *key)
+    if goals.count() <= MAP_SIDE_SOURCES:
+        met = keyed.join(F.broadcast(goals), ["key", "none"])
+    else:
+        met = lookup(keyed, goals, ["key", "none"], goals.agg(F.sum("n")).first()[0])
+    return met.withColumn("times", (F.col("passes") + F.when(F.col("h") < F.col("cut_at"), 1).otherwise(0)).cast("int"))
+
+
+def mix(docs: DataFrame, size: Column | None = None, weights: Sequence[float] = (5, 2, 1), share: float = 1.0, most: float = 3.0) -> DataFrame:
+    """How often each row of ``docs`` (doc_id, source, text) goes into the mix.
+
+    Returns doc_id, size, source_size, target, taken (words, repeats counted).
+    """
+    rows = cut(docs.select("doc_id", "source", *_sized(size)))
+    return _times(rows, rows, weights, share, most).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"))
+
+
+def mixed(docs: DataFrame, size: Column | None = None, weights: Sequence[float] = (5, 2, 1), share: float = 1.0, most: float = 3.0) -> DataFrame:
+    """The mix itself: (row, size, source_size, target, taken, times) with each row of ``docs`` as the struct ``row``."""
+    own = _sized(size)
+    whole = docs.select(F.struct("*").alias("row"), "source", *own)
+    found = _times(cut(docs.select("source", *own)), whole, weights, share, most)
+    return found.select("row", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"), "times")
