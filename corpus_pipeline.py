@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from laborlens.llm import decontam, lang_id, line_dedup, mixing, near_dedup
-from laborlens.llm.common import new_table
+from laborlens.llm.common import drop_table, new_table
 from laborlens.llm.queries import learned, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -34,19 +34,23 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What the mix takes of each document; documents that it takes nothing of go."""
-    return mixing.mix(docs, weights=(5, 2, 1), share=1.0, most=3.0).filter("taken > 0")
+    """The training mix: documents with the times that each goes in; documents that it takes nothing of go."""
+    found = mixing.mixed(docs.select(*COLUMNS), weights=(5, 2, 1), share=1.0, most=3.0).filter("taken > 0")
+    return found.select(*(F.col("row").getField(c).alias(c) for c in COLUMNS), "size", "source_size", "target", "taken", "times")
 
 
 STAGES = [("language ID", language), ("line dedup", lines), ("MinHash near-dedup", near_duplicates), ("benchmark decontamination", decontamination), ("mixing", mixture)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The last stage's table; those of earlier stages are removed once the next one is written."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         path = new_table(spark, name.replace(" ", "-"))
         stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        if before:
+            drop_table(spark, before)
+        docs, before = spark.read.parquet(path), path
     return docs
 
 
