@@ -97,6 +97,15 @@ def test_mix_reaches_targets(docs, rows):
     assert sorted(got) == sorted(mixing.mix(docs.repartition(3)).collect())
 
 
+@pytest.mark.parametrize("map_side", [mixing.MAP_SIDE_SOURCES, 0])
+def test_mixed_rows_keep_their_columns(docs, rows, map_side, monkeypatch):
+    monkeypatch.setattr(mixing, "MAP_SIDE_SOURCES", map_side)
+    got = mixing.mixed(docs).collect()
+    assert sorted((r.row.doc_id, r.row.text, r.row.source) for r in got if r.row.text) == sorted((r[0], r[1], r[3]) for r in rows if r[1])
+    assert all(r.row.key == "k" and r.row.target == 0.5 and r.taken == r.size * r.times for r in got) and len(got) == len(rows)
+    assert sorted((r.row.doc_id, r.taken) for r in got) == sorted((r.doc_id, r.taken) for r in mixing.mix(docs).collect())
+
+
 def test_smaller_budget_takes_a_subset(docs):
     less = {r.doc_id for r in mixing.mix(docs, share=0.3, most=1.0).collect() if r.taken}
     more = {r.doc_id for r in mixing.mix(docs, share=0.6, most=1.0).collect() if r.taken}
@@ -640,6 +649,7 @@ def test_viterbi_like_brute_force():
     lengths = np.array([1, 7, 30, 3])
     scores = r.normal(size=(41, 3)).astype(np.float32) * 3
     got, at = lang_id.viterbi(scores, lengths, 4.0), 0
+    assert lang_id.viterbi(np.eye(300, dtype=np.float32)[[280, 280, 280]] * 9, np.array([3]), 4.0).tolist() == [280] * 3
     for n in lengths:
         s = scores[at : at + n].astype(float)
         value, back = s[0], []
@@ -654,6 +664,64 @@ def test_viterbi_like_brute_force():
         at += n
 
 
+def test_prediction_like_brute_force(spark):
+    """Counts, script step, word scores, Viterbi and shares, word by word; ties, repeated rows and odd texts among them."""
+    from math import log
+
+    r = random.Random(11)
+    known = [(i, spoken(r, lang, 12), lang) for i, lang in enumerate(["en", "de", "ru"] * 4)] + [(90, "हिन्दी में", "hi"), (91, None, "en"), (92, "x", None)]
+    u = lambda n: np.array([n], np.uint64)
+    key = lambda g: int(lang_id.mix(u((ord(g[0]) * 0x110000 + ord(g[1]) + (1 << 60)) % 2**64) if len(g) == 2 else u(((ord(g[0]) * 0x110000 + ord(g[1])) * 0x110000 + ord(g[2])) % 2**64))[0]) % lang_id.BUCKETS
+    grams = lambda w: [key(b[i : i + n]) for b in [f"\x02{w}\x03"] for n in (2, 3) for i in range(len(b) - n + 1)]
+    counts: dict = {lang: Counter() for lang in ("de", "en", "hi", "ru")}
+    scripts: dict = {lang: Counter() for lang in counts}
+    for _, text, lang in known:
+        if text and lang:
+            for w in text.split():
+                counts[lang].update(grams(w))
+                scripts[lang][lang_id.script(w)] += 1
+    langs = sorted(counts)
+
+    def score(w: str, lang: str) -> float:
+        total = sum(counts[lang].values()) + 0.5 * lang_id.BUCKETS
+        competes = scripts[lang][lang_id.script(w)] > 0.001 * sum(scripts[lang].values()) or not any(scripts[x][lang_id.script(w)] for x in langs)
+        return sum(log((counts[lang][g] + 0.5) / total) for g in grams(w)) - (0 if competes else 1000)
+
+    def predicted(text: str | None) -> tuple:
+        words = re.findall(r"[a-zäöüа-яё\u0900-\u097f]+", (text or "").lower())
+        if not words:
+            return "und", 0.0
+        value, back = [score(words[0], x) for x in langs], []
+        for w in words[1:]:
+            step = [[value[i] - (lang_id.PENALTY if i != j else 0) for i in range(len(langs))] for j in range(len(langs))]
+            back.append([max(range(len(langs)), key=lambda i: (step[j][i], -i)) for j in range(len(langs))])
+            value = [max(step[j]) + score(w, x) for j, x in enumerate(langs)]
+        path = [max(range(len(langs)), key=lambda i: (value[i], -i))]
+        for b in back[::-1]:
+            path.append(b[path[-1]])
+        weight = Counter()
+        for w, i in zip(words, path[::-1], strict=True):
+            weight[i] += sum(map(str.isalpha, w))
+        best = max(weight, key=lambda i: (weight[i], -i))
+        return langs[best], weight[best] / sum(weight.values())
+
+    texts = [*(t for _, t, _ in known), "Schichung THE ing ова", f"{spoken(r, 'en', 15)} {spoken(r, 'ru', 9)} {spoken(r, 'de', 12)}", "", " 12", "zz qq", "में the", spoken(r, "de", 40), spoken(r, "de", 40)]
+    rows = [(i, t) for i, t in enumerate([*texts, texts[0]])]
+    model = lang_id.fit(spark.createDataFrame(known, "doc_id long, text string, lang string"))
+    assert model.langs == langs
+    got = {x.doc_id: (x.lang_pred, x.score) for x in lang_id.identify(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    for i, t in rows:
+        want = predicted(t)
+        assert got[i][0] == want[0] and got[i][1] == pytest.approx(want[1]), t
+    assert got[len(texts)] == got[0]
+
+
+def test_every_language_is_sampled(spark):
+    rows = [(i, "en") for i in range(20_000)] + [(i, "xx") for i in range(30)]
+    got = Counter(r.lang for r in lang_id.sample(spark.createDataFrame(rows, "doc_id long, lang string"), 500).collect())
+    assert got["xx"] == 30 and 400 < got["en"] < 600
+
+
 def test_held_out_is_crc32(spark):
     import zlib
 
@@ -667,9 +735,10 @@ def test_held_out_is_crc32(spark):
 def test_urls_like_brute_force(spark):
     rules = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"), ("com", "/de/", "allow"), ("b.example.org", "", "block")]
     urls = ["http://a.example.org/en/12?x", "HTTP://EXAMPLE.org/es/", "x://myexample.org/es/", "http://org", "http://org/", "https://w.com/fr/a#b", "https://com/de/", "https://b.example.org", "no scheme", "", None, "http:///a", "a://b.com?/fr/", "u://x.com:80/fr/", "a://B.Example.Org/en/1\nb/c", "http://" + "a." * 200 + "com/de/" + "p" * 5000]
-    table = spark.createDataFrame([(i, u, 1) for i, u in enumerate(urls)] + [(0, urls[0], 1)], "page_id long, url string, rule int")
+    table = spark.createDataFrame([(i, u, 1) for i, u in enumerate(urls)] + [(0, urls[0], 1)] * 30 + [(10, None, 1)], "page_id long, url string, rule int")
+    table = table.withColumns({c: F.lit(1) for c in ("host", "path", "n", "best", "is_hot_key", "verdict")})
     got = url_filter.judge(table, spark.createDataFrame(rules, "host string, path string, action string")).collect()
-    assert len(got) == len(urls) + 1
+    assert len(got) == len(urls) + 31
     for r in got:
         u = urls[r.page_id] or ""
         rest = u[u.index("://") + 3 :] if "://" in u else ""
@@ -680,4 +749,4 @@ def test_urls_like_brute_force(spark):
         best = max(fits, default=(0, 0, False, None, "allow"))
         assert (r.host, r.path, r.rule, r.verdict) == (host, path, best[3], best[4]), u
     assert url_filter.judge(table.limit(0), spark.createDataFrame(rules, "host string, path string, action string")).count() == 0
-    assert url_filter.judge(table, spark.createDataFrame([], "host string, path string, action string"), "block").filter("verdict = 'block'").count() == len(urls) + 1
+    assert url_filter.judge(table, spark.createDataFrame([], "host string, path string, action string"), "block").filter("verdict = 'block'").count() == len(urls) + 31

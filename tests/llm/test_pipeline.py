@@ -72,4 +72,4 @@ def test_accuracy_on_held_out_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = queries.op9_language_id(spark, "/root/testdata/sf0.01").join(docs.select("doc_id", "lang"), "doc_id").filter("held_out and lang_pred <> 'und'")
     assert got.filter(F.col("lang") == F.col("lang_pred")).count() > 0.97 * got.count()
-    assert lang_id.fit(docs, max_docs=200).langs == ["de", "en", "es", "fr"]
+    assert lang_id.fit(docs, per_lang=50).langs == ["de", "en", "es", "fr"]
