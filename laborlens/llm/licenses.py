@@ -2,9 +2,9 @@
 
 Passages are lines, windows of up to ``WINDOW`` neighbouring lines, and whole files; templates are one-line statements,
 the notices that stand at the head of files, and licence texts (``license_texts/``; those of the Creative Commons BY
-licences are not among them). Document frequencies are counted over all files. In ``scan`` no token weighs more, for a
-template, than the median token of that template: a token that few files or none hold would else outweigh all others as
-the corpus grows, and statements without it would be lost.
+licences are not among them). Document frequencies of all words are counted over all files. In ``scan`` no token weighs
+more, for a template, than the median token of that template: a token that few files or none hold would else outweigh
+all others as the corpus grows, and statements without it would be lost.
 
 By the Cauchy-Schwarz inequality a passage reaches the threshold only if it holds some of the template's leading words:
 the rarest, down to where the rest of the template weighs less than the threshold; how many it takes follows from their
@@ -13,9 +13,9 @@ template's leading words are scored; no other can pass. The best passage makes a
 the licence that most of their licensed files state (ties by name), and a file without one takes that of its nearest
 ancestor directory.
 
-Defined results: null or empty texts and paths have no licence of their own; a file at the root, or without a path,
-inherits from the root directory ``""``; repeated rows count as often as they come; an empty table gives none. Ties
-between templates go to the first by name. Other columns may have any name.
+Defined results: null or empty texts and paths have no licence of their own; a file without a key is judged like any
+other; a file at the root, or without a path, inherits from the root directory ``""``; repeated rows count as often as
+they come; an empty table gives none. Ties between templates go to the first by name. Other columns may have any name.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ from statistics import median
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from laborlens.llm.common import LOWER, UPPER, ascii_lower, cut
+from laborlens.llm.common import LOWER, UPPER, ascii_lower, cut, lookup
 
 TOKEN = r"[a-z0-9][a-z0-9.+-]*[a-z0-9]|[a-z0-9]"
 #: Statements by which files name their licence.
@@ -89,13 +89,13 @@ def _those(words: Column | str, wanted: list[str]) -> Column:
     return F.filter(words, lambda t: t.isin(wanted))
 
 
-def _weights(docs: DataFrame, vocabulary: list[str]) -> tuple[dict[str, float], float]:
-    """The idf of each token of the templates, and that of a token that no document holds."""
-    held = F.array_distinct(_those(tokens(F.col("text")), vocabulary))
-    # As large as the templates.
-    counts = {r.token: r["count"] for r in docs.select(F.explode(held).alias("token")).groupBy("token").count().collect()}
-    n = docs.count()
-    return {t: math.log((n + 1) / (counts.get(t, 0) + 1)) + 1 for t in vocabulary}, math.log(n + 1) + 1
+def _frequencies(docs: DataFrame) -> DataFrame:
+    """(token, n): the files that hold each token. Tokens are counted map-side."""
+    return cut(docs.select(F.explode(F.array_distinct(tokens(F.col("text")))).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n")))
+
+
+def _idf(files: int, n: Column) -> Column:
+    return F.log((files + 1) / (n + 1)) + 1
 
 
 def _leading(weight: dict[str, float], idf: dict[str, float], least: float) -> tuple[list[str], int]:
@@ -128,8 +128,11 @@ def own_licenses(docs: DataFrame, templates: dict[str, str] | list[tuple[str, st
     if not known:
         return docs.select("key").limit(0).withColumns({"license": F.lit(None).cast("string"), "score": F.lit(None).cast("double")})
     vocabulary = sorted({t for _, words in known for t in words})
-    idf, unseen = _weights(docs, vocabulary)
-    caps = [median(idf[t] for t in set(words)) if capped else unseen for _, words in known]
+    frequency, files = _frequencies(docs), docs.count()
+    # As large as the templates.
+    seen = {r.token: r.n for r in frequency.filter(F.col("token").isin(vocabulary)).collect()}
+    idf = {t: math.log((files + 1) / (seen.get(t, 0) + 1)) + 1 for t in vocabulary}
+    caps = [median(idf[t] for t in set(words)) if capped else math.inf for _, words in known]
     weights = [{t: n * min(idf[t], cap) for t, n in Counter(words).items()} for (_, words), cap in zip(known, caps, strict=True)]
     norms = [math.sqrt(sum(w * w for w in weight.values())) for weight in weights]
     leading = [_leading(weight, idf, least) for weight in weights]
@@ -145,10 +148,14 @@ def own_licenses(docs: DataFrame, templates: dict[str, str] | list[tuple[str, st
     enough = [F.size(_those("held", words)) >= n for words, n in leading]
     passages = passages.filter(reduce(operator.or_, enough)).select("key", "t").withColumn("line", F.monotonically_increasing_id())
     terms = passages.select("key", "line", F.explode("t").alias("token")).groupBy("key", "line", "token").agg(F.count(F.lit(1)).alias("tf"))
+    terms = cut(terms)
+    used = terms.groupBy("token").agg(F.count(F.lit(1)).alias("n")).join(frequency.withColumnRenamed("n", "df"), "token")
+    used = cut(used.select("token", "n", _idf(files, F.col("df")).alias("idf")))
+    terms = lookup(terms, used, ["token"], used.agg(F.sum("n")).first()[0] or 0)
     # Bounded by the templates: one row a token.
-    table = spark.createDataFrame([(t, [w.get(t, 0.0) for w in weights], [min(idf[t], c) for c in caps]) for t in vocabulary], "v string, w array<double>, c array<double>")
+    table = spark.createDataFrame([(t, [w.get(t, 0.0) for w in weights]) for t in vocabulary], "v string, w array<double>")
     terms = terms.join(F.broadcast(table), F.col("token") == F.col("v"), "left")
-    own = [F.col("tf") * F.coalesce(F.get("c", F.lit(i)), F.lit(float(c))) for i, c in enumerate(caps)]
+    own = [F.col("tf") * F.least("idf", F.lit(c)) for c in caps]
     sums = [e for i, o in enumerate(own) for e in (F.sum(o * F.get("w", F.lit(i))).alias(f"d{i}"), F.sum(o * o).alias(f"n{i}"))]
     scored = terms.groupBy("key", "line").agg(*sums)
     score = [F.round(F.coalesce(F.col(f"d{i}"), F.lit(0.0)) / F.sqrt(f"n{i}") / norms[i], 9) for i in range(len(known))]
@@ -169,16 +176,19 @@ def scan(files: DataFrame, templates: dict[str, str] | list[tuple[str, str]] | N
     null where the licence is the file's own or there is none. Without ``templates``, all known texts are looked for.
     """
     templates = known_texts() if templates is None else templates
-    own = cut(own_licenses(files.select("key", "text"), templates, least, capped=True)).select(F.col("key").alias("own_key"), F.col("license").alias("own_license"), "score")
-    placed = files.select("key", "path", directory(F.col("path")).alias("dir"))
-    met = placed.join(own, F.col("key") == F.col("own_key"), "left").drop("own_key")
-    stated = placed.join(own, F.col("key") == F.col("own_key")).groupBy("dir", "own_license").count()
+    row = F.struct("key", "path", F.xxhash64("text").alias("t"))  # equal in all parts, null or not
+    own = cut(own_licenses(files.select(row.alias("key"), "text"), templates, least, capped=True)).select(F.col("key").alias("own_key"), F.col("license").alias("own_license"), "score")
+    placed = files.select(row.alias("row"), directory(F.col("path")).alias("dir"))
+    met = cut(placed.join(own, F.col("row") == F.col("own_key"), "left").select(F.col("row.key").alias("key"), F.col("row.path").alias("path"), "dir", "own_license", "score"))
+    stated = met.filter("own_license is not null").groupBy("dir", "own_license").count()
     by_dir = stated.groupBy(F.col("dir").alias("above")).agg(F.min(F.struct(-F.col("count"), F.col("own_license").alias("l"))).alias("m")).select("above", F.col("m.l").alias("inherited"))
     # Every directory once, with all directories above it: as many rows as paths are deep.
-    dirs = placed.select("dir").distinct()
+    dirs = met.groupBy("dir").agg(F.count(F.lit(1)).alias("n"))
     parts = F.split("dir", "/")
-    up = dirs.select("dir", F.explode(F.concat(F.array(F.lit("")), F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/")))).alias("above"))
-    nearest = up.distinct().join(by_dir, "above").groupBy("dir").agg(F.max(F.struct(F.length("above").alias("n"), "above", "inherited")).alias("a"))
-    nearest = nearest.select(F.col("dir").alias("n_dir"), F.col("a.above").alias("license_dir"), F.col("a.inherited").alias("inherited"))
-    out = met.join(nearest, F.col("dir") == F.col("n_dir"), "left")
+    above = F.array_distinct(F.concat(F.array(F.lit("")), F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))))
+    up = cut(dirs.select("dir", F.col("n").alias("files"), F.explode(above).alias("above")))
+    known = cut(up.groupBy("above").agg(F.count(F.lit(1)).alias("n")).join(by_dir, "above"))
+    nearest = lookup(up, known, ["above"], up.count()).groupBy("dir").agg(F.max(F.struct(F.length("above").alias("n"), "above", "inherited")).alias("a"), F.first("files").alias("n"))
+    nearest = cut(nearest.select("dir", "n", F.col("a.above").alias("license_dir"), "a.inherited"))
+    out = lookup(met, nearest, ["dir"], met.count(), "left")
     return out.select("key", "path", "own_license", "score", F.coalesce("own_license", "inherited").alias("license"), F.when(F.col("own_license").isNull(), F.col("license_dir")).alias("license_dir"))

@@ -268,13 +268,65 @@ def test_licenses_and_inheritance(spark, none):
     assert licenses.scan(none.select(F.col("doc_id").alias("key"), F.col("source").alias("path"), "text")).collect() == []
 
 
-def cosine_by_hand(texts: list, line: str, template: str) -> float:
+def cosine_by_hand(texts: list, line: str, template: str, capped: bool = False) -> float:
     words = lambda t: re.findall(licenses.TOKEN, t.lower())
-    vocabulary = {w for t in licenses.TEMPLATES.values() for w in words(t)}
-    idf = lambda w: np.log((len(texts) + 1) / (sum(w in words(t or "") for t in texts) * (w in vocabulary) + 1)) + 1
+    held = [set(words(t or "")) for t in texts]
+    idf = lambda w: np.log((len(texts) + 1) / (sum(w in h for h in held) + 1)) + 1
     a, b = words(line), words(template)
-    va, vb = ({w: x.count(w) * idf(w) for w in x} for x in (a, b))
-    return sum(va[w] * vb.get(w, 0) for w in va) / np.sqrt(sum(v * v for v in va.values()) * sum(v * v for v in vb.values()))
+    cap = np.median([idf(w) for w in set(b)]) if capped else np.inf
+    va, vb = ({w: x.count(w) * min(idf(w), cap) for w in x} for x in (a, b))
+    return sum(va[w] * vb.get(w, 0) for w in va) / np.sqrt(sum(v * v for v in va.values()) * sum(v * v for v in vb.values())) if a else 0.0
+
+
+def licenses_by_hand(files: list[tuple], least: float) -> list[tuple]:
+    """(key, own, license, license_dir) by all passages and all templates, and by walking up the directories."""
+    known = licenses.TEMPLATES
+    texts = [t for _, _, t in files]
+
+    def own(text: str | None) -> str | None:
+        rows = (text or "").split("\n")
+        passages = {"\n".join(rows[a : b + 1]) for a in range(len(rows)) for b in range(a, min(len(rows), a + licenses.WINDOW))} | {text or ""}
+        best = max(((round(cosine_by_hand(texts, p, t, True), 9), -i, n) for p in passages for i, (n, t) in enumerate(sorted(known.items()))))
+        return best[2] if best[0] >= least else None
+
+    found = {t: own(t) for t in {*texts}}
+    directory = lambda path: path.rpartition("/")[0] if path else ""
+    stated: dict = {}
+    for _, path, text in files:
+        if found[text]:
+            stated.setdefault(directory(path), Counter())[found[text]] += 1
+    out = []
+    for key, path, text in files:
+        at, where = directory(path), None
+        while where is None:
+            if at in stated:
+                where = at
+            elif not at:
+                break
+            at = directory(at)
+        license = found[text] or (where is not None and min(stated[where], key=lambda n: (-stated[where][n], n))) or None
+        out.append((key, found[text], license, where if not found[text] else None))
+    return out
+
+
+def test_scan_like_brute_force(spark):
+    r = random.Random(9)
+    plain = ["some words of code", "license of nobody", "x = 1", "the work is public", "version 2 of the general idea"]
+    files = []
+    for i in range(120):
+        path = "/".join(r.choices("abc", k=r.randint(0, 4)) + [f"f{i}"])
+        rows = r.choices(plain, k=r.randint(0, 4)) + r.choices(sorted(licenses.TEMPLATES.values()), k=r.random() < 0.25)
+        if r.random() < 0.1:  # a statement over two lines
+            rows += licenses.TEMPLATES["MPL-2.0"].split(" the ", 1)
+        r.shuffle(rows)
+        files.append((i if i % 9 else None, path if i % 13 else None, "\n".join(rows) if i % 17 else None))
+    files += [files[0], files[5], files[5]]
+    table = spark.createDataFrame(files, "key long, path string, text string").withColumns({c: F.lit("x") for c in ("dir", "above", "license", "score", "row", "token")})
+    got = licenses.scan(table, licenses.TEMPLATES).collect()
+    nulls = lambda rows: sorted(rows, key=lambda x: [str(v) for v in x])
+    want = licenses_by_hand(files, 0.75)
+    assert nulls((x.key, x.own_license, x.license, x.license_dir) for x in got) == nulls(want)
+    assert len({w[1] for w in want}) > 5 and sum(w[2] is not None and w[1] is None for w in want) > 20 and any(w[0] is None and w[1] for w in want)
 
 
 def test_license_scores_are_cosines(spark):
