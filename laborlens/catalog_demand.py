@@ -106,6 +106,18 @@ def open_(start: str, stop: str) -> str:
 
 NOW, BEFORE = open_("2001-06-15", "2001-07-15"), open_("2001-05-16", "2001-06-15")
 
+FAMILY_MOVES = {
+    **SERIES,
+    **ACTIVE,
+    "fam": "SELECT * FROM (VALUES (1, 'Odd'), (3, 'Odd'), (5, 'Odd'), (2, 'Even'), (4, 'Even')) f(role_id, family)",
+    "family_movers": f"""SELECT family, sector, first_stock, last_stock, {growth('last_stock', 'first_stock')} AS growth, cohort, round(least(1.0, cohort / 30.0), 2) AS confidence FROM (
+            SELECT family, CAST(sum(stock) FILTER (WHERE month = 0) AS BIGINT) AS first_stock, CAST(sum(stock) FILTER (WHERE month = 2) AS BIGINT) AS last_stock, sum(flow) FILTER (WHERE month = 0) AS f0, sum(flow) FILTER (WHERE month = 2) AS f2 FROM series JOIN fam USING (role_id) GROUP BY family)
+            JOIN (SELECT family, count(DISTINCT company_id) AS cohort FROM cohort JOIN fam USING (role_id) GROUP BY family HAVING count(DISTINCT company_id) >= 10) USING (family)
+            JOIN (SELECT family, arg_max(sector, (n, sector)) AS sector FROM (SELECT family, job_family AS sector, count(*) AS n FROM active a JOIN fam USING (role_id) JOIN roles r ON r.id = a.role_id GROUP BY ALL) GROUP BY family) USING (family)
+            WHERE sign(last_stock - first_stock) = sign(f2 - f0) AND abs(last_stock - first_stock) >= 5""",
+}
+
+
 ENTRIES: dict[str, tuple] = {
     "c01_skill_demand": (lambda s: d.skill_demand(s, P), sql(f"SELECT role_id, skill_id, name, category, job_count, demand_pct, {pct('req', 'job_count', 0)} AS required_pct, {pct('job_count - req', 'job_count', 0)} AS preferred_pct, rank FROM ranked WHERE rank <= 150", DEMAND)),
     "c02_skill_growth": (
@@ -175,11 +187,12 @@ ENTRIES: dict[str, tuple] = {
     ),
     "c14_remote_split": (lambda s: d.remote_split(s), sql("SELECT role_id, count(*) FILTER (WHERE location_is_remote) AS remote, count(*) FILTER (WHERE NOT location_is_remote) AS onsite FROM active GROUP BY role_id", ACTIVE)),
     "c17_role_cards": (
-        lambda s: d.role_cards(s, P, callouts=[("small ring", "soft"), ("red widget", "technical"), ("blue bolt", "technical"), ("large gear", "domain")], within=30, k=30),
+        lambda s: d.role_cards(s, P, callouts=[("Small Ring", "Africa"), ("red widget", "america"), ("blue bolt", "AMERICA"), ("large gear", "asia"), ("small bolt", "africa"), ("red gear", "europe"), ("blue ring", "middle east")], within=30, k=30),
         sql(
-            """SELECT role_id, rank, skill_id, least(demand_pct, 100.0) AS demand_pct, callout FROM ranked LEFT JOIN (
-            SELECT role_id, min_by(name, rule) AS callout FROM ranked r JOIN (VALUES (0, 'small ring', 'soft'), (1, 'red widget', 'technical'), (2, 'blue bolt', 'technical'), (3, 'large gear', 'domain')) c(rule, n, cat) ON lower(name) = n AND category = cat
-            WHERE rank <= 30 GROUP BY role_id) USING (role_id) WHERE rank <= 30""",
+            """SELECT r.role_id, rank, skill_id, pct, c.name AS callout, c.rank_ AS callout_rank, c.pct_ AS callout_pct FROM (SELECT *, least(round(demand_pct, 0), 100.0) AS pct FROM ranked WHERE rank <= 30) r LEFT JOIN (
+            SELECT role_id, arg_min(k.name, rule) AS name, arg_min(k.rank, rule) AS rank_, arg_min(least(round(k.demand_pct, 0), 100.0), rule) AS pct_ FROM ranked k JOIN roles o ON o.id = k.role_id
+            JOIN (VALUES (0, 'small ring', 'africa'), (1, 'red widget', 'america'), (2, 'blue bolt', 'america'), (3, 'large gear', 'asia'), (4, 'small bolt', 'africa'), (5, 'red gear', 'europe'), (6, 'blue ring', 'middle east')) c(rule, n, cat) ON lower(k.name) = n AND lower(o.category) = cat
+            WHERE k.rank <= 30 GROUP BY role_id) c ON c.role_id = r.role_id""",
             DEMAND,
         ),
     ),
@@ -241,17 +254,7 @@ ENTRIES: dict[str, tuple] = {
     ),
     "c48_stock_and_flow": (lambda s: t.stock_and_flow(s, P), sql('SELECT role_id, cohort, month, "start", partial, stock, flow FROM series', SERIES)),
     "c49_role_movers": (lambda s: t.role_movers(s, P), sql("SELECT m.role_id, label, sector, m.first_stock, m.last_stock, m.growth, round(m.growth - k.growth, 1) AS vs_market, m.cohort, confidence FROM movers m CROSS JOIN market k", MOVERS)),
-    "c50_family_movers": (
-        lambda s: t.family_movers(s, s.jobs.sparkSession.createDataFrame(FAMILIES, "role_id long, family string"), P),
-        sql(
-            f"""SELECT family, sector, first_stock, last_stock, {growth('last_stock', 'first_stock')} AS growth, cohort, round(least(1.0, cohort / 30.0), 2) AS confidence FROM (
-            SELECT family, CAST(sum(stock) FILTER (WHERE month = 0) AS BIGINT) AS first_stock, CAST(sum(stock) FILTER (WHERE month = 2) AS BIGINT) AS last_stock, sum(flow) FILTER (WHERE month = 0) AS f0, sum(flow) FILTER (WHERE month = 2) AS f2 FROM series JOIN fam USING (role_id) GROUP BY family)
-            JOIN (SELECT family, count(DISTINCT company_id) AS cohort FROM cohort JOIN fam USING (role_id) GROUP BY family HAVING count(DISTINCT company_id) >= 10) USING (family)
-            JOIN (SELECT family, arg_max(sector, (n, sector)) AS sector FROM (SELECT family, job_family AS sector, count(*) AS n FROM active a JOIN fam USING (role_id) JOIN roles r ON r.id = a.role_id GROUP BY ALL) GROUP BY family) USING (family)
-            WHERE sign(last_stock - first_stock) = sign(f2 - f0) AND abs(last_stock - first_stock) >= 5""",
-            {**SERIES, **ACTIVE, "fam": "SELECT * FROM (VALUES (1, 'Odd'), (3, 'Odd'), (5, 'Odd'), (2, 'Even'), (4, 'Even')) f(role_id, family)"},
-        ),
-    ),
+    "c50_family_movers": (lambda s: t.family_movers(s, s.jobs.sparkSession.createDataFrame(FAMILIES, "role_id long, family string"), P), sql("SELECT * FROM family_movers", FAMILY_MOVES)),
     "c51_boards": (
         lambda s: t.boards(t.role_movers(s, P), replace(P, sector_min=1)),
         sql(

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from datetime import date
-
 from pyspark.sql import functions as F
 
 from laborlens.catalog_demand import ACTIVE, DEMAND, P
-from laborlens.catalog_people import SKILL_GROWTH
+from laborlens.catalog_people import DRIVEN, MATCHES, POSITION, SKILL_GROWTH
 from laborlens.catalog_upkeep import CANDIDATES, candidates, star_query
-from laborlens.functions import numbers, titles
-from laborlens.operators import demand, enrich, filters, maintain, trends
+from laborlens.functions import numbers
+from laborlens.operators import demand, filters, maintain, trends
 from laborlens.plans import role_insights, week_snapshots
 from laborlens.sources import tables
 from laborlens.star import Star, sql
@@ -19,15 +17,15 @@ from laborlens.streaming import jobs as streams
 
 def asked_roles(s: Star):
     """Names to look up: titles of roles, of variations, parts of titles, and strangers."""
-    exact = s.roles.filter("id < 3").select(F.upper("normalized_title").alias("name"))
-    known = s.jobs.filter("role_id = 5").select("title").distinct().select(F.col("title").alias("name"))
-    parts = s.roles.filter("id > 6").select(F.substring_index("normalized_title", " ", 1).alias("name"))
+    exact = s.roles.select(F.upper("normalized_title").alias("name"))
+    known = s.jobs.filter("role_id is not null").select("title").distinct().select(F.col("title").alias("name"))
+    parts = s.roles.select(F.substring_index("normalized_title", " ", 1).alias("name"))
     return exact.unionByName(known).unionByName(parts).unionByName(s.roles.limit(1).select(F.lit("stranger").alias("name")))
 
 
 def bridge(s: Star):
-    rows = s.job_skills.filter("skill_id < 15").join(s.jobs.select(F.col("id").alias("job_id"), "company_id"), "job_id").join(s.skills.select(F.col("id").alias("skill_id"), "name"), "skill_id")
-    return rows.filter("company_id % 11 < skill_id").select(F.concat(F.lit("new "), "name").alias("name"), "job_id", "company_id")
+    rows = s.job_skills.join(s.jobs.select(F.col("id").alias("job_id"), "company_id"), "job_id").join(s.skills.select(F.col("id").alias("skill_id"), "name"), "skill_id")
+    return rows.filter("company_id % 11 < skill_id % 12").select(F.concat(F.lit("new "), "name").alias("name"), "job_id", "company_id")
 
 
 def reviewed(s: Star):
@@ -49,10 +47,10 @@ DECIDED = {
 
 ENTRIES: dict[str, tuple] = {
     "f09_find_role": (
-        star_query(lambda s: filters.find_role(asked_roles(s), s.roles, s.jobs.filter("role_id = 5").groupBy(F.col("title").alias("original_title")).agg(F.min("role_id").alias("role_id")))),
+        star_query(lambda s: filters.find_role(asked_roles(s), s.roles, s.jobs.filter("role_id is not null").groupBy(F.col("title").alias("original_title")).agg(F.min("role_id").alias("role_id")))),
         sql(
-            """SELECT upper(normalized_title) AS name, id AS role_id, 'title' AS how FROM roles WHERE id < 3 UNION ALL SELECT DISTINCT title, 5, CASE WHEN lower(title) = 'nation_5 engineer' THEN 'title' ELSE 'variation' END FROM jobs WHERE role_id = 5
-            UNION ALL SELECT string_split(normalized_title, ' ')[1], id, 'substring' FROM roles WHERE id > 6"""
+            """SELECT upper(normalized_title) AS name, id AS role_id, 'title' AS how FROM roles UNION ALL SELECT title, coalesce(any_value(r.id), min(role_id)), CASE WHEN any_value(r.id) IS NOT NULL THEN 'title' ELSE 'variation' END FROM jobs LEFT JOIN roles r ON lower(r.normalized_title) = lower(title) WHERE role_id IS NOT NULL GROUP BY title
+            UNION ALL SELECT n, min(id), 'substring' FROM (SELECT DISTINCT string_split(normalized_title, ' ')[1] AS n FROM roles) JOIN roles ON contains(lower(normalized_title), lower(n)) GROUP BY n"""
         ),
     ),
     "f10_suggest_roles": (
@@ -82,13 +80,13 @@ ENTRIES: dict[str, tuple] = {
     ),
     "m19_promotable": (
         star_query(lambda s: maintain.promotable(bridge(s).select("name").distinct().withColumn("status", F.when(F.col("name") < "new c", "approved").otherwise("pending")), bridge(s), 10, 10)),
-        sql("SELECT name, count(DISTINCT job_id) AS jobs, count(DISTINCT company_id) AS companies FROM b WHERE name >= 'new c' GROUP BY name HAVING count(DISTINCT job_id) >= 10 AND count(DISTINCT company_id) >= 10", {"b": "SELECT 'new ' || s.name AS name, job_id, company_id FROM job_skills JOIN jobs j ON j.id = job_id JOIN skills s ON s.id = skill_id WHERE skill_id < 15 AND company_id % 11 < skill_id"}),
+        sql("SELECT name, count(DISTINCT job_id) AS jobs, count(DISTINCT company_id) AS companies FROM b WHERE name >= 'new c' GROUP BY name HAVING count(DISTINCT job_id) >= 10 AND count(DISTINCT company_id) >= 10", {"b": "SELECT 'new ' || s.name AS name, job_id, company_id FROM job_skills JOIN jobs j ON j.id = job_id JOIN skills s ON s.id = skill_id WHERE company_id % 11 < skill_id % 12"}),
     ),
     "m20_promote": (
         star_query(lambda s: maintain.promote(s.skills, s.job_skills, bridge(s), bridge(s).select("name").distinct())[1]),
         sql(
             "SELECT job_id, skill_id, is_required FROM job_skills UNION ALL SELECT DISTINCT job_id, (SELECT max(id) FROM skills) + dense_rank() OVER (ORDER BY name), true FROM b",
-            {"b": "SELECT 'new ' || s.name AS name, job_id, company_id FROM job_skills JOIN jobs j ON j.id = job_id JOIN skills s ON s.id = skill_id WHERE skill_id < 15 AND company_id % 11 < skill_id"},
+            {"b": "SELECT 'new ' || s.name AS name, job_id, company_id FROM job_skills JOIN jobs j ON j.id = job_id JOIN skills s ON s.id = skill_id WHERE company_id % 11 < skill_id % 12"},
         ),
     ),
     "m21_decided_jobs": (
@@ -132,18 +130,17 @@ ENTRIES: dict[str, tuple] = {
         sql("SELECT id, scraped_at FROM jobs WHERE scraped_at > (SELECT max(posted_at) FROM jobs WHERE id < 3 AND is_active)"),
     ),
     "c37_next_weeks": (
-        star_query(lambda s: week_snapshots.upsert_weeks(s.person_weeks, s.person_weeks.filter("person_id % 2 = 0").select("person_id", F.lit(date(2024, 2, 5)).alias("week_start"), "position_score").groupBy("person_id", "week_start").agg(F.max("position_score").alias("position_score")))),
-        sql("SELECT * FROM person_weeks UNION ALL SELECT person_id, DATE '2024-02-05', max(position_score) FROM person_weeks WHERE person_id % 2 = 0 GROUP BY person_id"),
-    ),
-    "x16_candidate_kinds": (
-        star_query(lambda s: s.skills.select("name", enrich.candidate_kind(F.concat("name", F.when(F.col("id") % 3 == 0, " api").when(F.col("id") % 3 == 1, " leadership").otherwise(" x"))).alias("kind"))),
-        sql("SELECT name, CASE id % 3 WHEN 0 THEN 'technical' WHEN 1 THEN 'soft' ELSE 'domain' END AS kind FROM skills"),
+        star_query(lambda s: week_snapshots.next_weeks(s, P)),
+        sql("SELECT person_id, week_start, position_score FROM person_weeks WHERE (person_id, week_start) NOT IN (SELECT (person_id, DATE '2001-07-09') FROM position) UNION ALL SELECT person_id, DATE '2001-07-09', score FROM position", POSITION),
     ),
-    "x18_canonical_names": (
-        star_query(lambda s: enrich.canonical_names(s.skills.select("name"), s.skills.filter("id % 2 = 0").select(F.upper("name").alias("synonym"), F.lit("even").alias("canonical")))),
-        sql("SELECT name, CASE WHEN id % 2 = 0 THEN 'even' ELSE lower(name) END AS canonical FROM skills"),
+    "c37_week_snapshots": (
+        star_query(lambda s: week_snapshots.snapshot(s, P)),
+        sql(
+            """SELECT person_id, DATE '2001-07-09' AS week_start, score AS position_score, coalesce(matches, 0) AS matches, best_job, drivers FROM position LEFT JOIN (SELECT person_id, max(total_count) AS matches, arg_min(job_id, rank) AS best_job FROM matches GROUP BY person_id) USING (person_id)
+            LEFT JOIN (SELECT person_id, string_agg(text, '; ' ORDER BY rank) AS drivers FROM driven GROUP BY person_id) USING (person_id)""",
+            {**POSITION, **MATCHES, **DRIVEN},
+        ),
     ),
-    "x28_noise_titles": (star_query(lambda s: s.jobs.select("title").distinct().filter(titles.is_noise(F.concat("title", F.when(F.col("title").contains("Remote"), " volunteer").otherwise(""))))), sql("SELECT DISTINCT title FROM jobs WHERE title LIKE '%Remote%'")),
     "x41_weeks": (star_query(lambda s: s.jobs.groupBy(numbers.iso_week_start(F.col("posted_at")).alias("week")).agg(F.count(F.lit(1)).alias("n"))), sql("SELECT CAST(date_trunc('week', posted_at) AS DATE) AS week, count(*) AS n FROM jobs GROUP BY ALL")),
 }
 

@@ -59,12 +59,29 @@ ROLLUP = {
     "rollup": """SELECT cohort_id, p.person_id, now AS latest, before AS previous, delta, (SELECT count(*) FROM person_skills s WHERE s.person_id = p.person_id AND status = 'learning') AS learning,
        (SELECT count(*) FROM person_weeks w WHERE w.person_id = p.person_id) AS weeks_tracked FROM persons p LEFT JOIN history h ON h.person_id = p.person_id""",
 }
+POSITION = {
+    **EXPOSURE,
+    **HAVE,
+    "position": """SELECT person_id, role_id, round(coverage, 4) AS coverage, round(momentum, 4) AS momentum, round(ai_norm, 4) AS ai_norm, CAST(greatest(0, least(100, round(55 * coverage + 25 * momentum + 20 * (1 - ai_norm), 0))) AS INT) AS score FROM (
+            SELECT p.person_id, p.target_role_id AS role_id, coalesce(got, 0) / total AS coverage, (greatest(-20, least(20, coalesce(growth, 0))) + 20) / 40 AS momentum, greatest(0, least(1, coalesce(ai_pct, 0) / 100)) AS ai_norm
+            FROM persons p JOIN (SELECT role_id, sum(demand_pct) AS total FROM ranked WHERE rank <= 30 GROUP BY role_id) t ON t.role_id = p.target_role_id LEFT JOIN trend m ON m.role_id = p.target_role_id LEFT JOIN ai_now a ON a.role_id = p.target_role_id
+            LEFT JOIN (SELECT p.person_id, sum(demand_pct) AS got FROM persons p JOIN have USING (person_id) JOIN ranked r ON r.role_id = p.target_role_id AND r.skill_id = have.skill_id WHERE rank <= 30 GROUP BY p.person_id) g ON g.person_id = p.person_id
+            WHERE p.person_id IN (SELECT person_id FROM have))""",
+}
+DRIVEN = {
+    **DEMAND,
+    **HAVE,
+    "grown": SKILL_GROWTH,
+    "driven": """SELECT person_id, row_number() OVER (PARTITION BY person_id ORDER BY coalesce(growth_pct, 0) DESC, demand_pct DESC, skill_id) AS rank, skill_id, growth_pct, demand_pct, CASE WHEN growth_pct >= 1 THEN name || ' grows' ELSE name || ' is asked for' END AS text
+            FROM persons p JOIN ranked r ON r.role_id = p.target_role_id LEFT JOIN grown g USING (role_id, skill_id) WHERE r.rank <= 30 AND category <> 'soft' AND person_id IN (SELECT person_id FROM have)
+            AND NOT EXISTS (SELECT 1 FROM have h WHERE h.person_id = p.person_id AND h.skill_id = r.skill_id) QUALIFY row_number() OVER (PARTITION BY person_id ORDER BY coalesce(growth_pct, 0) DESC, demand_pct DESC, skill_id) <= 3""",
+}
 BEST15 = "SELECT role_id, skill_id, name, category, demand_pct, rank FROM ranked"
 
 
 def curricula(s: Star):
-    """Skills of an even id, for the first four roles."""
-    return s.skills.filter("id % 2 = 0").select(F.col("id").alias("skill_id")).join(s.roles.filter("id < 4").select(F.col("id").alias("role_id"), F.col("id").alias("curriculum_id")))
+    """Two skills of three, for every role."""
+    return s.skills.filter("id % 3 <> 1").select(F.col("id").alias("skill_id")).join(s.roles.select(F.col("id").alias("role_id"), F.col("id").alias("curriculum_id")))
 
 
 def started(s: Star):
@@ -76,26 +93,45 @@ def spread(table: str, keys: str, order: str, k: int) -> str:
     return f"""SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY {order}) AS rank FROM (SELECT * FROM {table} QUALIFY row_number() OVER (PARTITION BY {keys}, category ORDER BY {order}) <= 2) QUALIFY rank <= {k}"""
 
 
+FACTS = {
+    "paid": "SELECT role_id AS paid_role, CAST(trunc(avg(salary_min_usd)) AS INT) AS avg_min, CAST(trunc(avg(salary_max_usd)) AS INT) AS avg_max, count(*) AS paid FROM active WHERE salary_min_usd > 0 GROUP BY role_id",
+    "grows": f"""SELECT role_id AS grown_role, {growth('count(*) FILTER (WHERE now)', 'count(*) FILTER (WHERE before)')} AS growth_pct FROM (SELECT role_id, coalesce(posted_at, scraped_at) < DATE '2001-07-01' AND (closed_at IS NULL OR closed_at >= DATE '2001-06-01') AS now,
+       coalesce(posted_at, scraped_at) < DATE '2001-06-01' AND (closed_at IS NULL OR closed_at >= DATE '2001-05-01') AS before FROM jobs WHERE role_id IS NOT NULL) GROUP BY role_id""",
+}
+
+
+def alternatives(table: str, key: str, other: str, columns: str) -> str:
+    """SQL of alternatives with their leading shared and new skills (from ``sides``), mean salaries and growth."""
+    listed = lambda rows, k, name: f"(SELECT {key}, {other}, string_agg(CAST(skill_id AS VARCHAR), ',' ORDER BY place) AS {name} FROM (SELECT *, row_number() OVER (PARTITION BY {key}, {other} ORDER BY share DESC, skill_id) AS place FROM ({rows})) WHERE place <= {k} GROUP BY {key}, {other})"
+    new = f"SELECT * FROM (SELECT *, max(share >= 0.1) OVER (PARTITION BY {key}, {other}) AS wide FROM sides WHERE NOT has) WHERE share >= 0.1 OR NOT wide"
+    return f"""SELECT {key}, {other}, {columns}, shared_skills, new_skills, avg_min, avg_max, paid, growth_pct FROM {table} LEFT JOIN {listed('SELECT * FROM sides WHERE has', 8, 'shared_skills')} USING ({key}, {other}) LEFT JOIN {listed(new, 6, 'new_skills')} USING ({key}, {other})
+    LEFT JOIN paid ON paid_role = {other} LEFT JOIN grows ON grown_role = {other}"""
+
+
 ENTRIES: dict[str, tuple] = {
     "c15_alternative_roles": (
         lambda s: h.alternative_roles(s, P),
         sql(
-            "SELECT role_id, other_id, category, shared, coverage_pct, jaccard, other_jobs, rank FROM best",
+            alternatives("best", "role_id", "other_id", "category, shared, new, coverage_pct, jaccard, other_jobs, rank"),
             {
                 **PER_ROLE,
+                **FACTS,
                 "sizes": "SELECT role_id, count(*) AS k, any_value(role_jobs) AS jobs FROM rs JOIN role_jobs USING (role_id) WHERE role_jobs >= 30 GROUP BY role_id",
-                "pairs": f"""SELECT a.role_id, b.role_id AS other_id, r.category, count(*) AS shared, any_value(y.jobs) AS other_jobs, {pct('count(*)', 'any_value(x.k)', 0)} AS coverage_pct, round(count(*) / (any_value(x.k) + any_value(y.k) - count(*)), 3) AS jaccard
+                "pairs": f"""SELECT a.role_id, b.role_id AS other_id, r.category, count(*) AS shared, any_value(y.jobs) AS other_jobs, any_value(y.k) - count(*) AS new, {pct('count(*)', 'any_value(x.k)', 0)} AS coverage_pct, round(count(*) / (any_value(x.k) + any_value(y.k) - count(*)), 3) AS jaccard
                    FROM rs a JOIN rs b ON a.skill_id = b.skill_id AND a.role_id <> b.role_id JOIN sizes x ON x.role_id = a.role_id JOIN sizes y ON y.role_id = b.role_id JOIN roles r ON r.id = b.role_id GROUP BY a.role_id, b.role_id, r.category HAVING count(*) >= 3""",
                 "best": spread("pairs", "role_id", "shared DESC, coverage_pct DESC, other_jobs DESC, other_id", 5),
+                "theirs": "SELECT role_id AS other_id, skill_id, n / role_jobs AS share FROM rs JOIN role_jobs USING (role_id) WHERE role_jobs >= 30",
+                "sides": "SELECT b.role_id, b.other_id, t.skill_id, t.share, o.skill_id IS NOT NULL AS has FROM best b JOIN theirs t USING (other_id) LEFT JOIN rs o ON o.role_id = b.role_id AND o.skill_id = t.skill_id",
             },
         ),
     ),
     "c16_person_alternatives": (
         lambda s: h.person_alternatives(s, P),
         sql(
-            "SELECT person_id, role_id, category, shared, coverage_pct, fit, rank FROM best",
+            alternatives("best", "person_id", "role_id", "category, shared, coverage_pct, fit, role_jobs, rank"),
             {
                 **PER_ROLE,
+                **FACTS,
                 **HAVE,
                 "placed": """SELECT role_id, skill_id, n / role_jobs AS demand, row_number() OVER (PARTITION BY role_id ORDER BY n DESC, skill_id) AS place, count(*) FILTER (WHERE n / role_jobs >= 0.05) OVER (PARTITION BY role_id) AS wide, count(*) OVER (PARTITION BY role_id) AS k
                    FROM rs JOIN role_jobs USING (role_id) WHERE role_jobs >= 30""",
@@ -104,6 +140,7 @@ ENTRIES: dict[str, tuple] = {
                    JOIN (SELECT role_id, sum(demand) AS d FROM core GROUP BY role_id) d ON d.role_id = c.role_id JOIN (SELECT person_id, count(*) AS m FROM have GROUP BY person_id) m ON m.person_id = h.person_id JOIN roles r ON r.id = c.role_id JOIN role_jobs j ON j.role_id = c.role_id GROUP BY h.person_id, c.role_id, r.category HAVING count(*) >= 3""",
                 "rounded": "SELECT *, round(cov * 100, 0) AS coverage_pct, round(2 * cov * br / (cov + br) * 100, 0) AS fit FROM fits",
                 "best": spread("rounded", "person_id", "shared DESC, coverage_pct DESC, role_jobs DESC, role_id", 5),
+                "sides": "SELECT b.person_id, b.role_id, c.skill_id, c.demand AS share, h.skill_id IS NOT NULL AS has FROM best b JOIN core c USING (role_id) LEFT JOIN have h ON h.person_id = b.person_id AND h.skill_id = c.skill_id",
             },
         ),
     ),
@@ -120,26 +157,8 @@ ENTRIES: dict[str, tuple] = {
     "c21_match_summary": (lambda s: h.match_summary(s, P), sql("SELECT person_id, max(total_count) AS total_count, max(new_count) AS new_count, min_by(job_id, rank) AS best_job, max(match_pct) AS best_pct FROM matches GROUP BY person_id", MATCHES)),
     "c22_skill_gap": (lambda s: h.skill_gap(s), sql("SELECT * FROM gap", NEEDS)),
     "c22_gap_scores": (lambda s: h.gap_scores(s), sql("SELECT * FROM gap_heads", NEEDS)),
-    "c35_position_scores": (
-        lambda s: h.position_scores(s, P),
-        sql(
-            """SELECT person_id, role_id, round(coverage, 4) AS coverage, round(momentum, 4) AS momentum, round(ai_norm, 4) AS ai_norm, CAST(greatest(0, least(100, round(55 * coverage + 25 * momentum + 20 * (1 - ai_norm), 0))) AS INT) AS score FROM (
-            SELECT p.person_id, p.target_role_id AS role_id, coalesce(got, 0) / total AS coverage, (greatest(-20, least(20, coalesce(growth, 0))) + 20) / 40 AS momentum, greatest(0, least(1, coalesce(ai_pct, 0) / 100)) AS ai_norm
-            FROM persons p JOIN (SELECT role_id, sum(demand_pct) AS total FROM ranked WHERE rank <= 30 GROUP BY role_id) t ON t.role_id = p.target_role_id LEFT JOIN trend m ON m.role_id = p.target_role_id LEFT JOIN ai_now a ON a.role_id = p.target_role_id
-            LEFT JOIN (SELECT p.person_id, sum(demand_pct) AS got FROM persons p JOIN have USING (person_id) JOIN ranked r ON r.role_id = p.target_role_id AND r.skill_id = have.skill_id WHERE rank <= 30 GROUP BY p.person_id) g ON g.person_id = p.person_id
-            WHERE p.person_id IN (SELECT person_id FROM have))""",
-            {**EXPOSURE, **HAVE},
-        ),
-    ),
-    "c36_score_drivers": (
-        lambda s: h.score_drivers(s, P),
-        sql(
-            """SELECT person_id, row_number() OVER (PARTITION BY person_id ORDER BY coalesce(growth_pct, 0) DESC, demand_pct DESC, skill_id) AS rank, skill_id, growth_pct, demand_pct, CASE WHEN growth_pct >= 1 THEN name || ' grows' ELSE name || ' is asked for' END AS text
-            FROM persons p JOIN ranked r ON r.role_id = p.target_role_id LEFT JOIN grown g USING (role_id, skill_id) WHERE r.rank <= 30 AND category <> 'soft' AND person_id IN (SELECT person_id FROM have)
-            AND NOT EXISTS (SELECT 1 FROM have h WHERE h.person_id = p.person_id AND h.skill_id = r.skill_id) QUALIFY row_number() OVER (PARTITION BY person_id ORDER BY coalesce(growth_pct, 0) DESC, demand_pct DESC, skill_id) <= 3""",
-            {**DEMAND, **HAVE, "grown": SKILL_GROWTH},
-        ),
-    ),
+    "c35_position_scores": (lambda s: h.position_scores(s, P), sql("SELECT * FROM position", POSITION)),
+    "c36_score_drivers": (lambda s: h.score_drivers(s, P), sql("SELECT * FROM driven", DRIVEN)),
     "c38_score_history": (lambda s: h.score_history(s.person_weeks), sql("SELECT * FROM history", HISTORY)),
     "c39_cohort_rollup": (lambda s: h.cohort_rollup(s), sql("SELECT * FROM rollup", ROLLUP)),
     "c39_cohort_averages": (lambda s: h.cohort_averages(s), sql("SELECT cohort_id, count(*) AS clients, round(avg(latest), 1) AS avg_score, round(avg(delta), 1) + 0.0 AS avg_delta FROM rollup GROUP BY cohort_id", ROLLUP)),
@@ -147,7 +166,7 @@ ENTRIES: dict[str, tuple] = {
         lambda s: h.curriculum_fit(s, curricula(s), P),
         sql(
             """SELECT role_id AS curriculum_id, kind, place, skill_id, demand FROM (SELECT *, row_number() OVER (PARTITION BY role_id, kind ORDER BY demand DESC, skill_id) AS place FROM (
-            SELECT n.*, CASE WHEN skill_id % 2 = 0 THEN 'covered' WHEN rank <= 40 AND growth_pct >= 5 THEN 'emerging' WHEN demand >= 20 THEN 'missing' END AS kind FROM needs n LEFT JOIN grown USING (role_id, skill_id) WHERE role_id < 4) WHERE kind IS NOT NULL)
+            SELECT n.*, CASE WHEN skill_id % 3 <> 1 THEN 'covered' WHEN rank <= 40 AND growth_pct >= 5 THEN 'emerging' WHEN demand >= 20 THEN 'missing' END AS kind FROM needs n LEFT JOIN grown USING (role_id, skill_id)) WHERE kind IS NOT NULL)
             WHERE place <= CASE kind WHEN 'covered' THEN 40 WHEN 'missing' THEN 15 ELSE 8 END""",
             {**NEEDS, "grown": SKILL_GROWTH},
         ),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from laborlens.catalog_demand import ACTIVE, FAMILIES, P
+from laborlens.catalog_demand import ACTIVE, FAMILIES, FAMILY_MOVES, MOVERS, SKILL_MOVES, P
 from laborlens.functions import markup, places, titles
 from laborlens.operators import enrich as e
 from laborlens.operators import maintain as m
@@ -17,7 +17,7 @@ from laborlens.star import Star, from_tables, sql
 
 
 def scraped(events: DataFrame, parts: list[int]) -> DataFrame:
-    own = events.filter(F.pmod("event_id", F.lit(4)).isin(parts))
+    own = events.filter(F.pmod("event_id", F.lit(2)).isin(parts))
     rows = own.select(F.col("event_type").alias("source_ats"), F.col("user_id").cast("string").alias("source_job_id"), (F.col("user_id") % 7).alias("company_id"), F.concat("event_type", F.lit(" job")).alias("title"), F.lit("x").alias("location_raw"), F.lit("d").alias("department"), F.col("props").alias("description"), F.col("ts").alias("posted_at"), F.col("ts").alias("seen_at"), "event_id")
     return m.newest(rows, m.KEY, F.desc("seen_at"), F.desc("event_id")).drop("event_id")
 
@@ -28,38 +28,17 @@ def postings(events: DataFrame, parts: list[int]) -> DataFrame:
 
 
 def _newest(parts: str) -> str:
-    return f"""SELECT event_type AS source_ats, CAST(user_id AS VARCHAR) AS source_job_id, user_id % 7 AS company_id, event_type || ' job' AS title, props AS description, ts FROM events WHERE event_id % 4 IN ({parts})
+    return f"""SELECT event_type AS source_ats, CAST(user_id AS VARCHAR) AS source_job_id, user_id % 7 AS company_id, event_type || ' job' AS title, props AS description, ts FROM events WHERE event_id % 2 IN ({parts})
       QUALIFY row_number() OVER (PARTITION BY event_type, user_id ORDER BY ts DESC, event_id DESC) = 1"""
 
 
-UPSERT = {"cur": _newest("0"), "bat": _newest("1") + " AND user_id % 3 <> 0"}
-UPSERT["bat"] = _newest("1").replace("WHERE event_id % 4 IN (1)", "WHERE event_id % 4 IN (1) AND user_id % 3 <> 0")
-TITLES = {"t": "SELECT DISTINCT title, lower(title) AS l FROM jobs"}
-TOKENS = "list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}_]+'), lambda x: x <> '')"
-VOCAB = {
-    "words": f"SELECT doc_id, unnest({TOKENS}) AS t FROM documents",
-    "vocab": "SELECT t AS term, row_number() OVER (ORDER BY n DESC, t) AS skill_id FROM (SELECT t, count(*) AS n FROM words WHERE doc_id IN (SELECT doc_id FROM documents WHERE lang = 'en') AND length(t) >= 6 GROUP BY t ORDER BY n DESC, t LIMIT 200)",
-}
+UPSERT = {"cur": _newest("0"), "bat": _newest("1")}
 
 
 def documents(spark, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def vocabulary(docs: DataFrame) -> DataFrame:
-    """The 200 most frequent English words of six letters or more, as a skill dictionary."""
-    words = docs.filter("lang = 'en'").select(F.explode(e.tokens(F.col("text"))).alias("term")).filter(F.char_length("term") >= 6)
-    top = words.groupBy("term").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "term").limit(200)
-    from pyspark.sql import Window as W
-
-    return top.withColumn("skill_id", F.row_number().over(W.orderBy(F.desc("n"), "term")).cast("long")).select("term", "skill_id")
-
-
-def tag_documents(spark, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
-    return e.tag_skills(docs.select(F.col("doc_id").alias("id"), "text"), vocabulary(docs), 1)
-
-
 def non_english(spark, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select(F.col("doc_id").alias("id"), "text", F.when(F.col("lang") == "en", "US").otherwise(F.upper("lang")).alias("country"))
     return e.non_english(docs, ["US", "UK", "Canada"])
@@ -75,13 +54,12 @@ def page_texts(spark, sf_dir: str) -> DataFrame:
 
 def upsert(spark, sf_dir: str) -> DataFrame:
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    return m.upsert_postings(postings(events, [0]), scraped(events.filter("user_id % 3 <> 0"), [1])).drop("location_raw", "department")
+    return m.upsert_postings(postings(events, [0]), scraped(events, [1])).drop("location_raw", "department")
 
 
 def close(spark, sf_dir: str) -> DataFrame:
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    batch = scraped(events.filter("user_id % 3 <> 0 and user_id % 7 < 5"), [1])
-    return m.close_absent(postings(events, [0]), batch, F.lit("2024-02-01").cast("timestamp")).select(*m.KEY, "company_id", "is_active", "closed_at")
+    return m.close_absent(postings(events, [0]), scraped(events, [1]), F.lit("2024-02-01").cast("timestamp")).select(*m.KEY, "company_id", "is_active", "closed_at")
 
 
 def star_query(run):
@@ -93,13 +71,13 @@ def variations(s: Star) -> DataFrame:
 
 
 def queue(s: Star) -> DataFrame:
-    """Titles of the first postings without a role; those of urgent ones are approved."""
-    old = s.jobs.filter("role_id is null and id < 7000")
+    """Titles of two thirds of the postings without a role; those of urgent ones are approved."""
+    old = s.jobs.filter("role_id is null and id % 3 <> 0")
     return old.groupBy(F.col("title").alias("raw_title")).agg(F.when(F.max("seniority_level") == "lead", "approved").otherwise("pending").alias("status"), F.count(F.lit(1)).alias("occurrence_count"), F.min("posted_at").alias("first_seen"), F.max("posted_at").alias("last_seen"))
 
 
 def new_titles(s: Star) -> DataFrame:
-    return s.jobs.filter("role_id is null and id >= 7000").select("title", F.col("posted_at").alias("seen_at"))
+    return s.jobs.filter("role_id is null and id % 3 = 0").select("title", F.col("posted_at").alias("seen_at"))
 
 
 def aliased(s: Star) -> DataFrame:
@@ -114,19 +92,17 @@ def mentions(s: Star) -> DataFrame:
     """Skills named in postings, in two spellings, as candidates."""
     rows = s.job_skills.join(s.jobs, F.col("job_id") == F.col("id")).join(s.skills.select(F.col("id").alias("skill_id"), "name"), "skill_id")
     spelled = F.when(F.col("job_id") % 3 == 0, F.upper("name")).otherwise(F.col("name"))
-    return rows.filter("skill_id < 20").select(spelled.alias("name"), "job_id", "company_id", F.to_date("posted_at").alias("seen"), F.when(F.col("is_required"), "ctx").otherwise("list").alias("method"))
+    return rows.select(spelled.alias("name"), "job_id", "company_id", F.to_date("posted_at").alias("seen"), F.when(F.col("is_required"), "ctx").otherwise("list").alias("method"))
 
 
 def candidates(s: Star, half: int) -> DataFrame:
-    rolled = m.roll_up_candidates(mentions(s).filter(F.col("job_id") % 2 == half), s.skills.filter("id >= 15").select("name"))
+    rolled = m.roll_up_candidates(mentions(s).filter(F.col("job_id") % 2 == half), s.skills.filter("id % 4 = 3").select("name"))
     return rolled.select(F.lower("name").alias("name"), "job_count", "company_count", "first_seen", "last_seen")
 
 
 RANK = "CASE " + " ".join(f"WHEN regexp_matches(l, '{p}') THEN '{n}'" for p, n in titles.LEVELS) + " ELSE 'mid' END"
 CANDIDATES = """SELECT lower(s.name) AS name, count(DISTINCT job_id) AS job_count, count(DISTINCT company_id) AS company_count, min(CAST(posted_at AS DATE)) AS first_seen, max(CAST(posted_at AS DATE)) AS last_seen
-   FROM job_skills JOIN jobs j ON j.id = job_id JOIN skills s ON s.id = skill_id WHERE skill_id < 15 AND job_id % 2 = {half} GROUP BY lower(s.name) HAVING count(DISTINCT company_id) >= 2"""
-SPLIT = {"p": "SELECT *, list_transform(string_split(location_raw, ','), lambda x: trim(x)) AS parts FROM (SELECT DISTINCT location_raw FROM jobs)"}
-
+   FROM job_skills JOIN jobs j ON j.id = job_id JOIN skills s ON s.id = skill_id WHERE skill_id % 4 <> 3 AND job_id % 2 = {half} GROUP BY lower(s.name) HAVING count(DISTINCT company_id) >= 2"""
 ENTRIES: dict[str, tuple] = {
     "m01_upsert_postings": (
         upsert,
@@ -141,7 +117,7 @@ ENTRIES: dict[str, tuple] = {
         close,
         sql(
             """SELECT c.source_ats, c.source_job_id, c.company_id, c.company_id <> 3 AND NOT gone AS is_active, CASE WHEN gone THEN TIMESTAMP '2024-02-01' WHEN c.company_id = 3 THEN ts END AS closed_at FROM (
-            SELECT *, company_id <> 3 AND (source_ats, company_id) IN (SELECT (source_ats, company_id) FROM bat WHERE company_id < 5) AND (source_ats, source_job_id) NOT IN (SELECT (source_ats, source_job_id) FROM bat WHERE company_id < 5) AS gone FROM cur) c""",
+            SELECT *, company_id <> 3 AND (source_ats, company_id) IN (SELECT (source_ats, company_id) FROM bat) AND (source_ats, source_job_id) NOT IN (SELECT (source_ats, source_job_id) FROM bat) AS gone FROM cur) c""",
             UPSERT,
         ),
     ),
@@ -157,13 +133,13 @@ ENTRIES: dict[str, tuple] = {
         sql(
             """SELECT coalesce(q.title, n.title) AS raw_title, coalesce(status, 'pending') AS status, CASE WHEN coalesce(status, 'pending') = 'pending' AND n.title IS NOT NULL THEN coalesce(q.k, 0) + n.k ELSE q.k END AS occurrence_count, coalesce(q.f, n.f) AS first_seen,
             CASE WHEN coalesce(status, 'pending') = 'pending' AND n.title IS NOT NULL THEN greatest(coalesce(q.l, n.l), n.l) ELSE q.l END AS last_seen
-            FROM (SELECT title, CASE WHEN max(seniority_level) = 'lead' THEN 'approved' ELSE 'pending' END AS status, count(*) AS k, min(posted_at) AS f, max(posted_at) AS l FROM jobs WHERE role_id IS NULL AND id < 7000 GROUP BY title) q
-            FULL JOIN (SELECT title, count(*) AS k, min(posted_at) AS f, max(posted_at) AS l FROM jobs WHERE role_id IS NULL AND id >= 7000 GROUP BY title) n ON n.title = q.title"""
+            FROM (SELECT title, CASE WHEN max(seniority_level) = 'lead' THEN 'approved' ELSE 'pending' END AS status, count(*) AS k, min(posted_at) AS f, max(posted_at) AS l FROM jobs WHERE role_id IS NULL AND id % 3 <> 0 GROUP BY title) q
+            FULL JOIN (SELECT title, count(*) AS k, min(posted_at) AS f, max(posted_at) AS l FROM jobs WHERE role_id IS NULL AND id % 3 = 0 GROUP BY title) n ON n.title = q.title"""
         ),
     ),
     "m05_backfill_queue": (
         star_query(lambda s: m.backfill_queue(queue(s).filter("status = 'approved'"), s.jobs)),
-        sql("SELECT title AS raw_title, count(*) AS occurrence_count, count(DISTINCT company_id) AS company_count, min(CAST(posted_at AS DATE)) AS first_seen, max(CAST(posted_at AS DATE)) AS last_seen FROM jobs WHERE role_id IS NULL AND title NOT IN (SELECT title FROM jobs WHERE role_id IS NULL AND id < 7000 GROUP BY title HAVING max(seniority_level) = 'lead') GROUP BY title"),
+        sql("SELECT title AS raw_title, count(*) AS occurrence_count, count(DISTINCT company_id) AS company_count, min(CAST(posted_at AS DATE)) AS first_seen, max(CAST(posted_at AS DATE)) AS last_seen FROM jobs WHERE role_id IS NULL AND title NOT IN (SELECT title FROM jobs WHERE role_id IS NULL AND id % 3 <> 0 GROUP BY title HAVING max(seniority_level) = 'lead') GROUP BY title"),
     ),
     "m06_count_variations": (
         star_query(lambda s: m.count_variations(variations(s), s.jobs.filter("role_id = 3").select("title", "role_id"))),
@@ -212,11 +188,11 @@ ENTRIES: dict[str, tuple] = {
         ),
     ),
     "m18_roll_up_candidates": (
-        star_query(lambda s: m.roll_up_candidates(mentions(s), s.skills.filter("id >= 15").select("name"))),
+        star_query(lambda s: m.roll_up_candidates(mentions(s), s.skills.filter("id % 4 = 3").select("name"))),
         sql(
             """SELECT f.* EXCLUDE (key), g.name FROM (SELECT lower(name) AS key, count(DISTINCT job_id) AS job_count, count(DISTINCT company_id) AS company_count, min(seen) AS first_seen, max(seen) AS last_seen, string_agg(DISTINCT method, ',' ORDER BY method) AS methods FROM men GROUP BY lower(name)) f
-            JOIN (SELECT lower(name) AS key, name FROM men GROUP BY name QUALIFY row_number() OVER (PARTITION BY lower(name) ORDER BY count(*) DESC, name) = 1) g USING (key) WHERE company_count >= 2 AND key NOT IN (SELECT lower(name) FROM skills WHERE id >= 15)""",
-            {"men": "SELECT CASE WHEN job_id % 3 = 0 THEN upper(s.name) ELSE s.name END AS name, job_id, company_id, CAST(posted_at AS DATE) AS seen, CASE WHEN is_required THEN 'ctx' ELSE 'list' END AS method FROM job_skills JOIN jobs j ON j.id = job_id JOIN skills s ON s.id = skill_id WHERE skill_id < 20"},
+            JOIN (SELECT lower(name) AS key, name FROM men GROUP BY name QUALIFY row_number() OVER (PARTITION BY lower(name) ORDER BY count(*) DESC, name) = 1) g USING (key) WHERE company_count >= 2 AND key NOT IN (SELECT lower(name) FROM skills WHERE id % 4 = 3)""",
+            {"men": "SELECT CASE WHEN job_id % 3 = 0 THEN upper(s.name) ELSE s.name END AS name, job_id, company_id, CAST(posted_at AS DATE) AS seen, CASE WHEN is_required THEN 'ctx' ELSE 'list' END AS method FROM job_skills JOIN jobs j ON j.id = job_id JOIN skills s ON s.id = skill_id"},
         ),
     ),
     "m25_apply_mapping": (
@@ -232,8 +208,8 @@ ENTRIES: dict[str, tuple] = {
         ),
     ),
     "m28_replace_person_skills": (
-        star_query(lambda s: m.replace_person_skills(s.person_skills, s.person_skills.filter("person_id % 3 = 0 and skill_id < 20"))),
-        sql("SELECT * FROM person_skills WHERE person_id NOT IN (SELECT person_id FROM person_skills WHERE person_id % 3 = 0 AND skill_id < 20) UNION ALL SELECT person_id, skill_id, 'have' FROM person_skills WHERE person_id % 3 = 0 AND skill_id < 20"),
+        star_query(lambda s: m.replace_person_skills(s.person_skills, s.person_skills.filter("person_id % 3 = 0 and skill_id % 3 = 0"))),
+        sql("SELECT * FROM person_skills WHERE person_id NOT IN (SELECT person_id FROM person_skills WHERE person_id % 3 = 0 AND skill_id % 3 = 0) UNION ALL SELECT person_id, skill_id, 'have' FROM person_skills WHERE person_id % 3 = 0 AND skill_id % 3 = 0"),
     ),
     "m29_upsert_weeks": (
         star_query(lambda s: m.upsert_weeks(s.person_weeks, s.person_weeks.filter("person_id % 2 = 1").select("person_id", "week_start", (F.col("position_score") + 1).alias("position_score")))),
@@ -243,8 +219,21 @@ ENTRIES: dict[str, tuple] = {
         star_query(lambda s: tables.registry_stats(s.companies.select(F.col("region").alias("ats"), "industry"))),
         sql("SELECT region AS ats, industry, count(*) AS n FROM companies GROUP BY GROUPING SETS ((region, industry), (region), (industry), ())"),
     ),
-    "u04_market_boards": (star_query(lambda s: market_boards.market_boards(s, P, s.jobs.sparkSession.createDataFrame(FAMILIES, "role_id long, family string"))), None),
-    "c37_week_snapshots": (star_query(lambda s: week_snapshots.snapshot(s, P)), None),
+    "u04_market_boards": (
+        star_query(lambda s: market_boards.market_boards(s, P, s.jobs.sparkSession.createDataFrame(FAMILIES, "role_id long, family string"))),
+        sql(
+            """SELECT DATE '2001-07-09' AS week_start, kind, scope, rank, label, growth FROM (
+            SELECT CASE WHEN growth > 0 THEN 'rising_role' ELSE 'declining_role' END AS kind, scope, label, growth, row_number() OVER (PARTITION BY scope, growth > 0 ORDER BY abs(growth) DESC, label) AS rank
+            FROM (SELECT *, 'overall' AS scope FROM counted_movers UNION ALL SELECT *, sector AS scope FROM counted_movers WHERE many >= 3) WHERE growth <> 0
+            UNION ALL SELECT CASE WHEN growth > 0 THEN 'rising_skill' ELSE 'falling_skill' END, 'overall', label, growth, row_number() OVER (PARTITION BY growth > 0 ORDER BY abs(growth) DESC, skill_id) FROM skill_movers WHERE growth <> 0) WHERE rank <= 10""",
+            {
+                **MOVERS,
+                **SKILL_MOVES,
+                **FAMILY_MOVES,
+                "counted_movers": "SELECT *, count(*) OVER (PARTITION BY sector) AS many FROM (SELECT label, sector, growth FROM movers WHERE role_id NOT IN (SELECT role_id FROM fam) UNION ALL SELECT family || ' (family)', sector, growth FROM family_movers)",
+            },
+        ),
+    ),
     "c30_location_rollup": (
         star_query(lambda s: e.location_rollup(s.jobs.filter("is_active"), s.companies.filter("location <> 'NATION_3'").select(F.col("location").alias("country"), "region").distinct())),
         sql("SELECT coalesce(region, 'Unmatched') AS region, CASE WHEN region IS NOT NULL THEN location_country END AS country, count(*) AS n FROM jobs LEFT JOIN (SELECT DISTINCT location, region FROM companies WHERE location <> 'NATION_3') ON location = location_country WHERE is_active GROUP BY ALL"),
@@ -257,44 +246,6 @@ ENTRIES: dict[str, tuple] = {
             '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&#x27;', ''''), '&apos;', ''''), '&amp;', '&'), '[ \t\r\f\x0B]+', ' ', 'g'), ' ?\n[ \n]*', chr(10), 'g'), ' ' || chr(10)) AS text FROM pages"""
         ),
     ),
-    "x08_tag_documents": (tag_documents, sql("SELECT doc_id AS id, skill_id, count(*) AS n FROM words JOIN vocab ON t = term GROUP BY ALL", VOCAB)),
-    "x10_confidence": (
-        lambda spark, sf_dir: tag_documents(spark, sf_dir).select("id", "skill_id", e.confidence(F.col("n"), F.col("id") % 2 == 0).alias("confidence")),
-        sql("SELECT id, skill_id, CASE WHEN n >= 3 THEN 95 WHEN n = 2 THEN 85 ELSE 70 END - CASE WHEN id % 2 = 0 THEN 10 ELSE 0 END AS confidence FROM (SELECT doc_id AS id, skill_id, count(*) AS n FROM words JOIN vocab ON t = term GROUP BY doc_id, skill_id)", VOCAB),
-    ),
-    "x17_similar_names": (
-        lambda spark, sf_dir: e.similar_names(spark.read.parquet(f"{sf_dir}/customer.parquet").filter("c_custkey < 700").select(F.col("c_name").alias("name")).unionByName(spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_name").alias("name"))), 0.94),
-        sql(
-            """SELECT a.name AS a, b.name AS b, round(1 - levenshtein(lower(a.name), lower(b.name)) / greatest(length(a.name), length(b.name)), 4) AS ratio FROM n a JOIN n b ON a.name < b.name WHERE abs(length(a.name) - length(b.name)) <= 20 AND 1 - levenshtein(lower(a.name), lower(b.name)) / greatest(length(a.name), length(b.name)) >= 0.94""",
-            {"n": "SELECT DISTINCT name FROM (SELECT c_name AS name FROM customer WHERE c_custkey < 700 UNION ALL SELECT p_name FROM part)"},
-        ),
-    ),
-    "x19_parse_locations": (
-        star_query(lambda s: s.jobs.select("location_raw").distinct().select("location_raw", places.parse(F.col("location_raw")).alias("p")).select("location_raw", "p.*")),
-        sql(
-            """SELECT location_raw, CASE WHEN remote THEN '' ELSE parts[1] END AS city, CASE WHEN NOT remote AND len(parts) >= 3 THEN parts[2] ELSE '' END AS state, CASE WHEN remote THEN trim(string_split(location_raw, ' - ')[2]) WHEN len(parts) = 2 THEN parts[2] WHEN len(parts) >= 3 THEN parts[3] ELSE '' END AS country, remote AS is_remote
-            FROM (SELECT *, regexp_matches(location_raw, '(?i)\\bremote\\b') AS remote FROM p)""",
-            SPLIT,
-        ).replace("\\\\b", "\\b"),
-    ),
-    "x23_seniority": (star_query(lambda s: s.jobs.select("title").distinct().select("title", titles.seniority(F.col("title")).alias("level"))), sql(f"SELECT title, {RANK} AS level FROM t", TITLES)),
-    "x25_strip_level": (
-        star_query(lambda s: s.jobs.select("title").distinct().select("title", titles.strip_level(F.col("title"))[0].alias("level"), titles.strip_level(F.col("title"))[1].alias("bare"))),
-        sql("SELECT title, CASE WHEN l LIKE 'senior %' THEN 'senior' WHEN l LIKE 'lead %' THEN 'lead' WHEN l LIKE 'junior %' THEN 'junior' END AS level, trim(regexp_replace(l, '^(senior|lead|junior) ', ''), ' ,-') AS bare FROM t", TITLES),
-    ),
-    "x24_delevel": (star_query(lambda s: s.jobs.select("title").distinct().select("title", titles.delevel(F.col("title")).alias("plain"))), sql("SELECT title, replace(l, ' (remote)', '') AS plain FROM t", TITLES)),
-    "x26_canonical_titles": (
-        star_query(lambda s: e.canonical_titles(s.jobs.select("title"), s.roles.select(F.lower("normalized_title").alias("alias"), F.col("id").cast("string").alias("canonical_id")))),
-        sql("SELECT title, regexp_extract(title, 'NATION_([0-9])', 1) AS canonical_id, 'key' AS how, CASE WHEN l LIKE 'senior %' THEN 'senior' WHEN l LIKE 'lead %' THEN 'lead' WHEN l LIKE 'junior %' THEN 'junior' END AS seniority FROM t", TITLES),
-    ),
-    "x27_rule_titles": (
-        star_query(lambda s: e.rule_titles(s.jobs.select("title"), s.jobs.sparkSession.createDataFrame([(1, "nation_1", "first"), (2, "^senior", "second"), (3, r"\bengineer\b", "third")], "priority int, pattern string, label string"))),
-        sql("SELECT title, CASE WHEN l LIKE '%nation_1%' THEN 'first' WHEN l LIKE 'senior%' THEN 'second' ELSE 'third' END AS label, CASE WHEN l LIKE '%nation_1%' THEN 1 WHEN l LIKE 'senior%' THEN 2 ELSE 3 END AS rule FROM t", TITLES),
-    ),
-    "x20_countries": (
-        star_query(lambda s: e.countries(s.jobs.select(F.col("location_raw").alias("location")), s.companies.select(F.col("location").alias("alias"), F.col("location").alias("country")).distinct(), s.companies.filter("false").select(F.col("location").alias("city"), F.col("region").alias("country")))),
-        sql("SELECT DISTINCT location_raw AS location, location_country AS country, 'part' AS how FROM jobs"),
-    ),
     "x34_to_usd": (
         star_query(lambda s: e.to_usd(s.jobs.select("id", F.col("salary_min_usd").alias("salary_min"), F.col("salary_max_usd").alias("salary_max"), F.when(F.col("id") % 2 == 0, "EUR").otherwise("").alias("currency")), s.jobs.sparkSession.createDataFrame([("USD", 1.0), ("EUR", 1.04)], "currency string, rate double"))),
         sql(
@@ -307,10 +258,6 @@ ENTRIES: dict[str, tuple] = {
     ),
     "x39_page_domains": (page_domains, sql("SELECT regexp_extract(lower(url), '^(?:[a-z][a-z0-9+.-]*://)?(?:www\\.)?([^/?#:]+)', 1) AS domain, count(*) AS n FROM pages GROUP BY ALL")),
     "x42_migration_matrix": (star_query(lambda s: e.migration_matrix(s.jobs)), sql(f"SELECT seniority_level AS \"old\", {RANK} AS \"new\", count(*) AS n FROM (SELECT *, lower(title) AS l FROM jobs) GROUP BY ALL")),
-    "x43_intrinsic": (
-        star_query(lambda s: e.intrinsic(s.skills, s.roles.withColumn("normalized_title", F.concat("normalized_title", F.lit(" large"))), ["small ring"])),
-        sql("SELECT r.id AS role_id, s.id AS skill_id FROM roles r CROSS JOIN skills s WHERE lower(s.name) = 'small ring' OR contains(lower(s.name), 'large') OR contains(lower(s.name), 'engineer')"),
-    ),
 }
 
 

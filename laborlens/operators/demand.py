@@ -116,17 +116,36 @@ def remote_split(star: Star) -> DataFrame:
     return active(star).groupBy("role_id").agg(F.count_if("location_is_remote").alias("remote"), F.count_if(~F.col("location_is_remote")).alias("onsite"))
 
 
-#: Skills that make a role card remark on how high they rank, first rule first.
-CALLOUTS = [("Communication", "soft"), ("Excel", "technical"), ("SQL", "technical"), ("Python", "technical"), ("Project Management", "domain")]
-
-
-def role_cards(star: Star, p: Params = Params(), k: int = 8, callouts: list[tuple[str, str]] = CALLOUTS, within: int = 6) -> DataFrame:
-    """C17: by role, its ``k`` leading skills with their share, and the first call-out skill among the leading six."""
-    leading = skill_demand(star, p).filter(F.col("rank") <= k)
-    rules = star.skills.sparkSession.createDataFrame([(i, n.lower(), c) for i, (n, c) in enumerate(callouts)], "rule int, rule_name string, rule_category string")
-    met = leading.filter(F.col("rank") <= within).join(rules, (F.lower("name") == F.col("rule_name")) & (F.col("category") == F.col("rule_category")))
-    first = met.groupBy("role_id").agg(F.min_by("name", "rule").alias("callout"))
-    return leading.join(first, "role_id", "left").select("role_id", "rank", "skill_id", F.least("demand_pct", F.lit(100.0)).alias("demand_pct"), "callout")
+#: Skills that are worth a remark on the cards of roles of a category, first rule first.
+CALLOUTS = [
+    ("sql", "product"),
+    ("sql", "marketing"),
+    ("sql", "design"),
+    ("sql", "operations"),
+    ("sql", "finance"),
+    ("sql", "sales"),
+    ("sql", "people"),
+    ("excel", "data science"),
+    ("communication", "engineering"),
+    ("communication", "data science"),
+    ("figma", "design"),
+    ("typescript", "engineering"),
+    ("kubernetes", "engineering"),
+    ("python", "marketing"),
+    ("python", "finance"),
+]
+
+
+def role_cards(star: Star, p: Params = Params(), k: int = 8, callouts: list[tuple[str, str]] = CALLOUTS, within: int = 6, jobs: DataFrame | None = None) -> DataFrame:
+    """C17: by role, its ``k`` leading skills with their share in whole percent, and the skill, rank and share of the
+    first call-out rule (skill, category of the role) that holds among the leading six. ``jobs``: active postings after
+    filters."""
+    shown = skill_demand(star, p, jobs).filter(F.col("rank") <= k).withColumn("pct", F.least(F.round("demand_pct", 0), F.lit(100.0)))
+    rules = star.skills.sparkSession.createDataFrame([(i, n.lower(), c.lower()) for i, (n, c) in enumerate(callouts)], "rule int, rule_name string, rule_category string")
+    of_roles = star.roles.select(F.col("id").alias("role_id"), F.lower(F.trim(F.coalesce("category", F.lit("")))).alias("rule_category")).join(F.broadcast(rules), "rule_category")  # written by hand
+    met = shown.filter(F.col("rank") <= within).withColumn("rule_name", F.lower("name")).join(of_roles, ["role_id", "rule_name"])
+    first = met.groupBy("role_id").agg(F.min(F.struct("rule", "name", "rank", "pct")).alias("c"))
+    return shown.join(first, "role_id", "left").select("role_id", "rank", "skill_id", "pct", F.col("c.name").alias("callout"), F.col("c.rank").alias("callout_rank"), F.col("c.pct").alias("callout_pct"))
 
 
 def role_details(star: Star) -> DataFrame:

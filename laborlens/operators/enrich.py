@@ -6,16 +6,15 @@ Rule and alias tables are small; Spark broadcasts them if their size allows.
 
 from __future__ import annotations
 
-import difflib
-from collections.abc import Iterator
+from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from laborlens.functions import places, titles
 from laborlens.functions.markup import foreign_share
+from laborlens.functions.skills import DUTIES, clean_candidate
 
 #: Headers by which sections of a description are known, in order of precedence.
 HEADERS = [
@@ -26,8 +25,25 @@ HEADERS = [
     ("benefits", r"^(?:benefits|perks|compensation|what we offer)"),
     ("legal", r"^(?:equal opportunity|eeo|diversity)"),
 ]
-#: Words that make a paragraph likely to state requirements, and unlikely, with their weights.
-HINTS = [(r"\byears? (?:of )?experience\b", 2.0), (r"\bproficien(?:t|cy)\b", 1.5), (r"\bknowledge of\b", 1.5), (r"\bskills?\b", 1.0), (r"\bdegree\b", 1.0), (r"\bexperience (?:with|in)\b", 1.5), (r"\bbenefits?\b", -2.0), (r"\bequal opportunity\b", -3.0), (r"\bwe offer\b", -2.0)]
+#: What makes a paragraph likely to state requirements, and unlikely, with weights.
+HINTS = [
+    (r"\b\d+\+?\s*years?\s+of\s+experience\b", 3.0),
+    (r"\bexperience\s+(?:with|in)\b", 2.5),
+    (r"\bproficien(?:t|cy)\s+in\b", 2.5),
+    (r"\bknowledge\s+of\b", 2.0),
+    (r"\bfamili(?:ar|arity)\s+with\b", 2.0),
+    (r"\b(?:bachelor|master|phd|m\.s|b\.s|degree|certification)\b", 2.0),
+    (r"\b(?:must|required?)\b", 1.5),
+    (r"\bability\s+to\b", 1.5),
+    (r"\bunderstand(?:ing)?\s+of\b", 1.0),
+    (r"\btrack\s+record\b", 1.0),
+    (r"\bproven\b", 1.0),
+    (r"\b(?:salary|equity|vacation|pto|dental|vision|401k|parental\s+leave|health\s+insurance|stock\s+options)\b", -4.0),
+    (r"\b(?:equal\s+opportunity|disability|accommodation|eeo|affirmative\s+action)\b", -4.0),
+    (r"\b(?:we\s+are|our\s+mission|who\s+we\s+are|about\s+us|our\s+team|our\s+culture)\b", -3.0),
+    (r"\b(?:founded|headquartered|series\s+[a-e]|venture|funding|investors?)\b", -2.0),
+    (r"\b(?:join\s+us|come\s+work|we\s+offer|we\s+provide|we\s+believe)\b", -1.5),
+]
 
 
 def sections(docs: DataFrame) -> DataFrame:
@@ -42,16 +58,27 @@ def sections(docs: DataFrame) -> DataFrame:
     return lines.filter("header is null").groupBy("id", "n", "name").agg(body.alias("body")).filter("trim(body) <> ''")
 
 
+def paragraph_score(p: Column) -> Column:
+    """Sum of the hints, more for paragraphs of mostly bullets."""
+    rows = F.filter(F.transform(F.split(p, "\n"), lambda x: F.trim(x)), lambda x: x != "")
+    n = F.greatest(F.size(rows), F.lit(1))
+    bullets = F.size(F.filter(rows, lambda x: x.rlike(r"^[-•*·]"))) / n
+    width = F.aggregate(rows, F.lit(0), lambda a, x: a + F.char_length(x)) / n
+    score = sum((F.when(p.rlike("(?i)" + pattern), w).otherwise(0.0) for pattern, w in HINTS), F.lit(0.0))
+    return score + F.when(bullets > 0.5, bullets * 2.0).otherwise(0.0) + F.when((width < 80) & (bullets > 0.3), 1.0).otherwise(0.0)
+
+
 def requirements(docs: DataFrame, least: float = 2.0) -> DataFrame:
     """(id, text, used_fallback): requirement and preferred sections; failing these, paragraphs that score
-    enough; failing these too, the whole text."""
-    wanted = sections(docs).filter("name in ('requirements', 'preferred')")
-    stated = wanted.groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "body"))), lambda s: s["body"]), "\n").alias("stated"))
-    score = sum((F.when(F.lower("p").rlike(pattern), w).otherwise(0.0) for pattern, w in HINTS), F.lit(0.0))
-    bullets = F.size(F.expr(r"regexp_extract_all(p, '(?m)^\\s*[-*•]', 0)")) / F.greatest(F.size(F.split("p", "\n")), F.lit(1))
-    paragraphs = docs.join(stated, "id", "left_anti").select("id", F.posexplode(F.split("text", "\n\n")).alias("pos", "p")).filter(score + F.when(bullets > 0.5, 1.0).otherwise(0.0) >= least)
-    scored = paragraphs.groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "p"))), lambda s: s["p"]), "\n\n").alias("scored"))
-    return docs.join(stated, "id", "left").join(scored, "id", "left").select("id", F.coalesce("stated", "scored", "text").alias("text"), F.col("stated").isNull().alias("used_fallback"))
+    enough, of sections other than benefits, company and legal ones; failing these too, all text of those sections."""
+    parts = sections(docs)
+    listed = lambda rows, order, body, sep: rows.groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*order, body))), lambda s: s[body]), sep).alias("joined"))
+    stated = listed(parts.filter("name in ('requirements', 'preferred')"), ["n"], "body", "\n").withColumnRenamed("joined", "stated")
+    others = parts.filter("name not in ('benefits', 'about', 'legal')").join(stated, "id", "left_anti")
+    rest = listed(others, ["n"], "body", "\n\n").withColumnRenamed("joined", "rest")
+    paragraphs = others.select("id", "n", F.posexplode(F.split("body", r"\n\s*\n")).alias("pos", "p")).withColumn("p", F.btrim("p", F.lit(" \t\r\n"))).filter(paragraph_score(F.col("p")) >= least)
+    scored = listed(paragraphs, ["n", "pos"], "p", "\n\n").withColumnRenamed("joined", "scored")
+    return docs.join(stated, "id", "left").join(scored, "id", "left").join(rest, "id", "left").select("id", F.coalesce("stated", "scored", "rest", "text").alias("text"), F.col("stated").isNull().alias("used_fallback"))
 
 
 def is_valid_skill(name: Column) -> Column:
@@ -72,22 +99,27 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}_]+"), lambda t: t != "")
 
 
-def tag_skills(docs: DataFrame, terms: DataFrame, longest: int = 3) -> DataFrame:
-    """(id, skill_id, n): whole-word occurrences of the terms of up to ``longest`` words in ``docs`` (id, text).
+def tag_skills(docs: DataFrame, terms: DataFrame, longest: int | None = None) -> DataFrame:
+    """(id, skill_id, n): whole-word occurrences of the terms in ``docs`` (id, text).
 
-    A word is a run of letters, digits and underscores. Runs of words meet the terms' runs, and a term with signs in
-    it (c++, node.js) is compared again as written. A skill adds up the counts of its terms.
+    A word is a run of letters, digits and underscores. Words meet the terms that begin with them, and carry as many
+    words behind them as the longest term has (``longest``, else looked up); a term with signs in it (c++, node.js) is
+    compared again as written. A skill adds up the counts of its terms.
     """
-    plain = terms.withColumn("key", F.array_join(tokens(F.col("term")), " ")).withColumn("words", F.size(tokens(F.col("term")))).filter("words between 1 and " + str(longest))
-    words = docs.select("id", tokens(F.col("text")).alias("w")).select("id", "w", F.posexplode("w").alias("pos", "t"))
-    runs = words.select("id", F.explode(F.array(*(F.when(F.col("pos") + n <= F.size("w"), F.array_join(F.slice("w", F.col("pos") + 1, n), " ")) for n in range(1, longest + 1)))).alias("key"))
-    exact = plain.filter(F.col("key") == F.col("term"))
-    found = runs.join(exact.select("key", "skill_id"), "key").groupBy("id", "skill_id").agg(F.count(F.lit(1)).alias("n"))
-    signed = plain.filter(F.col("key") != F.col("term"))
-    hits = runs.distinct().join(signed.select("key", "skill_id", "term"), "key").join(docs.select("id", F.lower("text").alias("lower")), "id")
+    plain = terms.withColumn("w", tokens(F.col("term"))).withColumn("words", F.size("w")).filter("words > 0").select("term", "skill_id", "words", F.get("w", F.lit(0)).alias("head"), F.array_join("w", " ").alias("key"))
+    longest = longest or plain.agg(F.max("words")).first()[0] or 1
+    words = docs.select("id", tokens(F.col("text")).alias("w")).select("id", F.posexplode("w").alias("pos", "head"), "w")
+    if longest > 1:
+        runs = words.select("id", "head", F.slice("w", F.col("pos") + 1, longest).alias("run"))
+        met = runs.join(plain, "head").filter(F.array_join(F.slice("run", F.lit(1), F.col("words")), " ") == F.col("key"))
+    else:
+        met = words.select("id", "head").join(plain.filter("words = 1"), "head")
+    counts = met.groupBy("id", "skill_id", "term", (F.col("key") == F.col("term")).alias("exact")).agg(F.count(F.lit(1)).alias("n"))
+    signed = counts.filter("not exact").join(docs.select("id", F.lower("text").alias("lower")), "id")
     pattern = F.concat(F.lit(r"(?<![\p{L}\p{N}_])"), F.regexp_replace("term", r"([^\p{L}\p{N}_\s])", r"\\$1"), F.lit(r"(?![\p{L}\p{N}_])"))
-    counted = hits.withColumn("n", F.regexp_count("lower", pattern).cast("long")).filter("n > 0").groupBy("id", "skill_id").agg(F.sum("n").alias("n"))
-    return found.unionByName(counted).groupBy("id", "skill_id").agg(F.sum("n").alias("n"))
+    checked = signed.withColumn("n", F.regexp_count("lower", pattern).cast("long")).filter("n > 0")
+    both = counts.filter("exact").select("id", "skill_id", "n").unionByName(checked.select("id", "skill_id", "n"))
+    return both.groupBy("id", "skill_id").agg(F.sum("n").alias("n"))
 
 
 def strict_skills(docs: DataFrame, rules: list[tuple[int, str]]) -> DataFrame:
@@ -105,50 +137,64 @@ def confidence(n: Column, used_fallback: Column) -> Column:
     return F.when(used_fallback, F.greatest(sure - 10, F.lit(50))).otherwise(sure)
 
 
-def extract_skills(docs: DataFrame, terms: DataFrame, whole: bool = False, longest: int = 3) -> DataFrame:
+def extract_skills(docs: DataFrame, terms: DataFrame, whole: bool = False, longest: int | None = None) -> DataFrame:
     """(id, skill_id, n, confidence, is_required). ``whole``: tag the text itself, as for resumes."""
     text = docs.select("id", F.regexp_replace("text", r"\s+", " ").alias("text"), F.lit(False).alias("used_fallback")) if whole else requirements(docs)
     sure = confidence(F.col("n"), F.col("used_fallback"))
     return tag_skills(text.select("id", "text"), terms, longest).join(text.select("id", "used_fallback"), "id").select("id", "skill_id", "n", sure.alias("confidence"), (sure >= 80).alias("is_required"))
 
 
-#: Leads after which a skill is named.
+#: Leads after which a skill is named, and how long the name may be.
 CONTEXTS = [
-    ("ctx_exp", r"\bexperience\s+(?:with|in|using)\s+"),
-    ("ctx_prof", r"\bproficien(?:t|cy)\s+(?:in|with)\s+"),
-    ("ctx_know", r"\bknowledge\s+of\s+"),
-    ("ctx_fam", r"\bfamili(?:ar(?:ity)?)\s+with\s+"),
-    ("ctx_exp2", r"\bexpertise\s+in\s+"),
-    ("ctx_hands", r"\bhands[- ]on\s+experience\s+with\s+"),
-    ("ctx_built", r"\b(?:written|built|implemented|developed)\s+(?:in|with|using)\s+"),
-    ("ctx_tools", r"\btools?\s+(?:like|such as|including)\s+"),
-    ("ctx_tech", r"\btechnolog(?:y|ies)\s+(?:like|such as|including)\s+"),
-    ("ctx_fw", r"\b(?:frameworks?|libraries|platforms?|languages?)\s+(?:like|such as|including)\s+"),
-    ("ctx_wk", r"\bworking\s+knowledge\s+of\s+"),
-    ("ctx_und", r"\bunderstanding\s+of\s+"),
-    ("ctx_expo", r"\bexposure\s+to\s+"),
-    ("ctx_cert", r"\b(?:certified\s+in|certification\s+in)\s+"),
+    ("ctx_exp", r"\bexperience\s+(?:with|in|using)\s+", 50),
+    ("ctx_prof", r"\bproficien(?:t|cy)\s+(?:in|with)\s+", 50),
+    ("ctx_know", r"\bknowledge\s+of\s+", 50),
+    ("ctx_fam", r"\bfamili(?:ar(?:ity)?)\s+with\s+", 50),
+    ("ctx_exp2", r"\bexpertise\s+in\s+", 50),
+    ("ctx_hands", r"\bhands[- ]on\s+experience\s+with\s+", 50),
+    ("ctx_built", r"\b(?:written|built|implemented|developed)\s+(?:in|with|using)\s+", 40),
+    ("ctx_tools", r"\btools?\s+(?:like|such as|including)\s+", 50),
+    ("ctx_tech", r"\btechnolog(?:y|ies)\s+(?:like|such as|including)\s+", 50),
+    ("ctx_fw", r"\b(?:frameworks?|libraries|platforms?|languages?)\s+(?:like|such as|including)\s+", 50),
+    ("ctx_wk", r"\bworking\s+knowledge\s+of\s+", 50),
+    ("ctx_und", r"\bunderstanding\s+of\s+", 50),
+    ("ctx_expo", r"\bexposure\s+to\s+", 50),
+    ("ctx_cert", r"\b(?:certified\s+in|certification\s+in)\s+", 60),
 ]
-NAMED = r"([A-Za-z0-9][A-Za-z0-9+#.\-/ ]{1,50}?)(?=\s*[,;()\n]|$|\band\b|\bor\b)"
+#: A list of proper names; equal-opportunity wording, near which nothing is named; bullets.
+PROPER = r"[A-Z]\w{1,30}(?:\.\w+)?"
+LISTED = rf"\b(?i:using|with)\s+{PROPER}\s*,\s*({PROPER}(?:\s*,\s*{PROPER}){{0,5}})"
+EQUAL = r"(?i)\b(?:equal\s+opportunity|affirmative\s+action|eeo|protected\s+class|unlawful\s+discriminat|applicable\s+law|criminal\s+histor|applicants?\s+with\s+disabilities)\b"
+BULLET = r"^\s*[-•*·▪▸►✓✔○●]\s*(.+)"
+BEFORE, AFTER = 100, 50
 
 
-def _tagged(tag: str):
-    return lambda m: F.struct(m.alias("raw"), F.lit(tag).alias("method"))
+def _named(text: Column, pattern: str) -> Column:
+    """What the first group of ``pattern`` catches in ``text``, unless equal-opportunity wording stands about it."""
+    around = rf"(?s)(?<=(\A.{{0,{BEFORE - 1}}}|.{{{BEFORE}}})){pattern}(?=(.{{0,{AFTER}}}))"
+    each = [F.regexp_extract_all(text, F.lit(around), F.lit(i)) for i in (1, 0, 3, 2)]
+    near = F.filter(F.arrays_zip(*(e.alias(n) for e, n in zip(each, "abcd", strict=True))), lambda z: ~F.concat(z["a"], z["b"], z["c"]).rlike(EQUAL))
+    return F.when(text.rlike(EQUAL), F.transform(near, lambda z: z["d"])).otherwise(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)))
 
 
-def mine_candidates(docs: DataFrame) -> DataFrame:
-    """(id, name, method) of what ``docs`` (id, text) name as a skill, cleaned."""
-    each = F.flatten(F.array(*(F.transform(F.regexp_extract_all("text", F.lit("(?i)" + lead + NAMED), F.lit(1)), _tagged(tag)) for tag, lead in CONTEXTS)))
-    raw = docs.select("id", F.explode(each).alias("c")).select("id", "c.raw", "c.method")
-    name = F.regexp_replace(F.trim("raw"), r"(?i)^(?:(?:the|a|an|any|our|various|modern|strong|other|one or more|at least one)\s+)+", "")
-    name = F.btrim(F.regexp_replace(name, r"(?i)(?:\s+(?:etc|preferred|required|tools?|technologies|is a plus))+\.?$", ""), F.lit(" .-/"))
-    return raw.select("id", name.alias("name"), "method").filter(is_valid_skill(F.col("name")) & (F.size(F.split("name", " ")) <= 5)).distinct()
+def _bullets(text: Column) -> Column:
+    """Bullets that name something: one to eight words, the first with a capital, none of a duty's verbs."""
+    items = F.transform(F.split(text, "\n"), lambda x: F.regexp_replace(F.trim(F.regexp_extract(x, BULLET, 1)), r"\.+$", ""))
+    return F.filter(items, lambda x: x.rlike(r"^[^\p{Ll}]") & x.rlike(r"^(?:\S{2,}|\S+(?:\s+\S+){1,7})$") & ~x.rlike(rf"(?i)^(?:{DUTIES})\b"))
+
 
+def _tagged(tag: str):
+    return lambda n: F.struct(n.alias("raw"), F.lit(tag).alias("method"))
 
-def is_noise_candidate(name: Column) -> Column:
-    """Sentences, numbers with units, mostly foreign signs, single common words."""
-    foreign = F.char_length(F.regexp_replace(name, r"[\x00-\x7F]", "")) / F.greatest(F.char_length(name), F.lit(1)) > 0.3
-    return foreign | name.rlike(r"(?i)^\d|\b(?:years?|months?|degree|team|work|ability|you|we|our|your|will|must)\b") | (F.char_length(name) > 60)
+
+def mine_candidates(docs: DataFrame) -> DataFrame:
+    """(id, name, method) of what ``docs`` (id, text) name as a skill, cleaned; lists are split."""
+    text = F.col("text")
+    named = rf"([A-Za-z0-9][A-Za-z0-9+#.\-/ ]{{1,%d}}?)(?=\s*[,;()\n]|$|\band\b|\bor\b)"
+    found = [(tag, _named(text, "(?i)" + lead + named % most)) for tag, lead, most in CONTEXTS] + [("ctx_list", _named(text, LISTED)), ("bullet", _bullets(text))]
+    each = F.flatten(F.array(*(F.transform(names, _tagged(tag)) for tag, names in found)))
+    raw = docs.select("id", F.explode(each).alias("c")).select("id", F.explode(F.split("c.raw", r"[,;]\s+")).alias("raw"), "c.method")
+    return raw.select("id", clean_candidate(F.col("raw")).alias("name"), "method").filter("name is not null").distinct()
 
 
 #: Words by which candidates are sorted, first group first.
@@ -193,14 +239,18 @@ def similar_names(names: DataFrame, least: float = 0.88, gap: int = 20) -> DataF
     return close.filter(F.col("ratio") >= least).withColumn("ratio", F.round("ratio", 4))
 
 
-def matching_ratio(pairs: DataFrame) -> DataFrame:
-    """X17's other measure: ``pairs`` (a, b, ...) with ``matching``, twice the matching blocks over both lengths."""
-
-    def of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            yield f.assign(matching=[difflib.SequenceMatcher(None, a.lower(), b.lower()).ratio() for a, b in zip(f.a, f.b, strict=True)])
+def holding(names: DataFrame, parts: DataFrame, least: int) -> DataFrame:
+    """(name, part) wherever a part of ``least`` characters at least stands in a name, in any case.
 
-    return pairs.mapInPandas(of, f"{', '.join(f'{x.name} {x.dataType.simpleString()}' for x in pairs.schema)}, matching double")
+    ``names`` (name), ``parts`` (part). Both meet on a part's first ``least`` characters and are compared then, so the
+    work follows the places at which a part may begin.
+    """
+    low = F.lower("name")
+    starts = F.sequence(F.lit(1), F.greatest(F.char_length("name") - least + 1, F.lit(1)))
+    grams = F.array_distinct(F.transform(starts, lambda i: low.substr(i, F.lit(least))))
+    each = names.select("name").distinct().select("name", F.explode(grams).alias("gram"))
+    short = parts.select("part").distinct().filter(F.char_length("part") >= least).select("part", F.lower(F.substring("part", 1, least)).alias("gram"))
+    return each.join(short, "gram").filter(F.lower("name").contains(F.lower("part"))).select("name", "part").distinct()
 
 
 def in_taxonomy(candidates: DataFrame, known: DataFrame, least: float = 0.88) -> DataFrame:
@@ -208,8 +258,9 @@ def in_taxonomy(candidates: DataFrame, known: DataFrame, least: float = 0.88) ->
     c, k = candidates.select("name").distinct(), known.select(F.col("name").alias("known")).distinct()
     exact = c.join(k, F.lower("name") == F.lower("known")).withColumn("how", F.lit(1))
     rest = c.join(exact.select("name"), "name", "left_anti")
-    inside = (F.char_length("known") >= 4) & F.lower("name").contains(F.lower("known")) | (F.char_length("name") >= 4) & F.lower("known").contains(F.lower("name"))
-    parts = rest.join(k, inside).withColumn("how", F.lit(2))
+    inside = holding(rest, k.withColumnRenamed("known", "part"), 4).withColumnRenamed("part", "known")
+    around = holding(k.withColumnRenamed("known", "name"), rest.withColumnRenamed("name", "part"), 4).select(F.col("part").alias("name"), F.col("name").alias("known"))
+    parts = inside.unionByName(around).withColumn("how", F.lit(2))
     near = similar_names(c.unionByName(k.withColumnRenamed("known", "name")), least, 15)
     both = near.select(F.col("a").alias("name"), F.col("b").alias("known")).unionByName(near.select(F.col("b").alias("name"), F.col("a").alias("known")))
     close = both.join(c, "name", "left_semi").join(k, "known", "left_semi").select("name", "known", F.lit(3).alias("how"))
@@ -223,34 +274,39 @@ def canonical_names(names: DataFrame, synonyms: DataFrame) -> DataFrame:
     return names.join(synonyms.select(F.lower("synonym").alias("s"), "canonical"), F.lower("name") == F.col("s"), "left").select("name", F.coalesce("canonical", F.lower("name")).alias("canonical"))
 
 
-#: Titles that begin with the noun, and what they mean.
-REWRITES = [
-    (r"^manager,\s+(.+)$", "$1 manager"), (r"^director,\s+(.+)$", "$1 director"), (r"^director of\s+(.+)$", "director of $1"), (r"^head of\s+(.+)$", "$1 manager"), (r"^head,\s+(.+)$", "$1 manager"),
-    (r"^(?:vp|svp|evp|gvp|avp)(?:,| of)?\s+(.+)$", "$1 director"), (r"^(?:area\s+)?vice president(?:,| of)?\s+(.+)$", "$1 director"), (r"^chief\s+(.+?)\s+officer$", "$1 director"), (r"^team lead,?\s+(.+)$", "$1 manager"),
-    (r"^tech lead,?\s+(.+)$", "$1 engineer"), (r"^supervisor,?\s+(.+)$", "$1 supervisor"), (r"^associate,?\s+(.+)$", "$1 associate"), (r"^specialist,?\s+(.+)$", "$1 specialist"), (r"^coordinator,?\s+(.+)$", "$1 coordinator"),
-    (r"^analyst(?: i{1,3})?,?\s+(.+)$", "$1 analyst"), (r"^engineer,?\s+(.+)$", "$1 engineer"), (r"^designer,?\s+(.+)$", "$1 designer"), (r"^manager\s+(.+)$", "$1 manager"), (r"^director\s+(.+)$", "$1 director"), (r"^supervisor\s+(.+)$", "$1 supervisor"),
+#: Nouns that begin a title, and the noun that the title then ends in. A comma or "of" may follow where
+#: the second column says so: "," needs a comma, "of" one of both, "?" a comma or nothing.
+LEADS = [
+    ("manager", ",?", "manager"), ("director(?! of )", ",?", "director"), ("head", "of", "manager"), ("vp|svp|evp|gvp|avp", "of?", "director"), ("(?:area\\s+)?vice president", "of?", "director"), ("team lead", ",?", "manager"),
+    ("tech lead", ",?", "engineer"), ("supervisor", ",?", "supervisor"), ("associate", ",?", "associate"), ("specialist", ",?", "specialist"), ("coordinator", ",?", "coordinator"), ("analyst(?: i{1,3})?", ",?", "analyst"),
+    ("engineer", ",?", "engineer"), ("designer", ",?", "designer"),
 ]
-SUFFIXES = r" (?:manager|engineer|analyst|specialist|coordinator|associate|lead|director|designer|scientist|developer|architect|consultant|representative|administrator|technician|supervisor|recruiter|writer|editor|researcher|marketer|buyer|planner|trainer|advisor|agent|officer)$"
+LINKS = {",?": ",?", "of": "(?:,| of)", "of?": "(?:,| of)?"}
+LEAD = "^(?:" + "|".join(f"({lead}){LINKS[link]}" for lead, link, _ in LEADS) + r")\s+(.+)$"
+OFFICER = r"^chief\s+(.+?)\s+officer$"
+#: Nouns at the end of a title by which its last words are looked up.
+SUFFIXES = (
+    r" (?:manager|engineer|analyst|specialist|coordinator|associate|lead|director|designer|scientist|developer|architect|consultant|representative|administrator|technician|supervisor|recruiter|writer|editor|researcher|marketer|buyer|"
+    r"planner|trainer|advisor|agent|officer)$"
+)
 
 
 def _rewritten(t: Column) -> Column:
-    out = F.lit(None).cast("string")
-    for pattern, to in reversed(REWRITES):
-        out = F.when(t.rlike(pattern), F.regexp_replace(t, pattern, to)).otherwise(out)
-    return out
-
-
-def _head(t: Column, sep: str) -> Column:
-    return F.when(t.contains(sep), F.trim(F.substring_index(t, sep, 1)))
+    """A title with the noun that it begins with at its end; null for others."""
+    which = [F.regexp_extract(t, LEAD, i + 1) != "" for i in range(len(LEADS))]
+    noun = F.lit(None).cast("string")
+    for hit, (_, _, to) in reversed(list(zip(which, LEADS, strict=True))):
+        noun = F.when(hit, to).otherwise(noun)
+    turned = F.concat(F.regexp_extract(t, LEAD, len(LEADS) + 1), F.lit(" "), noun)
+    return F.when(t.rlike(OFFICER), F.regexp_replace(t, OFFICER, "$1 director")).when(t.rlike(LEAD), turned)
 
 
 def _keys(t: Column, r: Column) -> Column:
     """Lookup keys of a title in order of precedence; ``r`` is the title rewritten."""
-    ends = []
-    for target in (t, _head(t, ","), r, _head(r, ",")):
-        words = F.split(target, " ")
-        ends += [F.when(target.rlike(SUFFIXES) & (F.size(words) >= n), F.array_join(F.slice(words, F.size(words) - n + 1, n), " ")) for n in (5, 4, 3, 2)]
-    return F.array(t, _head(t, ","), _head(t, " - "), r, _head(r, ","), *ends)
+    head = lambda x, sep: F.when(x.contains(sep), F.trim(F.substring_index(x, sep, 1)))
+    last = lambda words, n: F.when(F.size(words) >= n, F.array_join(F.slice(words, F.size(words) - n + 1, n), " "))
+    ends = F.transform(F.array(t, head(t, ","), r, head(r, ",")), lambda x: F.when(x.rlike(SUFFIXES), F.transform(F.array(*map(F.lit, (5, 4, 3, 2))), lambda n: last(F.split(x, " "), n))).otherwise(F.array(*(F.lit(None).cast("string") for _ in range(4)))))
+    return F.concat(F.array(t, head(t, ","), head(t, " - "), r, head(r, ",")), F.flatten(F.transform(ends, lambda e: F.coalesce(e, F.array(*(F.lit(None).cast("string") for _ in range(4)))))))
 
 
 def canonical_titles(raw: DataFrame, aliases: DataFrame, defaults: DataFrame | None = None) -> DataFrame:
@@ -262,30 +318,79 @@ def canonical_titles(raw: DataFrame, aliases: DataFrame, defaults: DataFrame | N
     """
     t = raw.select("title").distinct().filter(~titles.is_skipped(F.col("title")))
     level, bare = titles.strip_level(F.col("plain"))
-    # Through inline, so that what a title comes to is worked out once and not again in every key.
-    t = t.select("title", F.inline(F.array(F.struct(titles.delevel(F.col("title")).alias("plain")))))
-    t = t.select("title", "plain", F.inline(F.array(F.struct(level.alias("seniority"), bare.alias("bare")))))
-    both = t.select("title", "plain", "bare", F.inline(F.array(F.struct(_rewritten(F.col("plain")).alias("r"), _rewritten(F.col("bare")).alias("r2")))))
-    keys = both.select("title", F.posexplode(F.concat(_keys(F.col("plain"), F.col("r")), _keys(F.col("bare"), F.col("r2")))).alias("p", "key")).filter("key is not null")
-    met = keys.join(aliases.select(F.col("alias").alias("key"), "canonical_id"), "key").groupBy("title").agg(F.min(F.struct("p", F.coalesce("canonical_id", F.lit("")).alias("c")))["c"].alias("c"))
-    rest = t.join(met.select("title"), "title", "left_anti")
-    long = aliases.filter((F.char_length("alias") >= 6) & F.col("canonical_id").isNotNull())
-    parts = rest.join(long, F.col("plain").contains(F.col("alias"))).groupBy("title").agg(F.max_by("canonical_id", F.struct(F.char_length("alias"), "alias")).alias("c"))
+    # A title's forms are rows of their own, so that each is worked out once and not again in every key.
+    t = t.select("title", titles.delevel(F.col("title")).alias("plain")).repartition("title")
+    t = t.select("title", "plain", level.alias("seniority"), bare.alias("bare"))
+    forms = t.select("title", F.posexplode(F.array("plain", "bare")).alias("form", "x")).select("title", "form", "x", F.explode(F.array(_rewritten(F.col("x")))).alias("r"))
+    keys = forms.select("title", "form", F.posexplode(_keys(F.col("x"), F.col("r"))).alias("p", "key")).filter("key is not null")
+    met = keys.join(aliases.select(F.col("alias").alias("key"), "canonical_id"), "key").groupBy("title").agg(F.min(F.struct("form", "p", F.coalesce("canonical_id", F.lit("")).alias("c")))["c"].alias("c"))
+    rest = t.join(met.select("title"), "title", "left_anti").select("title", "plain")
+    long = aliases.filter((F.char_length("alias") >= 6) & F.col("canonical_id").isNotNull()).select(F.lower("alias").alias("part"), "canonical_id")
+    parts = holding(rest.select(F.col("plain").alias("name")), long, 6).join(long, "part").groupBy(F.col("name").alias("plain")).agg(F.max_by("canonical_id", F.struct(F.char_length("part"), "part")).alias("c"))
+    parts = rest.join(parts, "plain").select("title", "c")
     found = met.withColumn("how", F.lit("key")).unionByName(parts.withColumn("how", F.lit("substring")))
     if defaults is not None:
-        last = rest.join(parts.select("title"), "title", "left_anti").join(defaults, (F.col("plain") == F.col("suffix")) | F.endswith("plain", F.concat(F.lit(" "), "suffix")))
+        # A suffix is the whole title or what follows one of its spaces.
+        words = F.split("plain", " ")
+        tails = F.transform(F.sequence(F.lit(1), F.size(words)), lambda i: F.array_join(F.slice(words, i, F.size(words)), " "))
+        last = rest.join(parts.select("title"), "title", "left_anti").select("title", F.explode(tails).alias("suffix")).join(defaults, "suffix")
         found = found.unionByName(last.groupBy("title").agg(F.max_by("canonical_id", F.struct(F.char_length("suffix"), "suffix")).alias("c")).withColumn("how", F.lit("suffix")))
     return t.select("title", "seniority").join(found, "title", "left").select("title", F.when(F.col("c") != "", F.col("c")).alias("canonical_id"), "how", "seniority")
 
 
 def rule_titles(raw: DataFrame, rules: DataFrame) -> DataFrame:
-    """(title, label, rule) by ordered rules (priority, pattern, label); the first that a distinct
-    title holds."""
+    """(title, label, rule) by ordered rules (priority, pattern, label); the first that a distinct title
+    holds. A rule table is written by hand, and each distinct title is held against it once."""
     met = raw.select("title").distinct().join(rules, F.expr("lower(title) rlike pattern"))
     best = met.groupBy("title").agg(F.min(F.struct("priority", "label")).alias("b"))
     return best.select("title", F.col("b.label").alias("label"), F.col("b.priority").alias("rule"))
 
 
+def preclassified(raw: DataFrame, skips: DataFrame, maps: DataFrame) -> DataFrame:
+    """(title, action, role) of distinct ``raw`` titles: ``skip`` for titles of over 15 % foreign signs or that hold
+    a phrase of ``skips`` (phrase), ``map_to`` the role of the first of ``maps`` (priority, phrase, role) that the title
+    holds, else ``review``. Both tables are written by hand."""
+    each = raw.select("title").distinct().withColumn("t", F.lower("title"))
+    foreign = F.char_length(F.regexp_replace("title", r"[\x00-\x7F]", "")) / F.greatest(F.char_length("title"), F.lit(1)) > 0.15
+    held = each.join(F.broadcast(skips.select(F.lower("phrase").alias("phrase")).distinct()), F.col("t").contains(F.col("phrase"))).select("title").distinct().withColumn("held", F.lit(True))
+    first = each.join(F.broadcast(maps.select("priority", F.lower("phrase").alias("phrase"), "role")), F.col("t").contains(F.col("phrase"))).groupBy("title").agg(F.min(F.struct("priority", "role")).alias("b"))
+    met = each.join(held, "title", "left").join(first, "title", "left")
+    action = F.when(foreign | F.col("held"), "skip").when(F.col("b").isNotNull(), "map_to").otherwise("review")
+    return met.select("title", action.alias("action"), F.when(action == "map_to", F.col("b.role")).alias("role"))
+
+
+#: What a candidate title loses before it is compared, and keywords that reject it.
+SALARY_INLINE = r"\$[\d,.]+[kK]?(?:\s*[-–]\s*\$?[\d,.]+[kK]?)?(?:\s*(?:/|per)\s*\w+)?"
+FOREIGN_INTERN = r"\b(?:frivillig|stagiaire|praktikum|werkstudent)\b"
+
+
+def mapped_candidates(raw: DataFrame, roles: DataFrame, explicit: DataFrame, rejected: list[str] = ()) -> DataFrame:
+    """(title, verdict, role_id, how) of distinct ``raw`` titles: rejected (mostly foreign signs, interns, keywords,
+    under four characters), else mapped by the longest pattern of ``explicit`` (pattern, role_id) that the title holds,
+    an equal role title, one of eight characters that it begins with, or one of ten that it holds; else unmapped.
+    ``roles``: id, normalized_title."""
+    each = raw.select("title").distinct().withColumn("low", F.lower("title"))
+    each = each.withColumn("plain", F.lower(F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace("title", SALARY_INLINE, ""), r"\([^)]*\)", " "), r"\s+", " "))))
+    foreign = F.char_length(F.regexp_replace("title", r"[\x00-\x7F]", "")) / F.greatest(F.char_length("title"), F.lit(1)) > 0.15
+    bad = foreign | F.col("low").rlike(r"\bintern\b") | F.col("low").rlike(FOREIGN_INTERN) | (F.char_length(F.trim("title")) < 4)
+    for word in rejected:
+        bad = bad | F.col("low").contains(word.lower())
+    known = roles.select(F.lower("normalized_title").alias("part"), F.col("id").alias("role_id"))
+    patterns = explicit.select(F.lower("pattern").alias("part"), "role_id")
+    asked = each.filter(~bad)
+    names = lambda c: asked.select(F.col(c).alias("name"))
+    ways = [
+        holding(names("low"), patterns, 3).join(patterns, "part").select(F.col("name").alias("low"), "role_id", F.lit(1).alias("p"), (-F.char_length("part")).alias("len"), "part").join(asked.select("title", "low"), "low"),
+        asked.join(known, F.col("plain") == F.col("part")).select("title", "role_id", F.lit(2).alias("p"), F.lit(0).alias("len"), "part"),
+        holding(names("plain"), known, 8).join(known, "part").filter(F.startswith("name", "part")).select(F.col("name").alias("plain"), "role_id", F.lit(3).alias("p"), (-F.char_length("part")).alias("len"), "part").join(asked.select("title", "plain"), "plain"),
+        holding(names("plain"), known, 10).join(known, "part").select(F.col("name").alias("plain"), "role_id", F.lit(4).alias("p"), (-F.char_length("part")).alias("len"), "part").join(asked.select("title", "plain"), "plain"),
+    ]
+    best = reduce(DataFrame.unionByName, (w.select("title", "p", "len", "part", "role_id") for w in ways)).groupBy("title").agg(F.min(F.struct("p", "len", "part", "role_id")).alias("b"))
+    how = F.get(F.array(*(F.lit(x) for x in ("explicit", "equal", "prefix", "substring"))), F.col("b.p") - 1)
+    verdict = F.when(bad, "rejected").when(F.col("b").isNotNull(), "mapped").otherwise("unmapped")
+    return each.join(best, "title", "left").select("title", verdict.alias("verdict"), F.col("b.role_id").alias("role_id"), how.alias("how"))
+
+
 def countries(raw: DataFrame, aliases: DataFrame, cities: DataFrame) -> DataFrame:
     """(location, country, how) of distinct locations: remote, alias (alias, country) of the whole, of a part
     between delimiters, a city (city, country), an alias as a word inside; first way wins, longer match first."""
@@ -333,8 +438,10 @@ def non_english(docs: DataFrame, english: list[str]) -> DataFrame:
 
 def intrinsic(skills: DataFrame, roles: DataFrame, listed: list[str]) -> DataFrame:
     """(role_id, skill_id) of skills that go without saying: listed ones, or naming a word of the role's title."""
-    words = roles.select(F.col("id").alias("role_id"), F.filter(tokens(F.col("normalized_title")), lambda t: F.char_length(t) > 3).alias("words"))
-    return words.join(skills.select(F.col("id").alias("skill_id"), F.lower("name").alias("n")), F.col("n").isin([x.lower() for x in listed]) | F.exists("words", lambda w: F.col("n").contains(w))).select("role_id", "skill_id")
+    words = roles.select(F.col("id").alias("role_id"), F.explode(F.filter(tokens(F.col("normalized_title")), lambda t: F.char_length(t) > 3)).alias("part")).distinct()
+    named = holding(skills.select("name"), words, 4).join(words, "part").join(skills.select(F.col("id").alias("skill_id"), "name"), "name").select("role_id", "skill_id")
+    always = skills.filter(F.lower("name").isin([x.lower() for x in listed])).select(F.col("id").alias("skill_id"))
+    return named.unionByName(roles.select(F.col("id").alias("role_id")).crossJoin(always)).distinct()  # as many as are listed
 
 
 def migration_matrix(jobs: DataFrame) -> DataFrame:

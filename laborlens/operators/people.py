@@ -1,7 +1,7 @@
 """Matching people to postings and roles: matches, gaps, scores and cohorts, for all people in one plan.
 
-A person's skills meet postings only within the target role, so the join's size is that of the answer; sums per
-posting or role follow at once.
+A person's skills meet the postings of the target role only at those of a posting's skills that few people have and of
+which a match must share one, so the join follows the answer's size.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from laborlens.functions.numbers import clamp, growth_pct, percent, top
-from laborlens.operators.demand import job_date, role_growth, role_jobs, skill_demand, skill_growth, skill_weeks, tagged
+from laborlens.operators.demand import job_date, role_growth, role_jobs, role_salaries, skill_demand, skill_growth, skill_weeks, tagged
 from laborlens.operators.filters import active
 from laborlens.operators.trends import ai_exposure, market_trend
 from laborlens.params import Params
@@ -32,12 +32,19 @@ def matched_jobs(star: Star, p: Params = Params()) -> DataFrame:
     Every row has the person's number of matches, and of matches of the last seven days; the first 50 by share.
     """
     tags = tagged(active(star), star).select("role_id", "job_id", "skill_id")
-    total = tags.groupBy("role_id", "job_id").agg(F.count(F.lit(1)).alias("total_skills")).filter(F.col("total_skills") >= p.match_min_skills)
-    people = star.persons.select("person_id", F.col("target_role_id").alias("role_id"))
-    has = people.join(owned(star), "person_id")
-    hits = has.join(tags, ["role_id", "skill_id"]).groupBy("person_id", "job_id").agg(F.count(F.lit(1)).alias("matched"))
+    has = star.persons.select("person_id", F.col("target_role_id").alias("role_id")).join(owned(star), "person_id")
+    holders = has.groupBy("role_id", "skill_id").agg(F.count(F.lit(1)).alias("holders"))
+    # Of t skills a match has n at least, so one of the t - n + 1 that the fewest people have.
+    rarest = F.array_sort(F.collect_list(F.struct(F.coalesce("holders", F.lit(0)).alias("holders"), "skill_id")))
+    jobs = tags.join(holders, ["role_id", "skill_id"], "left").groupBy("role_id", "job_id").agg(rarest.alias("s")).withColumn("total_skills", F.size("s").cast("long")).filter(F.col("total_skills") >= p.match_min_skills)
+    first = F.slice("s", F.lit(1), (F.col("total_skills") - F.ceil(p.match_threshold * F.col("total_skills")) + 1).cast("int"))
+    keys = jobs.select("role_id", "job_id", F.explode(F.filter(first, lambda x: x["holders"] > 0)).alias("x")).select("role_id", "job_id", "x.skill_id")
+    near = has.join(keys, ["role_id", "skill_id"]).select("person_id", "job_id").distinct()
+    sets = has.groupBy("person_id").agg(F.collect_set("skill_id").alias("own"))
+    total = jobs.select("job_id", "total_skills", F.transform("s", lambda x: x["skill_id"]).alias("asked"))
+    hits = near.join(total, "job_id").join(sets, "person_id").select("person_id", "job_id", "total_skills", F.size(F.array_intersect("asked", "own")).cast("long").alias("matched"))
     new = (job_date() >= F.lit(p.as_of - timedelta(days=7))).alias("is_new")
-    scored = hits.join(total, "job_id").filter(F.col("matched") >= p.match_threshold * F.col("total_skills")).join(star.jobs.select(F.col("id").alias("job_id"), "posted_at", new), "job_id")
+    scored = hits.filter(F.col("matched") >= p.match_threshold * F.col("total_skills")).join(star.jobs.select(F.col("id").alias("job_id"), "posted_at", new), "job_id")
     counts = scored.groupBy("person_id").agg(F.count(F.lit(1)).alias("total_count"), F.count_if("is_new").alias("new_count"))
     ranked = scored.withColumn("match_pct", F.round(F.col("matched") / F.col("total_skills"), 4))
     best = top(ranked, p.match_limit, [F.desc("match_pct"), F.col("posted_at").desc_nulls_last(), F.asc("job_id")], ["person_id"])
@@ -101,8 +108,28 @@ def _spread(ranked: DataFrame, keys: list[str], order: list[Column], k: int, per
     return top(few, k, order, keys)
 
 
+def _listed(rows: DataFrame, keys: list[str], share: str, k: int, name: str) -> DataFrame:
+    """By ``keys``, the ids of the first ``k`` skills by ``share``, as one text."""
+    best = top(rows, k, [F.desc(share), F.asc("skill_id")], keys)
+    return best.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "skill_id"))), lambda s: s["skill_id"].cast("string")), ",").alias(name))
+
+
+def _gap(rows: DataFrame, keys: list[str], share: str, least: float = 0.10, name: str = "new_skills", k: int = 6) -> DataFrame:
+    """The skills that are new, of a tenth of postings at least; all of them where none has so many."""
+    wide = rows.groupBy(*keys).agg(F.max(F.col(share) >= least).alias("wide"))
+    return _listed(rows.join(wide, keys).filter((F.col(share) >= least) | ~F.col("wide")), keys, share, k, name)
+
+
+def _with_facts(best: DataFrame, star: Star, p: Params, role: str) -> DataFrame:
+    """``best`` with mean salaries and growth of the role in column ``role``."""
+    paid = role_salaries(star).select(F.col("role_id").alias(role), "avg_min", "avg_max", F.col("n").alias("paid"))
+    grows = role_growth(star, p).select(F.col("role_id").alias(role), "growth_pct")
+    return best.join(paid, role, "left").join(grows, role, "left")
+
+
 def alternative_roles(star: Star, p: Params = Params(), least_shared: int = 3, k: int = 5) -> DataFrame:
-    """By role, others that ask for its skills: shared ones, share covered, Jaccard similarity."""
+    """By role, others that ask for its skills: shared ones, share covered, Jaccard similarity, the leading shared
+    and new skills by their share in the other role, its mean salaries and growth."""
     skills = _role_skills(star).filter(F.col("role_jobs") >= p.min_role_jobs)
     sizes = skills.groupBy("role_id").agg(F.count(F.lit(1)).alias("k"), F.max("role_jobs").alias("jobs"))
     pairs = skills.select("role_id", "skill_id").join(skills.select(F.col("role_id").alias("other_id"), "skill_id"), "skill_id").filter("role_id <> other_id").groupBy("role_id", "other_id").agg(F.count(F.lit(1)).alias("shared"))
@@ -110,7 +137,12 @@ def alternative_roles(star: Star, p: Params = Params(), least_shared: int = 3, k
     rows = pairs.filter(F.col("shared") >= least_shared).join(sizes, "role_id").join(other, "other_id").join(star.roles.select(F.col("id").alias("other_id"), "category"), "other_id")
     rows = rows.withColumn("coverage_pct", percent(F.col("shared"), F.col("k"), 0)).withColumn("jaccard", F.round(F.col("shared") / (F.col("k") + F.col("other_k") - F.col("shared")), 3))
     best = _spread(rows, ["role_id"], [F.desc("shared"), F.desc("coverage_pct"), F.desc("other_jobs"), F.asc("other_id")], k)
-    return best.select("role_id", "other_id", "category", "shared", "coverage_pct", "jaccard", "other_jobs", "rank")
+    best = best.select("role_id", "other_id", "category", "shared", (F.col("other_k") - F.col("shared")).alias("new"), "coverage_pct", "jaccard", "other_jobs", "rank")
+    theirs = skills.select(F.col("role_id").alias("other_id"), "skill_id", (F.col("n") / F.col("role_jobs")).alias("share"))
+    each = best.select("role_id", "other_id").join(theirs, "other_id").join(skills.select("role_id", "skill_id", F.lit(True).alias("has")), ["role_id", "skill_id"], "left")
+    keys = ["role_id", "other_id"]
+    best = best.join(_listed(each.filter("has"), keys, "share", 8, "shared_skills"), keys, "left").join(_gap(each.filter("has is null"), keys, "share"), keys, "left")
+    return _with_facts(best, star, p, "other_id")
 
 
 def core_skills(star: Star, p: Params = Params()) -> DataFrame:
@@ -125,7 +157,8 @@ def core_skills(star: Star, p: Params = Params()) -> DataFrame:
 
 def person_alternatives(star: Star, p: Params = Params(), least_shared: int = 3, k: int = 5) -> DataFrame:
     """By person, roles other than their target that their skills fit: share of the role's core demand covered,
-    share of their skills that transfer, and the harmonic mean of both as the displayed fit."""
+    share of their skills that transfer, the harmonic mean of both as the displayed fit, the leading shared and new
+    skills by demand, mean salaries and growth."""
     core = core_skills(star, p)
     demand = core.groupBy("role_id").agg(F.sum("demand").alias("all_demand"))
     mine = owned(star).groupBy("person_id").agg(F.count(F.lit(1)).alias("my_skills"))
@@ -135,7 +168,11 @@ def person_alternatives(star: Star, p: Params = Params(), least_shared: int = 3,
     coverage, breadth = F.col("hit_demand") / F.col("all_demand"), F.col("shared") / F.col("my_skills")
     rows = rows.withColumn("coverage_pct", F.round(coverage * 100, 0)).withColumn("fit", F.round(2 * coverage * breadth / (coverage + breadth) * 100, 0))
     best = _spread(rows, ["person_id"], [F.desc("shared"), F.desc("coverage_pct"), F.desc("role_jobs"), F.asc("role_id")], k)
-    return best.select("person_id", "role_id", "category", "shared", "coverage_pct", "fit", "rank")
+    best = best.select("person_id", "role_id", "category", "shared", "coverage_pct", "fit", "role_jobs", "rank")
+    each = best.select("person_id", "role_id").join(core, "role_id").join(owned(star).withColumn("has", F.lit(True)), ["person_id", "skill_id"], "left")
+    keys = ["person_id", "role_id"]
+    best = best.join(_listed(each.filter("has"), keys, "demand", 8, "shared_skills"), keys, "left").join(_gap(each.filter("has is null"), keys, "demand"), keys, "left")
+    return _with_facts(best, star, p, "role_id")
 
 
 def position_scores(star: Star, p: Params = Params()) -> DataFrame:
