@@ -78,7 +78,7 @@ def from_tables(spark: SparkSession, sf_dir: str) -> Star:
         F.when(F.col("o_orderstatus") == "F", seen).alias("closed_at"),
         (F.col("o_orderstatus") != "F").alias("is_active"),
     )
-    ids = part.join(F.broadcast(names), F.col("name") == F.col("p_name")).select("p_partkey", F.col("id").alias("skill_id"))  # names of parts repeat: as many as there are words for them
+    ids = part.join(names, F.col("name") == F.col("p_name")).select("p_partkey", F.col("id").alias("skill_id"))
     job_skills = read("lineitem").join(ids, F.col("l_partkey") == F.col("p_partkey")).groupBy(F.col("l_orderkey").alias("job_id"), "skill_id").agg(F.max(F.col("l_returnflag") != "N").alias("is_required"))
     user = F.col("user_id").alias("person_id")
     persons = events.select(user, (F.col("user_id") % 10).alias("target_role_id"), (F.col("user_id") % 5).alias("cohort_id")).distinct()

@@ -5,11 +5,10 @@ Each takes a streaming DataFrame and returns a query or a streaming DataFrame; s
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from laborlens.operators.enrich import extract_skills
 from laborlens.operators.maintain import close_absent, upsert_postings
@@ -22,23 +21,44 @@ def read_events(spark: SparkSession, folder: str, per_batch: int = 1) -> DataFra
     return spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", per_batch).parquet(folder)
 
 
-def _versions(spark: SparkSession, table: str) -> Callable[[int], str]:
-    return lambda batch: f"{table}/version={batch}"
+#: Parts of the postings table by company; a batch rewrites those that its companies are in.
+BUCKETS = 64
+
+
+def _bucket(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("bucket", F.pmod(F.xxhash64("company_id"), F.lit(BUCKETS)).cast("int"))
+
+
+def current_postings(spark: SparkSession, table: str, start: DataFrame, before: int | None = None) -> DataFrame:
+    """The postings that ``upsert_stream`` keeps below ``table``, or as the batches before one left them."""
+    if before == 0:
+        return start
+    log = spark.read.schema("bucket int, batch long").parquet(f"{table}/log")
+    latest = (log if before is None else log.filter(F.col("batch") < before)).groupBy("bucket").agg(F.max("batch").alias("batch"))
+    kinds = StructType([*start.schema.fields, StructField("batch", LongType()), StructField("bucket", IntegerType())])
+    rows = spark.read.schema(kinds).parquet(f"{table}/rows")
+    kept = _bucket(start).join(F.broadcast(latest), "bucket", "left_anti")  # BUCKETS rows
+    return kept.select(*start.columns).unionByName(rows.join(F.broadcast(latest), ["batch", "bucket"]).select(*start.columns))
 
 
 def upsert_stream(batches: DataFrame, table: str, start: DataFrame, checkpoint: str) -> StreamingQuery:
-    """ST1: scrape batches (as ``upsert_postings`` takes them) into versions of the postings below ``table``.
+    """ST1: scrape batches (as ``upsert_postings`` takes them) into the postings below ``table``, in buckets by company.
 
-    Batch n reads version n - 1 and writes version n whole, so a batch that runs again after a failure comes to the
-    same table. Postings absent from their company's batch are closed.
+    Batch n reads the buckets of its companies as batches before it left them, and writes these alone, as version n; a
+    log says which buckets a batch has written. Both are overwritten if the batch runs again after a failure, so that
+    comes to the same table. A posting keeps its company. Postings absent from their company's batch are closed.
+    A batch's partitions that later ones have written again are no longer read, and may be removed.
     """
 
     def write(batch: DataFrame, n: int) -> None:
         spark = batch.sparkSession
-        current = start if n == 0 else spark.read.schema(start.schema).parquet(f"{table}/version={n - 1}")
+        touched = [r.bucket for r in _bucket(batch).select("bucket").distinct().collect()]  # BUCKETS at most
+        earlier = _bucket(current_postings(spark, table, start, n)).filter(F.col("bucket").isin(touched)).drop("bucket")
         seen = batch.agg(F.max("seen_at").alias("at"))
-        closed = close_absent(current.join(F.broadcast(seen)), batch, F.col("at")).select(*start.columns)  # one row
-        upsert_postings(closed, batch).select(*start.columns).write.mode("overwrite").parquet(f"{table}/version={n}")
+        closed = close_absent(earlier.join(F.broadcast(seen)), batch, F.col("at")).select(*start.columns)  # one row
+        after = _bucket(upsert_postings(closed, batch).select(*start.columns))
+        after.write.mode("overwrite").partitionBy("bucket").parquet(f"{table}/rows/batch={n}")
+        spark.createDataFrame([(b,) for b in touched], "bucket int").coalesce(1).write.mode("overwrite").parquet(f"{table}/log/batch={n}")
 
     return batches.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
