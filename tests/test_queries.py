@@ -17,7 +17,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 NAMES = [
     "c01_skill_demand", "c02_skill_growth", "c03_company_growth", "c06_salary_band", "c08_role_trend", "c10_ai_exposure", "c15_alternative_roles", "c16_person_alternatives", "c19_matched_jobs", "c22_gap_scores", "c26_co_occurrence",
     "c35_position_scores", "c39_cohort_rollup", "c44_qualification", "c55_concentration", "c64_rising_roles", "a12_mix_cube", "m01_upsert_postings", "m02_close_absent", "m04_queue_titles", "m17_upsert_candidates", "m27_sync_person_skills",
-    "x01_page_texts", "x08_tag_documents", "x23_seniority", "x26_canonical_titles", "x36_non_english",
+    "x01_page_texts", "x08_tag_documents", "x07_display_names", "x13_clean_candidates", "x20_countries", "x24_delevel", "x26_canonical_titles", "x30_mapped_candidates", "x36_non_english", "c17_role_cards", "u04_market_boards", "c37_week_snapshots", "f09_find_role",
 ]
 
 

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import json
+import random
+from dataclasses import replace
 from datetime import date, datetime
 
 from pyspark.sql import functions as F
 
-from laborlens.operators import enrich, maintain
+from laborlens.operators import enrich, filters, maintain
 from laborlens.sources import postings, tables
 from laborlens.streaming import jobs
 
@@ -76,7 +78,10 @@ def test_upsert_stream_keeps_and_closes(spark, tmp_path):
         spark.createDataFrame(rows, POSTING).coalesce(1).write.parquet(str(source / str(i)))
         stream = spark.readStream.schema(POSTING).parquet(f"{source}/*")
         jobs.upsert_stream(stream, str(tmp_path / "table"), start, str(tmp_path / "checkpoint")).awaitTermination()
-    got = {r.source_job_id: r for r in spark.read.parquet(str(tmp_path / "table/version=2")).collect()}
+    got = {r.source_job_id: r for r in jobs.current_postings(spark, str(tmp_path / "table"), start).collect()}
+    written = {p.name for p in (tmp_path / "table/rows/batch=2").iterdir() if p.name.startswith("bucket=")}
+    assert len(written) == 1 and len(got) == 4  # the third batch has postings of one company
+    assert {r.source_job_id for r in jobs.current_postings(spark, str(tmp_path / "table"), start, 1).collect()} == {"1", "2"}
     assert (got["1"].posted_at, got["1"].last_seen_at, got["1"].description, got["1"].skills_dirty) == (datetime(2024, 1, 1), datetime(2024, 1, 2), "new", True)
     assert not got["2"].is_active and got["2"].closed_at == datetime(2024, 1, 2)
     assert got["3"].is_active and got["9"].is_active and got["1"].is_active
@@ -130,6 +135,11 @@ def test_skill_extraction(spark, tmp_path):
 def test_candidates_are_mined_and_known_ones_found(spark):
     docs = spark.createDataFrame([(1, "Experience with Apache Kafka, knowledge of the Terraform and proficiency in SQL")], "id long, text string")
     assert {(r.name, r.method) for r in enrich.mine_candidates(docs).collect()} == {("Apache Kafka", "ctx_exp"), ("Terraform", "ctx_know"), ("SQL", "ctx_prof")}
+    text = "Skills:\n- Apache Spark\n• manage the team\n* lower case thing\n- Docker.\nBuilt with React, Vue, Node.js and expertise in strong SQL skills; tools like git, Jira (board), certified in AWS Cloud\n"
+    legal = "We are an equal opportunity employer with experience with Pottery. " + "x" * 120 + " familiar with Ceramics"
+    docs = spark.createDataFrame([(1, text), (2, legal), (3, None), (4, "")], "id long, text string")
+    got = {(r.id, r.name, r.method) for r in enrich.mine_candidates(docs).collect()}
+    assert got == {(1, "Apache Spark", "bullet"), (1, "Docker", "bullet"), (1, "Vue", "ctx_list"), (1, "Node.js", "ctx_list"), (1, "React", "ctx_built"), (1, "SQL", "ctx_exp2"), (1, "AWS Cloud", "ctx_cert"), (2, "Ceramics", "ctx_fam")}
     names = lambda *n: spark.createDataFrame([(x,) for x in n], "name string")
     got = {r.name: (r.known, r.how) for r in enrich.in_taxonomy(names("kafka", "Apache Kafka Streams", "Kubernetis", "Cooking"), names("Kafka", "Kubernetes")).collect()}
     assert got == {"kafka": ("Kafka", "exact"), "Apache Kafka Streams": ("Kafka", "substring"), "Kubernetis": ("Kubernetes", "similar")}
@@ -137,6 +147,64 @@ def test_candidates_are_mined_and_known_ones_found(spark):
     assert [r.k for r in kinds.collect()] == ["technical", "soft", "technical", "domain"]
 
 
+def test_terms_of_any_length_are_tagged(spark):
+    terms = spark.createDataFrame([("natural language processing toolkit", 1), ("natural language", 2), ("c++", 3), ("toolkit", 1)], "term string, skill_id long")
+    docs = spark.createDataFrame([(1, "A Natural-Language processing toolkit, and natural  language; C++ not c+"), (2, "natural"), (3, None)], "id long, text string")
+    assert {(r.id, r.skill_id): r.n for r in enrich.tag_skills(docs, terms).collect()} == {(1, 1): 2, (1, 2): 2, (1, 3): 1}
+
+
+def test_fallback_paragraphs(spark):
+    """Without a requirements section: scoring paragraphs of other sections, else all text but benefits and the like."""
+    guess = "Intro text here\n\n- SQL\n- knowledge of Excel\n- Python\n\nBenefits\nexperience with dental plans, knowledge of fun"
+    none = "Plain words only\n\nBenefits\ndental"
+    docs = spark.createDataFrame([(1, guess), (2, none), (3, None)], "id long, text string")
+    got = {r.id: (r.text, r.used_fallback) for r in enrich.requirements(docs).collect()}
+    assert got[1] == ("- SQL\n- knowledge of Excel\n- Python", True)
+    assert got[2][0].strip() == "Plain words only" and got[3] == (None, True)
+
+
+def test_names_in_names_and_similar_names_like_brute_force(spark):
+    r = random.Random(5)
+    names = sorted({"".join(r.choices("abcde ", k=r.randint(1, 14))).strip() + r.choice(["", "É", " Kafka", " kafka stream"]) for _ in range(150)})
+    table = spark.createDataFrame([(n,) for n in names], "name string")
+    got = {(x.name, x.part) for x in enrich.holding(table, table.withColumnRenamed("name", "part"), 4).collect()}
+    assert got == {(a, b) for a in names for b in names if len(b) >= 4 and b.lower() in a.lower()}
+
+    def edits(a: str, b: str) -> int:
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a):
+            last, row[0] = row[0], i + 1
+            for j, y in enumerate(b):
+                last, row[j + 1] = row[j + 1], min(row[j + 1] + 1, row[j] + 1, last + (x != y))
+        return row[-1]
+
+    near = {(x.a, x.b) for x in enrich.similar_names(table, 0.8).collect()}
+    assert near == {(a, b) for a in names for b in names if a < b and abs(len(a) - len(b)) <= 20 and 1 - edits(a.lower(), b.lower()) / max(len(a), len(b)) >= 0.8}
+
+
+def test_places_of_countries(spark):
+    rows = [("CA", "x"), ("United States", "x"), ("TX - Austin", "x"), ("Texas", "x"), ("Ontario", "x"), ("ON; CA", "x"), ("Deutschland", "x"), (None, "Berlin, Germany"), ("great britain", None), ("Karnataka; x", ""), ("Bandwidth", "x"), (None, None), ("x", "Boston office")]
+    jobs_ = spark.createDataFrame(rows, "location_country string, location_raw string")
+    of = lambda *where, **more: [r.location_country or r.location_raw for r in jobs_.filter(filters.place(list(where), **more)).collect()]
+    assert of("United States", states={"TX": "Texas"}, cities=["boston"]) == ["CA", "United States", "TX - Austin", "Texas", "ON; CA", "x"]
+    assert of("Canada") == ["ON; CA", "Ontario"] or of("Canada") == ["Ontario", "ON; CA"]
+    assert of("Germany", aliases={"deutschland": "Germany"}) == ["Deutschland", "Berlin, Germany"]
+    assert of("United Kingdom") == ["great britain"] and of("India") == ["Karnataka; x"]
+    assert len(of()) == len(of("all")) == len(rows)
+
+
+def test_cards_remark_by_category_of_the_role(spark):
+    from laborlens.operators import demand
+    from laborlens.star import from_tables
+
+    star = from_tables(spark, "/root/testdata/sf0.001")
+    lead = star.skills.select(F.lower("name").alias("name")).first().name
+    star = replace(star, roles=star.roles.withColumn("category", F.when(F.col("id") == 3, " Engineering ").otherwise("Sales")))
+    cards = demand.role_cards(star, callouts=[(lead, "engineering")], within=150, k=150).select("role_id", "callout", "callout_rank").distinct().collect()
+    assert {r.role_id: (r.callout or "").lower() for r in cards} == {i: lead if i == 3 else "" for i in range(10)} and all((r.callout_rank is not None) == (r.role_id == 3) for r in cards)
+    assert ("excel", "data science") in demand.CALLOUTS and ("sql", "technical") not in demand.CALLOUTS
+
+
 def test_countries(spark):
     rows = [("Remote",), ("Berlin, Germany",), ("USA",), ("Munich",), ("somewhere in usa maybe",), ("Atlantis",), (None,)]
     aliases = spark.createDataFrame([("usa", "United States"), ("germany", "Germany")], "alias string, country string")
