@@ -40,7 +40,7 @@ from laborlens.llm.shingles import FOLD, U, WordHashes, mix, shingle_set, small_
 COORDINATES, ROWS = 96, 4
 #: Shingles of one block of a group, 8 bytes each. Small sets weigh as much as LEAST shingles, so that the pairs of a
 #: block are bounded as well.
-BLOCK, LEAST = 1_000_000, 250
+BLOCK, LEAST = 500_000, 500
 EMPTY = U(0xFFFFFFFFFFFFFFFF)
 
 
