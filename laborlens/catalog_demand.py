@@ -10,6 +10,7 @@ from laborlens.operators import demand as d
 from laborlens.operators import filters as f
 from laborlens.operators import trends as t
 from laborlens.params import Params
+from laborlens.plans import role_insights
 from laborlens.star import from_tables, sql
 
 #: The smallest tables hold few postings a role: what must move is lower than the product's 30.
@@ -106,6 +107,30 @@ def open_(start: str, stop: str) -> str:
 
 NOW, BEFORE = open_("2001-06-15", "2001-07-15"), open_("2001-05-16", "2001-06-15")
 
+HIRING = {
+    **ACTIVE,
+    "hiring": f"""SELECT role_id, company_id, job_count, rank, name, industry, n_companies, growth_pct FROM (
+            SELECT *, row_number() OVER (PARTITION BY role_id ORDER BY job_count DESC, company_id) AS rank, count(*) OVER (PARTITION BY role_id) AS n_companies FROM (SELECT role_id, company_id, count(*) AS job_count FROM active GROUP BY role_id, company_id))
+            JOIN companies c ON c.id = company_id LEFT JOIN (
+            SELECT role_id, company_id, CASE WHEN n_before >= greatest(3, floor(max(n_before) OVER (PARTITION BY role_id) * 0.01)) THEN {growth('n_now', 'n_before')} END AS growth_pct FROM (
+            SELECT role_id, company_id, count(*) FILTER (WHERE {NOW}) AS n_now, count(*) FILTER (WHERE {BEFORE}) AS n_before FROM jobs WHERE role_id IS NOT NULL AND ({NOW} OR {BEFORE}) GROUP BY role_id, company_id)) USING (role_id, company_id) WHERE rank <= 100""",
+}
+INTRINSIC = {
+    **DEMAND,
+    **SERIES,
+    **HIRING,
+    "goes": "SELECT DISTINCT r.id AS role_id, s.id AS skill_id FROM roles r JOIN skills s ON lower(s.name) = 'small ring' OR s.id % 10 = r.id",
+    "plain_skills": "SELECT k.*, g.skill_id IS NULL AS plain, k.subcategory = 'AI & Machine Learning' AS ai FROM ranked k LEFT JOIN goes g ON g.role_id = k.role_id AND g.skill_id = k.skill_id WHERE k.rank <= 150",
+    "surge": "SELECT role_id, arg_max(company_id, (growth_pct, -rank)) AS surging_company, max(growth_pct) AS surge_pct FROM hiring WHERE growth_pct >= {least} GROUP BY role_id",
+}
+
+
+def intrinsic(s):
+    """A listed skill goes without saying for every role, and every tenth for each."""
+    pairs = s.roles.select(F.col("id").alias("role_id")).join(s.skills.select(F.col("id").alias("skill_id"), "name"), (F.lower("name") == "small ring") | (F.col("skill_id") % 10 == F.col("role_id")))
+    return pairs.select("role_id", "skill_id")
+
+
 FAMILY_MOVES = {
     **SERIES,
     **ACTIVE,
@@ -170,17 +195,7 @@ ENTRIES: dict[str, tuple] = {
             {**MONTHS, **ACTIVE},
         ),
     ),
-    "c12_hiring_companies": (
-        lambda s: d.hiring_companies(s, P),
-        sql(
-            f"""SELECT role_id, company_id, job_count, rank, name, industry, n_companies, growth_pct FROM (
-            SELECT *, row_number() OVER (PARTITION BY role_id ORDER BY job_count DESC, company_id) AS rank, count(*) OVER (PARTITION BY role_id) AS n_companies FROM (SELECT role_id, company_id, count(*) AS job_count FROM active GROUP BY role_id, company_id))
-            JOIN companies c ON c.id = company_id LEFT JOIN (
-            SELECT role_id, company_id, CASE WHEN n_before >= greatest(3, floor(max(n_before) OVER (PARTITION BY role_id) * 0.01)) THEN {growth('n_now', 'n_before')} END AS growth_pct FROM (
-            SELECT role_id, company_id, count(*) FILTER (WHERE {NOW}) AS n_now, count(*) FILTER (WHERE {BEFORE}) AS n_before FROM jobs WHERE role_id IS NOT NULL AND ({NOW} OR {BEFORE}) GROUP BY role_id, company_id)) USING (role_id, company_id) WHERE rank <= 100""",
-            ACTIVE,
-        ),
-    ),
+    "c12_hiring_companies": (lambda s: d.hiring_companies(s, P), sql("SELECT * FROM hiring", HIRING)),
     "c13_companies_of_skills": (
         lambda s: d.companies_of_skills(s),
         sql("SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY role_id, skill_id ORDER BY job_count DESC, company_id) AS rank FROM (SELECT role_id, skill_id, company_id, count(*) AS job_count FROM active a JOIN job_skills ON job_id = a.id JOIN skills s ON s.id = skill_id WHERE s.is_verified GROUP BY ALL)) WHERE rank <= 10", ACTIVE),
@@ -234,7 +249,7 @@ ENTRIES: dict[str, tuple] = {
     ),
     "c31_job_stats": (
         lambda s: d.job_stats(s),
-        sql("SELECT 'total' AS kind, 'all' AS label, count(*) AS n FROM jobs WHERE is_active UNION ALL SELECT 'seniority', coalesce(seniority_level, 'none'), count(*) FROM jobs WHERE is_active GROUP BY ALL UNION ALL SELECT * FROM (SELECT 'place', location_country, count(*) AS n FROM jobs WHERE is_active GROUP BY ALL ORDER BY n DESC, location_country LIMIT 10)"),
+        sql("SELECT 'total' AS kind, 'all' AS label, count(*) AS n FROM jobs WHERE is_active UNION ALL SELECT 'seniority', coalesce(seniority_level, 'none'), count(*) FROM jobs WHERE is_active GROUP BY ALL UNION ALL SELECT * FROM (SELECT 'city', trim(string_split(location_raw, ',')[1]) AS city, count(*) AS n FROM jobs WHERE is_active AND NOT location_is_remote GROUP BY ALL ORDER BY n DESC, city LIMIT 10)"),
     ),
     "c32_companies_with_jobs": (lambda s: d.companies(s, 1), sql("SELECT c.id, c.name, c.industry, count(*) AS job_count FROM companies c JOIN jobs j ON j.company_id = c.id WHERE j.is_active AND c.is_active GROUP BY ALL")),
     "c33_role_pages": (
@@ -277,13 +292,28 @@ ENTRIES: dict[str, tuple] = {
     ),
     "c58_market_summary": (lambda s: t.market_summary(s, P), sql("SELECT * FROM market", {**MONTHS, **MARKET})),
     "c73_role_verdicts": (
-        lambda s: d.full_role_view(s, P),
+        lambda s: d.role_verdicts(s, intrinsic(s), P, 600),
         sql(
-            f"""SELECT role_id, string_agg(CAST(skill_id AS VARCHAR), ',' ORDER BY rank) FILTER (WHERE ar <= 4 AND ai) AS top_ai_skills, {pct('sum(CASE WHEN rank <= 15 AND ai THEN job_count ELSE 0 END)', 'sum(job_count) FILTER (WHERE rank <= 15)')} AS ai_share_of_top15,
-            max(demand_pct) FILTER (WHERE demand_pct BETWEEN 40 AND 95) AS leverage_pct FROM (SELECT *, row_number() OVER (PARTITION BY role_id, ai ORDER BY rank) AS ar FROM (SELECT *, subcategory = 'AI & Machine Learning' AS ai FROM ranked)) GROUP BY role_id""",
-            DEMAND,
+            f"""SELECT k.role_id, coalesce(string_agg(CAST(skill_id AS VARCHAR), ',' ORDER BY rank) FILTER (WHERE ai AND ar <= 4), '') AS top_ai_skills,
+            coalesce(arg_min(skill_id, rank) FILTER (WHERE plain AND demand_pct >= 40 AND demand_pct < 95), arg_min(skill_id, rank) FILTER (WHERE plain), arg_min(skill_id, rank)) AS leverage_skill, any_value(surging_company) AS surging_company, any_value(surge_pct) AS surge_pct,
+            any_value(CASE WHEN coalesce(covered, 0) >= 600 THEN round(g, 0) + 0.0 END) AS growth, any_value(CASE WHEN coalesce(covered, 0) < 600 THEN 'building history' WHEN round(g, 0) > 0 THEN 'growing' WHEN round(g, 0) < 0 THEN 'cooling' ELSE 'steady' END) AS verdict
+            FROM (SELECT *, row_number() OVER (PARTITION BY role_id, ai ORDER BY rank) AS ar FROM plain_skills) k LEFT JOIN surge s ON s.role_id = k.role_id LEFT JOIN (SELECT role_id, count(*) AS covered FROM active JOIN cohort USING (role_id, company_id) GROUP BY role_id) c ON c.role_id = k.role_id
+            LEFT JOIN (SELECT role_id, {growth('max(stock) FILTER (WHERE month = 2)', 'max(stock) FILTER (WHERE month = 1)')} AS g FROM series GROUP BY role_id) t ON t.role_id = k.role_id GROUP BY k.role_id""",
+            {**INTRINSIC, "surge": INTRINSIC["surge"].format(least=100)},
+        ),
+    ),
+    "c73_person_verdicts": (
+        lambda s: d.person_verdicts(s, intrinsic(s), P),
+        sql(
+            """SELECT p.person_id, round(count(*) FILTER (WHERE rank <= 15 AND h.skill_id IS NOT NULL) / count(*) FILTER (WHERE rank <= 15) * 100, 0) AS coverage_pct, arg_min(k.skill_id, rank) FILTER (WHERE h.skill_id IS NULL AND plain) AS gap_skill
+            FROM persons p JOIN plain_skills k ON k.role_id = p.target_role_id LEFT JOIN hs h ON h.person_id = p.person_id AND h.skill_id = k.skill_id WHERE p.person_id IN (SELECT person_id FROM hs) GROUP BY p.person_id""",
+            {**INTRINSIC, "surge": "SELECT 1", "hs": "SELECT DISTINCT person_id, skill_id FROM person_skills WHERE status = 'have'"},
         ),
     ),
+    "c74_sorted_employers": (
+        lambda s: role_insights.sorted_employers(d.hiring_companies(s, P).filter("role_id = 2"), "Building", "growth_pct").select("company_id", "job_count", "growth_pct"),
+        sql("SELECT company_id, job_count, growth_pct FROM hiring WHERE role_id = 2 AND industry = 'BUILDING'", HIRING),
+    ),
     "f02_seniority_bucket": (lambda s: s.jobs.filter(f.seniority("lead")).groupBy("seniority_level").agg(F.count(F.lit(1)).alias("n")), sql("SELECT seniority_level, count(*) AS n FROM jobs WHERE lower(seniority_level) IN ('lead', 'principal', 'staff', 'director', 'head', 'iv', '4', '5') GROUP BY ALL")),
     "f04_place": (lambda s: s.jobs.filter(f.place(["nation_1"])).select("id", "location_raw"), sql("SELECT id, location_raw FROM jobs WHERE lower(location_country) = 'nation_1' OR location_raw ILIKE '%nation_1%'")),
     "f05_near_or_remote": (lambda s: s.jobs.filter(f.near_or_remote("City NATION_2")).select("id"), sql("SELECT id FROM jobs WHERE location_is_remote OR location_raw ILIKE '%city nation_2%'")),

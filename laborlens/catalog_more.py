@@ -67,11 +67,11 @@ ENTRIES: dict[str, tuple] = {
         sql("SELECT name, job_count, company_count, first_seen + 2350 AS first_seen, last_seen FROM k WHERE first_seen + 2350 >= DATE '2001-05-01' AND company_count >= 3 ORDER BY company_count DESC, job_count DESC, name LIMIT 10", {"k": CANDIDATES.format(half=0)}),
     ),
     "c72_role_insights_skills": (
-        star_query(lambda s: role_insights.role_insights(s, 4, P, seniority="senior", locations=["NATION_1", "NATION_2"], industries=["BUILDING", "MACHINERY", "HOUSEHOLD"])["skills"].drop("growth_pct")),
+        star_query(lambda s: role_insights.role_insights(s, 4, P, seniority="senior", locations=["NATION_1", "NATION_2"], industries=["BUILDING", "MACHINERY", "HOUSEHOLD"])["skills"]),
         sql(
-            """SELECT 4 AS role_id, s.id AS skill_id, s.name, s.category, count(*) AS job_count, round(100.0 * count(*)::DOUBLE / (SELECT count(*) FROM f), 1) AS demand_pct, round(100.0 * count(*) FILTER (WHERE is_required)::DOUBLE / count(*), 0) AS required_pct,
-            round(100.0 * count(*) FILTER (WHERE NOT is_required)::DOUBLE / count(*), 0) AS preferred_pct, row_number() OVER (ORDER BY count(*) DESC, s.id) AS rank FROM f JOIN job_skills js ON js.job_id = f.id JOIN skills s ON s.id = js.skill_id WHERE s.is_verified GROUP BY s.id, s.name, s.category""",
-            {**ACTIVE, "f": "SELECT * FROM jobs WHERE is_active AND role_id = 4 AND lower(seniority_level) IN ('senior', 'sr', 'iii', '3') AND (location_country IN ('NATION_1', 'NATION_2') OR location_raw ILIKE '%nation_1%' OR location_raw ILIKE '%nation_2%') AND company_id IN (SELECT id FROM companies WHERE is_active AND industry IN ('BUILDING', 'MACHINERY', 'HOUSEHOLD'))"},
+            """SELECT CAST(4 AS BIGINT) AS role_id, q.*, growth_pct FROM (SELECT s.id AS skill_id, s.name, s.category, count(*) AS job_count, round(100.0 * count(*)::DOUBLE / (SELECT count(*) FROM f), 1) AS demand_pct, round(100.0 * count(*) FILTER (WHERE is_required)::DOUBLE / count(*), 0) AS required_pct,
+            round(100.0 * count(*) FILTER (WHERE NOT is_required)::DOUBLE / count(*), 0) AS preferred_pct, row_number() OVER (ORDER BY count(*) DESC, s.id) AS rank FROM f JOIN job_skills js ON js.job_id = f.id JOIN skills s ON s.id = js.skill_id WHERE s.is_verified GROUP BY s.id, s.name, s.category) q LEFT JOIN (SELECT skill_id, growth_pct FROM grown WHERE role_id = 4) USING (skill_id)""",
+            {**ACTIVE, "grown": SKILL_GROWTH, "f": "SELECT * FROM jobs WHERE is_active AND role_id = 4 AND lower(seniority_level) IN ('senior', 'sr', 'iii', '3') AND (location_country IN ('NATION_1', 'NATION_2') OR location_raw ILIKE '%nation_1%' OR location_raw ILIKE '%nation_2%') AND company_id IN (SELECT id FROM companies WHERE is_active AND industry IN ('BUILDING', 'MACHINERY', 'HOUSEHOLD'))"},
         ),
     ),
     "c74_sorted_skills": (

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from laborlens.catalog_demand import ACTIVE, AI, BEFORE, DEMAND, NOW, P, ROLE_JOBS, SERIES, growth, pct
+from laborlens.catalog_demand import ACTIVE, AI, BEFORE, DEMAND, HIRING, NOW, P, ROLE_JOBS, SERIES, growth, pct
 from laborlens.operators import people as h
 from laborlens.operators import snapshot as n
 from laborlens.star import Star, from_tables, sql
@@ -194,11 +194,19 @@ ENTRIES: dict[str, tuple] = {
     "c69_digests": (
         lambda s: h.digests(s, P),
         sql(
-            """SELECT p.person_id, p.target_role_id AS role_id, growth, ai_pct, rising_skills, first_missing, delta FROM persons p LEFT JOIN trend t ON t.role_id = p.target_role_id LEFT JOIN ai_now a ON a.role_id = p.target_role_id
+            """SELECT p.person_id, p.target_role_id AS role_id, growth, ai_pct, rising_skills, surging_company, surge_pct, first_missing, delta, learning FROM persons p LEFT JOIN surge u ON u.role_id = p.target_role_id LEFT JOIN learns l ON l.person_id = p.person_id LEFT JOIN trend t ON t.role_id = p.target_role_id LEFT JOIN ai_now a ON a.role_id = p.target_role_id
             LEFT JOIN (SELECT role_id, string_agg(CAST(skill_id AS VARCHAR), ',' ORDER BY k) AS rising_skills FROM (SELECT role_id, skill_id, row_number() OVER (PARTITION BY role_id ORDER BY growth_pct DESC, skill_id) AS k FROM ranked JOIN grown USING (role_id, skill_id) WHERE rank <= 150 AND category <> 'soft' AND growth_pct >= 3 AND demand_pct >= 3) WHERE k <= 3 GROUP BY role_id) r ON r.role_id = p.target_role_id
             LEFT JOIN (SELECT p.person_id, min_by(r.skill_id, r.rank) AS first_missing FROM persons p JOIN ranked r ON r.role_id = p.target_role_id AND r.rank <= 15 WHERE NOT EXISTS (SELECT 1 FROM have h WHERE h.person_id = p.person_id AND h.skill_id = r.skill_id) GROUP BY p.person_id) m ON m.person_id = p.person_id
             LEFT JOIN history y ON y.person_id = p.person_id""",
-            {**EXPOSURE, **HAVE, **HISTORY, "grown": SKILL_GROWTH},
+            {
+                **EXPOSURE,
+                **HAVE,
+                **HISTORY,
+                **HIRING,
+                "grown": SKILL_GROWTH,
+                "surge": "SELECT role_id, arg_max(company_id, (growth_pct, -rank)) AS surging_company, max(growth_pct) AS surge_pct FROM hiring WHERE growth_pct >= 50 GROUP BY role_id",
+                "learns": "SELECT p.person_id, string_agg(CAST(l.skill_id AS VARCHAR) || coalesce('=' || CAST(demand_pct AS VARCHAR), ''), ',' ORDER BY l.skill_id) AS learning FROM persons p JOIN (SELECT DISTINCT person_id, skill_id FROM person_skills WHERE status = 'learning') l USING (person_id) LEFT JOIN ranked r ON r.role_id = p.target_role_id AND r.skill_id = l.skill_id AND rank <= 150 GROUP BY p.person_id",
+            },
         ),
     ),
     "c59_volume": (lambda s: n.volume(s), sql("SELECT count(*) AS jobs, count(*) FILTER (WHERE is_active) AS active_jobs, count(DISTINCT company_id) AS companies, count(DISTINCT role_id) AS roles, count(*) FILTER (WHERE is_active AND role_id IS NOT NULL) AS with_role FROM jobs")),

@@ -7,6 +7,7 @@ from datetime import date, timedelta
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from laborlens.functions.places import parse as parse_place
 from laborlens.functions.numbers import first_of_month, growth_pct, nearest_rank, percent, top
 from laborlens.operators.filters import active, with_ai
 from laborlens.params import Params
@@ -223,12 +224,13 @@ def company_skill_demand(star: Star, role_id: int | None = None, k: int = 20) ->
 
 
 def job_stats(star: Star) -> DataFrame:
-    """Active postings in all and by seniority, and the ten leading places, as (kind, label, n)."""
+    """Active postings in all and by seniority, and the ten leading cities, as (kind, label, n)."""
     jobs = star.jobs.filter("is_active")
     total = jobs.agg(F.count(F.lit(1)).alias("n")).select(F.lit("total").alias("kind"), F.lit("all").alias("label"), "n")
     levels = jobs.groupBy(F.coalesce("seniority_level", F.lit("none")).alias("label")).agg(F.count(F.lit(1)).alias("n")).select(F.lit("seniority").alias("kind"), "label", "n")
-    places = jobs.filter("location_country is not null").groupBy(F.col("location_country").alias("label")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "label").limit(10)
-    return total.unionByName(levels).unionByName(places.select(F.lit("place").alias("kind"), "label", "n"))
+    cities = jobs.groupBy("location_raw").agg(F.count(F.lit(1)).alias("n")).withColumn("label", parse_place(F.col("location_raw"))["city"]).filter("label <> ''").groupBy("label").agg(F.sum("n").alias("n"))
+    cities = cities.orderBy(F.desc("n"), "label").limit(10)
+    return total.unionByName(levels).unionByName(cities.select(F.lit("city").alias("kind"), "label", "n"))
 
 
 def role_pages(star: Star, p: Params = Params(), skills: int = 12, firms: int = 6) -> DataFrame:
@@ -259,14 +261,43 @@ def skill_weeks(star: Star) -> DataFrame:
     )
 
 
-def full_role_view(star: Star, p: Params = Params()) -> DataFrame:
-    """By role, verdict facts: the leading AI skills, and how much of the leading 15 skills' demand AI skills make."""
+def surging_companies(star: Star, p: Params, least: float) -> DataFrame:
+    """(role_id, surging_company, surge_pct): of a role's leading companies, the one that grows most, from ``least`` on."""
+    grown = hiring_companies(star, p).filter(F.col("growth_pct") >= least)
+    best = grown.groupBy("role_id").agg(F.max(F.struct("growth_pct", (-F.col("rank")).alias("r"), "company_id")).alias("b"))
+    return best.select("role_id", F.col("b.company_id").alias("surging_company"), F.col("b.growth_pct").alias("surge_pct"))
+
+
+def _plain_skills(star: Star, p: Params, intrinsic: DataFrame) -> DataFrame:
+    """Skill demand by role, with ``plain``: not ``intrinsic`` (role_id, skill_id) to it."""
+    marked = skill_demand(star, p).join(intrinsic.select("role_id", "skill_id").distinct().withColumn("goes", F.lit(True)), ["role_id", "skill_id"], "left")
+    return marked.withColumn("plain", F.col("goes").isNull()).drop("goes")
+
+
+def role_verdicts(star: Star, intrinsic: DataFrame, p: Params = Params(), covered: int = 20) -> DataFrame:
+    """By role, facts of its verdict: the four leading AI skills; the leverage skill (the first of 40 to 95 % demand
+    that doesn't go without saying, else the first such, else the first); the one company that surges by 100 %; and the
+    rounded growth with its direction, unless the trend covers under 20 postings. ``intrinsic``: role_id, skill_id."""
+    from laborlens.operators.trends import market_trend, trend_coverage
+
     ai = star.skills.filter(F.col("subcategory") == p.ai_subcategory).select(F.col("id").alias("skill_id"), F.lit(True).alias("ai"))
-    rows = skill_demand(star, p).join(ai, "skill_id", "left").withColumn("ai", F.coalesce("ai", F.lit(False)))
-    place = F.when(F.col("ai"), F.struct("rank", "skill_id"))
-    first = F.slice(F.array_sort(F.array_compact(F.collect_list(place))), 1, 4)
-    return rows.groupBy("role_id").agg(
-        F.array_join(F.transform(first, lambda s: s["skill_id"].cast("string")), ",").alias("top_ai_skills"),
-        percent(F.sum(F.when((F.col("rank") <= 15) & F.col("ai"), F.col("job_count")).otherwise(0)), F.sum(F.when(F.col("rank") <= 15, F.col("job_count")))).alias("ai_share_of_top15"),
-        F.max(F.when(F.col("demand_pct").between(40.0, 95.0), F.col("demand_pct"))).alias("leverage_pct"),
-    )
+    rows = _plain_skills(star, p, intrinsic).join(ai, "skill_id", "left")
+    first = F.slice(F.array_sort(F.array_compact(F.collect_list(F.when(F.col("ai"), F.struct("rank", "skill_id"))))), 1, 4)
+    choice = F.when(F.col("plain") & (F.col("demand_pct") >= 40) & (F.col("demand_pct") < 95), 0).when(F.col("plain"), 1).otherwise(2)
+    facts = rows.groupBy("role_id").agg(F.array_join(F.transform(first, lambda s: s["skill_id"].cast("string")), ",").alias("top_ai_skills"), F.min(F.struct(choice.alias("c"), "rank", "skill_id"))["skill_id"].alias("leverage_skill"))
+    facts = facts.join(surging_companies(star, p, 100.0), "role_id", "left").join(trend_coverage(star, p).select("role_id", "covered_jobs"), "role_id", "left").join(market_trend(star, p).select("role_id", "postings_growth_pct"), "role_id", "left")
+    reliable = F.coalesce(F.col("covered_jobs") >= covered, F.lit(True))
+    growth = F.when(reliable, F.round("postings_growth_pct", 0))
+    verdict = F.when(~reliable, "building history").when(growth > 0, "growing").when(growth < 0, "cooling").otherwise("steady")
+    return facts.select("role_id", "top_ai_skills", "leverage_skill", "surging_company", "surge_pct", growth.alias("growth"), verdict.alias("verdict"))
+
+
+def person_verdicts(star: Star, intrinsic: DataFrame, p: Params = Params(), first: int = 15) -> DataFrame:
+    """By person with skills, the share of the target role's leading 15 skills that they have, and the most asked-for
+    skill that they lack and that doesn't go without saying."""
+    has = star.person_skills.filter("status = 'have'").select("person_id", "skill_id", F.lit(True).alias("has")).distinct()
+    people = star.persons.select("person_id", F.col("target_role_id").alias("role_id")).join(has.select("person_id").distinct(), "person_id", "left_semi")
+    rows = people.join(_plain_skills(star, p, intrinsic), "role_id").join(has, ["person_id", "skill_id"], "left")
+    lead, lacks = F.col("rank") <= first, F.col("has").isNull() & F.col("plain")
+    covered = F.round(F.count_if(lead & F.col("has")) / F.count_if(lead) * 100, 0)
+    return rows.groupBy("person_id").agg(covered.alias("coverage_pct"), F.min(F.when(lacks, F.struct("rank", "skill_id")))["skill_id"].alias("gap_skill"))

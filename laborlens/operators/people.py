@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from laborlens.functions.numbers import clamp, growth_pct, percent, top
-from laborlens.operators.demand import job_date, role_growth, role_jobs, role_salaries, skill_demand, skill_growth, skill_weeks, tagged
+from laborlens.operators.demand import job_date, role_growth, role_jobs, role_salaries, skill_demand, skill_growth, skill_weeks, surging_companies, tagged
 from laborlens.operators.filters import active
 from laborlens.operators.trends import ai_exposure, market_trend
 from laborlens.params import Params
@@ -268,8 +268,8 @@ def learning_tracker(star: Star, since: DataFrame, p: Params = Params()) -> Data
 
 
 def digests(star: Star, p: Params = Params()) -> DataFrame:
-    """By person, facts of the weekly digest: the role's growth and AI share, rising skills, first missing skill
-    of the leading 15, change of the score."""
+    """By person, facts of the weekly digest: the role's growth and AI share, rising skills, the company that surges
+    by half or more, first missing skill of the leading 15, change of the score, demand of the skills being learned."""
     rising = skill_demand(star, p).drop("rank").join(skill_growth(star, p).select("role_id", "skill_id", "growth_pct"), ["role_id", "skill_id"]).filter("category <> 'soft' and growth_pct >= 3 and demand_pct >= 3")
     three = top(rising, 3, [F.desc("growth_pct"), F.asc("skill_id")], ["role_id"])
     lists = three.groupBy("role_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "skill_id"))), lambda s: s["skill_id"].cast("string")), ",").alias("rising_skills"))
@@ -279,4 +279,9 @@ def digests(star: Star, p: Params = Params()) -> DataFrame:
     scores = score_history(star.person_weeks).select("person_id", "delta")
     trend = market_trend(star, p).select("role_id", F.col("postings_growth_pct").alias("growth"))
     ai = ai_exposure(star, p).select("role_id", F.col("current_pct").alias("ai_pct"))
-    return people.join(trend, "role_id", "left").join(ai, "role_id", "left").join(lists, "role_id", "left").join(missing, "person_id", "left").join(scores, "person_id", "left")
+    surge = surging_companies(star, p, 50.0)
+    learns = star.person_skills.filter("status = 'learning'").select("person_id", "skill_id").distinct().join(people, "person_id").join(skill_demand(star, p).select("role_id", "skill_id", "demand_pct"), ["role_id", "skill_id"], "left")
+    told = F.concat_ws("=", F.col("skill_id").cast("string"), F.col("demand_pct").cast("string"))
+    learns = learns.groupBy("person_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("skill_id", told.alias("t")))), lambda s: s["t"]), ",").alias("learning"))
+    facts = people.join(trend, "role_id", "left").join(ai, "role_id", "left").join(lists, "role_id", "left").join(surge, "role_id", "left")
+    return facts.join(missing, "person_id", "left").join(scores, "person_id", "left").join(learns, "person_id", "left")

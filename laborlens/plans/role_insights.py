@@ -35,10 +35,18 @@ def role_insights(
         "ai": of(trends.ai_exposure(star, p)),
         "coverage": of(trends.trend_coverage(star, p)),
         "alternatives": of(people.alternative_roles(star, p)),
+        "fitting_roles": people.person_alternatives(with_(star, persons=star.persons.filter(F.col("target_role_id") == role_id)), p),
     }
 
 
-def sorted_skills(skills: DataFrame, category: str | None = None, by: str = "demand_pct") -> DataFrame:
-    """Skills of a category, or all, by demand or growth; unknown growth comes last."""
+def sorted_skills(skills: DataFrame, category: str | None = None, by: str = "demand_pct", subcategory: str | None = None, descending: bool = True) -> DataFrame:
+    """Skills of a category and subcategory, or all, by a column; unknown growth comes last when descending."""
     chosen = skills if filters.is_all(category) else skills.filter(F.lower("category") == category.lower())
-    return chosen.orderBy(F.col(by).desc_nulls_last(), "skill_id")
+    chosen = chosen if filters.is_all(subcategory) else chosen.filter(F.col("subcategory") == subcategory)
+    return chosen.orderBy(F.col(by).desc_nulls_last() if descending else F.col(by).asc_nulls_first(), "skill_id")
+
+
+def sorted_employers(companies: DataFrame, industry: str | None = None, by: str = "job_count", descending: bool = True) -> DataFrame:
+    """A role's employers (as from ``hiring_companies``) of an industry, or all, by a column; unknown growth last."""
+    chosen = companies if filters.is_all(industry) else companies.filter(F.lower("industry") == industry.lower())
+    return chosen.orderBy(F.col(by).desc_nulls_last() if descending else F.col(by).asc_nulls_first(), "company_id")
