@@ -41,6 +41,14 @@ def _pick(c: Column, cases: dict[str, str], other: str | None = None) -> Column:
     return out.otherwise(other) if other is not None else out
 
 
+def _numbered(names: DataFrame) -> DataFrame:
+    """(name, id) with ids in order of name: counted within names of equal beginnings, after those of all before."""
+    each = names.withColumn("start", F.left("name", F.lit(3)))
+    before = F.coalesce(F.sum("n").over(W.orderBy("start").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))  # a row a beginning
+    starts = each.groupBy("start").agg(F.count(F.lit(1)).alias("n")).select("start", before.alias("before"))
+    return each.withColumn("k", F.row_number().over(W.partitionBy("start").orderBy("name"))).join(starts, "start").select("name", (F.col("before") + F.col("k")).cast("long").alias("id"))
+
+
 def from_tables(spark: SparkSession, sf_dir: str) -> Star:
     """Orders as postings, customers as companies, nations as roles, parts as skills, events as people's doings."""
     read = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -53,7 +61,7 @@ def from_tables(spark: SparkSession, sf_dir: str) -> Star:
     roles = places.filter("n_nationkey < 10").select(
         F.col("n_nationkey").cast("long").alias("id"), F.concat("n_name", F.lit(" Engineer")).alias("normalized_title"), F.col("r_name").alias("category"), F.col("r_name").alias("job_family")
     )
-    names = part.select(F.col("p_name").alias("name")).distinct().withColumn("id", F.row_number().over(W.orderBy("name")).cast("long"))
+    names = _numbered(part.select(F.col("p_name").alias("name")).distinct())
     group = F.when(F.col("id") % 8 == 0, "AI & Machine Learning").otherwise(F.concat(F.lit("Group "), (F.col("id") % 8).cast("string")))
     kind = F.when(F.col("id") % 4 == 0, "soft").when(F.col("id") % 4 == 1, "domain").otherwise("technical")
     skills = names.select("id", "name", kind.alias("category"), group.alias("subcategory"), (F.col("id") % 10 != 9).alias("is_verified"))
