@@ -9,12 +9,14 @@ import re
 import string
 import time
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from laborlens.llm import chat_format, decontam, lang_id, licenses, line_dedup, mixing, near_dedup, quality, url_filter, warc
+from laborlens.llm.common import lookup, shared_folder
 from laborlens.llm.cuckoo import Cuckoo
 from laborlens.llm.graph import connected
 
@@ -58,6 +60,27 @@ def none(spark):
     return spark.createDataFrame([], DOCS)
 
 
+# Helpers
+
+
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_lookup_of_hot_and_null_keys(spark, how):
+    keys = ["hot"] * 3000 + [f"k{i % 700}" for i in range(1400)] + ["alone", None, None]
+    rows = spark.createDataFrame([(k, i % 2, i) for i, k in enumerate(keys)], "k string, side int, i int")
+    table = spark.createDataFrame([(k, 0, n, f"v{k}") for k, n in Counter(keys).items() if k not in ("alone", "k3")], "k string, side int, n long, v string")
+    met = lookup(rows, table, ["k", "side"], len(keys), how)
+    assert met.columns == ["k", "side", "i", "n", "v"]
+    want = {(i, f"v{k}" if k not in (None, "alone", "k3") and i % 2 == 0 else None) for i, k in enumerate(keys)}
+    assert {(r.i, r.v) for r in met.collect()} == (want if how == "left" else {w for w in want if w[1]})
+
+
+def test_a_folder_that_executors_share_is_needed(monkeypatch):
+    conf = SimpleNamespace(get=lambda key, default: default)
+    session = SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master="spark://host:7077", getCheckpointDir=lambda: None))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_folder(session)
+
+
 # Mixing
 
 
@@ -606,6 +629,8 @@ def test_connected_components(spark):
     got = dict(connected(spark.createDataFrame(edges, "u long, v long")).collect())
     assert got == {i: 0 for i in range(61)} | {100: 100, 101: 100, 150: 150, 200: 150}
     assert connected(spark.createDataFrame([], "u long, v long")).collect() == []
+    hub = [(7, i) for i in range(8, 4000)] + [(i, i + 1) for i in range(5000, 5100)] + [(3999, 5000)]
+    assert dict(connected(spark.createDataFrame(hub, "u long, v long")).collect()) == {i: 7 for i in [*range(7, 4000), *range(5000, 5101)]}
 
 
 # Quality
