@@ -88,7 +88,7 @@ CANONICAL = {
     f"SELECT title, form, 5 + 4 * i + 5 - n, array_to_string(w[len(w) - n + 1:], ' ') FROM targets, (VALUES (5), (4), (3), (2)) c(n) WHERE len(w) >= n AND regexp_matches(array_to_string(w, ' '), '{e.SUFFIXES}')",
     "aliases": "SELECT * FROM (VALUES " + ", ".join(f"('{a}', {repr(c) if c else 'NULL'})" for a, c in ALIASES) + ") a(alias, canonical_id)",
     "by_key": "SELECT title, arg_min(coalesce(canonical_id, ''), form * 100 + p) AS c FROM found_keys JOIN aliases ON alias = key GROUP BY title",
-    "by_part": "SELECT title, arg_max(canonical_id, length(alias)) AS c FROM forms0 JOIN aliases ON length(alias) >= 6 AND canonical_id IS NOT NULL AND contains(plain, alias) WHERE title NOT IN (SELECT title FROM by_key) GROUP BY title",
+    "by_part": "SELECT title, arg_min(canonical_id, (-length(alias), alias)) AS c FROM forms0 JOIN aliases ON length(alias) >= 6 AND canonical_id IS NOT NULL AND contains(plain, alias) WHERE title NOT IN (SELECT title FROM by_key) GROUP BY title",
     "by_end": "SELECT title, arg_max(c.id, length(c.s)) AS c FROM forms0 JOIN (VALUES " + ", ".join(f"('{s}', '{c}')" for s, c in DEFAULTS) + ") c(s, id) ON plain = c.s OR ends_with(plain, ' ' || c.s) "
     "WHERE title NOT IN (SELECT title FROM by_key) AND title NOT IN (SELECT title FROM by_part) GROUP BY title",
 }

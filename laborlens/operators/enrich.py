@@ -313,29 +313,30 @@ def canonical_titles(raw: DataFrame, aliases: DataFrame, defaults: DataFrame | N
     """(title, canonical_id, how, seniority) of distinct ``raw`` titles (title) by the alias map (alias,
     canonical_id; null marks junk) and, last, by the noun at their end (``defaults``: suffix, canonical_id).
 
-    The title without level numerals is looked up first, then without its level word; keys of both are tried in order
-    of precedence in one join. Only what is left meets the map as a substring, the longest alias winning.
+    The title without level numerals is looked up first, then without its level word; failing these, as a whole that
+    holds an alias of six characters or more, the longest first; failing that, by the noun. All keys of a title, of
+    every way, meet the map in one join, and the first way that finds something tells.
     """
-    t = raw.select("title").distinct().filter(~titles.is_skipped(F.col("title")))
+    t = raw.select("title").distinct().filter(~titles.is_skipped(F.col("title"))).withColumn("plain", titles.delevel(F.col("title")))
     level, bare = titles.strip_level(F.col("plain"))
-    # A title's forms are rows of their own, so that each is worked out once and not again in every key.
-    t = t.select("title", titles.delevel(F.col("title")).alias("plain")).repartition("title")
-    t = t.select("title", "plain", level.alias("seniority"), bare.alias("bare"))
-    forms = t.select("title", F.posexplode(F.array("plain", "bare")).alias("form", "x")).select("title", "form", "x", F.explode(F.array(_rewritten(F.col("x")))).alias("r"))
-    keys = forms.select("title", "form", F.posexplode(_keys(F.col("x"), F.col("r"))).alias("p", "key")).filter("key is not null")
-    met = keys.join(aliases.select(F.col("alias").alias("key"), "canonical_id"), "key").groupBy("title").agg(F.min(F.struct("form", "p", F.coalesce("canonical_id", F.lit("")).alias("c")))["c"].alias("c"))
-    rest = t.join(met.select("title"), "title", "left_anti").select("title", "plain")
-    long = aliases.filter((F.char_length("alias") >= 6) & F.col("canonical_id").isNotNull()).select(F.lower("alias").alias("part"), "canonical_id")
-    parts = holding(rest.select(F.col("plain").alias("name")), long, 6).join(long, "part").groupBy(F.col("name").alias("plain")).agg(F.max_by("canonical_id", F.struct(F.char_length("part"), "part")).alias("c"))
-    parts = rest.join(parts, "plain").select("title", "c")
-    found = met.withColumn("how", F.lit("key")).unionByName(parts.withColumn("how", F.lit("substring")))
+    t = t.withColumns({"seniority": level, "bare": bare}).withColumns({"r": _rewritten(F.col("plain")), "r2": _rewritten(F.col("bare"))})
+    asked = lambda keys, way, first=0: F.transform(keys, lambda k, i: F.struct(F.lit(way).alias("way"), (i + first).alias("p"), k.alias("key")))
+    starts = F.sequence(F.lit(1), F.greatest(F.char_length("plain") - 5, F.lit(1)))
+    grams = F.array_distinct(F.transform(starts, lambda i: F.substr("plain", i, F.lit(6))))
+    words = F.split("plain", " ")
+    tails = F.transform(F.sequence(F.lit(1), F.size(words)), lambda i: F.array_join(F.slice(words, i, F.size(words)), " "))
+    ways = F.concat(asked(_keys(F.col("plain"), F.col("r")), 0), asked(_keys(F.col("bare"), F.col("r2")), 0, 100), asked(grams, 1), asked(tails, 2))
+    rows = t.select("title", "seniority", "plain", F.explode_outer(F.filter(ways, lambda w: w["key"].isNotNull())).alias("w")).select("title", "seniority", "plain", "w.way", "w.p", "w.key")
+    known = aliases.select("alias", F.coalesce("canonical_id", F.lit("")).alias("c"))
+    table = known.select(F.lit(0).alias("way"), F.col("alias").alias("key"), "alias", "c")
+    table = table.unionByName(known.filter((F.char_length("alias") >= 6) & (F.col("c") != "")).select(F.lit(1).alias("way"), F.left("alias", F.lit(6)).alias("key"), "alias", "c"))
     if defaults is not None:
-        # A suffix is the whole title or what follows one of its spaces.
-        words = F.split("plain", " ")
-        tails = F.transform(F.sequence(F.lit(1), F.size(words)), lambda i: F.array_join(F.slice(words, i, F.size(words)), " "))
-        last = rest.join(parts.select("title"), "title", "left_anti").select("title", F.explode(tails).alias("suffix")).join(defaults, "suffix")
-        found = found.unionByName(last.groupBy("title").agg(F.max_by("canonical_id", F.struct(F.char_length("suffix"), "suffix")).alias("c")).withColumn("how", F.lit("suffix")))
-    return t.select("title", "seniority").join(found, "title", "left").select("title", F.when(F.col("c") != "", F.col("c")).alias("canonical_id"), "how", "seniority")
+        table = table.unionByName(defaults.select(F.lit(2).alias("way"), F.col("suffix").alias("key"), F.col("suffix").alias("alias"), F.col("canonical_id").alias("c")))
+    met = rows.join(table, ["way", "key"], "left")
+    held = F.when((F.col("way") != 1) | F.col("plain").contains(F.col("alias")), F.when(F.col("alias").isNotNull(), F.struct("way", "p", (-F.char_length("alias")).alias("len"), "alias", "c")))
+    found = met.groupBy("title", "seniority").agg(F.min(held).alias("b"))
+    how = F.get(F.array(*(F.lit(x) for x in ("key", "substring", "suffix"))), F.col("b.way"))
+    return found.select("title", F.when(F.col("b.c") != "", F.col("b.c")).alias("canonical_id"), how.alias("how"), "seniority")
 
 
 def rule_titles(raw: DataFrame, rules: DataFrame) -> DataFrame:
