@@ -104,7 +104,7 @@ def star_query(run):
 
 
 # Places of all customers: eight shapes by remainders of the key.
-PLACES = ["Remote", "%s", "Springfield, %s", "%s - Springfield", "Remote - %s", "Lisbon", "near %s today", "Porto / Lisbon (office)", "nowhere"]
+PLACES = ["Remote", "%s", "Springfield, %s", "%s - Springfield", "Remote - %s", "Lisbon", "near %s today", "Porto / Lisbon (office)", "nowhere", "greater Lisbon area"]
 CITIES = [("lisbon", "Portugal"), ("porto", "Portugal")]
 
 
@@ -122,6 +122,33 @@ def countries(spark, sf_dir: str) -> DataFrame:
     return e.countries(customer_places(spark, sf_dir), names, spark.createDataFrame(CITIES, "city string, country string"))
 
 
+STATES, SOME_STATES = [("tx", "United States"), ("on", "Canada")], ["TX", "", "ON", "ZZ", "tx"]
+
+
+def normalized(spark, sf_dir: str) -> DataFrame:
+    read = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    rows = read("customer").join(read("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    place = lambda key: F.replace(_nth(PLACES, key), F.lit("%s"), F.col("n_name"))
+    rows = rows.select(F.concat(place(F.col("c_custkey") * 7 + 4), F.when(F.col("c_custkey") % 6 == 1, " (remote)").otherwise("")).alias("location_country"), _nth(SOME_STATES, F.col("c_custkey")).alias("location_state"), F.when(F.col("c_custkey") % 4 < 2, place(F.col("c_custkey"))).otherwise("nowhere").alias("location_raw"))
+    names = read("nation").select(F.col("n_name").alias("alias"), F.col("n_name").alias("country"))
+    return e.normalized_countries(rows, names, spark.createDataFrame(CITIES, "city string, country string"), spark.createDataFrame(STATES, "state string, country string"))
+
+
+WIDE = f"""SELECT replace({_sql_nth(PLACES, '(c_custkey * 7 + 4)')}, '%s', n_name) || CASE WHEN c_custkey % 6 = 1 THEN ' (remote)' ELSE '' END AS location_country, {_sql_nth(SOME_STATES, 'c_custkey')} AS location_state,
+  CASE WHEN c_custkey % 4 < 2 THEN replace({_sql_nth(PLACES, 'c_custkey')}, '%s', n_name) ELSE 'nowhere' END AS location_raw FROM customer JOIN nation ON n_nationkey = c_nationkey"""
+PLACED = {
+    "parts_of": "SELECT location, unnest(regexp_split_to_array(lower(location), '\\s*[,/|;()]\\s*|\\s+-\\s+')) AS part FROM pl",
+    "placed": """SELECT location, arg_min(country, p * 1000 - k) AS country, CASE min(p) WHEN 0 THEN 'remote' WHEN 1 THEN 'alias' WHEN 2 THEN 'part' WHEN 3 THEN 'city' WHEN 4 THEN 'inside' WHEN 5 THEN 'word' END AS how FROM (
+      SELECT location, NULL AS country, NULL AS p, 0 AS k FROM pl UNION ALL
+      SELECT location, 'Remote', 0, 0 FROM pl WHERE regexp_matches(location, '(?i)\\b(remote|anywhere|distributed|worldwide)\\b') AND NOT regexp_matches(location, '[-,(]') UNION ALL
+      SELECT location, n_name, 1, length(n_name) FROM pl JOIN nation ON lower(location) = lower(n_name) UNION ALL
+      SELECT location, n_name, 2, length(n_name) FROM parts_of JOIN nation ON part = lower(n_name) AND part <> lower(location) UNION ALL
+      SELECT location, c.country, 3, length(c.city) FROM parts_of JOIN (VALUES ('lisbon', 'Portugal'), ('porto', 'Portugal')) c(city, country) ON part = c.city UNION ALL
+      SELECT location, c.country, 4, length(c.city) FROM pl JOIN (VALUES ('lisbon', 'Portugal'), ('porto', 'Portugal')) c(city, country) ON contains(lower(location), c.city) UNION ALL
+      SELECT location, n_name, 5, length(n_name) FROM (SELECT location, unnest(regexp_split_to_array(lower(location), '[^\\p{L}\\p{N}.]+')) AS part FROM pl) JOIN nation ON part = lower(n_name)) GROUP BY location""",
+}
+
+
 # Words and runs of words of all documents.
 
 
@@ -255,17 +282,14 @@ ENTRIES: dict[str, tuple] = {
             PL,
         ).replace("\\\\b", "\\b"),
     ),
-    "x20_countries": (
-        countries,
+    "x20_countries": (countries, sql("SELECT location, country, how FROM placed", {**PL, **PLACED})),
+    "x20_normalized_countries": (
+        normalized,
         sql(
-            """SELECT location, arg_min(country, p * 1000 - k) AS country, CASE min(p) WHEN 0 THEN 'remote' WHEN 1 THEN 'alias' WHEN 2 THEN 'part' WHEN 3 THEN 'city' WHEN 4 THEN 'word' END AS how FROM (
-            SELECT location, NULL AS country, NULL AS p, 0 AS k FROM pl UNION ALL
-            SELECT location, 'Remote', 0, 0 FROM pl WHERE regexp_matches(location, '(?i)\\b(remote|anywhere|distributed|worldwide)\\b') AND NOT regexp_matches(location, '[-,(]') UNION ALL
-            SELECT location, n_name, 1, length(n_name) FROM pl JOIN nation ON lower(location) = lower(n_name) UNION ALL
-            SELECT location, n_name, 2, length(n_name) FROM (SELECT location, unnest(regexp_split_to_array(lower(location), '\\s*[,/|;()]\\s*|\\s+-\\s+')) AS part FROM pl) JOIN nation ON part = lower(n_name) AND part <> lower(location) UNION ALL
-            SELECT location, c.country, 3, length(c.city) FROM (SELECT location, unnest(regexp_split_to_array(lower(location), '\\s*[,/|;()]\\s*|\\s+-\\s+')) AS part FROM pl) JOIN (VALUES ('lisbon', 'Portugal'), ('porto', 'Portugal')) c(city, country) ON part = c.city UNION ALL
-            SELECT location, n_name, 4, length(n_name) FROM (SELECT location, unnest(regexp_split_to_array(lower(location), '[^\\p{L}\\p{N}.]+')) AS part FROM pl) JOIN nation ON part = lower(n_name)) GROUP BY location""",
-            PL,
+            """SELECT DISTINCT location_country, location_state, location_raw, coalesce(r.country, v.n_name, CASE lower(trim(regexp_replace(location_country, '(?i)(?: \\((?:hybrid|remote)\\)| - (?:hybrid|remote)| (?:hybrid|remote))$', ''))) WHEN 'lisbon' THEN 'Portugal' WHEN 'porto' THEN 'Portugal' END, c.country,
+            CASE upper(location_state) WHEN 'TX' THEN 'United States' WHEN 'ON' THEN 'Canada' END) AS country FROM wide LEFT JOIN placed r ON r.location = location_raw LEFT JOIN placed c ON c.location = location_country
+            LEFT JOIN nation v ON lower(v.n_name) = lower(trim(regexp_replace(location_country, '(?i)(?: \\((?:hybrid|remote)\\)| - (?:hybrid|remote)| (?:hybrid|remote))$', '')))""",
+            {"wide": WIDE, "pl": "SELECT DISTINCT location FROM (SELECT location_raw AS location FROM wide UNION ALL SELECT location_country FROM wide)", **PLACED},
         ),
     ),
     "x23_seniority": (title_query(lambda t: t.select("title", titles.seniority(F.col("title")).alias("level"))), sql(f"SELECT title, {_case('l', titles.LEVELS, repr('mid'))} AS level FROM tt", TT)),

@@ -394,7 +394,8 @@ def mapped_candidates(raw: DataFrame, roles: DataFrame, explicit: DataFrame, rej
 
 def countries(raw: DataFrame, aliases: DataFrame, cities: DataFrame) -> DataFrame:
     """(location, country, how) of distinct locations: remote, alias (alias, country) of the whole, of a part
-    between delimiters, a city (city, country), an alias as a word inside; first way wins, longer match first."""
+    between delimiters, a city (city, country), a city inside, an alias as a word inside; first way wins, longer match
+    first."""
     each = raw.select("location").distinct().withColumn("t", F.lower(F.trim("location")))
     remote = each.filter(F.col("location").rlike(places.REMOTE) & ~F.col("t").rlike(r"[-,(]")).select("location", F.lit("Remote").alias("country"), F.lit(0).alias("p"), F.lit(0).alias("len"))
     a = aliases.select(F.lower("alias").alias("key"), "country")
@@ -406,12 +407,32 @@ def countries(raw: DataFrame, aliases: DataFrame, cities: DataFrame) -> DataFram
     towns = by(parts, c, 3)
     first = remote.unionByName(whole).unionByName(pieces).unionByName(towns)
     rest = each.join(first.select("location").distinct(), "location", "left_anti")
+    inside = by(holding(rest.select(F.col("location").alias("name")), c.withColumnRenamed("key", "part"), 3).select(F.col("name").alias("location"), F.col("part").alias("key")), c, 4)
     words = rest.select("location", F.explode(F.split("t", r"[^\p{L}\p{N}.]+")).alias("key"))
-    all_ = first.unionByName(by(words, a, 4)).groupBy("location").agg(F.min(F.struct("p", "len", "country")).alias("b"))
-    how = F.when(F.col("b").isNotNull(), F.get(F.array(*(F.lit(x) for x in ("remote", "alias", "part", "city", "word"))), F.col("b.p")))
+    all_ = first.unionByName(inside).unionByName(by(words, a, 5)).groupBy("location").agg(F.min(F.struct("p", "len", "country")).alias("b"))
+    how = F.when(F.col("b").isNotNull(), F.get(F.array(*(F.lit(x) for x in ("remote", "alias", "part", "city", "inside", "word"))), F.col("b.p")))
     return each.join(all_, "location", "left").select("location", F.col("b.country").alias("country"), how.alias("how"))
 
 
+#: Places that say nothing, and ways of working after a place.
+UNKNOWN = ["hybrid", "remote", "in-office", "distributed", "on-site", "onsite", "anywhere", "worldwide", "global"]
+MODE = r"(?: \((?:hybrid|remote)\)| - (?:hybrid|remote)| (?:hybrid|remote))$"
+
+
+def normalized_countries(rows: DataFrame, aliases: DataFrame, cities: DataFrame, states: DataFrame) -> DataFrame:
+    """Distinct (location_country, location_state, location_raw) with ``country``: what the raw place comes to, else
+    the country as an alias, state (state, country) or city, else what it comes to, else the country of the state."""
+    each = rows.select("location_country", "location_state", "location_raw").distinct()
+    found = countries(each.select(F.explode(F.array("location_raw", "location_country")).alias("location")).filter("location is not null"), aliases, cities).filter("how is not null").select("location", F.col("country").alias("c"))
+    named = [t.select(F.lower(F.col(n)).alias("key"), F.lit(i).alias("p"), "country") for i, (t, n) in enumerate(((aliases, "alias"), (states, "state"), (cities, "city")))]
+    values = reduce(DataFrame.unionByName, named).groupBy("key").agg(F.min(F.struct("p", "country"))["country"].alias("v"))
+    bare = F.trim(F.regexp_replace(F.lower(F.trim("location_country")), MODE, ""))
+    of_states = states.groupBy(F.lower("state").alias("s_key")).agg(F.min("country").alias("s"))
+    met = each.join(found.select(F.col("location").alias("location_raw"), F.col("c").alias("of_raw")), "location_raw", "left").join(found.select(F.col("location").alias("location_country"), F.col("c").alias("of_country")), "location_country", "left")
+    met = met.withColumn("key", F.when(~bare.isin(UNKNOWN), bare)).join(values, "key", "left").join(of_states, F.lower(F.trim("location_state")) == F.col("s_key"), "left")
+    return met.select("location_country", "location_state", "location_raw", F.coalesce("of_raw", "v", "of_country", "s").alias("country"))
+
+
 def location_rollup(jobs: DataFrame, regions: DataFrame) -> DataFrame:
     """Postings by region and country (``regions``: country, region), and those of no known region."""
     met = jobs.join(regions, F.col("location_country") == F.col("country"), "left")

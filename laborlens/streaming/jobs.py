@@ -5,8 +5,12 @@ Each takes a streaming DataFrame and returns a query or a streaming DataFrame; s
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
@@ -93,5 +97,30 @@ def weekly_counts(events: DataFrame, delay: str = "1 day") -> DataFrame:
 
 
 def live(postings: DataFrame, as_of, days: int = 90) -> DataFrame:
-    """ST6's batch predicate: open, and seen in the last 90 days."""
+    """ST6's batch twin: open, and seen in the last 90 days."""
     return postings.filter(F.col("closed_at").isNull() & (F.col("last_seen_at") >= F.date_sub(F.lit(as_of), days)))
+
+
+CLOSED = "source_ats string, source_job_id string, last_seen_at timestamp, closed_at timestamp"
+
+
+def liveness_stream(seen: DataFrame, days: int = 90, delay: str = "1 day") -> DataFrame:
+    """ST6: sightings (source_ats, source_job_id, ts) as postings that close, once each has gone unseen for so many days
+    of event time. The state of a posting is its last sighting; one that comes back is open again."""
+    span = days * 86_400_000
+
+    def of(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            gaps = [state.get[0]]
+            state.remove()
+        else:
+            times = sorted({int(t.timestamp() * 1000) for f in frames for t in f.ts} | ({state.get[0]} if state.exists else set()))
+            gaps = [a for a, b in zip(times[:-1], times[1:], strict=True) if b - a > span]
+            state.update((times[-1],))
+            state.setTimeoutTimestamp(max(times[-1] + span, state.getCurrentWatermarkMs() + 1))
+        if gaps:
+            last = pd.to_datetime(pd.Series(gaps), unit="ms")
+            yield pd.DataFrame({"source_ats": key[0], "source_job_id": key[1], "last_seen_at": last, "closed_at": last + pd.Timedelta(days=days)})
+
+    keyed = seen.select("source_ats", "source_job_id", "ts").withWatermark("ts", delay).groupBy("source_ats", "source_job_id")
+    return keyed.applyInPandasWithState(of, CLOSED, "last long", "append", GroupStateTimeout.EventTimeTimeout)

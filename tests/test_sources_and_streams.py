@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import random
 from dataclasses import replace
-from datetime import date, datetime
+from datetime import date, datetime, timedelta
 
 from pyspark.sql import functions as F
 
@@ -110,6 +110,16 @@ def test_weekly_counts_and_repeats(spark, tmp_path):
     assert got == {(r.w, r.event_type): r["count"] for r in want}
 
 
+def test_postings_unseen_for_long_close(spark, tmp_path):
+    at = lambda day: datetime(2024, 1, 1) + timedelta(days=day)
+    for i, rows in enumerate([[("1", 0), ("2", 0), ("3", 5)], [("1", 60), ("4", 120)], [("2", 130), ("5", 400)], [("6", 401)]]):
+        spark.createDataFrame([("a", k, at(d)) for k, d in rows], "source_ats string, source_job_id string, ts timestamp").coalesce(1).write.parquet(str(tmp_path / "in" / str(i)))
+    seen = spark.readStream.schema("source_ats string, source_job_id string, ts timestamp").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "*"))
+    jobs.liveness_stream(seen).writeStream.format("memory").queryName("closed").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    got = sorted((r.source_job_id, r.last_seen_at, r.closed_at) for r in spark.table("closed").collect())
+    assert got == [("1", at(60), at(150)), ("2", at(0), at(90)), ("2", at(130), at(220)), ("3", at(5), at(95)), ("4", at(120), at(210))]
+
+
 def test_since_last_run(spark):
     rows = spark.createDataFrame([(datetime(2024, 1, d),) for d in range(1, 11)], "at timestamp")
     runs = spark.createDataFrame([(datetime(2024, 1, 4), "completed"), (datetime(2024, 1, 8), "failed")], "started_at timestamp, status string")
