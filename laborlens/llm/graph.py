@@ -25,28 +25,31 @@ def _small_star(edges: DataFrame, rows: int) -> DataFrame:
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
-#: Rows of a partition of edges between rounds.
+#: Rows of a partition of edges between steps.
 ROWS = 200_000
 
 
-def _kept(edges: DataFrame, rows: int) -> DataFrame:
-    """``edges`` in about as few files as ``rows`` of them need."""
-    return cut(edges.coalesce(max(1, rows // ROWS)))
+def _packed(edges: DataFrame, rows: int) -> DataFrame:
+    """``edges`` in about as few partitions as ``rows`` of them need, so that small graphs take few tasks and files."""
+    return edges.coalesce(max(1, rows // ROWS))
 
 
 def connected(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of ``edges`` (u, v), root the smallest node it reaches.
 
-    Each round hangs neighbours under their smallest neighbour, until all edges are stars: no node is both an end and
-    a centre, and an end has one centre. Self-loops and nulls are ignored, and an edge may come twice or both ways
-    round. A centre of any number of edges is spread over tasks.
+    Each round hangs neighbours under their smallest neighbour, until a round changes nothing: then all edges are stars.
+    Rounds are compared by the number and the sum of hashes of their edges. Self-loops and nulls are ignored, and an
+    edge may come twice or both ways round. A centre of any number of edges is spread over tasks.
     """
     now = cut(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v"))
-    rows = now.count()
+    mark = [F.count(F.lit(1)).alias("rows"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("hashes"), F.sum(F.xxhash64(F.lit(1), "u", "v").cast("decimal(38,0)")).alias("more")]
+    told = now.agg(*mark).first()
+    rows = told["rows"]
     while True:
-        now = _kept(_small_star(_large_star(now, rows), rows), rows)
-        centres = now.join(now.select(F.col("v").alias("u")).distinct(), "u", "left_semi")
-        if centres.isEmpty() and now.groupBy("u").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty():
+        before = told
+        now = cut(_packed(_small_star(_packed(_large_star(now, rows), rows), rows), rows))
+        told = now.agg(*mark).first()
+        if told == before:
             break
     leaves = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return leaves.unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

@@ -40,7 +40,7 @@ from laborlens.llm.shingles import FOLD, U, WordHashes, mix, shingle_set, small_
 COORDINATES, ROWS = 96, 4
 #: Shingles of one block of a group, 8 bytes each. Small sets weigh as much as LEAST shingles, so that the pairs of a
 #: block are bounded as well.
-BLOCK, LEAST = 500_000, 500
+BLOCK, LEAST = 1_000_000, 250
 EMPTY = U(0xFFFFFFFFFFFFFFFF)
 
 
@@ -273,9 +273,12 @@ def _linked(docs: DataFrame, classes: DataFrame, shingle: int, percent: int, blo
     return cut(links.unionByName(_links(across.unionByName(down), percent)))
 
 
-def _shared_ids(rows: DataFrame, named: DataFrame) -> DataFrame:
-    """(u, v) that tie the classes of which rows share an id; ``named``: s1, s2, rep."""
+def _shared_ids(rows: DataFrame, named: DataFrame) -> DataFrame | None:
+    """(u, v) that tie the classes of which rows share an id, if any do; ``named``: s1, s2, rep."""
     of_ids = rows.filter("s1 is not null and doc_id is not null").groupBy("doc_id").agg(F.min(F.struct("s1", "s2")).alias("lo"), F.max(F.struct("s1", "s2")).alias("hi")).filter("lo <> hi").select("doc_id", "lo")
+    of_ids = cut(of_ids)
+    if of_ids.isEmpty():
+        return None
     ties = rows.select("doc_id", "s1", "s2").join(of_ids, "doc_id").distinct()
     ties = ties.join(named, ["s1", "s2"]).select("lo", F.col("rep").alias("u"))
     return ties.join(named.select(F.struct("s1", "s2").alias("lo"), F.col("rep").alias("v")), "lo").select("u", "v")
@@ -286,8 +289,8 @@ def _judged(docs: DataFrame, shingle: int, percent: int, block: int, by_id: bool
     rows = cut(sketches(docs, shingle))
     classes = cut(_classes(rows))
     links = _linked(docs, classes, shingle, percent, block)
-    if by_id:
-        links = links.unionByName(_shared_ids(rows, classes.select("s1", "s2", "rep")))
+    if by_id and (ties := _shared_ids(rows, classes.select("s1", "s2", "rep"))) is not None:
+        links = links.unionByName(ties)
     found = connected(links).select(F.col("node").alias("rep"), "root")
     classes = classes.select("s1", "s2", "rep", "n").join(found, "rep", "left").withColumn("root", F.coalesce("root", "rep"))
     no_id = rows.filter("doc_id is null").select("doc_id", "t", "n_shingles", F.lit(None).cast(classes.schema["rep"].dataType).alias("rep"), F.lit(None).cast(classes.schema["rep"].dataType).alias("root"))
