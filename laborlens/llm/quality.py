@@ -133,7 +133,7 @@ def _medians(rows: DataFrame) -> DataFrame:
 def _starts(rows: DataFrame) -> DataFrame:
     """(group, start, mu, prec): the medians; the moments of all rows; those of the half that no coordinate sets apart."""
     medians = cut(_medians(rows))
-    far = rows.join(medians, "group")
+    far = rows.join(_near(medians), "group")
     worst = F.greatest(*(F.get("prec", F.lit(i * D + i)) * F.pow(F.col(x) - F.get("mu", F.lit(i)), 2) for i, x in enumerate(LEAST)))
     near = far.withColumn("d2", worst)
     within = _quantiles(near, ["group"], _slot(), 0.5)
@@ -175,9 +175,18 @@ def _estimate(rows: DataFrame, keys: list[str]) -> DataFrame:
     return sums.mapInPandas(of, schema)
 
 
+#: Groups up to which their estimates, some thirty numbers each, are broadcast.
+MAP_SIDE_GROUPS = 100_000
+
+
+def _near(at: DataFrame) -> DataFrame:
+    """``at``, a row a group and checkpointed, for a join with the rows of groups of any size."""
+    return F.broadcast(at) if at.count() <= MAP_SIDE_GROUPS else at
+
+
 def concentrate(rows: DataFrame, at: DataFrame, keys: list[str]) -> DataFrame:
     """One step: the estimate of the SHARE of each group's ``rows`` that lie nearest to the estimate ``at``."""
-    far = rows.join(at.select(*keys, "mu", "prec"), "group").withColumn("d2", _distance())
+    far = rows.join(_near(at.select(*keys, "mu", "prec")), "group").withColumn("d2", _distance())
     within = _quantiles(far, keys, _slot(), SHARE)
     return cut(_estimate(far.join(within, keys).filter(_slot() <= F.col("at")), keys))
 
@@ -214,7 +223,7 @@ def robust_estimates(rows: DataFrame) -> DataFrame:
 def robust_distances(rows: DataFrame) -> DataFrame:
     """(group, mu, prec, scale) of each group of ``rows`` (group, x0 ...)."""
     at = robust_estimates(rows)
-    middle = _quantiles(rows.join(at, "group").withColumn("d2", _distance()), ["group"], _slot(), 0.5)
+    middle = _quantiles(rows.join(_near(at), "group").withColumn("d2", _distance()), ["group"], _slot(), 0.5)
     typical = F.exp((F.col("at") + 0.5) / 64)
     return cut(at.join(middle, "group").select("group", "mu", "prec", F.greatest(typical / chi2_quantile(0.5, D), F.lit(1.0)).alias("scale")))
 
@@ -227,6 +236,6 @@ def judge(docs: DataFrame, min_rows: int = MIN_ROWS, level: float = LEVEL) -> Da
     counted = cut(rows.filter("not base_failed").select(F.explode("feeds").alias("group"), *LEAST))
     at = robust_distances(counted)
     d2 = F.when(~F.col("base_failed"), _distance() / F.col("scale"))
-    out = rows.join(at, "group", "left").withColumn("d2", d2)
+    out = rows.join(_near(at), "group", "left").withColumn("d2", d2)
     kept = ~F.col("base_failed") & (F.col("d2").isNull() | (F.col("d2") <= chi2_quantile(level, D)))
     return out.select("doc_id", *STATISTICS[:5], "base_failed", kept.alias("kept"), "d2")
