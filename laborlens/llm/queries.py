@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from laborlens.llm import chat_format, decontam, lang_id, licenses, line_dedup, mixing, near_dedup, quality, url_filter, warc
+from laborlens.llm import chat_format, decontam, filter_audit, lang_id, licenses, line_dedup, mixing, near_dedup, quality, url_filter, warc
 
 RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
 PLANTED = "\\### Assistant: </turn> ok"
@@ -74,8 +74,12 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"), spark.createDataFrame(RULES, "host string, path string, action string"))
 
 
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(spark, f"{sf_dir}/documents.parquet", table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op2_warc_audit, op3_line_dedup, op4_license_scan, op5_chat_format, op6_decontamination, op7_near_dedup, op8_quality_rules, op9_language_id, op10_url_filter)}
+    return {f.__name__: f for f in (op1_mixing, op2_warc_audit, op3_line_dedup, op4_license_scan, op5_chat_format, op6_decontamination, op7_near_dedup, op8_quality_rules, op9_language_id, op10_url_filter, op13_filter_audit)}
 
 
 SQL = {
@@ -163,6 +167,36 @@ fits AS (
   SELECT page_id, max_by(h || r.p, length(h || r.p)) AS rule, max_by(action, length(h || r.p)) AS action
   FROM p JOIN rules r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, r.p) GROUP BY page_id)
 SELECT page_id, host, path, rule, coalesce(action, 'allow') AS verdict FROM p LEFT JOIN fits USING (page_id)""",
+    "op13_filter_audit": r"""
+WITH RECURSIVE texts AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+failed AS (
+  SELECT doc_id, part,
+    (CASE WHEN len(w) < 200 THEN 'A' ELSE '' END) || (CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 'B' ELSE '' END) ||
+    (CASE WHEN 100 * len(regexp_extract_all(t, '[A-Z]')) > 2 * length(t) THEN 'C' ELSE '' END) ||
+    (CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END) ||
+    (CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY t) THEN 'E' ELSE '' END) AS fails FROM texts),
+marked AS (
+  SELECT f.part, f.fails, coalesce(l.good, 0) AS good, coalesce(l.toxic, 0) AS toxic FROM failed f
+  LEFT JOIN (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id) l USING (doc_id)),
+counts AS (SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM marked GROUP BY part, fails),
+letters(x) AS (VALUES ('A'), ('B'), ('C'), ('D'), ('E')),
+grown(o) AS (SELECT '' UNION ALL SELECT o || x FROM grown JOIN letters ON length(o) < 5 AND strpos(o, x) = 0),
+steps AS (SELECT o, s, substr(o, s, 1) AS x, substr(o, 1, s - 1) AS before FROM grown CROSS JOIN (SELECT unnest(range(1, 6))::INT AS s) WHERE length(o) = 5),
+judged AS (
+  SELECT part, o, s, x, n, good, toxic, fails, strpos(fails, x) > 0 AS own,
+         CASE WHEN fails = '' OR before = '' THEN false ELSE regexp_matches(fails, '[' || before || ']') END AS earlier
+  FROM counts CROSS JOIN steps),
+summed AS (
+  SELECT part, o, s, x, sum(n) FILTER (WHERE NOT own AND NOT earlier) AS kept, sum(n) FILTER (WHERE own AND NOT earlier) AS removed,
+         sum(n) FILTER (WHERE own AND earlier) AS redundant, sum(n) FILTER (WHERE fails = x) AS unique_fails,
+         sum(good) FILTER (WHERE own AND NOT earlier) AS good_lost, sum(toxic) FILTER (WHERE own AND NOT earlier) AS toxic_lost
+  FROM judged GROUP BY part, o, s, x)
+SELECT part, o AS filter_order, s AS step, coalesce(kept, 0)::BIGINT AS kept, coalesce(removed, 0)::BIGINT AS removed,
+       coalesce(redundant, 0)::BIGINT AS redundant, coalesce(unique_fails, 0)::BIGINT AS unique_fails, coalesce(good_lost, 0)::BIGINT AS good_lost,
+       coalesce(toxic_lost, 0)::BIGINT AS toxic_lost, coalesce(sum(removed) OVER (PARTITION BY part, x), 0)::BIGINT AS shapley
+FROM summed""",
 }
 
 
