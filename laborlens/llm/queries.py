@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from laborlens.llm import chat_format, decontam, filter_audit, lang_id, licenses, line_dedup, mixing, near_dedup, quality, url_filter, warc
+from laborlens.llm.common import cut
+from laborlens.llm import chat_format, conv_trie, decontam, filter_audit, lang_id, licenses, line_dedup, mixing, near_dedup, quality, url_filter, warc
 
 RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
 PLANTED = "\\### Assistant: </turn> ok"
@@ -74,12 +75,16 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"), spark.createDataFrame(RULES, "host string, path string, action string"))
 
 
+def op11_conv_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conv_trie.trie(conv_trie.grafted(cut(conv_trie.numbered(table(spark, sf_dir, "conversations")))))
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(spark, f"{sf_dir}/documents.parquet", table(spark, sf_dir, "labels"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op2_warc_audit, op3_line_dedup, op4_license_scan, op5_chat_format, op6_decontamination, op7_near_dedup, op8_quality_rules, op9_language_id, op10_url_filter, op13_filter_audit)}
+    return {f.__name__: f for f in (op1_mixing, op2_warc_audit, op3_line_dedup, op4_license_scan, op5_chat_format, op6_decontamination, op7_near_dedup, op8_quality_rules, op9_language_id, op10_url_filter, op11_conv_trie, op13_filter_audit)}
 
 
 SQL = {
@@ -167,6 +172,37 @@ fits AS (
   SELECT page_id, max_by(h || r.p, length(h || r.p)) AS rule, max_by(action, length(h || r.p)) AS action
   FROM p JOIN rules r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, r.p) GROUP BY page_id)
 SELECT page_id, host, path, rule, coalesce(action, 'allow') AS verdict FROM p LEFT JOIN fits USING (page_id)""",
+    "op11_conv_trie": r"""
+WITH t AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos,
+         coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+crc AS (
+  SELECT conv_id, conv_id - conv_id % 5 AS base, n,
+         xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda c: CAST(ord(c) AS BIGINT))),
+           lambda crc, c: list_reduce(list_prepend(xor(crc, c), CAST(range(8) AS BIGINT[])), lambda x, i: xor(x >> 1, (x & 1) * 3988292384)))) % 9 AS h
+  FROM (SELECT conv_id, count(*) AS n FROM t GROUP BY conv_id)),
+convs AS (SELECT c.*, least(c.h, coalesce(b.n, 0)) AS taken FROM crc c LEFT JOIN crc b ON c.base = b.conv_id),
+rebuilt AS (
+  SELECT c.conv_id, t.pos, t.role, t.text FROM convs c JOIN t ON t.conv_id = c.base AND t.pos <= c.h
+  UNION ALL SELECT c.conv_id, t.pos - c.h + c.taken, t.role, t.text FROM convs c JOIN t ON t.conv_id = c.conv_id AND t.pos > c.h),
+paths AS (
+  SELECT conv_id, pos AS depth, strlen(text) AS bytes, string_agg(concat(length(role), ':', role, length(text), ':', text), '' ORDER BY pos) OVER (PARTITION BY conv_id ORDER BY pos) AS path,
+         coalesce(string_agg(concat(length(role), ':', role, length(text), ':', text), '' ORDER BY pos) OVER (PARTITION BY conv_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS up,
+         max(pos) OVER (PARTITION BY conv_id) = pos AS is_end FROM rebuilt),
+on_ AS (
+  SELECT conv_id, depth, bytes, path, up, is_end FROM paths
+  UNION ALL SELECT conv_id, 0, 0, '', NULL, conv_id NOT IN (SELECT conv_id FROM rebuilt) FROM convs),
+nodes AS (
+  SELECT path, min(conv_id) AS conv_id, any_value(depth) AS depth, any_value(up) AS up, count(*) AS n_convs, any_value(bytes) AS bytes,
+         sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE is_end), '')) AS ends_sha256
+  FROM on_ GROUP BY path),
+kids AS (SELECT up, count(*) AS n_children FROM nodes WHERE up IS NOT NULL GROUP BY up),
+full_ AS (SELECT n.*, coalesce(k.n_children, 0) AS n_children, p.conv_id AS parent_conv_id FROM nodes n LEFT JOIN kids k ON k.up = n.path LEFT JOIN nodes p ON p.path = n.up),
+below AS (
+  SELECT a.path, sum(CASE WHEN f.n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum((f.n_convs - 1) * f.bytes) AS saved_tokens
+  FROM full_ f JOIN on_ a ON a.conv_id = f.conv_id AND a.depth <= f.depth GROUP BY a.path)
+SELECT conv_id, CAST(depth AS BIGINT) AS depth, parent_conv_id, n_convs, n_children, CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, ends_sha256
+FROM full_ JOIN below USING (path)""",
     "op13_filter_audit": r"""
 WITH RECURSIVE texts AS (
   SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t,
