@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from laborlens.llm.common import cut
-from laborlens.llm import chat_format, conv_trie, decontam, filter_audit, lang_id, licenses, line_dedup, mixing, near_dedup, quality, url_filter, warc
+from laborlens.llm import chat_format, conv_trie, decontam, filter_audit, lang_id, licenses, line_dedup, mixing, near_dedup, quality, suffix_dedup, url_filter, warc
 
 RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
 PLANTED = "\\### Assistant: </turn> ok"
@@ -79,12 +79,17 @@ def op11_conv_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conv_trie.trie(conv_trie.grafted(cut(conv_trie.numbered(table(spark, sf_dir, "conversations")))))
 
 
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.dedup_passages(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(spark, f"{sf_dir}/documents.parquet", table(spark, sf_dir, "labels"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op2_warc_audit, op3_line_dedup, op4_license_scan, op5_chat_format, op6_decontamination, op7_near_dedup, op8_quality_rules, op9_language_id, op10_url_filter, op11_conv_trie, op13_filter_audit)}
+    return {f.__name__: f for f in (op1_mixing, op2_warc_audit, op3_line_dedup, op4_license_scan, op5_chat_format, op6_decontamination, op7_near_dedup, op8_quality_rules, op9_language_id, op10_url_filter, op11_conv_trie, op12_suffix_dedup, op13_filter_audit)}
 
 
 SQL = {
@@ -203,6 +208,19 @@ below AS (
   FROM full_ f JOIN on_ a ON a.conv_id = f.conv_id AND a.depth <= f.depth GROUP BY a.path)
 SELECT conv_id, CAST(depth AS BIGINT) AS depth, parent_conv_id, n_convs, n_children, CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, ends_sha256
 FROM full_ JOIN below USING (path)""",
+    "op12_suffix_dedup": r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, s, substr(h, 2 * s + 1, 200) AS g FROM (SELECT doc_id, h, unnest(range(0, greatest(len(h) // 2 - 99, 0))) AS s FROM d)),
+again AS (SELECT doc_id, s FROM (SELECT doc_id, s, row_number() OVER (PARTITION BY g ORDER BY doc_id, s) AS k FROM w) WHERE k > 1),
+marked AS (SELECT doc_id, s, CASE WHEN s <= lag(s) OVER (PARTITION BY doc_id ORDER BY s) + 100 THEN 0 ELSE 1 END AS new FROM again),
+runs AS (SELECT doc_id, s, sum(new) OVER (PARTITION BY doc_id ORDER BY s) AS k FROM marked),
+spans AS (SELECT doc_id, k, min(s) AS a, max(s) + 100 AS b FROM runs GROUP BY doc_id, k),
+edges AS (
+  SELECT doc_id, k, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY k), 0) AS x, a AS y, b - a AS removed FROM spans
+  UNION ALL SELECT d.doc_id, coalesce(max(k), 0) + 1, coalesce(max(b), 0), max(len(h) // 2), 0 FROM d LEFT JOIN spans USING (doc_id) GROUP BY d.doc_id)
+SELECT doc_id, max(len(h) // 2) AS n_bytes, CAST(sum(removed) AS BIGINT) AS n_removed, count(*) - 1 AS n_spans,
+       sha256(unhex(string_agg(substr(h, CAST(2 * x + 1 AS BIGINT), CAST(2 * (y - x) AS BIGINT)), '' ORDER BY k))) AS kept_sha256
+FROM edges JOIN d USING (doc_id) GROUP BY doc_id""",
     "op13_filter_audit": r"""
 WITH RECURSIVE texts AS (
   SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t,
