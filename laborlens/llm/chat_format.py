@@ -42,6 +42,7 @@ MAPPINGS: dict[str, dict] = {
 #: What roles of layouts with names of their own are called in canonical turns.
 ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
 TURNS = "array<struct<role:string,text:string>>"
+HALVES = re.compile("[\ud800-\udfff]")
 CONTROL = re.compile(r"(\\*)(### |</turn>)")
 ESCAPED = re.compile(r"\\(\\*)(### |</turn>)")
 
@@ -56,13 +57,18 @@ def _required(mapping: dict) -> list[str]:
 KNOWN = {p for m in MAPPINGS.values() for p in (*_required(m), *m["optional"])} | {f"{m['list'][0]}[:0]" for m in MAPPINGS.values() if "list" in m}
 
 
-def field_paths(value: object, at: str = "") -> set[str]:
+def field_paths(value: object) -> set[str]:
     """Paths of all leaves: objects add ``.name``, lists ``[]``, empty lists ``[:0]``."""
-    if isinstance(value, dict):
-        return {p for k, v in value.items() for p in field_paths(v, f"{at}.{k}" if at else k)}
-    if isinstance(value, list) and value:
-        return {p for v in value for p in field_paths(v, f"{at}[]")}
-    return {f"{at}[:0]" if value == [] else at} if at else set()
+    found, left = set(), [("", value)]
+    while left:
+        at, value = left.pop()
+        if isinstance(value, dict):
+            left += [(f"{at}.{k}" if at else k, v) for k, v in value.items()]
+        elif isinstance(value, list) and value:
+            left += [(f"{at}[]", v) for v in value]
+        elif at:
+            found.add(f"{at}[:0]" if value == [] else at)
+    return found
 
 
 def known_paths(paths: set[str]) -> list[str]:
@@ -92,6 +98,28 @@ def _text(value: object) -> str:
     return value if isinstance(value, str) else "" if value is None else json.dumps(value, ensure_ascii=False)
 
 
+def valid(text: str) -> str:
+    """``text`` with U+FFFD in place of halves of surrogate pairs, which no encoding has."""
+    return HALVES.sub("\ufffd", text)
+
+
+def read_record(text: str | None, layouts: dict[str, str | None]) -> tuple[str, str | None, list[dict] | None, list[str] | None]:
+    """(fingerprint, layout, turns, paths) of a record. One that is no JSON object, or nested too deeply to be read, has
+    no layout. ``layouts``: what earlier fingerprints selected."""
+    try:
+        record = json.loads(text) if text is not None else None
+        paths = field_paths(record)
+        known = known_paths(paths)
+        mark = fingerprint(known)
+        if mark not in layouts:
+            layouts[mark] = select_layout(known)
+        layout = layouts[mark] if isinstance(record, dict) else None
+        turns = [{k: valid(v) for k, v in t.items()} for t in turns_of(record, MAPPINGS[layout])] if layout else None
+    except (ValueError, RecursionError):
+        return fingerprint([]), None, None, []
+    return mark, layout, turns, None if layout else sorted(map(valid, paths))
+
+
 def turns_of(record: dict, mapping: dict) -> list[dict]:
     turns = [{"role": "system", "text": _text(record["system"])}] if "system" in record else []
     if "list" in mapping:
@@ -111,18 +139,7 @@ def canonical_turns(records: DataFrame) -> DataFrame:
         layouts: dict[str, str | None] = {}
         for frame in frames:
             out = []
-            for conv_id, text in zip(frame.conv_id, frame.record, strict=True):
-                try:
-                    record = json.loads(text) if text is not None else None
-                except ValueError:
-                    record = None
-                paths = field_paths(record)
-                known = known_paths(paths)
-                mark = fingerprint(known)
-                if mark not in layouts:
-                    layouts[mark] = select_layout(known)
-                layout = layouts[mark] if isinstance(record, dict) else None
-                out.append((conv_id, mark, layout, turns_of(record, MAPPINGS[layout]) if layout else None, None if layout else sorted(paths)))
+            out += [(conv_id, *read_record(text, layouts)) for conv_id, text in zip(frame.conv_id, frame.record, strict=True)]
             yield pd.DataFrame(out, columns=["conv_id", "fingerprint", "layout", "turns", "paths"])
 
     schema = f"conv_id {records.schema['conv_id'].dataType.simpleString()}, fingerprint string, layout string, turns {TURNS}, paths array<string>"

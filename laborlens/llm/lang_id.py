@@ -195,8 +195,7 @@ class Labeller:
         if not self.model.langs:
             return out
         words = [words_of(t) if t else [] for t in texts]
-        for w in words:
-            self.learn(w)
+        self.learn([w for own in words for w in own])
         full = [i for i, w in enumerate(words) if w]
         if not full:
             return out
@@ -235,7 +234,12 @@ def identify(docs: DataFrame, model: Model, penalty: float = PENALTY) -> DataFra
 
 
 def keep_identified(docs: DataFrame, model: Model, least: float = 0.5, penalty: float = PENALTY) -> DataFrame:
-    """``docs`` without those whose language can't be told: no letters, or under ``least`` of them in one language."""
+    """``docs`` without those whose language can't be told: no letters, or under ``least`` of them in one language.
+
+    A model that has learned no language tells nothing, and all documents stay.
+    """
+    if not model.langs:
+        return docs
     shared = _shared(docs, model)
 
     @F.pandas_udf("boolean")

@@ -106,7 +106,7 @@ def sketches(docs: DataFrame, k: int) -> DataFrame:
 def _members(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     """``wanted`` (rep, root, blocks, block) with their sets as bytes, from the documents' whole texts.
 
-    A set comes as often as rows share both id and text.
+    Rows that share both id and text give one set.
     """
     kept = ["rep", "root", "blocks", "block"]
 
@@ -117,7 +117,8 @@ def _members(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array([s.tobytes() for s in sets], pa.binary())], [*kept, "set"])
 
     asked = wanted.select(F.col("rep.doc_id").alias("asked_id"), F.col("rep.t").alias("asked_t"), *kept)
-    met = _row(docs).join(asked, (F.col("doc_id") == F.col("asked_id")) & (F.col("t") == F.col("asked_t"))).select(*kept, "text")
+    met = _row(docs).join(asked, (F.col("doc_id") == F.col("asked_id")) & (F.col("t") == F.col("asked_t")))
+    met = met.dropDuplicates(["doc_id", "t", "rep", "root", "block"]).select(*kept, "text")
     return met.mapInArrow(of, T.StructType([met.schema[c] for c in kept]).add("set", "binary"))
 
 

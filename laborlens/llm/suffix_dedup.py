@@ -33,6 +33,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from laborlens.llm.common import drop_table, lookup, new_table, require
 
@@ -520,7 +521,7 @@ def repeated(docs: DataFrame) -> DataFrame:
     return copied.unionByName(found)
 
 
-DONE = "n_bytes long, n_removed long, n_spans long, kept binary"
+DONE = T.StructType().add("n_bytes", "long").add("n_removed", "long").add("n_spans", "long").add("kept", "binary")
 
 
 @F.pandas_udf(DONE)
