@@ -3,7 +3,7 @@
 Which filters a document fails is a mask. Four filters look at the text alone (``text_failures``); the last one, copies,
 depends on the other documents: a text fails it if a document with a smaller id has the same text, removed or not.
 ``mask_stream`` reads files as available-now micro-batches and keeps, for each text, the smallest id that has come and
-the rows that hold it. A row with a larger id counts as a copy at once; when a smaller id arrives, the rows that were
+the rows that hold it; the texts' states are dealt to buckets by hash, a record a bucket. A row with a larger id counts as a copy at once; when a smaller id arrives, the rows that were
 first until then are retracted (-1 without the copy's bit) and counted as copies (+1). So the sum of what the stream has
 emitted is the number of documents of each part and mask after every batch, and no batch is read twice. State and
 progress are in the checkpoint, emitted counts in a file sink with a log: a job that is cut off goes on where it was.
@@ -51,78 +51,83 @@ def text_failures(text: Column) -> Column:
     return sum((F.when(f, F.lit(1 << i)).otherwise(F.lit(0)) for i, f in enumerate(fails)), F.lit(0)).cast("int")
 
 
-def _judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(key, doc_id, part, mask, good, toxic) of each document; documents without an id have no key."""
+def _judged(docs: DataFrame, labels: DataFrame, buckets: int) -> DataFrame:
+    """(bucket, text, doc_id, part, mask, good, toxic) of each document, its text as 128 bits of SHA-256; documents
+    without an id have no text."""
     text = F.coalesce("text", F.lit(""))
-    rows = docs.select(F.when(F.col("doc_id").isNotNull(), F.sha2(text, 256)).alias("key"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("source", F.lit("")).alias("part"), text_failures(text).alias("mask"))
+    digest = F.when(F.col("doc_id").isNotNull(), F.unhex(F.substring(F.sha2(text, 256), 1, 32)))
+    rows = docs.select(digest.alias("text"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("source", F.lit("")).alias("part"), text_failures(text).alias("mask"))
     marks = labels.filter("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.coalesce(F.col("quality") == 1, F.lit(False))).alias("good"), F.max(F.coalesce(F.col("toxic") == 1, F.lit(False))).alias("toxic"))
-    return rows.join(marks, "doc_id", "left").select("key", "doc_id", "part", "mask", F.coalesce("good", F.lit(False)).alias("good"), F.coalesce("toxic", F.lit(False)).alias("toxic"))
+    bucket = F.pmod(F.xxhash64("text", F.when(F.col("text").isNull(), F.xxhash64("part", "mask"))), F.lit(buckets)).cast("int")
+    return rows.join(marks, "doc_id", "left").select(bucket.alias("bucket"), "text", F.coalesce("doc_id", F.lit(0)).alias("doc_id"), "part", "mask", F.coalesce("good", F.lit(False)).alias("good"), F.coalesce("toxic", F.lit(False)).alias("toxic"))
 
 
-ROWS = "key string, doc_id long, part string, mask int, good boolean, toxic boolean, n long"
 OWN = ["part", "mask", "good", "toxic"]
+ROWS = "bucket int, text binary, doc_id long, part string, mask int, good boolean, toxic boolean, n long"
 
 
 def _combined(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """A task's rows: those with the smallest id of each text under its key, all others as counts without an id."""
+    """A task's rows: those with the smallest id of each text, all others as counts without text and id."""
     for f in frames:
         if not len(f):
             continue
         f = f.assign(n=1)
-        least = f.groupby("key").doc_id.transform("min")
-        first = f.key.notna() & (f.doc_id == least)
-        firsts = f[first].groupby(["key", "doc_id", *OWN], as_index=False).n.sum()
+        first = f.text.notna() & (f.doc_id == f.groupby("text", dropna=False).doc_id.transform("min"))
+        firsts = f[first].groupby(["bucket", "text", "doc_id", *OWN], as_index=False).n.sum()
         rest = f[~first].copy()
-        rest.loc[rest.key.notna(), "mask"] |= COPY
-        counts = rest.groupby(OWN, as_index=False).n.sum()
-        counts["doc_id"] = None
-        counts["key"] = "counts of " + (counts["part"] + "/" + counts["mask"].astype(str))
-        yield pd.concat([firsts, counts])[["key", "doc_id", *OWN, "n"]].astype({"doc_id": "Int64", "mask": "int32"})
+        rest.loc[rest.text.notna(), "mask"] |= COPY
+        counts = rest.groupby(OWN, as_index=False).agg(bucket=("bucket", "first"), n=("n", "sum")).assign(text=None, doc_id=0)
+        yield pd.concat([firsts, counts])[["bucket", "text", "doc_id", *OWN, "n"]]
 
 
 def _emitted(_: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Changes of the counts by the new rows of one text; the state is its smallest id and the rows that have it."""
+    """Changes of the counts by new rows of a bucket's texts. The state has for each text its smallest id and the rows
+    that have it."""
     out: Counter = Counter()
-    least, held = None, Counter()
-    if state.exists:
-        least, *columns = state.get
-        held = Counter(dict(zip(zip(*columns[:-1], strict=True), columns[-1], strict=True)))
+    texts: dict[bytes, tuple[int, Counter]] = {}
+    for text, least, *row, n in zip(*state.get, strict=True) if state.exists else ():
+        texts.setdefault(bytes(text), (least, Counter()))[1][tuple(row)] = n
     for f in frames:
-        for doc_id, part, mask, good, toxic, n in zip(f.doc_id, f["part"], f["mask"], f.good, f.toxic, f.n, strict=True):
-            row = (part, int(mask), bool(good), bool(toxic))
-            copy = (part, int(mask) | COPY, bool(good), bool(toxic))
-            if pd.isna(doc_id):  # counts that no other row changes
+        for text, doc_id, part, mask, good, toxic, n in zip(f.text, f.doc_id, f["part"], f["mask"], f.good, f.toxic, f.n, strict=True):
+            row, copy = (part, int(mask), bool(good), bool(toxic)), (part, int(mask) | COPY, bool(good), bool(toxic))
+            if text is None:  # counts that no other row changes
                 out[row] += int(n)
-            elif least is None or doc_id < least:
-                for (p, m, g, t), k in held.items():
+                continue
+            least, held = texts.get(bytes(text), (None, None))
+            if least is None or doc_id < least:
+                for (p, m, g, t), k in (held or {}).items():
                     out[p, m, g, t] -= k
                     out[p, m | COPY, g, t] += k
-                least, held = int(doc_id), Counter({row: int(n)})
+                texts[bytes(text)] = int(doc_id), Counter({row: int(n)})
                 out[row] += int(n)
             elif doc_id == least:
                 held[row] += int(n)
                 out[row] += int(n)
             else:
                 out[copy] += int(n)
-    if least is not None:
-        state.update((least, *([r[i] for r in held] for i in range(4)), list(held.values())))
+    if texts:
+        flat = [(text, least, *row, n) for text, (least, held) in texts.items() for row, n in held.items()]
+        state.update(tuple(list(c) for c in zip(*flat, strict=True)))
     changed = [(*row, n) for row, n in out.items() if n]
     if changed:
         yield pd.DataFrame(changed, columns=[*OWN, "n"])
 
 
-STATE = "least long, parts array<string>, masks array<int>, goods array<boolean>, toxics array<boolean>, ns array<long>"
+STATE = "texts array<binary>, least array<long>, parts array<string>, masks array<int>, goods array<boolean>, toxics array<boolean>, ns array<long>"
 
 
-def mask_stream(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def mask_stream(docs: DataFrame, labels: DataFrame, buckets: int) -> DataFrame:
     """Changes (part, mask, good, toxic, n) of the counts by a stream of documents (doc_id, text, source)."""
-    combined = _judged(docs, labels).mapInPandas(_combined, ROWS)
-    return combined.groupBy("key").applyInPandasWithState(_emitted, COUNTS, STATE, "append", GroupStateTimeout.NoTimeout)
+    combined = _judged(docs, labels, buckets).mapInPandas(_combined, ROWS)
+    return combined.groupBy("bucket").applyInPandasWithState(_emitted, COUNTS, STATE, "append", GroupStateTimeout.NoTimeout)
 
 
-def advance(spark: SparkSession, docs: DataFrame, labels: DataFrame, folder: str) -> None:
-    """Takes in the files of the stream ``docs`` that ``folder`` has not seen yet, and returns when that is done."""
-    changes = mask_stream(docs, labels).writeStream.format("parquet").outputMode("append")
+def advance(docs: DataFrame, labels: DataFrame, folder: str, buckets: int) -> None:
+    """Takes in the files of the stream ``docs`` that ``folder`` has not seen yet, and returns when that is done.
+
+    ``buckets``: what the texts' states are dealt to; the same whenever ``folder`` advances.
+    """
+    changes = mask_stream(docs, labels, buckets).writeStream.format("parquet").outputMode("append")
     changes.option("path", f"{folder}/changes").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
 
 
@@ -163,6 +168,10 @@ def interactions(counts: DataFrame) -> DataFrame:
     )
 
 
+#: Texts that share a record of state, about: a call of Python costs more than a text.
+TEXTS = 64
+
+
 def audit(spark: SparkSession, path: str, labels: DataFrame, batches: int = 4) -> DataFrame:
     """The audit of the documents in the files at ``path``, read as about ``batches`` micro-batches."""
     files = spark.read.parquet(path)
@@ -171,5 +180,5 @@ def audit(spark: SparkSession, path: str, labels: DataFrame, batches: int = 4) -
     pattern = re.sub("[^/]+$", lambda name: f"{{{name[0]}}}", path.rstrip("/"))  # streams take a single file by a pattern only
     docs = spark.readStream.schema(files.schema).option("maxFilesPerTrigger", per_batch).parquet(pattern)
     folder = new_table(spark, "filter-audit")
-    advance(spark, docs, labels, folder)
+    advance(docs, labels, folder, max(1, files.count() // TEXTS))
     return interactions(counted(spark, folder))
