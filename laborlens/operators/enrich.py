@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from laborlens.functions import places, titles
 from laborlens.functions.markup import foreign_share
 from laborlens.functions.skills import DUTIES, clean_candidate
+from laborlens.operators import rules
 
 #: Headers by which sections of a description are known, in order of precedence.
 HEADERS = [
@@ -339,22 +340,23 @@ def canonical_titles(raw: DataFrame, aliases: DataFrame, defaults: DataFrame | N
     return found.select("title", F.when(F.col("b.c") != "", F.col("b.c")).alias("canonical_id"), how.alias("how"), "seniority")
 
 
-def rule_titles(raw: DataFrame, rules: DataFrame) -> DataFrame:
-    """(title, label, rule) by ordered rules (priority, pattern, label); the first that a distinct title
-    holds. A rule table is written by hand, and each distinct title is held against it once."""
-    met = raw.select("title").distinct().join(rules, F.expr("lower(title) rlike pattern"))
-    best = met.groupBy("title").agg(F.min(F.struct("priority", "label")).alias("b"))
-    return best.select("title", F.col("b.label").alias("label"), F.col("b.priority").alias("rule"))
+def rule_titles(raw: DataFrame, table: DataFrame) -> DataFrame:
+    """(title, label, rule) by ordered rules (priority, pattern, label); the first that a distinct title holds."""
+    indexed = rules.indexed(table.select(F.lit("title").alias("scope"), "priority", "pattern", "label"))
+    asked = raw.select(F.lit("title").alias("scope"), F.col("title").alias("text"))
+    return rules.first_match(asked, indexed).select(F.col("text").alias("title"), "label", F.col("priority").alias("rule"))
 
 
 def preclassified(raw: DataFrame, skips: DataFrame, maps: DataFrame) -> DataFrame:
     """(title, action, role) of distinct ``raw`` titles: ``skip`` for titles of over 15 % foreign signs or that hold
     a phrase of ``skips`` (phrase), ``map_to`` the role of the first of ``maps`` (priority, phrase, role) that the title
-    holds, else ``review``. Both tables are written by hand."""
-    each = raw.select("title").distinct().withColumn("t", F.lower("title"))
+    holds, else ``review``. Phrases have three characters at least; titles meet them on the first three."""
+    each = raw.select("title").distinct()
     foreign = F.char_length(F.regexp_replace("title", r"[\x00-\x7F]", "")) / F.greatest(F.char_length("title"), F.lit(1)) > 0.15
-    held = each.join(F.broadcast(skips.select(F.lower("phrase").alias("phrase")).distinct()), F.col("t").contains(F.col("phrase"))).select("title").distinct().withColumn("held", F.lit(True))
-    first = each.join(F.broadcast(maps.select("priority", F.lower("phrase").alias("phrase"), "role")), F.col("t").contains(F.col("phrase"))).groupBy("title").agg(F.min(F.struct("priority", "role")).alias("b"))
+    names = each.select(F.col("title").alias("name"))
+    held = holding(names, skips.select(F.col("phrase").alias("part")), rules.TRIPLE).select(F.col("name").alias("title")).distinct().withColumn("held", F.lit(True))
+    phrases = maps.select(F.lower("phrase").alias("part"), "priority", "role")
+    first = holding(names, phrases.select("part"), rules.TRIPLE).join(phrases, "part").groupBy(F.col("name").alias("title")).agg(F.min(F.struct("priority", "role")).alias("b"))
     met = each.join(held, "title", "left").join(first, "title", "left")
     action = F.when(foreign | F.col("held"), "skip").when(F.col("b").isNotNull(), "map_to").otherwise("review")
     return met.select("title", action.alias("action"), F.when(action == "map_to", F.col("b.role")).alias("role"))
