@@ -2,15 +2,15 @@
 
 Which filters a document fails is a mask. Four filters look at the text alone (``text_failures``); the last one, copies,
 depends on the other documents: a text fails it if a document with a smaller id has the same text, removed or not.
-``mask_stream`` reads files as available-now micro-batches and keeps, for each text, the smallest id that has come and
-the rows that hold it; the texts' states are dealt to buckets by hash, a record a bucket. A row with a larger id counts as a copy at once; when a smaller id arrives, the rows that were
-first until then are retracted (-1 without the copy's bit) and counted as copies (+1). So the sum of what the stream has
-emitted is the number of documents of each part and mask after every batch, and no batch is read twice. State and
-progress are in the checkpoint, emitted counts in a file sink with a log: a job that is cut off goes on where it was.
+``advance`` reads files as available-now micro-batches and keeps, in a table keyed by text, the smallest id that has come
+and the rows that hold it. A row with a larger id counts as a copy at once; when a smaller id arrives, the rows that were
+first until then are retracted (-1 without the copy's bit) and counted as copies (+1). So the sum of all changes is the
+number of documents of each part and mask after every batch, and no document is read twice. Progress is in the stream's
+checkpoint, state and changes lie beside it by batch: a job that is cut off goes on where it was. State grows by a row
+whenever a text's smallest id changes; a batch reads the state of its own texts only after a join with all of it.
 
-Within a micro-batch the rows of a text are combined per task before they are shuffled: only those with a task's
-smallest id travel to the text's state, the others are copies whatever comes. Thus a text that a third of all rows share
-sends one row a task.
+Equal rows are counted before they are joined, and texts that many rows of a batch share are met map-side, so that a text
+that a third of all rows share is no task's own.
 
 ``interactions`` turns the counts, 32 masks a part, into the audit of all 120 orders: a filter removes what fails it and
 no filter before it; its Shapley sum over all orders is 120 / (number of failed filters) for each document that fails it.
@@ -25,15 +25,12 @@ from __future__ import annotations
 
 import itertools
 import re
-from collections import Counter
-from collections.abc import Iterator
+from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from laborlens.llm.common import new_table, require, word_count
+from laborlens.llm.common import cut, lookup, new_table, require, word_count
 
 LETTERS = "ABCDE"
 #: Bit of the filter that looks for copies.
@@ -51,90 +48,72 @@ def text_failures(text: Column) -> Column:
     return sum((F.when(f, F.lit(1 << i)).otherwise(F.lit(0)) for i, f in enumerate(fails)), F.lit(0)).cast("int")
 
 
-def _judged(docs: DataFrame, labels: DataFrame, buckets: int) -> DataFrame:
-    """(bucket, text, doc_id, part, mask, good, toxic) of each document, its text as 128 bits of SHA-256; documents
-    without an id have no text."""
+ROW = "text binary, doc_id long, part string, mask int, good boolean, toxic boolean, n long"
+OWN = ["part", "mask", "good", "toxic"]
+
+
+def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(text, doc_id, part, mask, good, toxic, n) of the documents, a text as 128 bits of SHA-256; equal rows as one."""
     text = F.coalesce("text", F.lit(""))
-    digest = F.when(F.col("doc_id").isNotNull(), F.unhex(F.substring(F.sha2(text, 256), 1, 32)))
-    rows = docs.select(digest.alias("text"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("source", F.lit("")).alias("part"), text_failures(text).alias("mask"))
+    rows = docs.select(F.unhex(F.substring(F.sha2(text, 256), 1, 32)).alias("text"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("source", F.lit("")).alias("part"), text_failures(text).alias("mask"))
     marks = labels.filter("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.coalesce(F.col("quality") == 1, F.lit(False))).alias("good"), F.max(F.coalesce(F.col("toxic") == 1, F.lit(False))).alias("toxic"))
-    bucket = F.pmod(F.xxhash64("text", F.when(F.col("text").isNull(), F.xxhash64("part", "mask"))), F.lit(buckets)).cast("int")
-    return rows.join(marks, "doc_id", "left").select(bucket.alias("bucket"), "text", F.coalesce("doc_id", F.lit(0)).alias("doc_id"), "part", "mask", F.coalesce("good", F.lit(False)).alias("good"), F.coalesce("toxic", F.lit(False)).alias("toxic"))
+    rows = rows.join(marks, "doc_id", "left").fillna(False, ["good", "toxic"])
+    text = F.when(F.col("doc_id").isNotNull(), F.col("text"))  # a document without an id is like no other
+    return rows.withColumn("text", text).groupBy("text", "doc_id", *OWN).agg(F.count(F.lit(1)).alias("n"))
 
 
-OWN = ["part", "mask", "good", "toxic"]
-ROWS = "bucket int, text binary, doc_id long, part string, mask int, good boolean, toxic boolean, n long"
-
-
-def _combined(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """A task's rows: those with the smallest id of each text, all others as counts without text and id."""
-    for f in frames:
-        if not len(f):
-            continue
-        f = f.assign(n=1)
-        first = f.text.notna() & (f.doc_id == f.groupby("text", dropna=False).doc_id.transform("min"))
-        firsts = f[first].groupby(["bucket", "text", "doc_id", *OWN], as_index=False).n.sum()
-        rest = f[~first].copy()
-        rest.loc[rest.text.notna(), "mask"] |= COPY
-        counts = rest.groupby(OWN, as_index=False).agg(bucket=("bucket", "first"), n=("n", "sum")).assign(text=None, doc_id=0)
-        yield pd.concat([firsts, counts])[["bucket", "text", "doc_id", *OWN, "n"]]
-
-
-def _emitted(_: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Changes of the counts by new rows of a bucket's texts. The state has for each text its smallest id and the rows
-    that have it."""
-    out: Counter = Counter()
-    texts: dict[bytes, tuple[int, Counter]] = {}
-    for text, least, *row, n in zip(*state.get, strict=True) if state.exists else ():
-        texts.setdefault(bytes(text), (least, Counter()))[1][tuple(row)] = n
-    for f in frames:
-        for text, doc_id, part, mask, good, toxic, n in zip(f.text, f.doc_id, f["part"], f["mask"], f.good, f.toxic, f.n, strict=True):
-            row, copy = (part, int(mask), bool(good), bool(toxic)), (part, int(mask) | COPY, bool(good), bool(toxic))
-            if text is None:  # counts that no other row changes
-                out[row] += int(n)
-                continue
-            least, held = texts.get(bytes(text), (None, None))
-            if least is None or doc_id < least:
-                for (p, m, g, t), k in (held or {}).items():
-                    out[p, m, g, t] -= k
-                    out[p, m | COPY, g, t] += k
-                texts[bytes(text)] = int(doc_id), Counter({row: int(n)})
-                out[row] += int(n)
-            elif doc_id == least:
-                held[row] += int(n)
-                out[row] += int(n)
-            else:
-                out[copy] += int(n)
-    if texts:
-        flat = [(text, least, *row, n) for text, (least, held) in texts.items() for row, n in held.items()]
-        state.update(tuple(list(c) for c in zip(*flat, strict=True)))
-    changed = [(*row, n) for row, n in out.items() if n]
-    if changed:
-        yield pd.DataFrame(changed, columns=[*OWN, "n"])
-
-
-STATE = "texts array<binary>, least array<long>, parts array<string>, masks array<int>, goods array<boolean>, toxics array<boolean>, ns array<long>"
-
-
-def mask_stream(docs: DataFrame, labels: DataFrame, buckets: int) -> DataFrame:
-    """Changes (part, mask, good, toxic, n) of the counts by a stream of documents (doc_id, text, source)."""
-    combined = _judged(docs, labels, buckets).mapInPandas(_combined, ROWS)
-    return combined.groupBy("bucket").applyInPandasWithState(_emitted, COUNTS, STATE, "append", GroupStateTimeout.NoTimeout)
-
-
-def advance(docs: DataFrame, labels: DataFrame, folder: str, buckets: int) -> None:
+def _copies(rows: DataFrame, sign: int = 1) -> DataFrame:
+    """``rows`` as counts of documents that fail the copies filter too."""
+    return rows.select("part", F.col("mask").bitwiseOR(F.lit(COPY)).alias("mask"), "good", "toxic", (sign * F.col("n")).alias("n"))
+
+
+def _firsts(rows: DataFrame, sign: int = 1) -> DataFrame:
+    return rows.select(*OWN, (sign * F.col("n")).alias("n"))
+
+
+def take_in(rows: DataFrame, earlier: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(changes of the counts, rows of state) by a batch of ``judged`` rows. ``earlier``: the rows of state before it.
+
+    State has the rows that held their text's smallest id when they came; those of the smallest one are what counts.
+    """
+    arrived = rows.filter("text is not null")
+    least = arrived.groupBy("text").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"))
+    met = earlier.join(least.select("text", F.col("least").alias("new")), "text")
+    held = met.groupBy("text").agg(F.min("doc_id").alias("old"))
+    least = cut(least.join(held, "text", "left").select("text", F.least("least", F.coalesce("old", "least")).alias("least"), "old", "n"))
+    total = least.agg(F.sum("n")).first()[0] or 0
+    now = lookup(arrived.withColumnRenamed("n", "rows"), least.select("text", "least", "n"), ["text"], total).select("text", "doc_id", *OWN, F.col("rows").alias("n"), "least")
+    firsts = now.filter("doc_id = least")
+    passed = met.drop("new").join(least.filter("least < old"), "text").filter("doc_id = old").select(*OWN, met["n"])  # first until now
+    changes = [_firsts(rows.filter("text is null")), _firsts(firsts), _copies(now.filter("doc_id > least")), _firsts(passed, -1), _copies(passed)]
+    changes = reduce(DataFrame.unionByName, changes).groupBy(*OWN).agg(F.sum("n").alias("n")).filter("n <> 0")
+    return changes, firsts.select("text", "doc_id", *OWN, "n")
+
+
+def advance(docs: DataFrame, labels: DataFrame, folder: str) -> None:
     """Takes in the files of the stream ``docs`` that ``folder`` has not seen yet, and returns when that is done.
 
-    ``buckets``: what the texts' states are dealt to; the same whenever ``folder`` advances.
+    A batch writes changes and state below its own number and reads the state of those before it; if it runs again after
+    a failure, it replaces what it had written.
     """
-    changes = mask_stream(docs, labels, buckets).writeStream.format("parquet").outputMode("append")
-    changes.option("path", f"{folder}/changes").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+
+    def take(batch: DataFrame, n: int) -> None:
+        spark = batch.sparkSession
+        path = f"{folder}/rows"
+        judged(batch, labels).write.mode("overwrite").parquet(path)
+        rows = spark.read.schema(ROW).parquet(path)
+        earlier = spark.read.schema(f"{ROW}, batch int").parquet(f"{folder}/state").filter(F.col("batch") < n).drop("batch") if n else rows.filter("false")
+        changes, state = take_in(rows, earlier)
+        state.write.mode("overwrite").parquet(f"{folder}/state/batch={n}")
+        changes.coalesce(1).write.mode("overwrite").parquet(f"{folder}/changes/batch={n}")
+
+    docs.writeStream.foreachBatch(take).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
 
 
 def counted(spark: SparkSession, folder: str) -> DataFrame:
     """(part, mask, good, toxic, n) of all documents that ``folder`` has taken in."""
-    changes = spark.read.schema(COUNTS).parquet(f"{folder}/changes")
-    return changes.groupBy("part", "mask", "good", "toxic").agg(F.sum("n").alias("n")).filter("n > 0")
+    changes = spark.read.schema(f"{COUNTS}, batch int").parquet(f"{folder}/changes")
+    return changes.groupBy(*OWN).agg(F.sum("n").alias("n")).filter("n > 0")
 
 
 ORDERS = ["".join(p) for p in itertools.permutations(LETTERS)]
@@ -168,10 +147,6 @@ def interactions(counts: DataFrame) -> DataFrame:
     )
 
 
-#: Texts that share a record of state, about: a call of Python costs more than a text.
-TEXTS = 64
-
-
 def audit(spark: SparkSession, path: str, labels: DataFrame, batches: int = 4) -> DataFrame:
     """The audit of the documents in the files at ``path``, read as about ``batches`` micro-batches."""
     files = spark.read.parquet(path)
@@ -180,5 +155,7 @@ def audit(spark: SparkSession, path: str, labels: DataFrame, batches: int = 4) -
     pattern = re.sub("[^/]+$", lambda name: f"{{{name[0]}}}", path.rstrip("/"))  # streams take a single file by a pattern only
     docs = spark.readStream.schema(files.schema).option("maxFilesPerTrigger", per_batch).parquet(pattern)
     folder = new_table(spark, "filter-audit")
-    advance(docs, labels, folder, max(1, files.count() // TEXTS))
+    if files.isEmpty():
+        return interactions(spark.createDataFrame([], COUNTS))
+    advance(docs, labels, folder)
     return interactions(counted(spark, folder))
