@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from laborlens.catalog_enrich import _nth, _quoted, _sql_nth, _stripped
 from laborlens.functions import titles
-from laborlens.operators import rules
+from laborlens.operators import rules, salary
 from laborlens.star import from_tables, sql
 
 # Rules are made from fields and nouns: a field with a noun is a role, and a field alone is what a manager, head,
@@ -142,7 +142,52 @@ SECTORED = {
     "w(k, told)": _values(_by_priority),
 }
 
+# Descriptions with pay, made from orders: statements in which A and B are thousands by the key, with what is expected.
+STATEMENTS = [
+    ("Salary: ${A},000 - ${B},000 per year", "a", "b", "USD"),
+    ("We've raised $5M in funding this year. Pay: ${A},000 - ${B},000", "a", "b", "USD"),
+    ("You will be managing budgets of $750,000. Pay is ${A},000 to ${B},000", None, None, None),
+    ("You will be managing budgets of $750,000. {F} Pay is ${A},000 to ${B},000", "a", "b", "USD"),
+    ("£{A}k-£{B}k a year in London", "a", "b", "GBP"),
+    ("€{A},000 to €{B}k is what we pay", "a", "b", "EUR"),
+    ("CTC: {A} lakhs to {B} lakhs", "100 * a", "100 * b", "INR"),
+    ("Base salary: ${A}K", "a", "a", "USD"),
+    ("We raised ${A}M", None, None, None),
+    ("A stipend of ${A},000 for learning", None, None, None),
+    ("An offer of {A},000 CAD waits", "a", "a", "CAD"),
+    ("C${A}k to C${B}k", "a", "b", "CAD"),
+    ("40 countries, 2,000 employees and ${A},000", None, None, None),
+    ("Our prize is ${A},000", None, None, None),
+    ("Compensation of ${A},000, ten years of experience asked for", "a", "a", "USD"),
+    ("See https://x.example/${A},000 for the salary", None, None, None),
+    ("equity grant of ${A},000", None, None, None),
+    ("salary plus an equity grant of ${A},000", "a", "a", "USD"),
+    ("no figures at all", None, None, None),
+    ("Annual revenue of ${A},000", None, None, None),
+]
+FILLER = "We build things that people like to use every day, and we take our time for doing so. " * 3
+PLACE = [("london", "GBP"), ("canada", "CAD")]
+
+
+def described(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("o_orderkey")
+    low = F.col("o_custkey") % 80 + 40
+    text = _nth([s for s, *_ in STATEMENTS], key)
+    for mark, value in (("{A}", low.cast("string")), ("{B}", (low + 30).cast("string")), ("{F}", F.lit(FILLER))):
+        text = F.replace(text, F.lit(mark), value)
+    return spark.read.parquet(f"{sf_dir}/orders.parquet").select(key.alias("id"), F.concat(F.lit("The role. "), text, F.lit(". Apply now.")).alias("text"), F.lit("somewhere").alias("location"))
+
+
+def stated_salaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return salary.stated_salaries(described(spark, sf_dir), spark.createDataFrame(PLACE, "place string, currency string"))
+
+
+_said = [(k, *s[1:]) for k, s in enumerate(STATEMENTS) if s[1]]
+STATED = f"""SELECT id, CAST(1000 * CASE k {' '.join(f'WHEN {k} THEN {a}' for k, a, _, _ in _said)} END AS BIGINT) AS salary_min, CAST(1000 * CASE k {' '.join(f'WHEN {k} THEN {b}' for k, _, b, _ in _said)} END AS BIGINT) AS salary_max,
+  CASE k {' '.join(f"WHEN {k} THEN '{c}'" for k, _, _, c in _said)} END AS currency, false AS is_hourly FROM (SELECT o_orderkey AS id, o_orderkey % {len(STATEMENTS)} AS k, o_custkey % 80 + 40 AS a, o_custkey % 80 + 70 AS b FROM orders) WHERE k IN ({', '.join(str(k) for k, *_ in _said)})"""
+
 ENTRIES = {
+    "x32_stated_salaries": (stated_salaries, STATED),
     "x27_legacy_titles": (
         legacy_titles,
         sql(

@@ -146,3 +146,25 @@ def test_taxonomy_titles_and_rules(spark):
     assert got == {
         "Manager, Product": ("pm", "key"), "Senior Full Stack Developer - Payments": ("fsd", "key"), "Widget Polisher Specialist": ("spec", "suffix"), "Machine Learning Research Engineer II": ("ml", "substring"), "Head of Growth Marketing": ("gm", "key"), "Unknown thing": (None, None),
     }
+
+
+def test_what_stands_around_an_amount(spark):
+    far = "We like what we do and take our time for it. " * 4
+    cases = [
+        ("Managing $750,000. Pay is $60,000 to $80,000", None),
+        (f"Managing $750,000. {far}Pay is $60,000 to $80,000", (60000, 80000)),
+        ("Pay is $60 million", None),
+        ("See https://jobs.example/$60,000 for the salary", None),
+        ("#li-ab1 salary $60,000", None),
+        ("Prize of $60,000", None),
+        ("Salary of $60,000 and stock", (60000, 60000)),
+        ("equity grant of $60,000", None),
+        ("base plus an equity grant of $60,000", (60000, 60000)),
+        ("$25 per hour", (52000, 52000)),
+        ("3 years of experience, $500 per hour", None),
+        ("Compensation: $60,000 with 2,000 employees and 30 countries", (60000, 60000)),
+        ("$90,000 - $70,000 salary", (70000, 90000)),
+    ]
+    docs = spark.createDataFrame([(i, t, "US") for i, (t, _) in enumerate(cases)], "id long, text string, location string")
+    got = {r.id: (r.salary_min, r.salary_max) for r in salary.stated_salaries(docs, spark.createDataFrame(PLACES, "place string, currency string")).collect()}
+    assert got == {i: want for i, (_, want) in enumerate(cases) if want}
