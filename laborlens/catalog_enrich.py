@@ -158,16 +158,12 @@ def words_of_documents(spark, sf_dir: str) -> DataFrame:
 
 
 def vocabulary(spark, sf_dir: str) -> DataFrame:
-    """(term, skill_id): the 150 most frequent English words of six letters or more, the 50 most frequent pairs and the
-    20 most frequent runs of five, as a skill dictionary; the first ten pairs belong to the first ten words' skills."""
-    each = words_of_documents(spark, sf_dir).filter("lang = 'en'").select("w", F.posexplode("w").alias("pos", "t"))
-    run = lambda n: F.array_join(F.slice("w", F.col("pos") + 1, n), " ")
-    parts = []
-    for n, k, first in ((1, 150, 0), (2, 50, 140), (5, 20, 190)):
-        rows = each.filter(F.char_length("t") >= 6).select("t") if n == 1 else each.filter(F.size("w") >= F.col("pos") + n).select(run(n).alias("t"))
-        top = rows.groupBy("t").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "t").limit(k)
-        parts.append(top.select(F.col("t").alias("term"), (F.row_number().over(W.orderBy(F.desc("n"), "t")) + first).cast("long").alias("skill_id")))
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    """(term, skill_id): runs of one to six words from every fifth word of all benchmark items, single ones of six letters
+    or more, as a skill dictionary."""
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", e.tokens(F.col("text")).alias("w"))
+    spots = items.select("item_id", "w", F.explode(F.sequence(F.lit(0), F.size("w") - 1, F.lit(5))).alias("p")).withColumn("n", (F.col("p") / 5 % 6 + 1).cast("int")).filter(F.size("w") >= F.col("p") + F.col("n"))
+    terms = spots.select(F.array_join(F.slice("w", F.col("p") + 1, F.col("n")), " ").alias("term"), F.col("p").cast("long").alias("skill_id"), "n")
+    return terms.filter("n > 1 or char_length(term) >= 6").select("term", "skill_id").distinct()
 
 
 WORDS = {
@@ -176,16 +172,10 @@ WORDS = {
 }
 VOCABULARY = {
     **WORDS,
-    "vocab": " UNION ALL ".join(
-        f"SELECT t AS term, {n} AS k, row_number() OVER (ORDER BY n DESC, t) + {first} AS skill_id FROM (SELECT t, count(*) AS n FROM ({rows}) GROUP BY t ORDER BY n DESC, t LIMIT {k})"
-        for n, k, first, rows in (
-            (1, 150, 0, "SELECT t FROM spots WHERE lang = 'en' AND length(t) >= 6"),
-            (2, 50, 140, "SELECT array_to_string(w[pos:pos + 1], ' ') AS t FROM spots WHERE lang = 'en' AND len(w) >= pos + 1"),
-            (5, 20, 190, "SELECT array_to_string(w[pos:pos + 4], ' ') AS t FROM spots WHERE lang = 'en' AND len(w) >= pos + 4"),
-        )
-    ),
-    "tagged": "SELECT doc_id AS id, skill_id, count(*) AS n FROM (SELECT doc_id, skill_id FROM spots JOIN vocab ON k = 1 AND t = term UNION ALL SELECT doc_id, skill_id FROM spots JOIN vocab ON k = 2 AND len(w) >= pos + 1 AND array_to_string(w[pos:pos + 1], ' ') = term "
-    "UNION ALL SELECT doc_id, skill_id FROM spots JOIN vocab ON k = 5 AND len(w) >= pos + 4 AND array_to_string(w[pos:pos + 4], ' ') = term) GROUP BY ALL",
+    "items": "SELECT list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}_]+'), lambda x: x <> '') AS bw FROM benchmark",
+    "starts": "SELECT bw, unnest(range(0, len(bw), 5)) AS p FROM items",
+    "vocab": "SELECT DISTINCT array_to_string(bw[p + 1:p + p // 5 % 6 + 1], ' ') AS term, p // 5 % 6 + 1 AS k, p AS skill_id FROM starts WHERE len(bw) >= p + p // 5 % 6 + 1 AND (p // 5 % 6 > 0 OR length(bw[p + 1]) >= 6)",
+    "tagged": "SELECT doc_id AS id, skill_id, count(*) AS n FROM (" + " UNION ALL ".join(f"SELECT doc_id, skill_id FROM spots JOIN vocab ON k = {k} AND len(w) >= pos + {k - 1} AND array_to_string(w[pos:pos + {k - 1}], ' ') = term" for k in range(1, 7)) + ") GROUP BY ALL",
 }
 
 

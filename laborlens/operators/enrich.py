@@ -13,19 +13,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from laborlens.functions import places, titles
+from laborlens.functions.headers import AFTER, BEFORE, HEADERS
 from laborlens.functions.markup import foreign_share
 from laborlens.functions.skills import DUTIES, clean_candidate
 from laborlens.operators import rules
 
-#: Headers by which sections of a description are known, in order of precedence.
-HEADERS = [
-    ("requirements", r"^(?:minimum |basic |required |key )?(?:requirements|qualifications)|^what you(?:'ll| will)? (?:need|bring)|^who you are|^you have|^must[- ]haves?"),
-    ("preferred", r"^(?:preferred|desired|bonus|nice[- ]to[- ]haves?)"),
-    ("responsibilities", r"^(?:key )?responsibilities|^what you(?:'ll| will) do|^the role|^your role|^duties"),
-    ("about", r"^about (?:us|the (?:company|team))|^who we are|^our (?:mission|story)"),
-    ("benefits", r"^(?:benefits|perks|compensation|what we offer)"),
-    ("legal", r"^(?:equal opportunity|eeo|diversity)"),
-]
 #: What makes a paragraph likely to state requirements, and unlikely, with weights.
 HINTS = [
     (r"\b\d+\+?\s*years?\s+of\s+experience\b", 3.0),
@@ -47,16 +39,25 @@ HINTS = [
 ]
 
 
-def sections(docs: DataFrame) -> DataFrame:
-    """``docs`` (id, text) as (id, n, name, body): lines under the last header above them, ``unknown`` before any."""
-    lines = docs.select("id", F.posexplode(F.split(F.translate("text", "‘’", "''"), "\n")).alias("pos", "line")).withColumn("bare", F.lower(F.regexp_replace(F.trim("line"), r"^[#*\s]+|[:*\s]+$", "")))
+def sections(docs: DataFrame, headers: dict[str, list[str]] = HEADERS) -> DataFrame:
+    """``docs`` (id, text) as (id, n, name, start, stop, body): what stands under each header, ``unknown`` before any.
+
+    A header is a line that begins, behind signs and white space, with a pattern of ``headers``, and goes on for no more
+    than 60 characters; the first class that fits gives the name, so no two headers overlap. start and stop are the
+    section's place in the text, in code points.
+    """
+    text = F.translate("text", "‘’\u00a0", "'' ")
+    lines = docs.select("id", F.posexplode(F.split(text, "\n", -1)).alias("pos", "line"))
     name = F.lit(None).cast("string")
-    for label, pattern in reversed(HEADERS):
-        name = F.when((F.char_length("bare") <= 60) & F.col("bare").rlike(pattern), label).otherwise(name)
+    for label, patterns in reversed(headers.items()):
+        name = F.when(F.col("line").rlike(f"(?i){BEFORE}(?:{'|'.join(patterns)})[^\\n]{{0,{AFTER}}}$"), label).otherwise(name)
     order = W.partitionBy("id").orderBy("pos")
-    lines = lines.withColumn("header", name).withColumn("n", F.count("header").over(order)).withColumn("name", F.coalesce(F.last("header", ignorenulls=True).over(order), F.lit("unknown")))
+    lines = lines.withColumn("header", name).withColumn("end", F.sum(F.char_length("line") + 1).over(order))
+    lines = lines.withColumn("n", F.count("header").over(order)).withColumn("name", F.coalesce(F.last("header", ignorenulls=True).over(order), F.lit("unknown")))
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda s: s["line"]), "\n")
-    return lines.filter("header is null").groupBy("id", "n", "name").agg(body.alias("body")).filter("trim(body) <> ''")
+    start = F.min(F.col("end") - F.char_length("line") - 1)
+    parts = lines.filter("header is null").groupBy("id", "n", "name").agg(start.alias("start"), (F.max("end") - 1).alias("stop"), body.alias("body"))
+    return parts.filter("trim(body) <> ''").select("id", "n", "name", "start", "stop", "body")
 
 
 def paragraph_score(p: Column) -> Column:
@@ -75,7 +76,7 @@ def requirements(docs: DataFrame, least: float = 2.0) -> DataFrame:
     parts = sections(docs)
     listed = lambda rows, order, body, sep: rows.groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*order, body))), lambda s: s[body]), sep).alias("joined"))
     stated = listed(parts.filter("name in ('requirements', 'preferred')"), ["n"], "body", "\n").withColumnRenamed("joined", "stated")
-    others = parts.filter("name not in ('benefits', 'about', 'legal')").join(stated, "id", "left_anti")
+    others = parts.filter("name not in ('benefits', 'about_company', 'boilerplate')").join(stated, "id", "left_anti")
     rest = listed(others, ["n"], "body", "\n\n").withColumnRenamed("joined", "rest")
     paragraphs = others.select("id", "n", F.posexplode(F.split("body", r"\n\s*\n")).alias("pos", "p")).withColumn("p", F.btrim("p", F.lit(" \t\r\n"))).filter(paragraph_score(F.col("p")) >= least)
     scored = listed(paragraphs, ["n", "pos"], "p", "\n\n").withColumnRenamed("joined", "scored")
@@ -100,22 +101,43 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}_]+"), lambda t: t != "")
 
 
-def tag_skills(docs: DataFrame, terms: DataFrame, longest: int | None = None) -> DataFrame:
+#: Nodes up to which a trie is sent to all tasks.
+SMALL_TRIE = 200_000
+
+
+def term_trie(terms: DataFrame) -> tuple[DataFrame, int]:
+    """``terms`` (term) as a trie by words, and its depth. A node is the run of words that leads to it: (depth, run,
+    goes_on, ends), telling whether longer terms begin with it and whether one ends there."""
+    plain = terms.withColumn("w", tokens(F.col("term"))).filter(F.size("w") > 0).select("w").distinct()
+    prefixes = plain.select(F.size("w").alias("words"), F.explode(F.transform(F.sequence(F.lit(1), F.size("w")), lambda i: F.struct(i.alias("depth"), F.array_join(F.slice("w", F.lit(1), i), " ").alias("run")))).alias("p"))
+    nodes = prefixes.groupBy("p.depth", "p.run").agg(F.max(F.col("words") > F.col("p.depth")).alias("goes_on"), F.max(F.col("words") == F.col("p.depth")).alias("ends"))
+    size = nodes.agg(F.max("depth").alias("depth"), F.count(F.lit(1)).alias("n")).first()
+    return F.broadcast(nodes) if size.n <= SMALL_TRIE else nodes, size.depth or 0
+
+
+def tag_skills(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """(id, skill_id, n): whole-word occurrences of the terms in ``docs`` (id, text).
 
-    A word is a run of letters, digits and underscores. Words meet the terms that begin with them, and carry as many
-    words behind them as the longest term has (``longest``, else looked up); a term with signs in it (c++, node.js) is
-    compared again as written. A skill adds up the counts of its terms.
+    A word is a run of letters, digits and underscores. The terms are a trie by words, a table of a row a node. Words of
+    the texts meet its first level; only where a longer term begins are the words behind them taken from the text, and
+    one more meets the trie a level: no run of words is built before its beginning has met. A term with signs in it (c++, node.js) is compared again as written, in the texts that have its words.
     """
-    plain = terms.withColumn("w", tokens(F.col("term"))).withColumn("words", F.size("w")).filter("words > 0").select("term", "skill_id", "words", F.get("w", F.lit(0)).alias("head"), F.array_join("w", " ").alias("key"))
-    longest = longest or plain.agg(F.max("words")).first()[0] or 1
-    words = docs.select("id", tokens(F.col("text")).alias("w")).select("id", F.posexplode("w").alias("pos", "head"), "w")
-    if longest > 1:
-        runs = words.select("id", "head", F.slice("w", F.col("pos") + 1, longest).alias("run"))
-        met = runs.join(plain, "head").filter(F.array_join(F.slice("run", F.lit(1), F.col("words")), " ") == F.col("key"))
-    else:
-        met = words.select("id", "head").join(plain.filter("words = 1"), "head")
-    counts = met.groupBy("id", "skill_id", "term", (F.col("key") == F.col("term")).alias("exact")).agg(F.count(F.lit(1)).alias("n"))
+    nodes, depth = term_trie(terms)
+    rows = docs.select("id", tokens(F.col("text")).alias("w"))
+    level = lambda k: nodes.filter(F.col("depth") == k).select("run", "goes_on", "ends")
+    met = rows.select("id", F.posexplode("w").alias("pos", "run")).join(level(1), "run")
+    ended = [met.filter("ends").groupBy("id", "run").agg(F.count(F.lit(1)).alias("n"))]
+    begun = met.filter("goes_on").groupBy("id").agg(F.collect_list("pos").alias("at")).join(rows, "id")
+    met = begun.select("id", F.explode(F.transform("at", lambda p: F.slice("w", p + 1, max(depth, 1)))).alias("run_on")).select("id", F.get("run_on", F.lit(0)).alias("run"), "run_on")
+    for k in range(1, depth):
+        longer = met.filter(F.size("run_on") > k).select("id", F.concat_ws(" ", "run", F.get("run_on", F.lit(k))).alias("run"), "run_on")
+        met = longer.join(level(k + 1), "run")
+        ended.append(met.filter("ends").groupBy("id", "run").agg(F.count(F.lit(1)).alias("n")))
+        met = met.filter("goes_on").select("id", "run", "run_on")
+    if not depth:
+        return docs.select("id", F.lit(None).cast("long").alias("skill_id"), F.lit(0).cast("long").alias("n")).filter("false")
+    named = terms.select("term", "skill_id", F.array_join(tokens(F.col("term")), " ").alias("run"))
+    counts = reduce(DataFrame.unionByName, ended).join(named, "run").withColumn("exact", F.col("run") == F.col("term"))
     signed = counts.filter("not exact").join(docs.select("id", F.lower("text").alias("lower")), "id")
     pattern = F.concat(F.lit(r"(?<![\p{L}\p{N}_])"), F.regexp_replace("term", r"([^\p{L}\p{N}_\s])", r"\\$1"), F.lit(r"(?![\p{L}\p{N}_])"))
     checked = signed.withColumn("n", F.regexp_count("lower", pattern).cast("long")).filter("n > 0")
@@ -138,11 +160,11 @@ def confidence(n: Column, used_fallback: Column) -> Column:
     return F.when(used_fallback, F.greatest(sure - 10, F.lit(50))).otherwise(sure)
 
 
-def extract_skills(docs: DataFrame, terms: DataFrame, whole: bool = False, longest: int | None = None) -> DataFrame:
+def extract_skills(docs: DataFrame, terms: DataFrame, whole: bool = False) -> DataFrame:
     """(id, skill_id, n, confidence, is_required). ``whole``: tag the text itself, as for resumes."""
     text = docs.select("id", F.regexp_replace("text", r"\s+", " ").alias("text"), F.lit(False).alias("used_fallback")) if whole else requirements(docs)
     sure = confidence(F.col("n"), F.col("used_fallback"))
-    return tag_skills(text.select("id", "text"), terms, longest).join(text.select("id", "used_fallback"), "id").select("id", "skill_id", "n", sure.alias("confidence"), (sure >= 80).alias("is_required"))
+    return tag_skills(text.select("id", "text"), terms).join(text.select("id", "used_fallback"), "id").select("id", "skill_id", "n", sure.alias("confidence"), (sure >= 80).alias("is_required"))
 
 
 #: Leads after which a skill is named, and how long the name may be.
