@@ -256,6 +256,7 @@ ENTRIES: dict[str, tuple] = {
         ),
     ),
     "x16_candidate_kinds": (star_query(lambda s: shaped_names(s).select("name", e.candidate_kind(F.col("name")).alias("kind"))), sql(f"SELECT name, {KINDS} AS kind FROM shaped", SHAPED)),
+    "x17_matching_names": (lambda spark, sf_dir: e.similar_names(spark.read.parquet(f"{sf_dir}/part.parquet").select(F.concat("p_name", F.lit(" "), F.col("p_type")).alias("name")), 0.93, measure="blocks"), None),
     "x17_similar_names": (similar_words, None),
     "x18_canonical_names": (
         star_query(lambda s: e.canonical_names(shaped_names(s).select("name"), s.skills.filter("id % 4 <> 0").select(F.upper(F.concat("name", F.lit(" API"))).alias("synonym"), F.concat(F.lit("set "), F.floor(F.col("id") / 3).cast("string")).alias("canonical")))),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from laborlens.catalog_demand import ACTIVE, DEMAND, P
+from laborlens.catalog_demand import ACTIVE, DEMAND, SERIES, P, growth, pct
 from laborlens.catalog_people import DRIVEN, MATCHES, POSITION, SKILL_GROWTH
 from laborlens.catalog_upkeep import CANDIDATES, candidates, star_query
 from laborlens.functions import numbers
@@ -25,7 +25,7 @@ def asked_roles(s: Star):
 
 def bridge(s: Star):
     rows = s.job_skills.join(s.jobs.select(F.col("id").alias("job_id"), "company_id"), "job_id").join(s.skills.select(F.col("id").alias("skill_id"), "name"), "skill_id")
-    return rows.filter("company_id % 11 < skill_id % 12").select(F.concat(F.lit("new "), "name").alias("name"), "job_id", "company_id")
+    return rows.select(F.concat(F.lit("new "), "name").alias("name"), "job_id", "company_id")
 
 
 def reviewed(s: Star):
@@ -45,6 +45,16 @@ DECIDED = {
     "next_roles": "SELECT id, normalized_title FROM roles UNION ALL SELECT id, normalized_title FROM fresh",
 }
 
+#: A user's filters on one role.
+CHOSEN = {"seniority": "senior", "locations": ["NATION_1", "NATION_2", "NATION_3", "NATION_4", "NATION_5"], "industries": ["BUILDING", "MACHINERY", "HOUSEHOLD"]}
+FILTERED = {
+    **ACTIVE, **SERIES,
+    "chosen": """SELECT * FROM jobs WHERE role_id = 4 AND lower(seniority_level) IN ('senior', 'sr', 'iii', '3') AND company_id IN (SELECT id FROM companies WHERE is_active AND industry IN ('BUILDING', 'MACHINERY', 'HOUSEHOLD'))
+      AND (location_country IN ('NATION_1', 'NATION_2', 'NATION_3', 'NATION_4', 'NATION_5') OR regexp_matches(lower(location_raw), 'nation_[1-5]'))""",
+    "chosen_months": """SELECT j.role_id, m.month, count(*) AS "count", count(*) FILTER (WHERE id IN (SELECT job_id FROM ai)) AS ai_count FROM chosen j JOIN months m ON coalesce(posted_at, scraped_at) < stop AND (closed_at IS NULL OR closed_at >= "start")
+      AND (closed_at IS NOT NULL OR last_seen_at >= stop - INTERVAL 90 DAY) WHERE company_id IN (SELECT company_id FROM tracked) GROUP BY j.role_id, m.month""",
+}
+
 ENTRIES: dict[str, tuple] = {
     "f09_find_role": (
         star_query(lambda s: filters.find_role(asked_roles(s), s.roles, s.jobs.filter("role_id is not null").groupBy(F.col("title").alias("original_title")).agg(F.min("role_id").alias("role_id")))),
@@ -63,8 +73,8 @@ ENTRIES: dict[str, tuple] = {
     ),
     "c45_qualified_roles": (star_query(lambda s: demand.available_roles(s, P.qualify_active).select("id", "active_jobs").orderBy(F.desc("active_jobs"), "id")), sql("SELECT role_id AS id, count(*) AS active_jobs FROM active GROUP BY role_id HAVING count(*) >= 50", ACTIVE)),
     "c53_emerging_skills": (
-        star_query(lambda s: trends.emerging_skills(candidates(s, 0).withColumn("first_seen", F.date_add("first_seen", 2350)), P)),
-        sql("SELECT name, job_count, company_count, first_seen + 2350 AS first_seen, last_seen FROM k WHERE first_seen + 2350 >= DATE '2001-05-01' AND company_count >= 3 ORDER BY company_count DESC, job_count DESC, name LIMIT 10", {"k": CANDIDATES.format(half=0)}),
+        star_query(lambda s: trends.emerging_skills(candidates(s).withColumn("first_seen", F.date_add("first_seen", 2350)), P)),
+        sql("SELECT name, job_count, company_count, first_seen + 2350 AS first_seen, last_seen FROM k WHERE first_seen + 2350 >= DATE '2001-05-01' AND company_count >= 3 ORDER BY company_count DESC, job_count DESC, name LIMIT 10", {"k": CANDIDATES.format(some='true')}),
     ),
     "c72_role_insights_skills": (
         star_query(lambda s: role_insights.role_insights(s, 4, P, seniority="senior", locations=["NATION_1", "NATION_2"], industries=["BUILDING", "MACHINERY", "HOUSEHOLD"])["skills"]),
@@ -74,19 +84,38 @@ ENTRIES: dict[str, tuple] = {
             {**ACTIVE, "grown": SKILL_GROWTH, "f": "SELECT * FROM jobs WHERE is_active AND role_id = 4 AND lower(seniority_level) IN ('senior', 'sr', 'iii', '3') AND (location_country IN ('NATION_1', 'NATION_2') OR location_raw ILIKE '%nation_1%' OR location_raw ILIKE '%nation_2%') AND company_id IN (SELECT id FROM companies WHERE is_active AND industry IN ('BUILDING', 'MACHINERY', 'HOUSEHOLD'))"},
         ),
     ),
+    "c72_role_insights_trend": (
+        star_query(lambda s: role_insights.role_insights(s, 4, P, **CHOSEN)["trend"]),
+        sql('SELECT role_id, cohort, month, "start", partial, coalesce("count", 0) AS "count", coalesce(ai_count, 0) AS ai_count FROM cohort_n CROSS JOIN months LEFT JOIN chosen_months USING (role_id, month) WHERE role_id = 4', FILTERED),
+    ),
+    "c72_role_insights_market": (
+        star_query(lambda s: role_insights.role_insights(s, 4, P, **CHOSEN)["market"]),
+        sql(f"""SELECT role_id, "current", previous, {growth('"current"', 'previous')} AS postings_growth_pct FROM (SELECT role_id, coalesce(max("count") FILTER (WHERE month = 2), 0) AS "current", coalesce(max("count") FILTER (WHERE month = 1), 0) AS previous
+            FROM cohort_n CROSS JOIN months LEFT JOIN chosen_months USING (role_id, month) WHERE role_id = 4 GROUP BY role_id)""", FILTERED),
+    ),
+    "c72_role_insights_ai": (
+        star_query(lambda s: role_insights.role_insights(s, 4, P, **CHOSEN)["ai"]),
+        sql(f"""SELECT role_id, ai_job_count, current_pct, delta_pct_points FROM (SELECT role_id, count(*) FILTER (WHERE id IN (SELECT job_id FROM ai)) AS ai_job_count, {pct('count(*) FILTER (WHERE id IN (SELECT job_id FROM ai))', 'count(*)')} AS current_pct FROM chosen WHERE is_active GROUP BY role_id)
+            LEFT JOIN (SELECT role_id, round(max_by(share, month) - min_by(share, month), 1) AS delta_pct_points FROM (SELECT role_id, month, {pct('ai_count', '"count"')} AS share FROM chosen_months WHERE month < 3) GROUP BY role_id HAVING count(*) >= 2) USING (role_id)""", FILTERED),
+    ),
+    "c72_role_insights_coverage": (
+        star_query(lambda s: role_insights.role_insights(s, 4, P, **CHOSEN)["coverage"]),
+        sql(f"""SELECT CAST(4 AS BIGINT) AS role_id, (SELECT count(*) FROM cohort WHERE role_id = 4) AS cohort_companies, count(c.company_id) AS covered_jobs, {pct('count(c.company_id)', 'count(*)')} AS covered_pct
+            FROM chosen a LEFT JOIN cohort c ON c.role_id = 4 AND c.company_id = a.company_id WHERE a.is_active""", FILTERED),
+    ),
     "c74_sorted_skills": (
         star_query(lambda s: role_insights.sorted_skills(demand.skill_demand(s, P).filter("role_id = 2").drop("rank").join(demand.skill_growth(s, P).select("role_id", "skill_id", "growth_pct"), ["role_id", "skill_id"], "left"), "Technical", "growth_pct").select("skill_id", "growth_pct", "demand_pct")),
         sql("SELECT skill_id, growth_pct, demand_pct FROM ranked LEFT JOIN (" + SKILL_GROWTH + ") g USING (role_id, skill_id) WHERE role_id = 2 AND category = 'technical' AND rank <= 150", DEMAND),
     ),
     "m19_promotable": (
-        star_query(lambda s: maintain.promotable(bridge(s).select("name").distinct().withColumn("status", F.when(F.col("name") < "new c", "approved").otherwise("pending")), bridge(s), 10, 10)),
-        sql("SELECT name, count(DISTINCT job_id) AS jobs, count(DISTINCT company_id) AS companies FROM b WHERE name >= 'new c' GROUP BY name HAVING count(DISTINCT job_id) >= 10 AND count(DISTINCT company_id) >= 10", {"b": "SELECT 'new ' || s.name AS name, job_id, company_id FROM job_skills JOIN jobs j ON j.id = job_id JOIN skills s ON s.id = skill_id WHERE company_id % 11 < skill_id % 12"}),
+        star_query(lambda s: maintain.promotable(bridge(s).select("name").distinct().withColumn("status", F.when(F.col("name") < "new c", "approved").otherwise("pending")), bridge(s), 1000, 700)),
+        sql("SELECT name, count(DISTINCT job_id) AS jobs, count(DISTINCT company_id) AS companies FROM b WHERE name >= 'new c' GROUP BY name HAVING count(DISTINCT job_id) >= 1000 AND count(DISTINCT company_id) >= 700", {"b": "SELECT 'new ' || s.name AS name, job_id, company_id FROM job_skills JOIN jobs j ON j.id = job_id JOIN skills s ON s.id = skill_id"}),
     ),
     "m20_promote": (
         star_query(lambda s: maintain.promote(s.skills, s.job_skills, bridge(s), bridge(s).select("name").distinct())[1]),
         sql(
             "SELECT job_id, skill_id, is_required FROM job_skills UNION ALL SELECT DISTINCT job_id, (SELECT max(id) FROM skills) + dense_rank() OVER (ORDER BY name), true FROM b",
-            {"b": "SELECT 'new ' || s.name AS name, job_id, company_id FROM job_skills JOIN jobs j ON j.id = job_id JOIN skills s ON s.id = skill_id WHERE company_id % 11 < skill_id % 12"},
+            {"b": "SELECT 'new ' || s.name AS name, job_id, company_id FROM job_skills JOIN jobs j ON j.id = job_id JOIN skills s ON s.id = skill_id"},
         ),
     ),
     "m21_decided_jobs": (
@@ -108,8 +137,8 @@ ENTRIES: dict[str, tuple] = {
         ),
     ),
     "m33_shortlist": (
-        star_query(lambda s: maintain.shortlist(candidates(s, 1).withColumn("status", F.lit("pending")), s.skills.filter("id % 2 = 0").select(F.upper("name").alias("name"), "category"))),
-        sql("SELECT s.category, k.name, company_count, job_count, row_number() OVER (PARTITION BY s.category ORDER BY company_count DESC, job_count DESC, k.name) AS rank FROM k JOIN skills s ON lower(s.name) = k.name WHERE s.id % 2 = 0", {"k": CANDIDATES.format(half=1)}),
+        star_query(lambda s: maintain.shortlist(candidates(s).withColumn("status", F.lit("pending")), s.skills.filter("id % 2 = 0").select(F.upper("name").alias("name"), "category"))),
+        sql("SELECT s.category, k.name, company_count, job_count, row_number() OVER (PARTITION BY s.category ORDER BY company_count DESC, job_count DESC, k.name) AS rank FROM k JOIN skills s ON lower(s.name) = k.name WHERE s.id % 2 = 0", {"k": CANDIDATES.format(some='true')}),
     ),
     "m34_alias_conflicts": (
         star_query(lambda s: maintain.alias_conflicts(s.skills.join(s.skills.select((F.col("id") + 1).alias("id"), F.upper("name").alias("before")), "id", "left").withColumn("aliases", F.array("before", F.lit("own"))))),

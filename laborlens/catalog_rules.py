@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from laborlens.catalog_enrich import _nth, _quoted, _sql_nth, _stripped
 from laborlens.functions import titles
-from laborlens.operators import rules, salary
+from laborlens.operators import enrich, rules, salary
 from laborlens.star import from_tables, sql
 
 # Rules are made from fields and nouns: a field with a noun is a role, and a field alone is what a manager, head,
@@ -186,7 +186,40 @@ _said = [(k, *s[1:]) for k, s in enumerate(STATEMENTS) if s[1]]
 STATED = f"""SELECT id, CAST(1000 * CASE k {' '.join(f'WHEN {k} THEN {a}' for k, a, _, _ in _said)} END AS BIGINT) AS salary_min, CAST(1000 * CASE k {' '.join(f'WHEN {k} THEN {b}' for k, _, b, _ in _said)} END AS BIGINT) AS salary_max,
   CASE k {' '.join(f"WHEN {k} THEN '{c}'" for k, _, _, c in _said)} END AS currency, false AS is_hourly FROM (SELECT o_orderkey AS id, o_orderkey % {len(STATEMENTS)} AS k, o_custkey % 80 + 40 AS a, o_custkey % 80 + 70 AS b FROM orders) WHERE k IN ({', '.join(str(k) for k, *_ in _said)})"""
 
+# All documents with headers set in before every ninth line, the third first, of all classes and some that are none.
+LINES = [
+    ("## Minimum Qualifications:", "requirements"), ("Here's what you'll do", "responsibilities"), ("**Nice to have**", "preferred"), ("  Who we are", "about_company"), ("About the team", "about_company"), ("Perks & more", "benefits"), ("EEO statement", "boilerplate"),
+    ("What you’ll need to succeed", "requirements"), (":star: Our mission", "about_company"), ("Skills we like, and requirements", None), ("Your day-to-day", "responsibilities"), ("Background", "requirements"), ("Backgrounds of noise", None), ("Privacy notice for applicants", "boilerplate"),
+    ("Something else entirely (nonessential)", "preferred"), ("requirements " + "x" * 70, None), ("", None), ("# Salary", "benefits"), ("Perks", "benefits"),
+]
+EVERY = 9
+
+
+def with_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("id"), F.split("text", "\n", -1).alias("lines"))
+    put = lambda line, i: F.when(i % EVERY == 2, F.concat(_nth([x for x, _ in LINES], F.col("id") + F.floor(i / EVERY)), F.lit("\n"), line)).otherwise(line)
+    return docs.select("id", F.array_join(F.transform("lines", put), "\n").alias("text"))
+
+
+_names = [(k, name) for k, (_, name) in enumerate(LINES) if name]
+_straight = "translate({}, '‘’', concat(chr(39), chr(39)))"
+SECTIONS = {
+    "put": "SELECT doc_id AS id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents",
+    "laid": f"""SELECT id, i, 1 AS half, {_straight.format('line')} AS line, NULL AS k FROM put UNION ALL
+      SELECT id, i, 0, {_straight.format(_sql_nth([x for x, _ in LINES], f'(id + i // {EVERY})'))}, (id + i // {EVERY}) % {len(LINES)} FROM put WHERE i % {EVERY} = 2""",
+    "named": f"""SELECT id, i, half, line, CASE k {' '.join(f"WHEN {k} THEN '{n}'" for k, n in _names)} END AS header FROM laid""",
+    "placed": """SELECT *, sum(length(line) + 1) OVER o AS stop, count(header) OVER o AS n, coalesce(last_value(header IGNORE NULLS) OVER o, 'unknown') AS name FROM named WINDOW o AS (PARTITION BY id ORDER BY i, half ROWS UNBOUNDED PRECEDING)""",
+}
+
 ENTRIES = {
+    "x02_sections": (
+        lambda spark, sf_dir: enrich.sections(with_headers(spark, sf_dir)).withColumn("body", F.sha2("body", 256)),
+        sql(
+            """SELECT id, n, name, CAST(min(stop - length(line) - 1) AS BIGINT) AS start, CAST(max(stop) - 1 AS BIGINT) AS stop, sha256(string_agg(line, chr(10) ORDER BY i, half)) AS body FROM placed WHERE header IS NULL
+            GROUP BY id, n, name HAVING trim(string_agg(line, chr(10) ORDER BY i, half), ' ') <> ''""",
+            SECTIONS,
+        ),
+    ),
     "x32_stated_salaries": (stated_salaries, STATED),
     "x27_legacy_titles": (
         legacy_titles,

@@ -95,14 +95,16 @@ def mentions(s: Star) -> DataFrame:
     return rows.select(spelled.alias("name"), "job_id", "company_id", F.to_date("posted_at").alias("seen"), F.when(F.col("is_required"), "ctx").otherwise("list").alias("method"))
 
 
-def candidates(s: Star, half: int) -> DataFrame:
-    rolled = m.roll_up_candidates(mentions(s).filter(F.col("job_id") % 2 == half), s.skills.filter("id % 4 = 3").select("name"))
+def candidates(s: Star, half: int | None = None) -> DataFrame:
+    """Rolled-up candidates of all postings, or of those with even or odd ids (two batches)."""
+    some = mentions(s) if half is None else mentions(s).filter(F.col("job_id") % 2 == half)
+    rolled = m.roll_up_candidates(some, s.skills.filter("id % 4 = 3").select("name"))
     return rolled.select(F.lower("name").alias("name"), "job_count", "company_count", "first_seen", "last_seen")
 
 
 RANK = "CASE " + " ".join(f"WHEN regexp_matches(l, '{p}') THEN '{n}'" for p, n in titles.LEVELS) + " ELSE 'mid' END"
 CANDIDATES = """SELECT lower(s.name) AS name, count(DISTINCT job_id) AS job_count, count(DISTINCT company_id) AS company_count, min(CAST(posted_at AS DATE)) AS first_seen, max(CAST(posted_at AS DATE)) AS last_seen
-   FROM job_skills JOIN jobs j ON j.id = job_id JOIN skills s ON s.id = skill_id WHERE skill_id % 4 <> 3 AND job_id % 2 = {half} GROUP BY lower(s.name) HAVING count(DISTINCT company_id) >= 2"""
+   FROM job_skills JOIN jobs j ON j.id = job_id JOIN skills s ON s.id = skill_id WHERE skill_id % 4 <> 3 AND {some} GROUP BY lower(s.name) HAVING count(DISTINCT company_id) >= 2"""
 ENTRIES: dict[str, tuple] = {
     "m01_upsert_postings": (
         upsert,
@@ -184,7 +186,7 @@ ENTRIES: dict[str, tuple] = {
         sql(
             """SELECT coalesce(a.name, b.name) AS name, coalesce(a.st, 'pending') AS status, CASE WHEN coalesce(a.st, 'pending') = 'pending' THEN greatest(a.job_count, b.job_count) ELSE a.job_count END AS job_count, CASE WHEN coalesce(a.st, 'pending') = 'pending' THEN greatest(a.company_count, b.company_count) ELSE a.company_count END AS company_count,
             coalesce(a.first_seen, b.first_seen) AS first_seen, CASE WHEN coalesce(a.st, 'pending') = 'pending' THEN greatest(a.last_seen, b.last_seen) ELSE a.last_seen END AS last_seen FROM (SELECT *, CASE WHEN name < 'd' THEN 'rejected' ELSE 'pending' END AS st FROM a0) a FULL JOIN a1 b USING (name)""",
-            {"a0": CANDIDATES.format(half=0), "a1": CANDIDATES.format(half=1)},
+            {"a0": CANDIDATES.format(some="job_id % 2 = 0"), "a1": CANDIDATES.format(some="job_id % 2 = 1")},
         ),
     ),
     "m18_roll_up_candidates": (

@@ -35,3 +35,8 @@ HEADERS: dict[str, list[str]] = {
 BEFORE = r"^\s*(?:\:\w+\:\s*)*(?:here'?s\s+)?(?:[\x{2600}-\x{27BF}\x{1F300}-\x{1FAFF}]\s*)*(?:\*{1,2}|#{1,4})?\s*"
 #: Fixed value: characters that a header's line may go on for.
 AFTER = 60
+
+
+def header(patterns: list[str]) -> str:
+    """The pattern of a line that is a header of a class."""
+    return f"(?i){BEFORE}(?:{'|'.join(patterns)})[^\\n]{{0,{AFTER}}}$"

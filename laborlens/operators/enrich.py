@@ -6,14 +6,16 @@ Rule and alias tables are small; Spark broadcasts them if their size allows.
 
 from __future__ import annotations
 
+from difflib import SequenceMatcher
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from laborlens.functions import places, titles
-from laborlens.functions.headers import AFTER, BEFORE, HEADERS
+from laborlens.functions.headers import HEADERS, header
 from laborlens.functions.markup import foreign_share
 from laborlens.functions.skills import DUTIES, clean_candidate
 from laborlens.operators import rules
@@ -50,7 +52,7 @@ def sections(docs: DataFrame, headers: dict[str, list[str]] = HEADERS) -> DataFr
     lines = docs.select("id", F.posexplode(F.split(text, "\n", -1)).alias("pos", "line"))
     name = F.lit(None).cast("string")
     for label, patterns in reversed(headers.items()):
-        name = F.when(F.col("line").rlike(f"(?i){BEFORE}(?:{'|'.join(patterns)})[^\\n]{{0,{AFTER}}}$"), label).otherwise(name)
+        name = F.when(F.col("line").rlike(header(patterns)), label).otherwise(name)
     order = W.partitionBy("id").orderBy("pos")
     lines = lines.withColumn("header", name).withColumn("end", F.sum(F.char_length("line") + 1).over(order))
     lines = lines.withColumn("n", F.count("header").over(order)).withColumn("name", F.coalesce(F.last("header", ignorenulls=True).over(order), F.lit("unknown")))
@@ -246,19 +248,45 @@ def _grams(c: Column, q: int = 3) -> Column:
     return F.array_distinct(F.transform(F.sequence(F.lit(1), F.char_length(padded) - q + 1), lambda i: padded.substr(i, F.lit(q))))
 
 
-def similar_names(names: DataFrame, least: float = 0.88, gap: int = 20) -> DataFrame:
-    """(a, b, ratio) of distinct ``names`` (name), a before b, at least so similar by edit distance.
+def block_ratio(least: float):
+    """A column function (a, b): twice the characters in matching blocks as a share of both names' characters: the longest
+    common block, then those before and behind it. Null below ``least``, which counts of characters tell first."""
 
-    A name of n characters has n + 1 padded triples and an edit spoils three of them, so similar names agree in one
-    of the rarest 3 d + 1, with d the edits that the ratio allows; only names that share one of these are compared.
+    @F.pandas_udf("double")
+    def of(a: pd.Series, b: pd.Series) -> pd.Series:
+        out, matcher, last = [], SequenceMatcher(autojunk=False), None
+        for x, y in zip(a, b, strict=True):
+            if y != last:
+                matcher.set_seq2(y)  # what it keeps is kept for the second
+                last = y
+            matcher.set_seq1(x)
+            out.append(matcher.ratio() if matcher.real_quick_ratio() >= least and matcher.quick_ratio() >= least else None)
+        return pd.Series(out, dtype="float64")
+
+    return of
+
+
+def similar_names(names: DataFrame, least: float = 0.88, gap: int = 20, measure: str = "edits") -> DataFrame:
+    """(a, b, ratio) of distinct ``names`` (name), a before b, at least so similar, in any case, by ``measure``: edits
+    (one less the edit distance as a share of the longer) or blocks (matching blocks as a share of both).
+
+    Only names that share one of their rarest padded triples are compared. A name of n characters has n + 1; an edit
+    spoils three, and so does a character outside matching blocks, of which both names together have no more than
+    2 n (1 - least) / least; similar names agree in one of the rarest 3 times that + 1.
     """
     each = names.select("name").distinct()
     grams = each.select("name", F.char_length("name").alias("len"), F.explode(_grams(F.col("name"))).alias("g"))
     counts = grams.groupBy("g").agg(F.count(F.lit(1)).alias("c"))
-    edits = F.floor(F.lit(1 - least) * (F.col("len") / F.lit(least)) + 1e-9)
-    ranked = grams.join(counts, "g").withColumn("r", F.row_number().over(W.partitionBy("name").orderBy("c", "g"))).filter(F.col("r") <= 3 * edits + 1)
+    spoilt = F.floor(F.lit((1 - least) * (2 if measure == "blocks" else 1)) * (F.col("len") / F.lit(least)) + 1e-9)
+    ranked = grams.join(counts, "g").withColumn("r", F.row_number().over(W.partitionBy("name").orderBy("c", "g"))).filter(F.col("r") <= 3 * spoilt + 1)
     pairs = ranked.select(F.col("name").alias("a"), "g").join(ranked.select(F.col("name").alias("b"), "g"), "g").filter("a < b").select("a", "b").distinct()
-    close = pairs.filter(F.abs(F.char_length("a") - F.char_length("b")) <= gap).withColumn("ratio", similarity(F.lower("a"), F.lower("b")))
+    near = pairs.filter(F.abs(F.char_length("a") - F.char_length("b")) <= gap)
+    if measure == "blocks":
+        x, y = F.char_length("a"), F.char_length("b")
+        near = near.filter(2 * F.least(x, y) >= least * (x + y))
+        close = near.withColumn("ratio", block_ratio(least)(F.lower("a"), F.lower("b")))
+    else:
+        close = near.withColumn("ratio", similarity(F.lower("a"), F.lower("b")))
     return close.filter(F.col("ratio") >= least).withColumn("ratio", F.round("ratio", 4))
 
 

@@ -7,6 +7,7 @@ all series of all roles and skills come from that one join.
 
 from __future__ import annotations
 
+from dataclasses import replace
 from datetime import timedelta
 
 from pyspark.sql import Column, DataFrame
@@ -58,23 +59,64 @@ def monthly(star: Star, p: Params) -> DataFrame:
     return jobs.join(F.broadcast(calendar(star, p)), open_in_month(p))  # as many rows as months
 
 
-def _role_series(star: Star, p: Params, counts: DataFrame) -> DataFrame:
-    """Zero-filled by month for the roles whose cohort is large enough."""
+def open_span(p: Params) -> tuple[Column, Column]:
+    """The same rule as ``open_in_month`` without the calendar: the first and the last month in which a posting is open;
+    it never is if the last comes first. Months count from the window's start."""
+    start = first_of_month(p.as_of, p.months - 1)
+    index = lambda d: ((F.year(d) - start.year) * 12 + F.month(d) - start.month).cast("int")
+    until = F.date_add(F.col("last_seen_at").cast("date"), p.stale_days)
+    unseen = F.when(until >= F.lit(p.as_of + timedelta(days=1)), p.months - 1).otherwise(F.least(index(until) - 1, F.lit(p.months - 2)))
+    begun = F.when(job_date() < F.lit(p.as_of + timedelta(days=1)), F.greatest(index(job_date()), F.lit(0))).otherwise(p.months)
+    return begun.cast("int"), F.least(F.coalesce(index(F.col("closed_at")), unseen), F.lit(p.months - 1)).cast("int")
+
+
+def swept(jobs: DataFrame, p: Params, keys: list[str], **values: Column) -> DataFrame:
+    """By ``keys`` and month, the sums of ``values`` over the postings that are open: each posting is two events, one more
+    at its first month and one less after its last, summed up along the months. Months of no change are not told."""
+    first, last = open_span(p)
+    rows = jobs.select(*keys, *(v.alias(n) for n, v in values.items()), first.alias("first"), last.alias("last")).filter("first <= last")
+    event = lambda at, sign: F.struct(at.alias("month"), *((sign * F.col(n)).alias(n) for n in values))
+    events = rows.select(*keys, F.explode(F.array(event(F.col("first"), 1), event(F.col("last") + 1, -1))).alias("e"))
+    return events.select(*keys, "e.*").groupBy(*keys, "month").agg(*(F.sum(n).alias(n) for n in values))
+
+
+def _summed(rows: DataFrame, keys: list[str], names: list[str]) -> DataFrame:
+    """Changes by month as levels."""
+    upto = W.partitionBy(*keys).orderBy("month").rowsBetween(W.unboundedPreceding, 0)
+    return rows.withColumns({n: F.sum(F.coalesce(n, F.lit(0))).over(upto) for n in names})
+
+
+def _role_series(star: Star, p: Params, changes: DataFrame, levels: list[str], counts: list[str] = ()) -> DataFrame:
+    """By month from ``changes``, for the roles whose cohort is large enough: ``levels`` summed up, ``counts`` as they are."""
     sizes = cohorts(star, p).groupBy("role_id").agg(F.count(F.lit(1)).alias("cohort")).filter(F.col("cohort") >= p.min_cohort)
     grid = sizes.join(F.broadcast(calendar(star, p)))
-    return grid.join(counts, ["role_id", "month"], "left").select("role_id", "cohort", "month", "start", "partial", *(F.coalesce(c, F.lit(0)).alias(c) for c in counts.columns if c not in ("role_id", "month")))
+    rows = _summed(grid.join(changes, ["role_id", "month"], "left"), ["role_id"], levels)
+    return rows.select("role_id", "cohort", "month", "start", "partial", *levels, *(F.coalesce(c, F.lit(0)).alias(c) for c in counts))
 
 
-def role_trend(star: Star, p: Params = Params()) -> DataFrame:
-    """By role and month, open postings of its cohort, and those with a verified AI skill."""
-    rows = monthly(star, p).filter("role_id is not null").join(with_ai(star, p.ai_subcategory).withColumn("ai", F.lit(True)), F.col("id") == F.col("job_id"), "left")
-    return _role_series(star, p, rows.groupBy("role_id", "month").agg(F.count(F.lit(1)).alias("count"), F.count_if("ai").alias("ai_count")))
+def _chosen(star: Star, p: Params, jobs: DataFrame | None) -> DataFrame:
+    """Tracked companies' postings with a role, or those of ``jobs``, a user's choice among the star's postings."""
+    rows = star.jobs if jobs is None else jobs
+    return rows.filter("role_id is not null").join(tracked_companies(star, p), "company_id", "left_semi")
 
 
-def stock_and_flow(star: Star, p: Params = Params()) -> DataFrame:
+def role_trend(star: Star, p: Params = Params(), jobs: DataFrame | None = None) -> DataFrame:
+    """By role and month, open postings of its cohort, and those with a verified AI skill.
+
+    ``jobs``: the postings that a user's filters leave (seniority, places, companies: U02). The cohort stays that of all
+    postings, so chosen companies outside it give bars of zero, and a role whose cohort is too small has none.
+    """
+    rows = _chosen(star, p, jobs).join(with_ai(star, p.ai_subcategory).withColumn("ai", F.lit(1)), F.col("id") == F.col("job_id"), "left")
+    return _role_series(star, p, swept(rows, p, ["role_id"], count=F.lit(1), ai_count=F.coalesce("ai", F.lit(0))), ["count", "ai_count"])
+
+
+def stock_and_flow(star: Star, p: Params = Params(), jobs: DataFrame | None = None) -> DataFrame:
     """By role and month, postings open during it (stock) and posted within it (flow)."""
-    rows = monthly(star, p).filter("role_id is not null")
-    return _role_series(star, p, rows.groupBy("role_id", "month").agg(F.count(F.lit(1)).alias("stock"), F.count_if(job_date() >= F.col("start")).alias("flow")))
+    rows = _chosen(star, p, jobs)
+    first, last = open_span(p)
+    new = rows.filter((first <= last) & (job_date() >= F.lit(first_of_month(p.as_of, p.months - 1)))).groupBy("role_id", first.alias("month")).agg(F.count(F.lit(1)).alias("flow"))
+    changes = swept(rows, p, ["role_id"], stock=F.lit(1)).join(new, ["role_id", "month"], "full")
+    return _role_series(star, p, changes, ["stock"], ["flow"])
 
 
 def ends(series: DataFrame, keys: list[str], *values: str) -> DataFrame:
@@ -84,29 +126,30 @@ def ends(series: DataFrame, keys: list[str], *values: str) -> DataFrame:
     return full.groupBy(*keys).agg(F.count(F.lit(1)).alias("full_months"), *aggs)
 
 
-def market_trend(star: Star, p: Params = Params()) -> DataFrame:
-    """By role, growth of the last full month on the one before."""
-    full = role_trend(star, p).filter(~F.col("partial"))
+def market_trend(star: Star, p: Params = Params(), jobs: DataFrame | None = None) -> DataFrame:
+    """By role, growth of the last full month on the one before. ``jobs`` as in ``role_trend``."""
+    full = role_trend(star, p, jobs).filter(~F.col("partial"))
     two = full.groupBy("role_id").agg(F.reverse(F.array_sort(F.collect_list(F.struct("month", "count")))).alias("m"))
     now, before = F.get("m", F.lit(0))["count"], F.get("m", F.lit(1))["count"]
     return two.filter(F.size("m") >= 2).select("role_id", now.alias("current"), before.alias("previous"), growth_pct(now, before).alias("postings_growth_pct"))
 
 
-def ai_exposure(star: Star, p: Params = Params()) -> DataFrame:
-    """By role, AI share of active postings, and the change of the cohort's share over the full months."""
-    jobs = active(star).join(with_ai(star, p.ai_subcategory).withColumn("ai", F.lit(True)), F.col("id") == F.col("job_id"), "left")
-    now = jobs.groupBy("role_id").agg(F.count_if("ai").alias("ai_job_count"), percent(F.count_if("ai"), F.count(F.lit(1))).alias("current_pct"))
-    shares = role_trend(star, p).filter("count > 0").withColumn("share", percent(F.col("ai_count"), F.col("count")))
+def ai_exposure(star: Star, p: Params = Params(), jobs: DataFrame | None = None) -> DataFrame:
+    """By role, AI share of active postings, and the change of the cohort's share over the full months. ``jobs`` as in
+    ``role_trend``."""
+    now_open = active(star if jobs is None else replace(star, jobs=jobs)).join(with_ai(star, p.ai_subcategory).withColumn("ai", F.lit(True)), F.col("id") == F.col("job_id"), "left")
+    now = now_open.groupBy("role_id").agg(F.count_if("ai").alias("ai_job_count"), percent(F.count_if("ai"), F.count(F.lit(1))).alias("current_pct"))
+    shares = role_trend(star, p, jobs).filter("count > 0").withColumn("share", percent(F.col("ai_count"), F.col("count")))
     at = ends(shares, ["role_id"], "share").filter("full_months >= 2")
     return now.join(at, "role_id", "left").select("role_id", "ai_job_count", "current_pct", F.round(F.col("last_share") - F.col("first_share"), 1).alias("delta_pct_points"))
 
 
-def trend_coverage(star: Star, p: Params = Params()) -> DataFrame:
-    """C11: by role, cohort companies, and the active postings that are theirs."""
+def trend_coverage(star: Star, p: Params = Params(), jobs: DataFrame | None = None) -> DataFrame:
+    """C11: by role, cohort companies, and the active postings that are theirs. ``jobs`` as in ``role_trend``."""
     members = cohorts(star, p)
     sizes = members.groupBy("role_id").agg(F.count(F.lit(1)).alias("cohort_companies"))
-    jobs = active(star).join(members.withColumn("covered", F.lit(True)), ["role_id", "company_id"], "left")
-    counts = jobs.groupBy("role_id").agg(F.count_if("covered").alias("covered_jobs"), percent(F.count_if("covered"), F.count(F.lit(1))).alias("covered_pct"))
+    now_open = active(star if jobs is None else replace(star, jobs=jobs)).join(members.withColumn("covered", F.lit(True)), ["role_id", "company_id"], "left")
+    counts = now_open.groupBy("role_id").agg(F.count_if("covered").alias("covered_jobs"), percent(F.count_if("covered"), F.count(F.lit(1))).alias("covered_pct"))
     return counts.join(sizes, "role_id", "left").select("role_id", F.coalesce("cohort_companies", F.lit(0)).alias("cohort_companies"), "covered_jobs", "covered_pct")
 
 
@@ -216,8 +259,11 @@ def emerging_skills(candidates: DataFrame, p: Params = Params()) -> DataFrame:
 
 
 def skill_months(star: Star, p: Params = Params()) -> DataFrame:
-    """By skill and month, the tracked companies' open postings that mention it."""
-    return monthly(star, p).join(star.job_skills.select("job_id", "skill_id"), F.col("id") == F.col("job_id")).groupBy("skill_id", "month", "partial").agg(F.count(F.lit(1)).alias("count"))
+    """By skill and month, the tracked companies' open postings that mention it, where there are any."""
+    jobs = star.jobs.join(tracked_companies(star, p), "company_id", "left_semi").join(star.job_skills.select("job_id", "skill_id"), F.col("id") == F.col("job_id"))
+    changes = swept(jobs, p, ["skill_id"], count=F.lit(1))
+    grid = changes.select("skill_id").distinct().join(F.broadcast(calendar(star, p)))
+    return _summed(grid.join(changes, ["skill_id", "month"], "left"), ["skill_id"], ["count"]).filter("count > 0").select("skill_id", "month", "partial", "count")
 
 
 def _by_employer(star: Star, p: Params) -> DataFrame:

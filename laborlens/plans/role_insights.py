@@ -16,7 +16,7 @@ from laborlens.star import Star
 def role_insights(
     star: Star, role_id: int, p: Params = Params(), seniority: str | None = None, locations: Sequence[str] | None = None, industries: Sequence[str] | None = None, company_ids: Sequence[int] | None = None
 ) -> dict[str, DataFrame]:
-    """Named results for one role after filters F02 to F07. Trends keep all of the role's postings.
+    """Named results for one role after filters F02 to F07. Trends count the filtered postings, among the cohort of all.
 
     All of them are lazy; the filtered postings are a filter pushed to the scan, cheaper to repeat than to keep.
     """
@@ -30,10 +30,10 @@ def role_insights(
         "companies_of_skills": demand.companies_of_skills(own),
         "salary": demand.salary_band(own, p),
         "remote": demand.remote_split(own),
-        "trend": of(trends.role_trend(star, p)),
-        "market": of(trends.market_trend(star, p)),
-        "ai": of(trends.ai_exposure(star, p)),
-        "coverage": of(trends.trend_coverage(star, p)),
+        "trend": of(trends.role_trend(star, p, jobs)),
+        "market": of(trends.market_trend(star, p, jobs)),
+        "ai": of(trends.ai_exposure(star, p, jobs)),
+        "coverage": of(trends.trend_coverage(star, p, jobs)),
         "alternatives": of(people.alternative_roles(star, p)),
         "fitting_roles": people.person_alternatives(with_(star, persons=star.persons.filter(F.col("target_role_id") == role_id)), p),
     }

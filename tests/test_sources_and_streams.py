@@ -136,7 +136,7 @@ def test_skill_extraction(spark, tmp_path):
     got = {(r.id, r.skill_id): (r.n, r.confidence, r.is_required) for r in enrich.extract_skills(docs, terms).collect()}
     assert got == {(1, 1): (3, 95, True), (1, 2): (1, 70, False), (1, 3): (1, 70, False), (1, 4): (1, 70, False), (2, 5): (1, 60, False)}
     assert (1, 5) in {(r.id, r.skill_id) for r in enrich.extract_skills(docs, terms, whole=True).collect()}
-    assert [(r.n, r.name) for r in enrich.sections(docs.filter("id = 1")).orderBy("n").collect()] == [(1, "about"), (2, "requirements"), (3, "benefits")]
+    assert [(r.n, r.name) for r in enrich.sections(docs.filter("id = 1")).orderBy("n").collect()] == [(1, "about_company"), (2, "requirements"), (3, "benefits")]
     docs.coalesce(1).write.parquet(str(tmp_path / "docs"))
     jobs.extract_stream(spark.readStream.schema("id long, text string").parquet(str(tmp_path / "docs")), terms, str(tmp_path / "tags"), str(tmp_path / "c")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "tags")).count() == len(got)
