@@ -8,14 +8,15 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import IntegerType, LongType, StructField, StructType
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from laborlens.operators.enrich import extract_skills
-from laborlens.operators.maintain import close_absent, upsert_postings
+from laborlens.operators.maintain import KEY, close_absent, newest, upsert_postings
 
 EVENTS = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
 
@@ -25,44 +26,59 @@ def read_events(spark: SparkSession, folder: str, per_batch: int = 1) -> DataFra
     return spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", per_batch).parquet(folder)
 
 
-#: Parts of the postings table by company; a batch rewrites those that its companies are in.
-BUCKETS = 64
-
-
-def _bucket(rows: DataFrame) -> DataFrame:
-    return rows.withColumn("bucket", F.pmod(F.xxhash64("company_id"), F.lit(BUCKETS)).cast("int"))
+def _folded(spark: SparkSession, table: str, before: int | None) -> int:
+    """The batch up to which the latest usable base was folded; -1 if there is none."""
+    try:
+        bases = spark.read.schema("upto int").parquet(f"{table}/base")
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return -1
+    usable = bases if before is None else bases.filter(F.col("upto") < before)
+    return (lambda upto: -1 if upto is None else upto)(usable.agg(F.max("upto")).first()[0])
 
 
 def current_postings(spark: SparkSession, table: str, start: DataFrame, before: int | None = None) -> DataFrame:
-    """The postings that ``upsert_stream`` keeps below ``table``, or as the batches before one left them."""
+    """The postings that ``upsert_stream`` keeps below ``table``, or as the batches before one left them.
+
+    They are a base and the deltas after it; of a posting's rows the newest counts. The base meets the deltas' keys only.
+    """
     if before == 0:
         return start
-    log = spark.read.schema("bucket int, batch long").parquet(f"{table}/log")
-    latest = (log if before is None else log.filter(F.col("batch") < before)).groupBy("bucket").agg(F.max("batch").alias("batch"))
-    kinds = StructType([*start.schema.fields, StructField("batch", LongType()), StructField("bucket", IntegerType())])
-    rows = spark.read.schema(kinds).parquet(f"{table}/rows")
-    kept = _bucket(start).join(F.broadcast(latest), "bucket", "left_anti")  # BUCKETS rows
-    return kept.select(*start.columns).unionByName(rows.join(F.broadcast(latest), ["batch", "bucket"]).select(*start.columns))
+    upto = _folded(spark, table, before)
+    base = spark.read.schema(StructType([*start.schema.fields, StructField("upto", IntegerType())])).parquet(f"{table}/base").filter(F.col("upto") == upto).drop("upto") if upto >= 0 else start
+    deltas = spark.read.schema(StructType([*start.schema.fields, StructField("batch", IntegerType())])).parquet(f"{table}/deltas").filter(F.col("batch") > upto)
+    deltas = deltas if before is None else deltas.filter(F.col("batch") < before)
+    newer = newest(deltas, KEY, F.desc("batch")).select(*start.columns)
+    return base.join(deltas.select(*KEY).distinct(), KEY, "left_anti").select(*start.columns).unionByName(newer)
+
+
+def fold(spark: SparkSession, table: str, start: DataFrame, before: int) -> None:
+    """A new base of all batches before one. Deltas and bases that it takes in are no longer read, and may be removed."""
+    current_postings(spark, table, start, before).write.mode("overwrite").parquet(f"{table}/base/upto={before - 1}")
 
 
-def upsert_stream(batches: DataFrame, table: str, start: DataFrame, checkpoint: str) -> StreamingQuery:
-    """ST1: scrape batches (as ``upsert_postings`` takes them) into the postings below ``table``, in buckets by company.
+def upsert_stream(batches: DataFrame, table: str, start: DataFrame, checkpoint: str, fold_every: int = 100) -> StreamingQuery:
+    """ST1: scrape batches (as ``upsert_postings`` takes them) into the postings below ``table``.
 
-    Batch n reads the buckets of its companies as batches before it left them, and writes these alone, as version n; a
-    log says which buckets a batch has written. Both are overwritten if the batch runs again after a failure, so that
-    comes to the same table. A posting keeps its company. Postings absent from their company's batch are closed.
-    A batch's partitions that later ones have written again are no longer read, and may be removed.
+    Batch n writes only the postings that it changes, as delta n: those that it has, and those of the companies that it
+    scraped which it no longer has, which are closed. So a batch's writes follow its own size, and a posting may change
+    its company. If a batch runs again after a failure, it reads the same earlier deltas and replaces its own. Every
+    ``fold_every`` batches the deltas before are folded into a new base.
     """
 
     def write(batch: DataFrame, n: int) -> None:
         spark = batch.sparkSession
-        touched = [r.bucket for r in _bucket(batch).select("bucket").distinct().collect()]  # BUCKETS at most
-        earlier = _bucket(current_postings(spark, table, start, n)).filter(F.col("bucket").isin(touched)).drop("bucket")
-        seen = batch.agg(F.max("seen_at").alias("at"))
-        closed = close_absent(earlier.join(F.broadcast(seen)), batch, F.col("at")).select(*start.columns)  # one row
-        after = _bucket(upsert_postings(closed, batch).select(*start.columns))
-        after.write.mode("overwrite").partitionBy("bucket").parquet(f"{table}/rows/batch={n}")
-        spark.createDataFrame([(b,) for b in touched], "bucket int").coalesce(1).write.mode("overwrite").parquet(f"{table}/log/batch={n}")
+        if n and n % fold_every == 0:
+            fold(spark, table, start, n)
+        earlier = current_postings(spark, table, start, n)
+        named, scraped = batch.select(*KEY).distinct(), batch.select("source_ats", "company_id").distinct()
+        known = earlier.join(named, KEY, "left_semi")
+        absent = earlier.filter("is_active").join(scraped, ["source_ats", "company_id"], "left_semi").join(named, KEY, "left_anti")
+        at = batch.agg(F.max("seen_at").alias("at"))
+        closed = close_absent(absent.join(F.broadcast(at)), batch, F.col("at"))  # one row
+        changed = upsert_postings(known.unionByName(closed.select(*start.columns)), batch)
+        changed.select(*start.columns).write.mode("overwrite").parquet(f"{table}/deltas/batch={n}")
 
     return batches.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

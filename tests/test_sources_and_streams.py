@@ -7,6 +7,7 @@ import random
 from dataclasses import replace
 from datetime import date, datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from laborlens.operators import enrich, filters, maintain
@@ -72,19 +73,37 @@ def posting(job, day, description="d", company=1):
     return ("g", job, company, "t", "l", "x", description, at, at)
 
 
-def test_upsert_stream_keeps_and_closes(spark, tmp_path):
-    source, start = tmp_path / "in", spark.createDataFrame([], STATE)
-    for i, rows in enumerate([[posting("1", 1), posting("2", 1)], [posting("1", 2, "new"), posting("3", 2)], [posting("9", 3, company=2)]]):
+@pytest.mark.parametrize("fold_every", [2, 100])
+def test_upsert_stream_keeps_and_closes(spark, tmp_path, fold_every):
+    source, table, start = tmp_path / "in", str(tmp_path / "table"), spark.createDataFrame([], STATE)
+    batches = [[posting("1", 1), posting("2", 1)], [posting("1", 2, "new"), posting("3", 2)], [posting("9", 3, company=2)], [posting("3", 4, company=2), posting("9", 4, company=2)], [posting("1", 5)]]
+    for i, rows in enumerate(batches):
         spark.createDataFrame(rows, POSTING).coalesce(1).write.parquet(str(source / str(i)))
         stream = spark.readStream.schema(POSTING).parquet(f"{source}/*")
-        jobs.upsert_stream(stream, str(tmp_path / "table"), start, str(tmp_path / "checkpoint")).awaitTermination()
-    got = {r.source_job_id: r for r in jobs.current_postings(spark, str(tmp_path / "table"), start).collect()}
-    written = {p.name for p in (tmp_path / "table/rows/batch=2").iterdir() if p.name.startswith("bucket=")}
-    assert len(written) == 1 and len(got) == 4  # the third batch has postings of one company
-    assert {r.source_job_id for r in jobs.current_postings(spark, str(tmp_path / "table"), start, 1).collect()} == {"1", "2"}
-    assert (got["1"].posted_at, got["1"].last_seen_at, got["1"].description, got["1"].skills_dirty) == (datetime(2024, 1, 1), datetime(2024, 1, 2), "new", True)
-    assert not got["2"].is_active and got["2"].closed_at == datetime(2024, 1, 2)
-    assert got["3"].is_active and got["9"].is_active and got["1"].is_active
+        jobs.upsert_stream(stream, table, start, str(tmp_path / "checkpoint"), fold_every).awaitTermination()
+        if i == 2:
+            got = {r.source_job_id: r for r in jobs.current_postings(spark, table, start).collect()}
+            assert len(got) == 4
+            assert (got["1"].posted_at, got["1"].last_seen_at, got["1"].description, got["1"].skills_dirty) == (datetime(2024, 1, 1), datetime(2024, 1, 2), "new", True)
+            assert not got["2"].is_active and got["2"].closed_at == datetime(2024, 1, 2)
+            assert got["3"].is_active and got["9"].is_active and got["1"].is_active
+    assert {r.source_job_id for r in jobs.current_postings(spark, table, start, 1).collect()} == {"1", "2"}
+    changed = spark.read.parquet(f"{table}/deltas").groupBy("batch").count().collect()
+    assert {r["batch"]: r["count"] for r in changed} == {0: 2, 1: 3, 2: 1, 3: 2, 4: 1}  # what a batch has, and what it closes
+    got = {r.source_job_id: r for r in jobs.current_postings(spark, table, start).collect()}
+    assert len(got) == 4 and got["3"].company_id == 2 and got["3"].is_active  # moved, and open in its new company
+    assert (tmp_path / "table/base").exists() == (fold_every == 2)
+
+
+def test_a_batch_that_runs_again_replaces_its_delta(spark, tmp_path):
+    source, table, start = tmp_path / "in", str(tmp_path / "table"), maintain.upsert_postings(spark.createDataFrame([], STATE), spark.createDataFrame([posting("7", 1)], POSTING))
+    for i, rows in enumerate([[posting("7", 2)], [posting("8", 3)]]):
+        spark.createDataFrame(rows, POSTING).coalesce(1).write.parquet(str(source / str(i)))
+    run = lambda checkpoint: jobs.upsert_stream(spark.readStream.schema(POSTING).option("maxFilesPerTrigger", 1).parquet(f"{source}/*"), table, start, str(tmp_path / checkpoint)).awaitTermination()
+    run("a")
+    once = sorted(jobs.current_postings(spark, table, start).collect())
+    run("b")  # all batches again, from a checkpoint of their own
+    assert sorted(jobs.current_postings(spark, table, start).collect()) == once and len(once) == 2
 
 
 def test_upsert_is_idempotent(spark):
