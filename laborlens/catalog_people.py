@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from laborlens.catalog_demand import ACTIVE, AI, BEFORE, DEMAND, HIRING, NOW, P, ROLE_JOBS, SERIES, growth, pct
@@ -39,6 +41,15 @@ NEEDS = {
     "gap_heads": f"""SELECT person_id, {pct("sum(CASE WHEN rank <= 15 AND status = 'have' THEN demand ELSE 0 END)", "sum(CASE WHEN rank <= 15 THEN demand END)")} AS match_score, count(*) FILTER (WHERE status = 'have') AS skills_matched,
        count(*) FILTER (WHERE status <> 'have' AND priority <> 'low') AS skills_to_learn FROM gap GROUP BY person_id""",
 }
+FEW_NEEDS = {**NEEDS, "active": "SELECT * FROM jobs WHERE is_active AND role_id IS NOT NULL AND lower(seniority_level) = 'lead' AND (contains(lower(location_raw), 'nation_3') OR location_is_remote)"}
+
+
+def with_few(s):
+    """A third of the roles with postings of one level and remote ones only, a third without remote ones."""
+    remote, third = F.col("location_is_remote"), F.col("role_id") % 3
+    return replace(s, jobs=s.jobs.filter((third == 0) | (remote & (third == 1) & (F.col("seniority_level") == "mid")) | ((third == 2) & ~remote)))
+
+
 SKILL_GROWTH = f"""SELECT role_id, skill_id, CASE WHEN n_before >= 5 AND t_now > 0 THEN {growth('n_now / t_now * 100', 'n_before / t_before * 100')} END AS growth_pct FROM (
    SELECT role_id, skill_id, count(*) FILTER (WHERE {NOW}) AS n_now, count(*) FILTER (WHERE {BEFORE}) AS n_before FROM jobs JOIN job_skills ON job_id = id WHERE role_id IS NOT NULL AND ({NOW} OR {BEFORE}) GROUP BY role_id, skill_id) JOIN (
    SELECT role_id, count(*) FILTER (WHERE {NOW}) AS t_now, count(*) FILTER (WHERE {BEFORE}) AS t_before FROM jobs WHERE role_id IS NOT NULL GROUP BY role_id) USING (role_id)"""
@@ -156,6 +167,13 @@ ENTRIES: dict[str, tuple] = {
     ),
     "c21_match_summary": (lambda s: h.match_summary(s, P), sql("SELECT person_id, max(total_count) AS total_count, max(new_count) AS new_count, min_by(job_id, rank) AS best_job, max(match_pct) AS best_pct FROM matches GROUP BY person_id", MATCHES)),
     "c22_skill_gap": (lambda s: h.skill_gap(s), sql("SELECT * FROM gap", NEEDS)),
+    "c22_filtered_gap": (lambda s: h.skill_gap(s, True, "lead", "NATION_3"), sql("SELECT * FROM gap", FEW_NEEDS)),
+    "c22_gap_failures": (
+        lambda s: h.gap_failures(with_few(s), "lead", "Atlantis").orderBy("role_id"),
+        sql("""SELECT role_id, concat_ws(' and ', CASE WHEN a = 0 THEN 'lead level' END, CASE WHEN (CASE WHEN a = 0 THEN b ELSE c END) = 0 THEN 'Atlantis' END) AS ignored FROM (
+            SELECT role_id, count(*) FILTER (WHERE lower(seniority_level) = 'lead') AS a, count(*) FILTER (WHERE location_is_remote) AS b, count(*) FILTER (WHERE lower(seniority_level) = 'lead' AND location_is_remote) AS c FROM active
+            WHERE role_id % 3 = 0 OR location_is_remote AND role_id % 3 = 1 AND seniority_level = 'mid' OR role_id % 3 = 2 AND NOT location_is_remote GROUP BY role_id) WHERE a = 0 OR (CASE WHEN a = 0 THEN b ELSE c END) = 0""", ACTIVE),
+    ),
     "c22_gap_scores": (lambda s: h.gap_scores(s), sql("SELECT * FROM gap_heads", NEEDS)),
     "c35_position_scores": (lambda s: h.position_scores(s, P), sql("SELECT * FROM position", POSITION)),
     "c36_score_drivers": (lambda s: h.score_drivers(s, P), sql("SELECT * FROM driven", DRIVEN)),

@@ -15,7 +15,13 @@ CASING = {
     "javascript": "JavaScript", "typescript": "TypeScript", "nodejs": "Node.js", "node.js": "Node.js", "reactjs": "React.js", "react.js": "React.js", "react": "React", "vuejs": "Vue.js", "vue.js": "Vue.js", "vue": "Vue",
     "angular": "Angular", "angularjs": "AngularJS", "nextjs": "Next.js", "next.js": "Next.js", "expressjs": "Express.js", "express.js": "Express.js", "nuxtjs": "Nuxt.js", "nuxt.js": "Nuxt.js",
     "postgresql": "PostgreSQL", "postgres": "PostgreSQL", "mongodb": "MongoDB", "mysql": "MySQL", "sqlite": "SQLite", "dynamodb": "DynamoDB", "mariadb": "MariaDB", "couchdb": "CouchDB", "neo4j": "Neo4j", "redis": "Redis",
-    "github": "GitHub", "gitlab": "GitLab", "bitbucket": "Bitbucket", "devops": "DevOps", "eslint": "ESLint", "prettier": "Prettier", "makefile": "Makefile", "linux": "Linux", "unix": "Unix", "bash": "Bash", "git": "Git",
+    "github": "GitHub", "gitlab": "GitLab", "bitbucket": "Bitbucket", "devops": "DevOps", "devsecops": "DevSecOps", "jenkins": "Jenkins", "kubernetes": "Kubernetes", "docker": "Docker", "dockerfile": "Dockerfile", "terraform": "Terraform", "ansible": "Ansible",
+    "tensorflow": "TensorFlow", "pytorch": "PyTorch", "scikit-learn": "scikit-learn", "sklearn": "scikit-learn", "opencv": "OpenCV", "openai": "OpenAI", "chatgpt": "ChatGPT", "numpy": "NumPy", "pandas": "pandas", "scipy": "SciPy", "matplotlib": "Matplotlib",
+    "python": "Python", "java": "Java", "golang": "Go", "ruby": "Ruby", "rust": "Rust", "kotlin": "Kotlin", "scala": "Scala", "perl": "Perl", "r": "R", "c++": "C++", "c#": "C#", "csharp": "C#",
+    "powerpoint": "PowerPoint", "powerbi": "Power BI", "power bi": "Power BI", "sharepoint": "SharePoint", "linkedin": "LinkedIn", "outlook": "Outlook", "onenote": "OneNote", "azure": "Azure", "dotnet": ".NET", ".net": ".NET",
+    "ios": "iOS", "macos": "macOS", "watchos": "watchOS", "tvos": "tvOS", "xcode": "Xcode", "swift": "Swift", "objective-c": "Objective-C",
+    "a/b testing": "A/B Testing", "ab testing": "A/B Testing", "ci/cd": "CI/CD", "cicd": "CI/CD", "agile/scrum": "Agile/Scrum", "agile": "Agile", "scrum": "Scrum", "kanban": "Kanban", "go-to-market": "Go-to-Market", "gtm": "GTM",
+    "graphql": "GraphQL", "firebase": "Firebase", "webpack": "Webpack", "eslint": "ESLint", "prettier": "Prettier", "makefile": "Makefile", "linux": "Linux", "unix": "Unix", "bash": "Bash", "git": "Git",
     "jira": "Jira", "confluence": "Confluence", "figma": "Figma", "sketch": "Sketch", "photoshop": "Photoshop", "illustrator": "Illustrator",
 }
 #: Words that stay small inside a name.

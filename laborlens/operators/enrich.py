@@ -222,20 +222,23 @@ def mine_candidates(docs: DataFrame) -> DataFrame:
     return raw.select("id", clean_candidate(F.col("raw")).alias("name"), "method").filter("name is not null").distinct()
 
 
-#: Words by which candidates are sorted, first group first.
-KINDS = [
-    ("technical", r"(?i)\b(?:api|sql|cloud|data|software|code|programming|linux|python|java|aws|azure|docker|kubernetes|database|network|security|machine learning|ai)\b|\.js$|\+\+"),
-    ("soft", r"(?i)\b(?:communication|leadership|teamwork|collaboration|problem solving|time management|adaptability|mentoring|negotiation|presentation)\b"),
-    ("technical", r"(?i)(?:script|ware|engine|server|framework|db)$"),
-]
+#: What the name of a technical skill holds, what that of a soft one holds, and how technical ones end.
+TECHNICAL = [
+    "python", "java", "javascript", "typescript", "golang", "rust", "c++", "c#", "ruby", "scala", "kotlin", "swift", "php", "aws", "azure", "gcp", "kubernetes", "docker", "terraform", "ansible", "linux", "sql", "nosql", "spark", "kafka",
+    "airflow", "dbt", "pytorch", "tensorflow", "scikit", "pandas", "numpy", "snowflake", "databricks", "bigquery", "redshift", "postgres", "mysql", "mongodb", "elasticsearch", "redis", "git", "ci/cd", "devops", "mlops", "api", "rest", "graphql",
+    "grpc", "microservices", "agile", "scrum", "tdd", "siem", "firewall", "vpn", "tcp/ip", "iam", "oauth", "saml", "sdk", "llm", "nlp", "neural", "cloud", "serverless", "container", "firmware", "fpga", "pcb", "cad", "matlab", "plc", "tableau",
+    "power bi", "looker", "salesforce", "hubspot", "marketo", "jira", "sap", "oracle", "workday", "network engineer", "hardware design", "hardware test", "cloud-native", "cloud native", "security scanning", "api development",
+]
+SOFT = ["communication", "leadership", "collaboration", "teamwork", "problem", "critical thinking", "emotional", "time management", "adaptability", "negotiation", "mentoring", "coaching", "storytelling", "stakeholder", "influencing"]
+TECHNICAL_ENDS = ["js", ".js", "db", "ops", "sql", "sdk", "api", "net", "lang"]
 
 
 def candidate_kind(name: Column) -> Column:
-    """Technical, soft, technical by ending, else domain."""
-    out = F.when(name.rlike(KINDS[0][1]), KINDS[0][0])
-    for kind, pattern in KINDS[1:]:
-        out = out.when(name.rlike(pattern), kind)
-    return out.otherwise("domain")
+    """Technical or soft by what the name holds, technical by its ending, else domain."""
+    n = F.lower(name)
+    some = lambda tests: reduce(Column.__or__, tests)
+    holds = lambda words: some(F.contains(n, F.lit(w)) for w in words)
+    return F.when(holds(TECHNICAL), "technical").when(holds(SOFT), "soft").when(some(F.endswith(n, F.lit(w)) for w in TECHNICAL_ENDS), "technical").otherwise("domain")
 
 
 def similarity(a: Column, b: Column) -> Column:

@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from laborlens.functions.numbers import clamp, growth_pct, percent, top
 from laborlens.operators.demand import job_date, role_growth, role_jobs, role_salaries, skill_demand, skill_growth, skill_weeks, surging_companies, tagged
-from laborlens.operators.filters import active
+from laborlens.operators.filters import SENIORITY, active, is_all
+from laborlens.operators.filters import seniority as by_level
 from laborlens.operators.trends import ai_exposure, market_trend
 from laborlens.params import Params
 from laborlens.star import Star
@@ -66,9 +67,10 @@ def match_summary(star: Star, p: Params = Params()) -> DataFrame:
     return found.groupBy("person_id").agg(F.max("total_count").alias("total_count"), F.max("new_count").alias("new_count"), F.min_by("job_id", "rank").alias("best_job"), F.max("match_pct").alias("best_pct"))
 
 
-def _requirements(star: Star) -> DataFrame:
-    """(role_id, skill_id, name, category, demand, job_count, rank): all skills, verified or not."""
-    jobs = active(star)
+def _requirements(star: Star, jobs: DataFrame | None = None) -> DataFrame:
+    """(role_id, skill_id, name, category, demand, job_count, rank): all skills, verified or not, over active postings,
+    or those of ``jobs``."""
+    jobs = active(star) if jobs is None else jobs
     counts = tagged(jobs, star, verified=False).groupBy("role_id", "skill_id", "name", "category").agg(F.count(F.lit(1)).alias("job_count")).join(role_jobs(jobs), "role_id")
     ranked = counts.withColumn("rank", F.row_number().over(W.partitionBy("role_id").orderBy(F.desc("job_count"), "skill_id")))
     return ranked.withColumn("demand", percent(F.col("job_count"), F.col("role_jobs"))).drop("role_jobs")
@@ -78,10 +80,42 @@ def priority(demand: Column) -> Column:
     return F.when(demand >= 40, "high").when(demand >= 20, "medium").otherwise("low")
 
 
-def skill_gap(star: Star, learning: bool = True) -> DataFrame:
-    """By person and skill of the target role, whether they have it, its demand and priority."""
+#: What makes a posting one of the leading level here, and places that are no filter here.
+LEADING = {**SENIORITY, "lead": [*SENIORITY["lead"], "senior-staff"]}
+ANYWHERE = ["United States", "Remote", "Global"]
+
+
+def _asked(seniority: str | None, location: str | None) -> tuple[Column | None, Column | None]:
+    """The filters of the gap analyser: by level, and by a place in the raw location, to which remote postings belong."""
+    level = None if is_all(seniority) else by_level(seniority, LEADING)
+    near = None if is_all(location) or location in ANYWHERE else F.coalesce(F.contains(F.lower("location_raw"), F.lit(location.lower())), F.lit(False)) | F.coalesce("location_is_remote", F.lit(False))
+    return level, near
+
+
+def gap_failures(star: Star, seniority: str | None = None, location: str | None = None) -> DataFrame:
+    """(role_id, ignored): roles with active postings for which the gap can't be told under the filters, and the filters
+    that left none. A level that leaves none isn't applied before the place is tried."""
+    level, near = _asked(seniority, location)
+    yes = F.lit(True)
+    counts = active(star).groupBy("role_id").agg(F.count_if(level if level is not None else yes).alias("n_level"), F.count_if(near if near is not None else yes).alias("n_place"), F.count_if((level if level is not None else yes) & (near if near is not None else yes)).alias("n_both"))
+    no_level = F.col("n_level") == 0
+    no_place = F.when(no_level, F.col("n_place") == 0).otherwise(F.col("n_both") == 0)
+    ignored = F.concat_ws(" and ", F.when(no_level, F.lit(f"{seniority} level")), F.when(no_place, F.lit(location)))
+    return counts.filter(no_level | no_place).select("role_id", ignored.alias("ignored"))
+
+
+def skill_gap(star: Star, learning: bool = True, seniority: str | None = None, location: str | None = None) -> DataFrame:
+    """By person and skill of the target role, whether they have it, its demand and priority.
+
+    ``seniority`` (F02) and ``location`` (F05) choose among the role's active postings; a role for which a filter leaves
+    none has no rows here, and is told in ``gap_failures``.
+    """
+    level, near = _asked(seniority, location)
+    jobs = active(star)
+    for chosen in (level, near):
+        jobs = jobs if chosen is None else jobs.filter(chosen)
     people = star.persons.select("person_id", F.col("target_role_id").alias("role_id"))
-    rows = people.join(_requirements(star), "role_id").join(owned(star, learning).withColumn("has", F.lit(True)), ["person_id", "skill_id"], "left")
+    rows = people.join(_requirements(star, jobs), "role_id").join(owned(star, learning).withColumn("has", F.lit(True)), ["person_id", "skill_id"], "left")
     status = F.when(F.col("has"), "have").otherwise("missing")
     return rows.select("person_id", "role_id", "skill_id", "category", "demand", "job_count", "rank", priority(F.col("demand")).alias("priority"), status.alias("status"))
 
@@ -130,7 +164,7 @@ def _with_facts(best: DataFrame, star: Star, p: Params, role: str) -> DataFrame:
 def alternative_roles(star: Star, p: Params = Params(), least_shared: int = 3, k: int = 5) -> DataFrame:
     """By role, others that ask for its skills: shared ones, share covered, Jaccard similarity, the leading shared
     and new skills by their share in the other role, its mean salaries and growth."""
-    skills = _role_skills(star).filter(F.col("role_jobs") >= p.min_role_jobs)
+    skills = _role_skills(star).filter(F.col("role_jobs") >= p.min_role_jobs).persist()  # a row a role and skill, used five times
     sizes = skills.groupBy("role_id").agg(F.count(F.lit(1)).alias("k"), F.max("role_jobs").alias("jobs"))
     pairs = skills.select("role_id", "skill_id").join(skills.select(F.col("role_id").alias("other_id"), "skill_id"), "skill_id").filter("role_id <> other_id").groupBy("role_id", "other_id").agg(F.count(F.lit(1)).alias("shared"))
     other = sizes.select(F.col("role_id").alias("other_id"), F.col("k").alias("other_k"), F.col("jobs").alias("other_jobs"))

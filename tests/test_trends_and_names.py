@@ -11,7 +11,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from laborlens.catalog_demand import P
-from laborlens.operators import enrich, trends
+from laborlens.functions.skills import display_name
+from laborlens.operators import enrich, people, trends
 from laborlens.star import from_tables
 
 SF = "/root/testdata/sf0.001"
@@ -70,3 +71,21 @@ def test_sections_have_places(spark):
     assert [(r.id, r.name) for r in rows] == [(1, "unknown"), (1, "responsibilities"), (1, "requirements"), (1, "preferred"), (4, "unknown")]
     straight = text.replace("’", "'")
     assert all(r.body == straight[r.start : r.stop] for r in rows if r.id == 1)
+
+
+def test_names_and_kinds_by_hand(spark):
+    shown = {"pytorch": "PyTorch", "ios": "iOS", ".net": ".NET", "c++": "C++", "power bi": "Power BI", "docker": "Docker", "ci/cd": "CI/CD", "scikit-learn": "scikit-learn", "aws lambda": "AWS Lambda", "state of the art": "State of the Art", "RUST": "Rust", "go-to-market": "Go-to-Market"}
+    got = spark.createDataFrame([(n,) for n in shown], "name string").select("name", display_name(F.col("name")).alias("shown")).collect()
+    assert {r.name: r.shown for r in got} == shown
+    kinds = {"Kafka Streams": "technical", "Terraform": "technical", "Restaurants": "technical", "Stakeholder Management": "soft", "Problem solving": "soft", "Phoenix db": "technical", "Erlang": "technical", "Machine Learning": "domain", "Security": "domain", "Presentation": "domain", "": "domain"}
+    got = spark.createDataFrame([(n,) for n in kinds], "name string").select("name", enrich.candidate_kind(F.col("name")).alias("kind")).collect()
+    assert {r.name: r.kind for r in got} == kinds
+
+
+def test_gaps_under_filters_that_leave_nothing(spark):
+    star = from_tables(spark, SF)
+    few = replace(star, jobs=star.jobs.filter("role_id <> 3 or seniority_level = 'mid'").filter("role_id <> 4 or not location_is_remote"))
+    assert {r.role_id: r.ignored for r in people.gap_failures(few, "senior", "Atlantis").filter("role_id in (3, 4)").collect()} == {3: "senior level", 4: "Atlantis"}
+    assert people.gap_failures(few, None, "Remote").count() == 0
+    told = {r.role_id for r in people.skill_gap(few, True, "senior", "Atlantis").select("role_id").distinct().collect()}
+    assert told and not told & {3, 4}
