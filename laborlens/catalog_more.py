@@ -8,7 +8,7 @@ from laborlens.catalog_demand import ACTIVE, DEMAND, SERIES, P, growth, pct
 from laborlens.catalog_people import DRIVEN, MATCHES, POSITION, SKILL_GROWTH
 from laborlens.catalog_upkeep import CANDIDATES, candidates, star_query
 from laborlens.functions import numbers
-from laborlens.operators import demand, filters, maintain, trends
+from laborlens.operators import demand, filters, maintain, sketches, trends
 from laborlens.plans import role_insights, week_snapshots
 from laborlens.sources import tables
 from laborlens.star import Star, sql
@@ -45,6 +45,16 @@ DECIDED = {
     "next_roles": "SELECT id, normalized_title FROM roles UNION ALL SELECT id, normalized_title FROM fresh",
 }
 
+def sketched_employers(s: Star):
+    """Employers by skill, role and of all, exactly and whether the sketches come within 8 % (five standard errors) of it."""
+    told = sketches.employers(sketches.employer_sketches(s, P)).withColumnRenamed("employers", "told")
+    rows = trends.monthly(s, P).join(s.job_skills.select("job_id", "skill_id"), F.col("id") == F.col("job_id"))
+    levels = F.explode(F.array(*(F.struct(F.lit(n).alias("level"), k.cast("long").alias("key")) for n, k in (("skill", F.col("skill_id")), ("role", F.col("role_id")), ("all", F.lit(None))))))
+    exact = rows.select(levels.alias("l"), "month", "company_id").groupBy("l.level", "l.key", "month").agg(F.count_distinct("company_id").alias("exact"))
+    same = (F.col("t.level") == F.col("e.level")) & F.col("t.key").eqNullSafe(F.col("e.key")) & (F.col("t.month") == F.col("e.month"))
+    return exact.alias("e").join(told.alias("t"), same, "left").select("e.level", "e.key", "e.month", "exact", F.coalesce(F.abs(F.col("told") - F.col("exact")) <= F.greatest(F.lit(1.0), 0.08 * F.col("exact")), F.lit(False)).alias("close"))
+
+
 #: A user's filters on one role.
 CHOSEN = {"seniority": "senior", "locations": ["NATION_1", "NATION_2", "NATION_3", "NATION_4", "NATION_5"], "industries": ["BUILDING", "MACHINERY", "HOUSEHOLD"]}
 FILTERED = {
@@ -84,6 +94,13 @@ ENTRIES: dict[str, tuple] = {
             {**ACTIVE, "grown": SKILL_GROWTH, "f": "SELECT * FROM jobs WHERE is_active AND role_id = 4 AND lower(seniority_level) IN ('senior', 'sr', 'iii', '3') AND (location_country IN ('NATION_1', 'NATION_2') OR location_raw ILIKE '%nation_1%' OR location_raw ILIKE '%nation_2%') AND company_id IN (SELECT id FROM companies WHERE is_active AND industry IN ('BUILDING', 'MACHINERY', 'HOUSEHOLD'))"},
         ),
     ),
+    "a13_sketched_employers": (
+        star_query(sketched_employers),
+        sql(
+            """SELECT level, key, month, count(DISTINCT company_id) AS exact, true AS close FROM (SELECT unnest(['skill', 'role', 'all']) AS level, unnest([skill_id, role_id, NULL]) AS key, month, company_id FROM monthly JOIN job_skills ON job_id = id) GROUP BY ALL""",
+            SERIES,
+        ),
+    ),
     "c72_role_insights_trend": (
         star_query(lambda s: role_insights.role_insights(s, 4, P, **CHOSEN)["trend"]),
         sql('SELECT role_id, cohort, month, "start", partial, coalesce("count", 0) AS "count", coalesce(ai_count, 0) AS ai_count FROM cohort_n CROSS JOIN months LEFT JOIN chosen_months USING (role_id, month) WHERE role_id = 4', FILTERED),
