@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from laborlens import catalog_demand, catalog_enrich, catalog_intake, catalog_more, catalog_people, catalog_rules, catalog_upkeep
+from laborlens import catalog_built, catalog_demand, catalog_enrich, catalog_intake, catalog_more, catalog_people, catalog_rules, catalog_upkeep
 
 Query = Callable[[SparkSession, str], DataFrame]
-CATALOGS = [catalog_demand, catalog_people, catalog_upkeep, catalog_more, catalog_enrich, catalog_intake, catalog_rules]
+CATALOGS = [catalog_demand, catalog_people, catalog_upkeep, catalog_more, catalog_enrich, catalog_intake, catalog_rules, catalog_built]
 
 
 def queries() -> dict[str, Query]:
