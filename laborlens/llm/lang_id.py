@@ -160,14 +160,16 @@ def viterbi(scores: np.ndarray, lengths: np.ndarray, penalty: float) -> np.ndarr
 
 
 def _batch_bytes(langs: int) -> int:
-    """Bytes of text a batch: 8 MiB up to 8 languages."""
-    return max(1 << 16, (64 << 20) // max(langs, 8))
+    """Bytes of text a batch: 4 MiB up to 8 languages."""
+    return max(1 << 16, (32 << 20) // max(langs, 8))
 
 
 class Labeller:
     """Labels batches of texts; remembers the scores of words while they fit."""
 
     LIMIT = 300_000
+    #: Words that are learned in one call.
+    AT_ONCE = 20_000
 
     def __init__(self, model: Model, penalty: float):
         self.model, self.penalty = model, penalty
@@ -195,7 +197,9 @@ class Labeller:
         if not self.model.langs:
             return out
         words = [words_of(t) if t else [] for t in texts]
-        self.learn([w for own in words for w in own])
+        new = [w for w in dict.fromkeys(w for own in words for w in own) if w not in self.index]
+        for i in range(0, len(new), self.AT_ONCE):
+            self.learn(new[i : i + self.AT_ONCE])
         full = [i for i, w in enumerate(words) if w]
         if not full:
             return out

@@ -106,19 +106,22 @@ def sketches(docs: DataFrame, k: int) -> DataFrame:
 def _members(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     """``wanted`` (rep, root, blocks, block) with their sets as bytes, from the documents' whole texts.
 
-    Rows that share both id and text give one set.
+    Rows that share both id and text give one set a task.
     """
     kept = ["rep", "root", "blocks", "block"]
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = WordHashes()
+        cache, seen = WordHashes(), set()
         for batch in small_batches(batches, "text"):
+            names = [(*r["rep"].values(), *r["root"].values(), r["block"]) for r in batch.select(["rep", "root", "block"]).to_pylist()]
+            new = [i for i, name in enumerate(names) if name not in seen and not seen.add(name)]
+            batch = batch.take(pa.array(new, pa.int64()))
             sets = _sets(batch, cache, k)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array([s.tobytes() for s in sets], pa.binary())], [*kept, "set"])
 
     asked = wanted.select(F.col("rep.doc_id").alias("asked_id"), F.col("rep.t").alias("asked_t"), *kept)
     met = _row(docs).join(asked, (F.col("doc_id") == F.col("asked_id")) & (F.col("t") == F.col("asked_t")))
-    met = met.dropDuplicates(["doc_id", "t", "rep", "root", "block"]).select(*kept, "text")
+    met = met.select(*kept, "text")
     return met.mapInArrow(of, T.StructType([met.schema[c] for c in kept]).add("set", "binary"))
 
 
