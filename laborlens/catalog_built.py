@@ -10,6 +10,7 @@ from laborlens.catalog_rules import SECTIONS, with_headers
 from laborlens.operators import enrich as e
 from laborlens.operators import maintain as m
 from laborlens.star import Star, sql
+from laborlens.streaming import runs
 
 
 def extracted(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,6 +61,16 @@ CANDIDATES = {
 
 
 ENTRIES: dict[str, tuple] = {
+    "st3_extract_stream": (
+        lambda spark, sf_dir: runs.extracted(spark, f"{sf_dir}/documents.parquet", vocabulary(spark, sf_dir)),
+        sql("SELECT id, skill_id, n, CASE WHEN n >= 3 THEN 85 WHEN n = 2 THEN 75 ELSE 60 END AS confidence, n >= 3 AS is_required FROM tagged", VOCABULARY),
+    ),
+    "st4_events_once": (lambda spark, sf_dir: runs.events_once(spark, f"{sf_dir}/events.parquet"), "SELECT event_id, ts, user_id, event_type FROM events"),
+    "st5_closed_weeks": (
+        lambda spark, sf_dir: runs.closed_weeks(spark, f"{sf_dir}/events.parquet").withColumn("total", F.round("total", 2)),
+        """SELECT CAST(date_trunc('week', ts) AS DATE) AS week_start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events
+        WHERE date_trunc('week', ts) + INTERVAL 7 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 DAY GROUP BY ALL""",
+    ),
     "x03_requirements": (
         required_texts,
         sql("SELECT id, sha256(coalesce(s.t, o.t, w.t)) AS text, s.t IS NULL AS used_fallback FROM whole w LEFT JOIN stated s USING (id) LEFT JOIN other o USING (id)", REQUIRED),

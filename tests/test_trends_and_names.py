@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from laborlens.catalog_demand import P
 from laborlens.functions.skills import display_name
-from laborlens.operators import enrich, people, trends
+from laborlens.operators import enrich, people, sketches, trends
 from laborlens.star import from_tables
 
 SF = "/root/testdata/sf0.001"
@@ -85,7 +85,17 @@ def test_names_and_kinds_by_hand(spark):
 def test_gaps_under_filters_that_leave_nothing(spark):
     star = from_tables(spark, SF)
     few = replace(star, jobs=star.jobs.filter("role_id <> 3 or seniority_level = 'mid'").filter("role_id <> 4 or not location_is_remote"))
-    assert {r.role_id: r.ignored for r in people.gap_failures(few, "senior", "Atlantis").filter("role_id in (3, 4)").collect()} == {3: "senior level", 4: "Atlantis"}
+    assert {r.role_id: r.ignored for r in people.gap_failures(few, "senior", "Atlantis").filter("role_id in (3, 4)").collect()} == {3: "senior level and Atlantis", 4: "Atlantis"}  # no remote posting of role 3 either
     assert people.gap_failures(few, None, "Remote").count() == 0
     told = {r.role_id for r in people.skill_gap(few, True, "senior", "Atlantis").select("role_id").distinct().collect()}
     assert told and not told & {3, 4}
+
+
+def test_sketches_merge_within_their_error(spark):
+    rows = spark.range(60_000).select((F.col("id") % 7).alias("part"), (F.col("id") % 3).alias("group"), (F.col("id") * 7919 % 30_011).alias("value"))
+    fine = sketches.sketched(rows, ["part", "group"], "value")
+    told = {r["group"]: r.n for r in sketches.estimated(sketches.rolled_up(fine, ["group"]), "n").collect()}
+    exact = {r["group"]: r.n for r in rows.groupBy("group").agg(F.count_distinct("value").alias("n")).collect()}
+    assert told.keys() == exact.keys() and all(abs(told[k] - exact[k]) <= 0.08 * exact[k] for k in exact)
+    nothing = sketches.estimated(sketches.sketched(rows.select("part", F.lit(None).cast("long").alias("value")), ["part"], "value"), "n")
+    assert {r.n for r in nothing.collect()} == {0}
