@@ -178,7 +178,7 @@ ENTRIES: dict[str, tuple] = {
     "c35_position_scores": (lambda s: h.position_scores(s, P), sql("SELECT * FROM position", POSITION)),
     "c36_score_drivers": (lambda s: h.score_drivers(s, P), sql("SELECT * FROM driven", DRIVEN)),
     "c38_score_history": (lambda s: h.score_history(s.person_weeks), sql("SELECT * FROM history", HISTORY)),
-    "c39_cohort_rollup": (lambda s: h.cohort_rollup(s), sql("SELECT * FROM rollup", ROLLUP)),
+    "c39_cohort_rollup": (lambda s: h.cohort_rollup(s, P), sql("SELECT r.*, d.skill_id AS top_gap FROM rollup r LEFT JOIN (SELECT person_id, skill_id FROM driven WHERE rank = 1) d USING (person_id)", {**ROLLUP, **DRIVEN})),
     "c39_cohort_averages": (lambda s: h.cohort_averages(s), sql("SELECT cohort_id, count(*) AS clients, round(avg(latest), 1) AS avg_score, round(avg(delta), 1) + 0.0 AS avg_delta FROM rollup GROUP BY cohort_id", ROLLUP)),
     "c40_curriculum_fit": (
         lambda s: h.curriculum_fit(s, curricula(s), P),
@@ -192,9 +192,10 @@ ENTRIES: dict[str, tuple] = {
     "c41_client_view": (
         lambda s: h.client_view(s, P),
         sql(
-            """SELECT p.person_id, p.cohort_id, k.have, k.learning, match_score, now, history, total_count, best_job FROM persons p LEFT JOIN (SELECT person_id, count(*) FILTER (WHERE status = 'have') AS have, count(*) FILTER (WHERE status = 'learning') AS learning FROM person_skills GROUP BY person_id) k USING (person_id)
-            LEFT JOIN gap_heads USING (person_id) LEFT JOIN (SELECT person_id, now, history FROM history) USING (person_id) LEFT JOIN (SELECT person_id, max(total_count) AS total_count, min_by(job_id, rank) AS best_job FROM matches GROUP BY person_id) USING (person_id)""",
-            {**NEEDS, **HISTORY, **MATCHES},
+            """SELECT p.person_id, p.cohort_id, k.have, k.learning, match_score, now, history, total_count, best_job, top_missing, top_jobs FROM persons p LEFT JOIN (SELECT person_id, count(*) FILTER (WHERE status = 'have') AS have, count(*) FILTER (WHERE status = 'learning') AS learning FROM person_skills GROUP BY person_id) k USING (person_id)
+            LEFT JOIN gap_heads USING (person_id) LEFT JOIN (SELECT person_id, now, history FROM history) USING (person_id) LEFT JOIN (SELECT person_id, max(total_count) AS total_count, min_by(job_id, rank) AS best_job, string_agg(CAST(job_id AS VARCHAR), ',' ORDER BY rank) FILTER (WHERE rank <= 10) AS top_jobs FROM matches GROUP BY person_id) USING (person_id)
+            LEFT JOIN (SELECT person_id, string_agg(CAST(skill_id AS VARCHAR), ',' ORDER BY n) AS top_missing FROM (SELECT person_id, skill_id, row_number() OVER (PARTITION BY person_id ORDER BY job_count DESC, skill_id) AS n FROM gap WHERE status = 'missing') WHERE n <= 8 GROUP BY person_id) USING (person_id)""",
+            {**NEEDS, **HISTORY, **MATCHES, "owned": "SELECT DISTINCT person_id, skill_id FROM person_skills WHERE status = 'have'"},
         ),
     ),
     "c42_clients_per_cohort": (lambda s: h.clients_per_cohort(s), sql("SELECT cohort_id, count(DISTINCT person_id) AS clients FROM persons GROUP BY cohort_id")),

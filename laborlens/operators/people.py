@@ -245,15 +245,19 @@ def score_history(weeks: DataFrame, most: int = 12) -> DataFrame:
     return ranked.groupBy("person_id").agg(at(1).alias("now"), at(2).alias("before"), (at(1) - at(2)).alias("delta"), listed.alias("history"), (F.count(F.lit(1)) >= 2).alias("tracking"))
 
 
-def cohort_rollup(star: Star) -> DataFrame:
-    """By client of a cohort, latest and previous score, change, skills being learned, weeks tracked."""
+def cohort_rollup(star: Star, p: Params = Params()) -> DataFrame:
+    """By client of a cohort, latest and previous score, change, the leading gap (first driver of the score), skills
+    being learned, weeks tracked."""
     newest = W.partitionBy("person_id").orderBy(F.desc("week_start"))
     ranked = star.person_weeks.withColumn("n", F.row_number().over(newest)).withColumn("weeks", F.count(F.lit(1)).over(W.partitionBy("person_id")))
     at = lambda i: F.max(F.when(F.col("n") == i, F.col("position_score")))
     scores = ranked.filter("n <= 2").groupBy("person_id").agg(at(1).alias("latest"), at(2).alias("previous"), F.max("weeks").alias("weeks_tracked"))
     learning = star.person_skills.filter("status = 'learning'").groupBy("person_id").agg(F.count(F.lit(1)).alias("learning"))
-    rows = star.persons.select("cohort_id", "person_id").join(scores, "person_id", "left").join(learning, "person_id", "left")
-    return rows.select("cohort_id", "person_id", "latest", "previous", (F.col("latest") - F.col("previous")).alias("delta"), F.coalesce("learning", F.lit(0)).alias("learning"), F.coalesce("weeks_tracked", F.lit(0)).alias("weeks_tracked"))
+    gaps = score_drivers(star, p, 1).select("person_id", F.col("skill_id").alias("top_gap"))
+    rows = star.persons.select("cohort_id", "person_id").join(scores, "person_id", "left").join(learning, "person_id", "left").join(gaps, "person_id", "left")
+    return rows.select(
+        "cohort_id", "person_id", "latest", "previous", (F.col("latest") - F.col("previous")).alias("delta"), "top_gap", F.coalesce("learning", F.lit(0)).alias("learning"), F.coalesce("weeks_tracked", F.lit(0)).alias("weeks_tracked")
+    )
 
 
 def cohort_averages(star: Star) -> DataFrame:
@@ -274,12 +278,18 @@ def curriculum_fit(star: Star, curricula: DataFrame, p: Params = Params(), risin
 
 
 def client_view(star: Star, p: Params = Params()) -> DataFrame:
-    """By client, skills they have and learn, gap head, score history and number of matches."""
+    """By client, skills they have and learn, gap head and the eight leading skills that they don't have, score
+    history, number of matches and the ten best. Skills being learned count as missing here."""
     counts = star.person_skills.groupBy("person_id").agg(F.count_if(F.col("status") == "have").alias("have"), F.count_if(F.col("status") == "learning").alias("learning"))
-    gap = gap_scores(star).select("person_id", "match_score")
+    gap = gap_scores(star, learning=False).select("person_id", "match_score")
+    listed = lambda rows, key: rows.groupBy("person_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", F.col(key).alias("key")))), lambda s: s["key"].cast("string")), ",").alias("l"))
+    missing = top(skill_gap(star, learning=False).filter("status = 'missing'").drop("rank"), 8, [F.desc("job_count"), F.asc("skill_id")], ["person_id"])
     history = score_history(star.person_weeks).select("person_id", "now", "history")
-    found = match_summary(star, p).select("person_id", "total_count", "best_job")
-    return star.persons.select("person_id", "cohort_id").join(counts, "person_id", "left").join(gap, "person_id", "left").join(history, "person_id", "left").join(found, "person_id", "left")
+    found = matched_jobs(star, p)
+    heads = found.groupBy("person_id").agg(F.max("total_count").alias("total_count"), F.min_by("job_id", "rank").alias("best_job"))
+    rows = star.persons.select("person_id", "cohort_id").join(counts, "person_id", "left").join(gap, "person_id", "left").join(history, "person_id", "left").join(heads, "person_id", "left")
+    rows = rows.join(listed(missing, "skill_id").withColumnRenamed("l", "top_missing"), "person_id", "left")
+    return rows.join(listed(found.filter("rank <= 10"), "job_id").withColumnRenamed("l", "top_jobs"), "person_id", "left")
 
 
 def clients_per_cohort(star: Star) -> DataFrame:
