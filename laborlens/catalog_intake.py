@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +17,12 @@ from laborlens.star import sql
 COMMITMENTS = ["Full Time", "part-time", "Contract", "Internship", "temp", "seasonal", ""]
 
 
+def all_places(raw: dict[str, DataFrame]) -> DataFrame:
+    """(location) of all postings, wherever their source has it."""
+    fields = {"greenhouse": "location.name", "lever": "categories.location", "ashby": "locationName", "workable": "location"}
+    return reduce(DataFrame.unionByName, (raw[source].select(F.col(field).alias("location")) for source, field in fields.items()))
+
+
 def raw_postings(spark, sf_dir: str) -> dict[str, DataFrame]:
     """All orders as raw postings, a quarter of them in the shape of each of the four sources."""
     k = F.col("o_orderkey")
@@ -120,9 +128,9 @@ ENTRIES: dict[str, tuple] = {
         sql("SELECT * FROM (SELECT p_partkey AS id, unnest([1, 2, 3])::BIGINT AS skill_id, unnest([" + ", ".join(" + ".join(f"len(regexp_extract_all(p_name, '{p}'))" for k, p in PATTERNS if k == i) for i in (1, 2, 3)) + "])::BIGINT AS n FROM part) WHERE n > 0"),
     ),
     "x22_currencies": (
-        lambda spark, sf_dir: salary.currencies_of(raw_postings(spark, sf_dir)["workable"].select("location"), spark.createDataFrame(CURRENCIES, "place string, currency string")),
+        lambda spark, sf_dir: salary.currencies_of(all_places(raw_postings(spark, sf_dir)), spark.createDataFrame(CURRENCIES, "place string, currency string")),
         sql(
-            "SELECT location, arg_min(currency, (NOT whole, -length(place), place, currency)) AS currency FROM (SELECT location, c.place, currency, lower(trim(location)) = c.place AS whole FROM (SELECT DISTINCT place AS location FROM po WHERE k % 4 = 3) JOIN (VALUES "
+            "SELECT location, arg_min(currency, (NOT whole, -length(place), place, currency)) AS currency FROM (SELECT location, c.place, currency, lower(trim(location)) = c.place AS whole FROM (SELECT DISTINCT place AS location FROM po) JOIN (VALUES "
             + ", ".join(f"('{p.lower()}', '{c}')" for p, c in CURRENCIES)
             + ") c(place, currency) ON list_contains(list_concat([lower(trim(location))], regexp_split_to_array(lower(trim(location)), '\\s*[,;|/]\\s*'), regexp_split_to_array(lower(trim(location)), '[^\\p{L}]+')), c.place)) GROUP BY location",
             POSTINGS,
