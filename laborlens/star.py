@@ -92,7 +92,10 @@ def from_tables(spark: SparkSession, sf_dir: str) -> Star:
     persons = events.select(user, (F.col("user_id") % 10).alias("target_role_id"), (F.col("user_id") % 5).alias("cohort_id")).distinct()
     status = F.min(F.when(F.col("event_type") == "purchase", "have").otherwise("learning"))
     person_skills = events.filter("event_type in ('purchase', 'signup')").groupBy(user, (F.col("event_id") % 64 + 1).alias("skill_id")).agg(status.alias("status"))
-    weeks = events.groupBy(user, F.date_trunc("week", "ts").cast("date").alias("week_start")).agg((F.floor(F.avg("value")).cast("int") % 101).alias("position_score"))
+    # Added in the events' order: a mean that is a whole number falls on either side of it, as the values are added.
+    values = F.array_sort(F.collect_list(F.when(F.col("value").isNotNull(), F.struct("event_id", "value"))))
+    mean = F.aggregate(values, F.lit(0.0), lambda total, x: total + x["value"]) / F.nullif(F.size(values), F.lit(0))
+    weeks = events.groupBy(user, F.date_trunc("week", "ts").cast("date").alias("week_start")).agg((F.floor(mean).cast("int") % 101).alias("position_score"))
     return Star(companies, roles, skills, jobs, job_skills, persons, person_skills, weeks)
 
 
