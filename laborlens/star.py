@@ -49,6 +49,10 @@ def _numbered(names: DataFrame) -> DataFrame:
     return each.withColumn("k", F.row_number().over(W.partitionBy("start").orderBy("name"))).join(starts, "start").select("name", (F.col("before") + F.col("k")).cast("long").alias("id"))
 
 
+#: Parts of the tags for each input split of their table.
+PARTS_A_SPLIT = 8
+
+
 def from_tables(spark: SparkSession, sf_dir: str) -> Star:
     """Orders as postings, customers as companies, nations as roles, parts as skills, events as people's doings."""
     read = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -87,7 +91,10 @@ def from_tables(spark: SparkSession, sf_dir: str) -> Star:
         (F.col("o_orderstatus") != "F").alias("is_active"),
     )
     ids = part.join(names, F.col("name") == F.col("p_name")).select("p_partkey", F.col("id").alias("skill_id"))
-    job_skills = read("lineitem").join(ids, F.col("l_partkey") == F.col("p_partkey")).groupBy(F.col("l_orderkey").alias("job_id"), "skill_id").agg(F.max(F.col("l_returnflag") != "N").alias("is_required"))
+    # Dealt by posting, in parts that follow the number of input splits, so that a task's share doesn't grow with the table.
+    lines = read("lineitem")
+    tagged = lines.join(ids, F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_orderkey").alias("job_id"), "skill_id", (F.col("l_returnflag") != "N").alias("is_required"))
+    job_skills = tagged.repartition(PARTS_A_SPLIT * lines.rdd.getNumPartitions(), "job_id").groupBy("job_id", "skill_id").agg(F.max("is_required").alias("is_required"))
     user = F.col("user_id").alias("person_id")
     persons = events.select(user, (F.col("user_id") % 10).alias("target_role_id"), (F.col("user_id") % 5).alias("cohort_id")).distinct()
     status = F.min(F.when(F.col("event_type") == "purchase", "have").otherwise("learning"))
