@@ -75,14 +75,16 @@ def paragraph_score(p: Column) -> Column:
 def requirements(docs: DataFrame, least: float = 2.0) -> DataFrame:
     """(id, text, used_fallback): requirement and preferred sections; failing these, paragraphs that score
     enough, of sections other than benefits, company and legal ones; failing these too, all text of those sections."""
-    parts = sections(docs)
-    listed = lambda rows, order, body, sep: rows.groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*order, body))), lambda s: s[body]), sep).alias("joined"))
-    stated = listed(parts.filter("name in ('requirements', 'preferred')"), ["n"], "body", "\n").withColumnRenamed("joined", "stated")
-    others = parts.filter("name not in ('benefits', 'about_company', 'boilerplate')").join(stated, "id", "left_anti")
-    rest = listed(others, ["n"], "body", "\n\n").withColumnRenamed("joined", "rest")
-    paragraphs = others.select("id", "n", F.posexplode(F.split("body", r"\n\s*\n")).alias("pos", "p")).withColumn("p", F.btrim("p", F.lit(" \t\r\n"))).filter(paragraph_score(F.col("p")) >= least)
-    scored = listed(paragraphs, ["n", "pos"], "p", "\n\n").withColumnRenamed("joined", "scored")
-    return docs.join(stated, "id", "left").join(scored, "id", "left").join(rest, "id", "left").select("id", F.coalesce("stated", "scored", "rest", "text").alias("text"), F.col("stated").isNull().alias("used_fallback"))
+    # A row a text with its sections in order, so that texts are cut into sections once.
+    each = sections(docs).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("n", "name", "body"))).alias("s"))
+    joined = lambda parts, sep: F.when(F.size(parts) > 0, F.array_join(parts, sep))
+    bodies = lambda names, has: F.transform(F.filter("s", lambda x: x["name"].isin(names) == has), lambda x: x["body"])
+    stated = joined(bodies(["requirements", "preferred"], F.lit(True)), "\n")
+    others = bodies(["benefits", "about_company", "boilerplate"], F.lit(False))
+    paragraphs = F.flatten(F.transform(others, lambda x: F.transform(F.split(x, r"\n\s*\n"), lambda p: F.btrim(p, F.lit(" \t\r\n")))))
+    scored = joined(F.filter(paragraphs, lambda p: paragraph_score(p) >= least), "\n\n")
+    found = each.select("id", stated.isNull().alias("guess"), F.coalesce(stated, scored, joined(others, "\n\n")).alias("found"))
+    return docs.join(found, "id", "left").select("id", F.coalesce("found", "text").alias("text"), F.coalesce("guess", F.lit(True)).alias("used_fallback"))
 
 
 def is_valid_skill(name: Column) -> Column:
@@ -121,25 +123,25 @@ def tag_skills(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """(id, skill_id, n): whole-word occurrences of the terms in ``docs`` (id, text).
 
     A word is a run of letters, digits and underscores. The terms are a trie by words, a table of a row a node. Words of
-    the texts meet its first level; only where a longer term begins are the words behind them taken from the text, and
-    one more meets the trie a level: no run of words is built before its beginning has met. A term with signs in it (c++, node.js) is compared again as written, in the texts that have its words.
+    the texts, each with those behind it, meet its first level; where a longer term begins, one more word meets the trie a
+    level: no run of words is built before its beginning has met. All levels are met in one pass over the texts. A term with signs in it (c++, node.js) is compared again as written, in the texts that have its words.
     """
     nodes, depth = term_trie(terms)
-    rows = docs.select("id", tokens(F.col("text")).alias("w"))
-    level = lambda k: nodes.filter(F.col("depth") == k).select("run", "goes_on", "ends")
-    met = rows.select("id", F.posexplode("w").alias("pos", "run")).join(level(1), "run")
-    ended = [met.filter("ends").groupBy("id", "run").agg(F.count(F.lit(1)).alias("n"))]
-    begun = met.filter("goes_on").groupBy("id").agg(F.collect_list("pos").alias("at")).join(rows, "id")
-    met = begun.select("id", F.explode(F.transform("at", lambda p: F.slice("w", p + 1, max(depth, 1)))).alias("run_on")).select("id", F.get("run_on", F.lit(0)).alias("run"), "run_on")
-    for k in range(1, depth):
-        longer = met.filter(F.size("run_on") > k).select("id", F.concat_ws(" ", "run", F.get("run_on", F.lit(k))).alias("run"), "run_on")
-        met = longer.join(level(k + 1), "run")
-        ended.append(met.filter("ends").groupBy("id", "run").agg(F.count(F.lit(1)).alias("n")))
-        met = met.filter("goes_on").select("id", "run", "run_on")
     if not depth:
         return docs.select("id", F.lit(None).cast("long").alias("skill_id"), F.lit(0).cast("long").alias("n")).filter("false")
+    level = lambda k: nodes.filter(F.col("depth") == k).select(F.col("run").alias(f"run_{k}"), F.col("goes_on").alias("goes_on"), F.col("ends").alias(f"ends_{k}"))
+    w = tokens(F.col("text"))
+    met = docs.select("id", w.alias("w")).filter(F.size("w") > 0)
+    met = met.select("id", F.explode(F.transform("w", lambda x, i: F.slice("w", i + 1, depth))).alias("words")).withColumn("run_1", F.get("words", F.lit(0))).join(level(1), "run_1")
+    for k in range(2, depth + 1):
+        word = F.get("words", F.lit(k - 1))
+        # No node's run begins with a blank: what goes no further meets nothing, and lies with its first word.
+        run = F.when(F.col("goes_on") & word.isNotNull(), F.concat_ws(" ", f"run_{k - 1}", word)).otherwise(F.concat(F.lit(" "), "run_1"))
+        met = met.withColumn(f"run_{k}", run).drop("goes_on").join(level(k), f"run_{k}", "left")
+    ended = F.filter(F.array(*(F.when(F.col(f"ends_{k}"), F.col(f"run_{k}")) for k in range(1, depth + 1))), lambda r: r.isNotNull())
+    ended = met.select("id", F.explode(ended).alias("run")).groupBy("id", "run").agg(F.count(F.lit(1)).alias("n"))
     named = terms.select("term", "skill_id", F.array_join(tokens(F.col("term")), " ").alias("run"))
-    counts = reduce(DataFrame.unionByName, ended).join(named, "run").withColumn("exact", F.col("run") == F.col("term"))
+    counts = ended.join(named, "run").withColumn("exact", F.col("run") == F.col("term"))
     signed = counts.filter("not exact").join(docs.select("id", F.lower("text").alias("lower")), "id")
     pattern = F.concat(F.lit(r"(?<![\p{L}\p{N}_])"), F.regexp_replace("term", r"([^\p{L}\p{N}_\s])", r"\\$1"), F.lit(r"(?![\p{L}\p{N}_])"))
     checked = signed.withColumn("n", F.regexp_count("lower", pattern).cast("long")).filter("n > 0")
@@ -164,9 +166,19 @@ def confidence(n: Column, used_fallback: Column) -> Column:
 
 def extract_skills(docs: DataFrame, terms: DataFrame, whole: bool = False) -> DataFrame:
     """(id, skill_id, n, confidence, is_required). ``whole``: tag the text itself, as for resumes."""
-    text = docs.select("id", F.regexp_replace("text", r"\s+", " ").alias("text"), F.lit(False).alias("used_fallback")) if whole else requirements(docs)
-    sure = confidence(F.col("n"), F.col("used_fallback"))
-    return tag_skills(text.select("id", "text"), terms).join(text.select("id", "used_fallback"), "id").select("id", "skill_id", "n", sure.alias("confidence"), (sure >= 80).alias("is_required"))
+    if whole:
+        return _rated(tag_skills(docs.select("id", F.regexp_replace("text", r"\s+", " ").alias("text")), terms), F.lit(False))
+    return tag_requirements(requirements(docs), terms)
+
+
+def tag_requirements(text: DataFrame, terms: DataFrame) -> DataFrame:
+    """Skills of what ``requirements`` gives; it is read more than once."""
+    return _rated(tag_skills(text.select("id", "text"), terms).join(text.select("id", "used_fallback"), "id"), F.col("used_fallback"))
+
+
+def _rated(tagged: DataFrame, guess: Column) -> DataFrame:
+    sure = confidence(F.col("n"), guess)
+    return tagged.select("id", "skill_id", "n", sure.alias("confidence"), (sure >= 80).alias("is_required"))
 
 
 #: Leads after which a skill is named, and how long the name may be.
