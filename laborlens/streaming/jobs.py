@@ -8,6 +8,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,7 +16,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import IntegerType, StructField, StructType
 
-from laborlens.operators.enrich import extract_skills
+from laborlens.operators.enrich import requirements, tag_requirements
 from laborlens.operators.maintain import KEY, close_absent, newest, upsert_postings
 
 EVENTS = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
@@ -95,7 +96,9 @@ def extract_stream(docs: DataFrame, terms: DataFrame, path: str, checkpoint: str
     """ST3: new descriptions (id, text) to skill tags, a folder a batch; a batch that runs again replaces its own."""
 
     def write(batch: DataFrame, n: int) -> None:
-        extract_skills(batch, terms).write.mode("overwrite").parquet(f"{path}/batch={n}")
+        text = requirements(batch).persist(StorageLevel.DISK_ONLY)
+        tag_requirements(text, terms).write.mode("overwrite").parquet(f"{path}/batch={n}")
+        text.unpersist()
 
     return docs.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

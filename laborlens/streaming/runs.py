@@ -11,6 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 from laborlens.streaming import jobs
 
 
+#: Bytes of files that a batch takes where batches needn't be many: each plans its joins anew.
+BATCH_BYTES = 512 << 20
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     """A path of its own in the folder that spark.checkpoint.dir names; only a local master may do without that setting."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
@@ -22,11 +26,11 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{folder.rstrip('/')}/laborlens/{name}-{uuid.uuid4().hex}"
 
 
-def stream_of(spark: SparkSession, path: str, per_batch: int = 4) -> DataFrame:
-    """The table at ``path``, a folder or a file, as a stream of its files."""
+def stream_of(spark: SparkSession, path: str, limit: tuple[str, int] = ("maxFilesPerTrigger", 4)) -> DataFrame:
+    """The table at ``path``, a folder or a file, as a stream of its files; ``limit`` bounds a batch."""
     schema = spark.read.parquet(path).schema
     pattern = re.sub("[^/]+$", lambda name: f"{{{name[0]}}}", path.rstrip("/"))  # a single file is taken by a pattern only
-    rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", per_batch).parquet(pattern)
+    rows = spark.readStream.schema(schema).option(*limit).parquet(pattern)
     zoneless = [f.name for f in schema if f.dataType.typeName() == "timestamp_ntz"]  # watermarks take instants
     return rows.withColumns({c: rows[c].cast("timestamp") for c in zoneless})
 
@@ -54,6 +58,6 @@ def closed_weeks(spark: SparkSession, path: str) -> DataFrame:
 def extracted(spark: SparkSession, path: str, terms: DataFrame) -> DataFrame:
     """ST3: skills of a stream of descriptions (doc_id, text)."""
     out = shared_path(spark, "extracted")
-    docs = stream_of(spark, path).selectExpr("doc_id as id", "text")
+    docs = stream_of(spark, path, ("maxBytesPerTrigger", BATCH_BYTES)).selectExpr("doc_id as id", "text")
     jobs.extract_stream(docs, terms, f"{out}/rows", f"{out}/checkpoint").awaitTermination()
     return spark.read.parquet(f"{out}/rows").drop("batch")
