@@ -294,11 +294,13 @@ def similar_names(names: DataFrame, least: float = 0.88, gap: int = 20, measure:
     counts = grams.groupBy("g").agg(F.count(F.lit(1)).alias("c"))
     spoilt = F.floor(F.lit((1 - least) * (2 if measure == "blocks" else 1)) * (F.col("len") / F.lit(least)) + 1e-9)
     ranked = grams.join(counts, "g").withColumn("r", F.row_number().over(W.partitionBy("name").orderBy("c", "g"))).filter(F.col("r") <= 3 * spoilt + 1)
-    pairs = ranked.select(F.col("name").alias("a"), "g").join(ranked.select(F.col("name").alias("b"), "g"), "g").filter("a < b").select("a", "b").distinct()
-    near = pairs.filter(F.abs(F.char_length("a") - F.char_length("b")) <= gap)
+    # Lengths tell most pairs apart, and do so where they meet: an edit changes a length by one at most.
+    side = lambda n: ranked.select(F.col("name").alias(n), "g", F.char_length(F.lower("name")).alias(f"l_{n}"))
+    x, y = F.col("l_a"), F.col("l_b")
+    alike = (2 * F.least(x, y) >= least * (x + y) - 1e-9) if measure == "blocks" else (F.abs(x - y) <= (1 - least) * F.greatest(x, y) + 1e-9)
+    met = side("a").join(side("b"), "g").filter((F.col("a") < F.col("b")) & alike & (F.abs(F.char_length("a") - F.char_length("b")) <= gap))
+    near = met.select("a", "b").distinct()
     if measure == "blocks":
-        x, y = F.char_length("a"), F.char_length("b")
-        near = near.filter(2 * F.least(x, y) >= least * (x + y))
         close = near.withColumn("ratio", block_ratio(least)(F.lower("a"), F.lower("b")))
     else:
         close = near.withColumn("ratio", similarity(F.lower("a"), F.lower("b")))
