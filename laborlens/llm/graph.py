@@ -47,7 +47,8 @@ def connected(edges: DataFrame) -> DataFrame:
     rows = told["rows"]
     while True:
         before = told
-        now = cut(_packed(_small_star(_packed(_large_star(now, rows), rows), rows), rows))
+        hung = cut(_packed(_large_star(now, rows), rows))  # the next step reads it four times: its plan would hold this one as often
+        now = cut(_packed(_small_star(hung, rows), rows))
         told = now.agg(*mark).first()
         if told == before:
             break

@@ -15,7 +15,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from laborlens.llm import chat_format, decontam, lang_id, licenses, line_dedup, mixing, near_dedup, quality, url_filter, warc
+from laborlens.llm import chat_format, decontam, graph, lang_id, licenses, line_dedup, mixing, near_dedup, quality, url_filter, warc
 from laborlens.llm.common import lookup, shared_folder
 from laborlens.llm.cuckoo import Cuckoo
 from laborlens.llm.graph import connected
@@ -633,6 +633,13 @@ def test_connected_components(spark):
     assert dict(connected(spark.createDataFrame(hub, "u long, v long")).collect()) == {i: 7 for i in [*range(7, 4000), *range(5000, 5101)]}
 
 
+def test_plans_of_a_round_stay_small(spark, monkeypatch):
+    joins, cut = [], graph.cut
+    monkeypatch.setattr(graph, "cut", lambda df: joins.append(df._jdf.queryExecution().optimizedPlan().toString().count("Join ")) or cut(df))
+    assert dict(graph.connected(spark.createDataFrame([(2, 1), (3, 2), (4, 3)], "u long, v long")).collect()) == {i: 1 for i in range(1, 5)}
+    assert max(joins) <= 4  # each step meets its table of least neighbours twice over two readings of its rows
+
+
 # Quality
 
 
