@@ -111,10 +111,10 @@ def readable(text: Column) -> Column:
     return F.regexp_replace(F.translate(text, "–—−", "---"), r"([$£€])\s+", "$1")
 
 
-def _around(reach: int, before: bool = True) -> Column:
-    """The text within so many characters of the amount, or so many before it, in lower case."""
-    begin = F.greatest(F.col("start") - reach, F.lit(1))
-    return F.lower(F.col("t").substr(begin, (F.col("stop") + reach if before else F.col("stop")) - begin))
+def _around(reach: int, start: Column, stop: Column) -> Column:
+    """The text within so many characters of the amount, in lower case."""
+    begin = F.greatest(start - reach, F.lit(1))
+    return F.lower(F.col("t").substr(begin, stop + reach - begin))
 
 
 def _any(patterns: list[str]) -> str:
@@ -154,17 +154,24 @@ def stated_salaries(docs: DataFrame, places: DataFrame) -> DataFrame:
     Forms of stating pay are tried in order, each on the first place where it stands; the first that the text around
     doesn't make something else, and that gives a likely salary, tells. An amount alone must be said to be pay. What
     stands around a place is cut out of the text by its position: 120 characters for funding, budgets, revenue and perks,
-    100 for words of pay, 50 for counts and numbers, 30 for what is bought.
+    100 for words of pay, 50 for counts and numbers, 30 for what is bought. A text of one place is read once, however many
+    postings say it, and goes back to them by its digest.
     """
-    t = docs.join(currencies_of(docs, places), "location", "left").filter(F.col("text").rlike(r"\d")).select("id", F.lower("text").alias("whole"), readable(F.col("text")).alias("t"), F.coalesce("currency", F.lit("USD")).alias("local"))
+    each = docs.filter(F.col("text").rlike(r"\d"))
+    texts = each.select("text", "location").distinct()
+    digest = F.unhex(F.sha2("text", 256)).alias("digest")
+    t = texts.join(currencies_of(texts, places), "location", "left").select(digest, "location", F.lower("text").alias("whole"), readable(F.col("text")).alias("t"), F.coalesce("currency", F.lit("USD")).alias("local"))
     group = lambda p, i: F.regexp_extract("t", f"(?i){p}", i)
     found = [
         F.when(F.regexp_instr("t", F.lit(f"(?i){p}")) > 0, F.struct(F.lit(k).alias("k"), F.lit(kind).alias("kind"), F.regexp_instr("t", F.lit(f"(?i){p}")).alias("start"), group(p, 0).alias("m"), group(p, 1).alias("n1"), (group(p, 2) if re.compile(p).groups == 2 else group(p, 1)).alias("n2")))
         for k, (kind, p) in enumerate(FORMS)
     ]
-    rows = t.select("id", "whole", "t", "local", F.explode(F.filter(F.array(*found), lambda x: x.isNotNull())).alias("f")).select("id", "whole", "t", "local", "f.*")
-    rows = rows.withColumn("stop", F.col("start") + F.char_length("m")).withColumns({"near": _around(120), "close": _around(50)})
-    rows = rows.filter(~_is_other() & ~_is_number())
+    # What stands around is cut out before the places become rows: behind, each of the patterns would cut it out again.
+    stops = lambda x: x["start"] + F.char_length(x["m"])
+    about = lambda x: x.withField("stop", stops(x)).withField("near", _around(120, x["start"], stops(x))).withField("close", _around(50, x["start"], stops(x)))
+    places_of = F.transform(F.filter(F.array(*found), lambda x: x.isNotNull()), about)
+    text = ["digest", "location", "whole", "t", "local"]
+    rows = t.select(*text, F.explode(places_of).alias("f")).select(*text, "f.*").filter(~_is_other() & ~_is_number())
     currency = F.lit(None).cast("string")
     for code in reversed(CODES):
         currency = F.when(F.col("m").rlike(rf"(?i)\b{code}\b"), code).otherwise(currency)
@@ -178,11 +185,13 @@ def stated_salaries(docs: DataFrame, places: DataFrame) -> DataFrame:
     last = F.when(kind == "lakh", 1e5).when(kind.isin("thousands", "thousands last"), 1e3).when(kind == "marked", thousand).otherwise(1.0)
     number = lambda c: F.regexp_replace(c, ",", "").try_cast("double")
     rows = rows.withColumns({"a": number("n1") * first, "b": number("n2") * last})
-    said = (kind != "single") | (_around(100).rlike(SAID) & ~_around(30).rlike(NO_PAY))
+    said = (kind != "single") | (_around(100, F.col("start"), F.col("stop")).rlike(SAID) & ~_around(30, F.col("start"), F.col("stop")).rlike(NO_PAY))
     rate = (F.col("a") >= _limit(HOURLY, F.col("cur"), 0)) & (F.col("a") <= _limit(HOURLY, F.col("cur"), 1))
     by_hour = rate & ((kind == "hourly") | ((kind == "single") & F.col("whole").rlike(PER_HOUR) & ~F.col("whole").rlike(SHOPPING)))
     rows = rows.filter(said & ((kind != "hourly") | rate)).withColumn("is_hourly", by_hour)
     times = F.when(F.col("is_hourly"), float(HOURS)).otherwise(1.0)
     rows = rows.withColumns({"low": F.floor(F.least("a", "b") * times), "high": F.floor(F.greatest("a", "b") * times)}).filter(is_valid(F.col("low"), F.col("high"), F.col("cur")))
-    best = rows.groupBy("id").agg(F.min_by(F.struct("low", "high", "cur", "is_hourly"), "k").alias("f"))
+    told = rows.groupBy("digest", F.col("location").alias("at")).agg(F.min(F.struct("k", "low", "high", "cur", "is_hourly")).alias("f"))
+    met = each.select("id", "location", digest).join(told, "digest").filter(F.col("location").eqNullSafe(F.col("at")))
+    best = met.groupBy("id").agg(F.min("f").alias("f"))
     return best.select("id", F.col("f.low").alias("salary_min"), F.col("f.high").alias("salary_max"), F.col("f.cur").alias("currency"), "f.is_hourly")

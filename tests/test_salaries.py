@@ -168,3 +168,11 @@ def test_what_stands_around_an_amount(spark):
     docs = spark.createDataFrame([(i, t, "US") for i, (t, _) in enumerate(cases)], "id long, text string, location string")
     got = {r.id: (r.salary_min, r.salary_max) for r in salary.stated_salaries(docs, spark.createDataFrame(PLACES, "place string, currency string")).collect()}
     assert got == {i: want for i, (_, want) in enumerate(cases) if want}
+
+
+def test_a_text_is_read_once(spark):
+    docs = spark.createDataFrame([(i, CASES[i % 3][0], (None, "UK", "usa")[i % 2]) for i in range(90)], "id long, text string, location string").repartition(6)
+    found = salary.stated_salaries(docs, spark.createDataFrame(PLACES, "place string, currency string"))
+    assert found.count() == 90
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "FUNDING_REMOVED" not in "".join(line for line in plan.splitlines() if "id#" in line)  # the reading knows no posting
