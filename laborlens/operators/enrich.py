@@ -307,16 +307,19 @@ def similar_names(names: DataFrame, least: float = 0.88, gap: int = 20, measure:
     return close.filter(F.col("ratio") >= least).withColumn("ratio", F.round("ratio", 4))
 
 
+def _grams(text: Column, n: int) -> Column:
+    """The distinct runs of ``n`` characters of a text, or the text itself if it is shorter."""
+    starts = F.sequence(F.lit(1), F.greatest(F.char_length(text) - n + 1, F.lit(1)))
+    return F.array_distinct(F.transform(starts, lambda i: text.substr(i, F.lit(n))))
+
+
 def holding(names: DataFrame, parts: DataFrame, least: int) -> DataFrame:
     """(name, part) wherever a part of ``least`` characters at least stands in a name, in any case.
 
     ``names`` (name), ``parts`` (part). Both meet on a part's first ``least`` characters and are compared then, so the
     work follows the places at which a part may begin.
     """
-    low = F.lower("name")
-    starts = F.sequence(F.lit(1), F.greatest(F.char_length("name") - least + 1, F.lit(1)))
-    grams = F.array_distinct(F.transform(starts, lambda i: low.substr(i, F.lit(least))))
-    each = names.select("name").distinct().select("name", F.explode(grams).alias("gram"))
+    each = names.select("name").distinct().select("name", F.explode(_grams(F.lower("name"), least)).alias("gram"))
     short = parts.select("part").distinct().filter(F.char_length("part") >= least).select("part", F.lower(F.substring("part", 1, least)).alias("gram"))
     return each.join(short, "gram").filter(F.lower("name").contains(F.lower("part"))).select("name", "part").distinct()
 
@@ -447,18 +450,21 @@ def mapped_candidates(raw: DataFrame, roles: DataFrame, explicit: DataFrame, rej
         bad = bad | F.col("low").contains(word.lower())
     known = roles.select(F.lower("normalized_title").alias("part"), F.col("id").alias("role_id"))
     patterns = explicit.select(F.lower("pattern").alias("part"), "role_id")
-    asked = each.filter(~bad)
-    names = lambda c: asked.select(F.col(c).alias("name"))
-    ways = [
-        holding(names("low"), patterns, 3).join(patterns, "part").select(F.col("name").alias("low"), "role_id", F.lit(1).alias("p"), (-F.char_length("part")).alias("len"), "part").join(asked.select("title", "low"), "low"),
-        asked.join(known, F.col("plain") == F.col("part")).select("title", "role_id", F.lit(2).alias("p"), F.lit(0).alias("len"), "part"),
-        holding(names("plain"), known, 8).join(known, "part").filter(F.startswith("name", "part")).select(F.col("name").alias("plain"), "role_id", F.lit(3).alias("p"), (-F.char_length("part")).alias("len"), "part").join(asked.select("title", "plain"), "plain"),
-        holding(names("plain"), known, 10).join(known, "part").select(F.col("name").alias("plain"), "role_id", F.lit(4).alias("p"), (-F.char_length("part")).alias("len"), "part").join(asked.select("title", "plain"), "plain"),
-    ]
-    best = reduce(DataFrame.unionByName, (w.select("title", "p", "len", "part", "role_id") for w in ways)).groupBy("title").agg(F.min(F.struct("p", "len", "part", "role_id")).alias("b"))
+    # Titles meet all ways at once, by kinds of keys: 0 is the title's own, so that those that meet nothing stay.
+    kinds = [(patterns, 1, F.left("part", F.lit(3)), 3), (known, 2, F.col("part"), 0), (known, 3, F.left("part", F.lit(8)), 8)]
+    table = reduce(DataFrame.unionByName, (t.filter(F.char_length("part") >= least).select(F.lit(kind).alias("kind"), key.alias("key"), "part", "role_id") for t, kind, key, least in kinds))
+    keyed = lambda kind, keys: F.transform(keys, lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("key")))
+    asked = F.concat(keyed(1, _grams(F.col("low"), 3)), keyed(2, F.array("plain")), keyed(3, _grams(F.col("plain"), 8)))
+    own = keyed(0, F.array("title"))
+    rows = each.select("title", "low", "plain", bad.alias("bad")).select("*", F.explode(F.when(~F.col("bad"), F.concat(own, asked)).otherwise(own)).alias("k")).select("title", "low", "plain", "bad", "k.*")
+    met = rows.join(table, ["kind", "key"], "left")
+    at = F.call_function("instr", F.col("plain"), F.col("part"))
+    way = F.when(F.col("kind") == 2, 2).when((F.col("kind") == 1) & F.contains("low", "part"), 1).when((F.col("kind") == 3) & (at == 1), 3).when((F.col("kind") == 3) & (at > 1) & (F.char_length("part") >= 10), 4)
+    length = F.when(way == 2, 0).otherwise(-F.char_length("part"))
+    best = met.groupBy("title", "bad").agg(F.min(F.when(F.col("part").isNotNull() & way.isNotNull(), F.struct(way.alias("p"), length.alias("len"), "part", "role_id"))).alias("b"))
     how = F.get(F.array(*(F.lit(x) for x in ("explicit", "equal", "prefix", "substring"))), F.col("b.p") - 1)
-    verdict = F.when(bad, "rejected").when(F.col("b").isNotNull(), "mapped").otherwise("unmapped")
-    return each.join(best, "title", "left").select("title", verdict.alias("verdict"), F.col("b.role_id").alias("role_id"), how.alias("how"))
+    verdict = F.when(F.col("bad"), "rejected").when(F.col("b").isNotNull(), "mapped").otherwise("unmapped")
+    return best.select("title", verdict.alias("verdict"), F.col("b.role_id").alias("role_id"), how.alias("how"))
 
 
 def countries(raw: DataFrame, aliases: DataFrame, cities: DataFrame) -> DataFrame:

@@ -99,3 +99,16 @@ def test_sketches_merge_within_their_error(spark):
     assert told.keys() == exact.keys() and all(abs(told[k] - exact[k]) <= 0.08 * exact[k] for k in exact)
     nothing = sketches.estimated(sketches.sketched(rows.select("part", F.lit(None).cast("long").alias("value")), ["part"], "value"), "n")
     assert {r.n for r in nothing.collect()} == {0}
+
+
+def test_mapped_candidates_read_their_titles_once(spark, tmp_path):
+    rows = [("Data Engineer",), ("data engineer (Remote)",), ("Lead data engineers",), ("Big data office",), ("Intern",), ("abc",), ("Nothing here",), (None,), ("Machine Learnings",), ("Head of Pay Desk",), ("A pay desk B",)]
+    spark.createDataFrame(rows, "title string").write.parquet(f"{tmp_path}/t")
+    roles = spark.createDataFrame([(1, "Data Engineer"), (2, "Machine Learning"), (3, "Pay Desk")], "id long, normalized_title string")
+    explicit = spark.createDataFrame([("data off", 7), ("off", 8)], "pattern string, role_id long")
+    found = enrich.mapped_candidates(spark.read.parquet(f"{tmp_path}/t"), roles, explicit)
+    assert {r.title: (r.verdict, r.role_id, r.how) for r in found.collect()} == {
+        "Data Engineer": ("mapped", 1, "equal"), "data engineer (Remote)": ("mapped", 1, "equal"), "Lead data engineers": ("mapped", 1, "substring"), "Big data office": ("mapped", 7, "explicit"), "Intern": ("rejected", None, None), "abc": ("rejected", None, None),
+        "Nothing here": ("unmapped", None, None), None: ("unmapped", None, None), "Machine Learnings": ("mapped", 2, "prefix"), "Head of Pay Desk": ("unmapped", None, None), "A pay desk B": ("unmapped", None, None),
+    }
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Relation [title") == 1
