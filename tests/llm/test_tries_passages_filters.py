@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
 import itertools
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -124,6 +128,44 @@ def test_passages_like_brute_force(spark, monkeypatch, size):
         assert (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) == want[r.doc_id, r.text or ""]
 
 
+def test_copies_are_not_sorted_and_shuffle_files_go(spark, monkeypatch):
+    """Near copies leave the pieces around what differs to be sorted; a step leaves no shuffle files."""
+    own = random.Random(5)
+    word = lambda: "".join(own.choices("abcdefgh", k=own.randint(2, 9)))
+    texts = [[word() for _ in range(400)] for _ in range(12)]
+    rows = [(100 * k + i, " ".join([*t[: 30 * k], "changed", *t[30 * k :]] if k else t)) for k in range(6) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "id long, text string").select("id", F.xxhash64("text").alias("th"), "text")
+    dirs = [Path(d.getPath()) for d in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    files = lambda: {f: f.stat().st_size for d in dirs for f in d.rglob("shuffle_*.data")}
+    before, left, sorted_bytes, keep = files(), None, {}, suffix_dedup.Steps.keep
+
+    def kept(self, df, name):
+        out = keep(self, df, name)
+        if "text" in out.columns:
+            sorted_bytes[name] = out.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        return out
+
+    monkeypatch.setattr(suffix_dedup.Steps, "keep", kept)
+    found = suffix_dedup.repeated(docs)
+    for _ in range(50):
+        with contextlib.suppress(OSError):  # a file may go meanwhile
+            if (left := sum(n for f, n in files().items() if f not in before)) < 10_000:  # sums, but no texts
+                break
+        time.sleep(0.2)
+    assert left < 10_000
+    assert 0 < sorted_bytes["suffix-state"] < sum(len(t) for _, t in rows) / 4
+    want = passages_by_hand([(r.id, r.th, r.text) for r in docs.collect()])
+    spans = docs.join(found, ["id", "th"]).groupBy("id", "text").agg(F.sort_array(F.collect_list(F.struct("begin", "end"))).alias("s")).collect()
+    assert {r.id: len({x for b, e in r.s for x in range(b, e + 99)}) for r in spans} == {i: w[1] for (i, _), w in want.items() if w[1]}
+
+
+def test_hashes_tell_strings_apart():
+    text = np.frombuffer(random.Random(3).randbytes(5000), np.uint8)
+    h = suffix_dedup._hashes(np.concatenate([text, text]), suffix_dedup.GRAM)
+    assert len(h) == 10_001 - suffix_dedup.GRAM and len(set(h[:5000].tolist())) == 5000
+    assert (h[: len(h) - 5000] == h[5000:]).all()
+
+
 def test_passages_of_nothing(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert suffix_dedup.dedup_passages(none).collect() == []
