@@ -258,9 +258,9 @@ def similarity(a: Column, b: Column) -> Column:
     return 1 - F.levenshtein(a, b) / F.greatest(F.char_length(a), F.char_length(b), F.lit(1))
 
 
-def _grams(c: Column, q: int = 3) -> Column:
+def _padded_triples(c: Column) -> Column:
     padded = F.concat(F.lit("  "), F.lower(c), F.lit(" "))
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.char_length(padded) - q + 1), lambda i: padded.substr(i, F.lit(q))))
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.char_length(padded) - 2), lambda i: padded.substr(i, F.lit(3))))
 
 
 def block_ratio(least: float):
@@ -290,7 +290,7 @@ def similar_names(names: DataFrame, least: float = 0.88, gap: int = 20, measure:
     2 n (1 - least) / least; similar names agree in one of the rarest 3 times that + 1.
     """
     each = names.select("name").distinct()
-    grams = each.select("name", F.char_length("name").alias("len"), F.explode(_grams(F.col("name"))).alias("g"))
+    grams = each.select("name", F.char_length("name").alias("len"), F.explode(_padded_triples(F.col("name"))).alias("g"))
     counts = grams.groupBy("g").agg(F.count(F.lit(1)).alias("c"))
     spoilt = F.floor(F.lit((1 - least) * (2 if measure == "blocks" else 1)) * (F.col("len") / F.lit(least)) + 1e-9)
     ranked = grams.join(counts, "g").withColumn("r", F.row_number().over(W.partitionBy("name").orderBy("c", "g"))).filter(F.col("r") <= 3 * spoilt + 1)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ast
 import subprocess
 import sys
 from pathlib import Path
@@ -19,3 +20,9 @@ def test_a_missing_dependency_of_the_corpus_operators_costs_only_these():
     for missing in ("xxhash", "laborlens.llm"):
         left = names(missing)
         assert "c01_skill_demand" in left and not [n for n in left if n.startswith("op") or n == "pipeline"]
+
+
+def test_no_module_defines_a_name_twice():
+    for file in (ROOT / "laborlens").rglob("*.py"):
+        names = [n.name for n in ast.parse(file.read_text()).body if isinstance(n, ast.FunctionDef | ast.ClassDef)]
+        assert len(names) == len(set(names)), (file.name, [n for n in names if names.count(n) > 1])
