@@ -8,10 +8,9 @@ the 24 bands with probability 3e-6.
 
 Equal shingle sets are one class from the start (by a 128-bit digest), so copies cost nothing further. Each band's
 bucket ties its classes to its smallest one, which is linear in its size; the groups so tied are then joined exactly:
-in a task, all sets of a group, or of a block of a large one, meet through an inverted index of their prefixes. A
-large group first meets its first block; only classes outside its largest component then meet all other blocks. So a
-large group that hangs together is linear in its number of blocks, and no link between different texts is left out.
-Within a block a set is compared with members of another component until one of them links the two.
+in a task, what any two sets of a group, or of a block of a large one, have in common is counted. A large group first
+meets its first block; only classes outside its largest component then meet all other blocks. So a large group that
+hangs together is linear in its number of blocks, and no link between different texts is left out.
 
 A class goes by its least row, an id with a hash of the text, so that rows that share an id but not a text are classes
 of their own.
@@ -41,6 +40,8 @@ COORDINATES, ROWS = 96, 4
 #: Shingles of one block of a group, 8 bytes each. Small sets weigh as much as LEAST shingles, so that the pairs of a
 #: block are bounded as well.
 BLOCK, LEAST = 1_000_000, 250
+#: An element that more than one in OFTEN of a block's sets hold counts as frequent; pairs that are compared at once.
+OFTEN, PART = 12, 1 << 22
 EMPTY = U(0xFFFFFFFFFFFFFFFF)
 
 
@@ -125,83 +126,69 @@ def _members(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     return met.mapInArrow(of, T.StructType([met.schema[c] for c in kept]).add("set", "binary"))
 
 
+def _similar(token: np.ndarray, row: np.ndarray, sizes: np.ndarray, percent: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(x, the sets before x that are similar to it) for each set x; set ``row[k]`` holds element ``token[k]``.
+
+    Common elements are counted for all pairs: those that many sets hold by a product of matrices, all others by going
+    through the sets that hold them. Sets come in parts, so that memory follows the elements of the sets.
+    """
+    m = len(sizes)
+    order = np.lexsort((row, token))
+    row = row[order]
+    _, begin, held = np.unique(token[order], return_index=True, return_counts=True)
+    element, often = np.repeat(np.arange(len(held)), held), held > max(1, m / OFTEN)
+    place = np.arange(len(row)) - begin[element]  # how many sets before this one hold the element
+    frequent = often[element]
+    dense = np.zeros((m, int(often.sum())), np.float32 if sizes.max() < 1 << 24 else np.float64)
+    dense[row[frequent], (np.cumsum(often) - 1)[element[frequent]]] = 1
+    rare = np.flatnonzero(~frequent & (place > 0))
+    rare = rare[np.argsort(row[rare], kind="stable")]
+    edge = np.searchsorted(row[rare], np.arange(m + 1))
+    work = np.concatenate([[0], np.cumsum(place[rare])])[edge]
+    a = 0
+    while a < m:
+        b = max(a + 1, min(a + max(1, PART // m), int(np.searchsorted(work, work[a] + PART, "right")) - 1))
+        some = rare[edge[a] : edge[b]]
+        n = place[some]
+        before = np.repeat(some - np.cumsum(n), n) + np.arange(n.sum())
+        common = np.bincount(np.repeat(row[some] - a, n) * b + row[before], minlength=(b - a) * b).reshape(b - a, b)
+        common += (dense[a:b] @ dense[:b].T).astype(np.int64)
+        similar = (100 + percent) * common >= percent * (sizes[a:b, None] + sizes[:b])
+        for x in range(a, b):
+            yield x, np.flatnonzero(similar[x - a, :x])
+        a = b
+
+
 def local_links(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     """Index pairs that link all sets which chains of similar pairs connect; similar: 100 * common >= percent * union.
 
     An element that one set alone holds is common to no pair, so sets of equal size and equal other elements compare
-    alike with all others; one of them is compared for all. Sets meet in their prefixes: with elements ordered by
-    rarity, similar sets share one of their first n - ceil(percent n / 100) + 1. Each prefix element lists the sets
-    that hold it by component. A set is compared with those of another component, latest first, in growing parts, until
-    one links them; then the rest needs no look.
+    alike with all others; one of them is compared for all. A set is linked once with each component that it meets.
     """
     sizes = np.array([len(s) for s in sets])
     flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
     _, token, count = np.unique(flat, return_inverse=True, return_counts=True)
-    rank = np.empty(len(count), np.int64)
-    rank[np.argsort(count, kind="stable")] = np.arange(len(count))
-    token = rank[token]
-    token, start = token[np.lexsort((token, owner))], np.concatenate([[0], np.cumsum(sizes)])
-    alone = int((count == 1).sum())  # elements below this rank are held once
-    prefix = sizes - -(-percent * sizes // 100) + 1
+    shared = count[token] > 1
+    token, owner = token[shared], owner[shared]
+    token = token[np.lexsort((token, owner))]
+    start = np.searchsorted(owner, np.arange(len(sets) + 1))
     alike: dict[tuple[int, bytes], list[int]] = {}
     for x, size in enumerate(sizes.tolist()):
-        mine = token[start[x] : start[x + 1]]
-        alike.setdefault((size, mine[np.searchsorted(mine, alone) :].tobytes()), []).append(x)
-    parent = list(range(len(sets)))
-
-    def find(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    mark = np.zeros(len(count), bool)
-
-    def first_similar(x: int, near: list[int]) -> int | None:
-        near = np.array(near)
-        near = near[100 * np.minimum(sizes[near], sizes[x]) >= percent * np.maximum(sizes[near], sizes[x])]
-        at, step = 0, 4
-        while at < len(near):
-            some = near[at : at + step]
-            lengths = sizes[some]
-            ends = np.cumsum(lengths)
-            places = np.repeat(start[some] - (ends - lengths), lengths) + np.arange(ends[-1])
-            common = np.add.reduceat(mark[token[places]].astype(np.int64), ends - lengths)
-            good = np.flatnonzero(100 * common >= percent * (sizes[x] + lengths - common))
-            if len(good):
-                return int(some[good[0]])
-            at, step = at + step, min(4 * step, 1024)
-        return None
-
-    held: dict[int, dict[int, list[int]]] = {}
-    links = []
-    for x in (same[0] for same in alike.values()):
-        mine = token[start[x] : start[x + 1]]
-        head = [t for t in mine[: prefix[x]].tolist() if t >= alone]
-        near: dict[int, dict[int, None]] = {}
-        for t in head:
-            groups = held.setdefault(t, {})
-            for root in list(groups):
-                if (now := find(root)) != root:
-                    a, b = groups.pop(root), groups.get(now, [])
-                    groups[now] = b + a if len(b) >= len(a) else a + b
-            for root, members in groups.items():
-                near.setdefault(root, {}).update(dict.fromkeys(reversed(members[-64:])))
-        mark[mine] = True
-        for root, some in near.items():
-            y = first_similar(x, list(some))
-            if y is None:  # none of the latest: all others of the component that share a prefix element
-                rest = dict.fromkeys(m for t in head for m in held[t].get(root, [])[:-64] if m not in some)
-                y = first_similar(x, list(rest)) if rest else None
-            if y is not None and find(x) != find(y):
-                links.append((x, y))
-                parent[find(x)] = find(y)
-        mark[mine] = False
-        for t in head:
-            held[t].setdefault(find(x), []).append(x)
+        alike.setdefault((size, token[start[x] : start[x + 1]].tobytes()), []).append(x)
+    first = np.array([same[0] for same in alike.values()])
+    lengths = start[first + 1] - start[first]
+    ends = np.cumsum(lengths)
+    places = np.repeat(start[first] - (ends - lengths), lengths) + np.arange(ends[-1])
+    part, links = np.arange(len(first)), []
+    for x, near in _similar(token[places], np.repeat(np.arange(len(first)), lengths), sizes[first], percent):
+        while len(near):
+            links.append((int(first[x]), int(first[near[0]])))
+            met = part[near[0]]
+            near = near[part[near] != met]
+            part[part == met] = x
     linked = dict(links) | {y: x for x, y in links}
-    for (size, shared), (x, *others) in alike.items():
-        common = len(shared) // 8
+    for (size, held), (x, *others) in alike.items():
+        common = len(held) // token.itemsize
         to = x if 100 * common >= percent * (2 * size - common) else linked.get(x)
         links += [(other, to) for other in others if to is not None]
     return links

@@ -602,6 +602,32 @@ def test_near_copies_in_one_task_take_linear_time():
     assert len(near_dedup.local_links(sets, 80)) == 20_000 - 12 and time.time() - began < 5
 
 
+def test_a_large_cluster_of_loose_copies_takes_little_time():
+    """Copies of one text with some words changed: about as many pairs are similar as not, and all hold most elements."""
+    r = np.random.default_rng(2)
+    base, sets = r.integers(0, 2**62, 400).astype(np.uint64), []
+    for i in range(1500):
+        s = base.copy()
+        for at in r.integers(0, 397, r.integers(0, 25)):
+            s[at : at + 4] = r.integers(0, 2**62, 4).astype(np.uint64)
+        sets.append(np.unique(s))
+    began = time.time()
+    got = near_dedup.local_links(sets, 80)
+    assert time.time() - began < 5
+    held = {x: i for i, x in enumerate(np.unique(np.concatenate(sets)).tolist())}
+    table = np.zeros((len(sets), len(held)), np.float32)
+    for i, s in enumerate(sets):
+        table[i, [held[x] for x in s.tolist()]] = 1
+    common, sizes = table @ table.T, table.sum(1)
+    similar = 100 * common >= 80 * (sizes[:, None] + sizes - common)
+    assert all(similar[a, b] for a, b in got) and 0.1 < similar.mean() < 0.9
+    part = np.arange(len(sets))
+    for a, b in got:
+        part[part == part[a]] = part[b]
+    apart = part[:, None] != part
+    assert len(np.unique(part)) > 1 and not (similar & apart).any()
+
+
 def test_pairs_at_the_threshold_are_found(spark):
     """Recall of the bands: pairs of similarity 0.80 to 0.85."""
     rows, linked = [], {}
