@@ -258,9 +258,14 @@ def similarity(a: Column, b: Column) -> Column:
     return 1 - F.levenshtein(a, b) / F.greatest(F.char_length(a), F.char_length(b), F.lit(1))
 
 
-def _padded_triples(c: Column) -> Column:
-    padded = F.concat(F.lit("  "), F.lower(c), F.lit(" "))
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.char_length(padded) - 2), lambda i: padded.substr(i, F.lit(3))))
+#: Characters of the longest runs by which similar names meet.
+GRAM = 6
+
+
+def _padded_grams(c: Column, q: int) -> Column:
+    """The distinct runs of ``q`` characters of a name, in any case, between spaces."""
+    padded = F.concat(F.lit(" " * (q - 1)), F.lower(c), F.lit(" " * (q - 1)))
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.char_length(padded) - q + 1), lambda i: padded.substr(i, F.lit(q))))
 
 
 def block_ratio(least: float):
@@ -285,26 +290,28 @@ def similar_names(names: DataFrame, least: float = 0.88, gap: int = 20, measure:
     """(a, b, ratio) of distinct ``names`` (name), a before b, at least so similar, in any case, by ``measure``: edits
     (one less the edit distance as a share of the longer) or blocks (matching blocks as a share of both).
 
-    Only names that share one of their rarest padded triples are compared. A name of n characters has n + 1; an edit
-    spoils three, and so does a character outside matching blocks, of which both names together have no more than
-    2 n (1 - least) / least; similar names agree in one of the rarest 3 times that + 1.
+    Only names that share one of their rarest runs of q characters are compared. A name of n characters has n + q - 1,
+    spaces around it counted; an edit spoils q, and so does a character outside matching blocks, of which both names
+    together have no more than 2 n (1 - least) / least; similar names agree in one of the rarest q times that + 1. Runs
+    are as long, up to GRAM, as leaves one unspoilt whatever the name's length.
     """
-    each = names.select("name").distinct()
-    grams = each.select("name", F.char_length("name").alias("len"), F.explode(_padded_triples(F.col("name"))).alias("g"))
+    share = (1 - least) * (2 if measure == "blocks" else 1)
+    q = max(int(1 / max(share, 1 / GRAM) + 1e-9), 1)
+    each = names.select("name").distinct().withColumn("len", F.char_length(F.lower("name")))
+    grams = each.select("name", "len", F.explode(_padded_grams(F.col("name"), q)).alias("g"))
     counts = grams.groupBy("g").agg(F.count(F.lit(1)).alias("c"))
-    spoilt = F.floor(F.lit((1 - least) * (2 if measure == "blocks" else 1)) * (F.col("len") / F.lit(least)) + 1e-9)
-    ranked = grams.join(counts, "g").withColumn("r", F.row_number().over(W.partitionBy("name").orderBy("c", "g"))).filter(F.col("r") <= 3 * spoilt + 1)
+    spoilt = F.floor(F.lit(share) * (F.col("len") / F.lit(least)) + 1e-9)
+    ranked = grams.join(counts, "g").withColumn("r", F.row_number().over(W.partitionBy("name").orderBy("c", "g"))).filter(F.col("r") <= q * spoilt + 1)
     # Lengths tell most pairs apart, and do so where they meet: an edit changes a length by one at most.
-    side = lambda n: ranked.select(F.col("name").alias(n), "g", F.char_length(F.lower("name")).alias(f"l_{n}"))
+    side = lambda n: ranked.select(F.col("name").alias(n), "g", F.col("len").alias(f"l_{n}"))
     x, y = F.col("l_a"), F.col("l_b")
     alike = (2 * F.least(x, y) >= least * (x + y) - 1e-9) if measure == "blocks" else (F.abs(x - y) <= (1 - least) * F.greatest(x, y) + 1e-9)
     met = side("a").join(side("b"), "g").filter((F.col("a") < F.col("b")) & alike & (F.abs(F.char_length("a") - F.char_length("b")) <= gap))
-    near = met.select("a", "b").distinct()
     if measure == "blocks":
-        close = near.withColumn("ratio", block_ratio(least)(F.lower("a"), F.lower("b")))
-    else:
-        close = near.withColumn("ratio", similarity(F.lower("a"), F.lower("b")))
-    return close.filter(F.col("ratio") >= least).withColumn("ratio", F.round("ratio", 4))
+        close = met.select("a", "b").distinct().withColumn("ratio", block_ratio(least)(F.lower("a"), F.lower("b"))).filter(F.col("ratio") >= least)
+    else:  # few of those that meet are similar
+        close = met.select("a", "b", similarity(F.lower("a"), F.lower("b")).alias("ratio")).filter(F.col("ratio") >= least).distinct()
+    return close.withColumn("ratio", F.round("ratio", 4))
 
 
 def _grams(text: Column, n: int) -> Column:

@@ -112,3 +112,14 @@ def test_mapped_candidates_read_their_titles_once(spark, tmp_path):
         "Nothing here": ("unmapped", None, None), None: ("unmapped", None, None), "Machine Learnings": ("mapped", 2, "prefix"), "Head of Pay Desk": ("unmapped", None, None), "A pay desk B": ("unmapped", None, None),
     }
     assert found._jdf.queryExecution().optimizedPlan().toString().count("Relation [title") == 1
+
+
+def test_names_without_a_common_triple_are_found_if_so_little_is_asked(spark):
+    found = lambda names, least, measure: [tuple(r) for r in enrich.similar_names(spark.createDataFrame([(n,) for n in names], "name string"), least, measure=measure).collect()]
+    assert found(["abcdef", "1a2b3c4d5e6f"], 0.6, "blocks") == [("1a2b3c4d5e6f", "abcdef", 0.6667)]
+    assert found(["xbcxexgh", "abcdefgi"], 0.5, "edits") == [("abcdefgi", "xbcxexgh", 0.5)]
+    r = random.Random(6)
+    names = {"".join(r.choices("abcd", k=r.randint(1, 9))) for _ in range(150)}
+    for least in (0.5, 0.7, 0.88):
+        want = {(a, b) for a, b in itertools.combinations(sorted(names), 2) if difflib.SequenceMatcher(None, a, b, autojunk=False).ratio() >= least}
+        assert {(a, b) for a, b, _ in found(names, least, "blocks")} == want
